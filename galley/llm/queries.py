@@ -9,6 +9,13 @@ from .common import tables
 from .vocabulary import Vocabulary
 
 
+def op1_simhash_bk_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .simhash import near_duplicates
+
+    (docs,) = tables(spark, sf_dir, "documents")
+    return near_duplicates(docs, ngram=3, radius=3)
+
+
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack
 
@@ -17,6 +24,13 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
+def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .exact_dedup import exact_dedup
+
+    (docs,) = tables(spark, sf_dir, "documents")
+    return exact_dedup(docs, keep="largest", fan_in=4)
+
+
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .bpe_words import decode, encode
 
@@ -26,4 +40,4 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decoded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op5_best_fit_packing, op10_byte_bpe)}
+QUERIES = {f.__name__: f for f in (op1_simhash_bk_trees, op5_best_fit_packing, op7_exact_dedup, op10_byte_bpe)}
