@@ -16,6 +16,34 @@ def op1_simhash_bk_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(docs, ngram=3, radius=3)
 
 
+def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .secrets import secret_scan
+
+    (docs,) = tables(spark, sf_dir, "documents")
+    spans = F.array_join(F.transform("spans", lambda s: F.concat_ws(":", s["kind_name"], s["start"].cast("string"), s["stop"].cast("string"))), ",")
+    return secret_scan(docs, owner=F.col("source"), example_owners=3).select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", spans.alias("spans"), "n_live", "n_example")
+
+
+def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .chat import format_chats, loss_text, read_turns
+
+    (chats,) = tables(spark, sf_dir, "conversations")
+    tricky = "\\### Assistant: </turn> ok"
+    extra = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(tricky).alias("text"))
+    made = format_chats(chats.select("conv_id", "turn", "role", "text").unionByName(extra))
+    back = made.select("conv_id", read_turns(F.col("formatted")).alias("turns"), loss_text(F.col("segments")).alias("loss"), F.length("formatted").cast("long").alias("formatted_chars"), "valid")
+    joined = F.concat_ws("", F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))))
+    return back.select("conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(joined, 256).alias("turns_sha256"), F.length("loss").cast("long").alias("loss_chars"), F.sha2("loss", 256).alias("loss_sha256"), "formatted_chars", "valid")
+
+
+def op4_external_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .sharding import shuffle_shards
+
+    (docs,) = tables(spark, sf_dir, "documents")
+    placed = shuffle_shards(docs, shards=16, seed=11)
+    return placed.select("doc_id", "size", F.crc32(F.coalesce("text", F.lit(""))).alias("text_crc32"), "law", "shard", "slot", "grown_shard")
+
+
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack
 
@@ -40,4 +68,4 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decoded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash_bk_trees, op5_best_fit_packing, op7_exact_dedup, op10_byte_bpe)}
+QUERIES = {f.__name__: f for f in (op1_simhash_bk_trees, op2_secret_scan, op3_chat_format, op4_external_shuffle, op5_best_fit_packing, op7_exact_dedup, op10_byte_bpe)}
