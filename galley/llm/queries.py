@@ -59,6 +59,20 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(docs, keep="largest", fan_in=4)
 
 
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality_model import classify
+
+    docs, labels = tables(spark, sf_dir, "documents", "labels")
+    return classify(docs, labels)
+
+
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality_rules import quality_rules
+
+    (docs,) = tables(spark, sf_dir, "documents")
+    return quality_rules(docs).drop("broken")
+
+
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .bpe_words import decode, encode
 
@@ -68,4 +82,4 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decoded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash_bk_trees, op2_secret_scan, op3_chat_format, op4_external_shuffle, op5_best_fit_packing, op7_exact_dedup, op10_byte_bpe)}
+QUERIES = {f.__name__: f for f in (op1_simhash_bk_trees, op2_secret_scan, op3_chat_format, op4_external_shuffle, op5_best_fit_packing, op7_exact_dedup, op8_quality_classifier, op9_quality_rules, op10_byte_bpe)}
