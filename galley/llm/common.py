@@ -15,6 +15,8 @@ from ..shipping import ship
 
 #: Tables this process wrote below the shared folder, by session.
 _WRITTEN: list[tuple[SparkSession, str]] = []
+#: Those that ``release`` leaves alone.
+_LASTING: list[tuple[SparkSession, str]] = []
 _OWN = f"/tmp/checkpoints/galley-{os.getpid()}"
 
 
@@ -27,10 +29,10 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def new_path(spark: SparkSession, label: str) -> str:
-    """A fresh path below the shared folder, removed by ``release`` or at exit."""
+def new_path(spark: SparkSession, label: str, scratch: bool = True) -> str:
+    """A fresh path below the shared folder; ``release`` removes it if it is scratch, else the end of the process."""
     path = f"{shared_dir(spark)}/galley-{label}-{uuid.uuid4().hex}"
-    _WRITTEN.append((spark, path))
+    (_WRITTEN if scratch else _LASTING).append((spark, path))
     return path
 
 
@@ -56,6 +58,7 @@ def release(spark: SparkSession) -> None:
 
 @atexit.register
 def _at_exit() -> None:
+    _WRITTEN.extend(_LASTING)
     for spark in {id(s): s for s, _ in _WRITTEN}.values():
         try:
             release(spark)

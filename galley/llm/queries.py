@@ -52,6 +52,13 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
+def op6_arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .warc import archive
+
+    (pages,) = tables(spark, sf_dir, "pages")
+    return archive(pages)
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .exact_dedup import exact_dedup
 
@@ -82,4 +89,4 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decoded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash_bk_trees, op2_secret_scan, op3_chat_format, op4_external_shuffle, op5_best_fit_packing, op7_exact_dedup, op8_quality_classifier, op9_quality_rules, op10_byte_bpe)}
+QUERIES = {f.__name__: f for f in (op1_simhash_bk_trees, op2_secret_scan, op3_chat_format, op4_external_shuffle, op5_best_fit_packing, op6_arc_to_warc, op7_exact_dedup, op8_quality_classifier, op9_quality_rules, op10_byte_bpe)}
