@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from galley.llm import exact_dedup as exact
-from galley.llm import packing, quality_model, secrets, simhash
+from galley.llm import packing, quality_model, secret_scan, simhash
 from galley.llm.common import new_path, release
 from galley.llm.vocabulary import Vocabulary
 
@@ -38,14 +38,14 @@ def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one document of each group of near-duplicates, the one with the smallest identifier."""
     release(spark)
-    found = simhash.near_duplicates(docs, ngram=5, radius=3)
+    found = simhash.similar_documents(docs, ngram=5, similarity=0.8)
     return _chosen(docs, found.where("doc_id = component_id"))
 
 
 def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Redact secrets that look live; n_chars follows the text."""
     release(spark)
-    clean = secrets.redact(docs, secrets.secret_scan(docs, owner=F.col("source")))
+    clean = secret_scan.redact(docs, secret_scan.secret_scan(docs, owner=F.col("source")))
     return clean.withColumn("n_chars", F.coalesce(F.length("text").cast("long"), F.col("n_chars")))
 
 

@@ -17,7 +17,7 @@ def op1_simhash_bk_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .secrets import secret_scan
+    from .secret_scan import secret_scan
 
     (docs,) = tables(spark, sf_dir, "documents")
     spans = F.array_join(F.transform("spans", lambda s: F.concat_ws(":", s["kind_name"], s["start"].cast("string"), s["stop"].cast("string"))), ",")

@@ -26,24 +26,33 @@ from .components import connected_components
 BITS, TREE = 64, 4096
 
 
-def fingerprint(text: str, ngram: int = 3) -> int:
-    """SimHash of the word shingles of a text: a bit is 1 if set in over half the hashes."""
+def shingles(text: str, ngram: int) -> np.ndarray:
+    """XXH64 (seed 42) of the word shingles of a text in order, repeats included; a shorter text is one shingle."""
     words = text.encode("utf-8", "surrogatepass").translate(_LOWER).split()
     if not words:
-        return 0
-    data = b" ".join(words)
+        return np.empty(0, np.uint64)
+    data, h = b" ".join(words), xxhash.xxh64_intdigest
     if len(words) <= ngram:
-        return xxhash.xxh64_intdigest(data, 42)
+        return np.array([h(data, 42)], np.uint64)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     begins = np.concatenate([[0], ends[:-1] + 1])
-    h, cut = xxhash.xxh64_intdigest, zip(begins[: len(words) - ngram + 1].tolist(), ends[ngram - 1 :].tolist(), strict=True)
-    hashes = np.fromiter((h(data[i:j], 42) for i, j in cut), np.uint64)
+    cut = zip(begins[: len(words) - ngram + 1].tolist(), ends[ngram - 1 :].tolist(), strict=True)
+    return np.fromiter((h(data[i:j], 42) for i, j in cut), np.uint64)
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits set in over half the hashes; 0 of none."""
     ones = np.zeros(64, np.int64)
     for i in range(0, len(hashes), 1 << 16):
         ones += np.unpackbits(hashes[i : i + (1 << 16)].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
     return int.from_bytes(np.packbits(2 * ones > len(hashes)).tobytes(), "big")
 
 
+def fingerprint(text: str, ngram: int = 3) -> int:
+    """SimHash of the word shingles of a text: a bit is 1 if set in over half the hashes."""
+    return majority(shingles(text, ngram))
+
+
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
@@ -159,35 +168,42 @@ def links(distinct: DataFrame, n: int, radius: int = 3) -> DataFrame:
     """Links (u, v) between distinct fingerprints (fp) that connect all those within the radius of each other."""
     signed = [m - (1 << 64) if m >> 63 else m for m in masks(n, radius)]
     keyed = distinct.select("fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m).cast("long")) for m in signed])).alias("tbl", "key"))
-    large = keyed.groupBy("tbl", "key").agg(F.count("*").alias("n")).where(F.col("n") > TREE).select("tbl", "key", F.ceil(F.col("n") / TREE).cast("int").alias("trees"))
-    cut = keyed.join(large, ["tbl", "key"], "left").withColumn("trees", F.coalesce("trees", F.lit(1)))
-    cut = cut.withColumn("own", F.pmod(F.xxhash64(F.lit(7), "fp"), F.col("trees")).cast("int"))
-    # a fingerprint is a node of tree ``own``, and a query of the trees up to it
-    pairs = F.transform(F.sequence(F.lit(0), F.col("trees") - 1), lambda x: F.struct(F.least(x, F.col("own")).alias("t"), F.greatest(x, F.col("own")).alias("q")))
-    dealt = cut.select("tbl", "key", "own", "fp", F.explode(pairs).alias("p")).select("tbl", "key", F.col("p.t").alias("t"), F.col("p.q").alias("q"), "own", "fp")
+    dealt = _deal(keyed.withColumnRenamed("fp", "id"), TREE)
 
-    def run(batches):
-        def work(part):
-            tbl, key, t, q, own, fp = part
-            new = np.ones(len(fp), bool)
-            new[1:] = (tbl[1:] != tbl[:-1]) | (key[1:] != key[:-1]) | (t[1:] != t[:-1]) | (q[1:] != q[:-1])
-            cuts = np.append(np.flatnonzero(new), len(fp))
-            us, vs = [], []
-            for i in np.flatnonzero(np.diff(cuts) > 1).tolist():
-                a, b = int(cuts[i]), int(cuts[i + 1])
-                values = fp[a:b].view(np.uint64)
-                for x, y in shard_links(values, own[a:b] == t[a:b], own[a:b] == q[a:b], radius):
-                    us.append(int(fp[a + x]))
-                    vs.append(int(fp[a + y]))
-            return pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], names=["u", "v"])
+    def work(part):
+        us, vs = [], []
+        for i, j in _cuts(part[:4]):
+            own, fp = part[4][i:j], part[5][i:j]
+            for x, y in shard_links(fp.view(np.uint64), own == part[2][i], own == part[3][i], radius):
+                us.append(int(fp[x]))
+                vs.append(int(fp[y]))
+        return pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], names=["u", "v"])
 
+    return _by_shard(dealt, work, "u long, v long")
+
+
+_SHARD = ("tbl", "key", "t", "q")
+
+
+def _cuts(key: list[np.ndarray]) -> list[tuple[int, int]]:
+    """Where groups of adjacent equal keys begin and end; groups of one are left out."""
+    new = np.logical_or.reduce([np.diff(k, prepend=k[:1] - 1) != 0 for k in key])
+    at = np.append(np.flatnonzero(new), len(new))
+    return [(i, j) for i, j in zip(at.tolist(), at[1:].tolist(), strict=False) if j - i > 1]
+
+
+def _by_shard(dealt: DataFrame, work, schema: str) -> DataFrame:
+    """Apply work(columns) to runs of whole shards (tbl, key, t, q), whose rows are brought together and streamed."""
+
+    def run(batches):
         held = None
         for batch in batches:
             part = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
             if held is not None:
                 part = [np.concatenate(x) for x in zip(held, part, strict=True)]
-            last = [c[-1] for c in part[:4]]
-            same = np.logical_and.reduce([c == x for c, x in zip(part[:4], last, strict=True)])
+            if not len(part[0]):
+                continue
+            same = np.logical_and.reduce([c == c[-1] for c in part[:4]])
             whole = int(np.flatnonzero(~same)[-1]) + 1 if not same.all() else 0
             if whole:
                 yield work([c[:whole] for c in part])
@@ -195,8 +211,22 @@ def links(distinct: DataFrame, n: int, radius: int = 3) -> DataFrame:
         if held is not None and len(held[0]):
             yield work(held)
 
-    placed = dealt.repartition(shuffle_partitions(distinct.sparkSession), "tbl", "key", "t", "q").sortWithinPartitions("tbl", "key", "t", "q")
-    return placed.mapInArrow(run, "u long, v long")
+    ship(dealt.sparkSession)
+    placed = dealt.repartition(shuffle_partitions(dealt.sparkSession), *_SHARD).sortWithinPartitions(*_SHARD)
+    return placed.mapInArrow(run, schema)
+
+
+def _deal(keyed: DataFrame, most: int) -> DataFrame:
+    """(tbl, key, t, q, own, ...) of rows (tbl, key, id, ...): those of a key with over ``most`` rows meet in pairs of trees.
+
+    A row is a node of tree ``own`` and a query of it and the trees before it; it goes to each pair it has a part in.
+    """
+    large = keyed.groupBy("tbl", "key").agg(F.count("*").alias("n")).where(F.col("n") > most).select("tbl", "key", F.ceil(F.col("n") / most).cast("int").alias("trees"))
+    cut = keyed.join(large, ["tbl", "key"], "left").withColumn("trees", F.coalesce("trees", F.lit(1)))
+    cut = cut.withColumn("own", F.pmod(F.xxhash64(F.lit(7), "id"), F.col("trees")).cast("int"))
+    pairs = F.transform(F.sequence(F.lit(0), F.col("trees") - 1), lambda x: F.struct(F.least(x, F.col("own")).alias("t"), F.greatest(x, F.col("own")).alias("q")))
+    rest = [c for c in keyed.columns if c not in ("tbl", "key")]
+    return cut.withColumn("p", F.explode(pairs)).select("tbl", "key", "p.t", "p.q", "own", *rest)
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", ngram: int = 3, radius: int = 3) -> DataFrame:
@@ -215,3 +245,126 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     by_fp = labelled.join(smallest, "label").select("fp", "component_id")
     full = distinct.join(by_fp, "fp", "left").select("fp", "n_same", F.coalesce("component_id", "first").alias("component_id"))
     return found.join(full, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "n_same")
+
+
+BANDS, BAND_ROWS, SIMILAR_TREE = 8, 2, 1024
+
+
+def minhash_keys(hashes: np.ndarray, bands: int = BANDS, rows: int = BAND_ROWS) -> list[int]:
+    """A key for each band: the least of ``rows`` multiplicative hashes of a set of shingles, combined."""
+    factors = np.random.default_rng(17).integers(1, 1 << 63, bands * rows, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    out = []
+    for b in range(bands):
+        key = 0
+        for f in factors[b * rows : (b + 1) * rows]:
+            key = (key * 0x9E3779B97F4A7C15 + int((hashes * f).min())) % (1 << 64)
+        out.append(key - (1 << 64) if key >> 63 else key)
+    return out
+
+
+def _sets(df: DataFrame, id_col: str, text_col: str, ngram: int) -> DataFrame:
+    """(doc_id, id, fp, keys, shingles) of every text: id is a hash of the set of its shingles, shingles their 32-bit hashes."""
+    source = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    names = ["doc_id", "id", "fp", "keys", "shingles"]
+
+    def run(batches):
+        for batch in batches:
+            for part in sub_batches(batch, "text", 8 << 20):
+                cols: list[list] = [[] for _ in range(4)]
+                for t in texts(part.column(1)):
+                    all_ = shingles(t, ngram)
+                    own = np.unique(all_)
+                    key = xxhash.xxh64_intdigest(own.tobytes(), 1)
+                    small = np.unique(own.astype(np.uint32))
+                    for c, v in zip(cols, (key, majority(all_), minhash_keys(own) if len(own) else [], small.tobytes()), strict=True):
+                        c.append(v)
+                signed = [pa.array(np.array(c, np.uint64).view(np.int64)) for c in cols[:2]]
+                yield pa.RecordBatch.from_arrays([part.column(0), *signed, pa.array(cols[2], pa.list_(pa.int64())), pa.array(cols[3], pa.binary())], names=names)
+
+    ship(df.sparkSession)
+    return source.mapInArrow(run, "doc_id long, id long, fp long, keys array<long>, shingles binary")
+
+
+def _found(fp: np.ndarray, nodes: np.ndarray, asked: np.ndarray, radius: int):
+    """(node, indices of the queries within the radius of it) of a shard; nodes and asked are indices."""
+    if len(fp) <= 24 and len(nodes) == len(asked) == len(fp):
+        return ((a, np.array([b])) for a, b in _small(fp.tolist(), radius))
+    return ((int(nodes[node]), asked[queries]) for node, queries in BKTree(fp[nodes]).search(fp[asked], radius))
+
+
+def similar_links(sets: list[bytes], found, n: int, similarity: float) -> list[tuple[int, int]]:
+    """A spanning forest of the pairs in ``found`` (node, near indices) whose sets have at least this Jaccard similarity."""
+    members = [np.frombuffer(x, np.uint32) for x in sets]
+    sizes = np.array([len(m) for m in members])
+    flat = np.unique(np.concatenate(members), return_inverse=True)[1] if n else np.empty(0, np.int64)
+    offsets = np.concatenate([[0], np.cumsum(sizes)])
+    mark = np.zeros(int(flat.max(initial=0)) + 1, bool)
+    root = np.arange(n)  # the smallest index of what is linked so far
+    out = []
+    for node, near in found:
+        near = near[root[near] != root[node]]
+        near = near[(sizes[near] >= similarity * sizes[node] - 1e-9) & (sizes[node] >= similarity * sizes[near] - 1e-9)]
+        if not len(near):
+            continue
+        mark[flat[offsets[node] : offsets[node + 1]]] = True
+        ends = np.cumsum(sizes[near])
+        at = np.repeat(offsets[:-1][near] - (ends - sizes[near]), sizes[near]) + np.arange(int(ends[-1]))
+        both = np.add.reduceat(mark[flat[at]].astype(np.int64), ends - sizes[near])
+        mark[flat[offsets[node] : offsets[node + 1]]] = False
+        for q in near[both * (1 + similarity) >= similarity * (sizes[near] + sizes[node]) - 1e-9].tolist():
+            a, b = sorted((int(root[node]), int(root[q])))
+            if a != b:
+                root[root == b] = a
+                out.append((node, q))
+    return out
+
+
+def similar_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", ngram: int = 5, similarity: float = 0.8, radius: int = 22) -> DataFrame:
+    """One row per input row: (doc_id, component_id) over links of at least this Jaccard similarity of word shingles.
+
+    Shards are made by pairs of minimum hashes, of which two texts that similar share one of eight but for about one
+    pair in 3,000.  In each shard BK-trees over fingerprints find what lies within the radius, which is wide enough
+    for the similarity; then the texts' own sets of shingles (as 32-bit hashes) are compared.  Texts with equal sets
+    are one to the search, empty and null texts among them.  ``component_id`` is the smallest identifier reachable;
+    rows keep their number; an empty table gives no row; other columns are ignored.
+    """
+    found = materialize(_sets(df, id_col, text_col, ngram), "sets")
+    distinct = found.groupBy("id").agg(F.min("doc_id").alias("first"), F.min("fp").alias("fp"), F.min("keys").alias("keys"))
+    distinct = materialize(distinct, "distinct")
+    keyed = distinct.select("id", "fp", F.posexplode("keys").alias("tbl", "key")).select("tbl", "key", "id", "fp")
+
+    def near(part):
+        rows = []
+        for i, j in _cuts(part[:4]):
+            own, fp = part[4][i:j], part[6][i:j].view(np.uint64)
+            nodes, asked = np.flatnonzero(own == part[2][i]), np.flatnonzero(own == part[3][i])
+            hit = np.zeros(j - i, bool)
+            for node, others in _found(fp, nodes, asked, radius):
+                others = others[others != node]
+                if len(others):
+                    hit[node] = True
+                    hit[others] = True
+            rows.append(i + np.flatnonzero(hit))
+        at = np.concatenate(rows) if rows else np.empty(0, np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(c[at]) for c in part], names=["tbl", "key", "t", "q", "own", "id", "fp"])
+
+    hits = materialize(_by_shard(_deal(keyed, SIMILAR_TREE), near, "tbl int, key long, t int, q int, own int, id long, fp long"), "hits")
+    wanted = hits.select("id").distinct()
+    sets = materialize(found.join(wanted, "id", "left_semi").groupBy("id").agg(F.min("shingles").alias("shingles")), "wanted")
+
+    def compare(part):
+        us, vs = [], []
+        for i, j in _cuts(part[:4]):
+            own, ids, fp = part[4][i:j], part[5][i:j], part[6][i:j].view(np.uint64)
+            nodes, asked = np.flatnonzero(own == part[2][i]), np.flatnonzero(own == part[3][i])
+            for x, y in similar_links(list(part[7][i:j]), _found(fp, nodes, asked, radius), j - i, similarity):
+                us.append(int(ids[x]))
+                vs.append(int(ids[y]))
+        return pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], names=["u", "v"])
+
+    compared = _by_shard(hits.join(sets, "id").select(*hits.columns, "shingles"), compare, "u long, v long")
+    labels = connected_components(compared)
+    labelled = materialize(labels.select(F.col("v").alias("id"), "label").join(distinct.select("id", "first"), "id"), "labels")
+    smallest = labelled.groupBy("label").agg(F.min("first").alias("component_id"))
+    full = distinct.select("id", "first").join(labelled.join(smallest, "label").select("id", "component_id"), "id", "left").select("id", F.coalesce("component_id", "first").alias("component_id"))
+    return found.select("doc_id", "id").join(full, "id").select("doc_id", "component_id")
