@@ -11,6 +11,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -21,7 +22,7 @@ from . import pretokens
 from .common import estimated_bytes, shuffle_partitions, sub_batches, texts
 from .vocabulary import Vocabulary
 
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 8 << 20
 #: Bytes of input for each bucket of words at least; a bucket holds about a tenth of that in distinct words.
 BUCKET_INPUT = 32 << 20
 _ROW = "bucket int, block long, part int, a binary, b binary, c binary"
@@ -57,51 +58,54 @@ def encode(df: DataFrame, vocabulary: Vocabulary, id_col: str = "doc_id", text_c
     buckets = max(shuffle_partitions(spark), min(1 << 22, estimated_bytes(df) // BUCKET_INPUT))
     source = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
 
-    def split(batches):
-        block = TaskContext.get().partitionId() << 32
+    def blocks(batches):
+        place = TaskContext.get().partitionId() << 32
         for batch in batches:
             for part in sub_batches(batch, "text", BLOCK_BYTES):
-                index, distinct, counts = pretokens.words(texts(part.column(1)))
-                words = pretokens.as_bytes(distinct)
-                block += 1
-                ids = pa.ipc.new_stream(sink := pa.BufferOutputStream(), (head := pa.RecordBatch.from_arrays([part.column(0), pa.array(counts)], names=["id", "n"])).schema)
-                ids.write_batch(head)
-                ids.close()
-                yield _rows([(zlib.crc32(str(block).encode()) % buckets, block, -1, sink.getvalue().to_pybytes(), pack(index), np.int64(len(words)).tobytes())])
-                home = np.fromiter((zlib.crc32(w) for w in words), np.uint32, len(words)) % buckets
-                order = np.argsort(home, kind="stable")
-                cuts = np.flatnonzero(np.diff(home[order], prepend=-1)) if len(order) else []
-                out = []
-                for i, j in zip(cuts, [*cuts[1:], len(order)], strict=True):
-                    own = order[i:j]
-                    mine = [words[k] for k in own.tolist()]
-                    out.append((int(home[own[0]]), block, int(home[own[0]]), pack(np.diff(own, prepend=0)), pack(np.fromiter(map(len, mine), np.uint32, len(mine))), _squeeze(b"".join(mine))))
-                    if len(out) == 2000:
-                        yield _rows(out)
-                        out = []
-                if out:
-                    yield _rows(out)
+                own, place = texts(part.column(1)), place + 1
+                key = xxhash.xxh64(str((place, part.column(0).to_pylist())).encode())
+                key.update("\0".join(own).encode("utf-8", "surrogatepass"))
+                yield (key.intdigest() >> 1), part.column(0), own
+
+    def positions(batches):
+        for block, ids, own in blocks(batches):
+            index, distinct, counts = pretokens.words(own)
+            head = pa.RecordBatch.from_arrays([ids, pa.array(counts)], names=["id", "n"])
+            with pa.ipc.new_stream(sink := pa.BufferOutputStream(), head.schema) as out:
+                out.write_batch(head)
+            yield _rows([(-1, block, -1, sink.getvalue().to_pybytes(), pack(index), np.int64(len(distinct)).tobytes())])
+
+    def words(batches):
+        for block, _, own in blocks(batches):
+            mine = pretokens.as_bytes(pretokens.words(own)[1])
+            home = np.fromiter((zlib.crc32(w) for w in mine), np.uint32, len(mine)) % buckets
+            order = np.argsort(home, kind="stable")
+            cuts = np.flatnonzero(np.diff(home[order].astype(np.int64), prepend=-1)).tolist()
+            rows = []
+            for i, j in zip(cuts, [*cuts[1:], len(order)], strict=False):
+                at = order[i:j]
+                held = [mine[k] for k in at.tolist()]
+                rows.append((int(home[at[0]]), block, int(home[at[0]]), pack(np.diff(at, prepend=0)), pack(np.fromiter(map(len, held), np.uint32, len(held))), _squeeze(b"".join(held))))
+                if len(rows) == 2000:
+                    yield _rows(rows)
+                    rows = []
+            if rows:
+                yield _rows(rows)
 
     def encode_bucket(table: pa.Table) -> pa.Table:
         rows = table.to_pylist()
-        words, ends = [], []
-        for r in rows:
-            if r["part"] >= 0:
-                at = np.concatenate([[0], np.cumsum(unpack(r["b"]), dtype=np.int64)]).tolist()
-                data = zstandard.ZstdDecompressor().decompress(r["c"])
-                words += [data[i:j] for i, j in zip(at, at[1:], strict=False)]
-                ends.append(len(words))
-        coded = pa.array(words, pa.large_binary()).dictionary_encode()
+        sizes = [unpack(r["b"]) for r in rows]
+        offsets = np.concatenate([[0], np.cumsum(np.concatenate(sizes), dtype=np.int64)])
+        data = b"".join(zstandard.ZstdDecompressor().decompress(r["c"]) for r in rows)
+        coded = pa.Array.from_buffers(pa.large_binary(), len(offsets) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(data)]).dictionary_encode()
         flat, offsets = pretokens.flat_ids(vocabulary.encode(), pretokens.as_bytes(coded.dictionary))
         index = coded.indices.to_numpy(zero_copy_only=False)
-        out, start, stops = [], 0, iter(ends)
-        for r in rows:
-            if r["part"] < 0:
-                out.append((r["bucket"], r["block"], r["part"], r["a"], r["b"], r["c"]))
-            else:
-                own = index[start : (start := next(stops))]
-                ids, _ = pretokens.gather(flat, offsets, own)
-                out.append((r["bucket"], r["block"], r["part"], r["a"], pack((offsets[1:] - offsets[:-1])[own]), pack(ids)))
+        out, start = [], 0
+        for r, n in zip(rows, map(len, sizes), strict=True):
+            own = index[start : start + n]
+            start += n
+            ids, _ = pretokens.gather(flat, offsets, own)
+            out.append((r["bucket"], r["block"], r["part"], r["a"], pack((offsets[1:] - offsets[:-1])[own]), pack(ids)))
         return pa.Table.from_batches([_rows(out)])
 
     def reassemble(table: pa.Table) -> pa.Table:
@@ -139,8 +143,8 @@ def encode(df: DataFrame, vocabulary: Vocabulary, id_col: str = "doc_id", text_c
         cut = [data[4 * i : 4 * j] for i, j in zip(tokens.tolist(), tokens[1:].tolist(), strict=False)]
         return pa.table({id_col: docs.column("id").cast(pa.int64()), "n_tokens": pa.array(np.diff(tokens), pa.int64()), "ids": pa.array(cut, pa.binary())})
 
-    dealt = source.mapInArrow(split, _ROW).groupBy("bucket").applyInArrow(encode_bucket, _ROW)
-    return dealt.groupBy("block").applyInArrow(reassemble, f"`{id_col}` long, n_tokens long, ids binary")
+    encoded = source.mapInArrow(words, _ROW).groupBy("bucket").applyInArrow(encode_bucket, _ROW)
+    return source.mapInArrow(positions, _ROW).unionAll(encoded).groupBy("block").applyInArrow(reassemble, f"`{id_col}` long, n_tokens long, ids binary")
 
 
 def decode(df: DataFrame, vocabulary: Vocabulary, ids_col: str = "ids", out_col: str = "decoded", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:

@@ -72,11 +72,10 @@ def words(texts: list[str]) -> tuple[np.ndarray, pa.Array, np.ndarray]:
     begin = np.flatnonzero(starts(codes, at[sizes > 0]))
     data = joined.encode("utf-8", "surrogatepass")
     offsets = np.append(begin, len(codes))
-    if len(data) != len(codes):  # code points to bytes
-        width = np.ones(len(codes), np.uint8)
-        for least in (0x80, 0x800, 0x10000):
-            width += codes >= least
-        offsets = np.concatenate([[0], np.cumsum(width, dtype=np.int64)])[offsets]
+    if len(data) != len(codes):  # code points to bytes: what the wide ones before add
+        wide = np.flatnonzero(codes >= 0x80)
+        more = 1 + (codes[wide] >= 0x800).astype(np.int64) + (codes[wide] >= 0x10000)
+        offsets = offsets + np.concatenate([[0], np.cumsum(more)])[np.searchsorted(wide, offsets)]
     matches = pa.Array.from_buffers(pa.large_binary(), len(begin), [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(data)])
     coded = matches.dictionary_encode()
     counts = np.searchsorted(begin, at + sizes) - np.searchsorted(begin, at)
