@@ -59,7 +59,7 @@ def test_verify_two_ways(spark):
     issues = reports.verify(df, "k", "r", "s")
     codes = {k: sorted(r.code for r in issues.where(F.col("k") == k).collect()) for k in (1, 2, 3, 4)}
     assert codes[1] == []
-    assert codes[2] == ["integrity.extra-paragraph", "integrity.missing-paragraph", "reason.missing", "reason.orphan"]
+    assert codes[2] == ["integrity.extra-paragraph", "integrity.missing-paragraph", "locate.unknown", "reason.missing", "reason.orphan"]
     assert "report.empty" in codes[3] and "integrity.no-source" in codes[4]
     assert {r.k: r.ok for r in reports.verdicts(df, issues, "k").collect()} == {1: True, 2: False, 3: False, 4: False}
 
