@@ -247,7 +247,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return found.join(full, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "n_same")
 
 
-BANDS, BAND_ROWS, SIMILAR_TREE = 8, 2, 1024
+BANDS, BAND_ROWS, SIMILAR_TREE = 16, 2, 1024
 
 
 def minhash_keys(hashes: np.ndarray, bands: int = BANDS, rows: int = BAND_ROWS) -> list[int]:
@@ -272,11 +272,10 @@ def _sets(df: DataFrame, id_col: str, text_col: str, ngram: int) -> DataFrame:
             for part in sub_batches(batch, "text", 8 << 20):
                 cols: list[list] = [[] for _ in range(4)]
                 for t in texts(part.column(1)):
-                    all_ = shingles(t, ngram)
-                    own = np.unique(all_)
+                    own = np.unique(shingles(t, ngram))
                     key = xxhash.xxh64_intdigest(own.tobytes(), 1)
                     small = np.unique(own.astype(np.uint32))
-                    for c, v in zip(cols, (key, majority(all_), minhash_keys(own) if len(own) else [], small.tobytes()), strict=True):
+                    for c, v in zip(cols, (key, majority(own), minhash_keys(own) if len(own) else [], small.tobytes()), strict=True):
                         c.append(v)
                 signed = [pa.array(np.array(c, np.uint64).view(np.int64)) for c in cols[:2]]
                 yield pa.RecordBatch.from_arrays([part.column(0), *signed, pa.array(cols[2], pa.list_(pa.int64())), pa.array(cols[3], pa.binary())], names=names)
@@ -319,12 +318,13 @@ def similar_links(sets: list[bytes], found, n: int, similarity: float) -> list[t
     return out
 
 
-def similar_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", ngram: int = 5, similarity: float = 0.8, radius: int = 22) -> DataFrame:
+def similar_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", ngram: int = 5, similarity: float = 0.8, radius: int = 26) -> DataFrame:
     """One row per input row: (doc_id, component_id) over links of at least this Jaccard similarity of word shingles.
 
-    Shards are made by pairs of minimum hashes, of which two texts that similar share one of eight but for about one
-    pair in 3,000.  In each shard BK-trees over fingerprints find what lies within the radius, which is wide enough
-    for the similarity; then the texts' own sets of shingles (as 32-bit hashes) are compared.  Texts with equal sets
+    Shards are made by pairs of minimum hashes, of which two texts that similar share one of sixteen but for about one
+    pair in ten million.  In each shard BK-trees over fingerprints of the sets (a passage that a text repeats counts
+    once, as it does in the similarity) find what lies within the radius, which is wide enough for the similarity; then
+    the texts' own sets of shingles (as 32-bit hashes) are compared.  Texts with equal sets
     are one to the search, empty and null texts among them.  ``component_id`` is the smallest identifier reachable;
     rows keep their number; an empty table gives no row; other columns are ignored.
     """

@@ -112,6 +112,25 @@ def test_similar_documents(spark):
     assert all(found[d] <= d for d, _ in docs)
 
 
+def test_a_repeated_passage_costs_no_link(spark):
+    rng = np.random.default_rng(8)
+    docs = []
+    for g in range(12):
+        base = [f"g{g}w{i}" for i in rng.integers(0, 10**6, 150)]
+        chant = base[:8] * 300  # most of the second text, and few of its distinct shingles
+        docs += [(2 * g, " ".join(base)), (2 * g + 1, " ".join([*base, *chant]))]
+    sets = [set(simhash.shingles(t, 5).tolist()) for _, t in docs]
+    assert all(len(a & b) >= 0.8 * len(a | b) for a, b in zip(sets[::2], sets[1::2], strict=True))
+    found = {r.doc_id: r.component_id for r in simhash.similar_documents(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert found == {d: d - d % 2 for d, _ in docs}
+
+
+def test_short_texts_at_the_threshold(spark):
+    docs = [(k, " ".join(f"t{k // 2}w{i}" for i in range(8 + k % 2))) for k in range(2000)]  # four shingles and five
+    found = {r.doc_id: r.component_id for r in simhash.similar_documents(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert found == {d: d - d % 2 for d, _ in docs}
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(60)] + [(100, 101), (7, 7)]
     found = {r.v: r.label for r in components.connected_components(spark.createDataFrame(edges, "u long, v long")).collect()}
