@@ -14,6 +14,7 @@ from ..functions import mathtext as M
 from ..functions import text as X
 from ..operators import compile as K
 from ..operators import corpus, ledger, locate, reports, segment
+from ..sources import delivery
 from ..streaming.ledger import fold_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -431,6 +432,32 @@ def paper_report(spark: SparkSession, d: str) -> DataFrame:
     return corpus.paper_report(u, "source")
 
 
+@query(f"""with m as (select doc_id, count(*) as n from ({_SQL_MARKED}) group by doc_id)
+  select d.doc_id, coalesce(n, 0) as n_markers, coalesce(n, 0) as n_anchors, cast(0 as bigint) as n_fallbacks, cast(0 as bigint) as missing, true as ok from documents d left join m on d.doc_id = m.doc_id""")
+def word_delivery(spark: SparkSession, d: str) -> DataFrame:
+    """A Word file of each derived report, read back and held against the report's markers."""
+    r = _reports(spark, d)
+    units = r.select("doc_id", F.lit(1).alias("unit_no"), F.col("doc_id").cast("string").alias("unit_name"), "body", F.lit(None).cast("array<struct<num: int, reason: string>>").alias("reasons"))
+    marks = r.select("doc_id", F.size(F.regexp_extract_all("body", F.lit(X.MARKER_V1), F.lit(1))).cast("long").alias("n_markers"))
+    audit = delivery.word_audit(delivery.word_files(units, "doc_id"), "doc_id")
+    return delivery.reconcile(marks, audit, "doc_id").select("doc_id", "n_markers", "n_anchors", "n_fallbacks", "missing", "ok")
+
+
+@query(f"""with m as ({_SQL_MARKED}) select doc_id, sha256('{{"summary":"{reports.SEVERITIES[1]}","items":[' || string_agg('{{"num":' || line_no || ',"original":' || to_json(orig) || ',"replacement":' || to_json(new) || '}}', ',' order by line_no) || ']}}') as digest from m group by doc_id""")
+def report_json(spark: SparkSession, d: str) -> DataFrame:
+    """Each derived report as JSON, its markers in order."""
+    r = _reports(spark, d)
+    found = reports.markers(r, "doc_id", "body").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("num", "original", "replacement"))).alias("items"))
+    made = r.select("doc_id", reports.summary(F.col("report")).alias("summary")).join(found, "doc_id")
+    return made.select("doc_id", F.sha2(delivery.report_json(F.col("summary"), F.col("items")), 256).alias("digest"))
+
+
+@query("select source, doc_id, case when doc_id % 7 = 0 then 'superseded' else 'current' end as status, case when doc_id % 7 = 0 then 'run-2' end as superseded_by from documents")
+def superseded_units(spark: SparkSession, d: str) -> DataFrame:
+    docs = _t(spark, d, "documents").select("source", "doc_id")
+    return delivery.supersede(docs, docs.where("doc_id % 7 <> 0"), "run-2", "source", "doc_id")
+
+
 def queries() -> dict[str, Query]:
     return dict(_QUERIES)
 
