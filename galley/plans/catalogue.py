@@ -6,7 +6,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import calc as C
@@ -432,6 +432,43 @@ def paper_report(spark: SparkSession, d: str) -> DataFrame:
     return corpus.paper_report(u, "source")
 
 
+def _calculated(df: DataFrame, key: str, op: str, **params) -> DataFrame:
+    out = df.select(key, C.calc(F.lit(op), F.to_json(F.struct(*[(v if isinstance(v, Column) else F.lit(v)).alias(k) for k, v in params.items()]))).alias("c"))
+    return out.select(key, F.col("c.result").alias("result"))
+
+
+@query("select p_partkey, round(p_size * p_size * 1.5 + p_size, 6) as area from part")
+def definite_integral(spark: SparkSession, d: str) -> DataFrame:
+    made = _calculated(_t(spark, d, "part"), "p_partkey", "integrate", expression="3*x + 1", variable="x", lower_limit="0", upper_limit=F.col("p_size").cast("string"))
+    return made.select("p_partkey", F.round(F.col("result").cast("double"), 6).alias("area"))
+
+
+@query("select p_partkey, round((p_size - 3) / 4.0, 6) as a from part")
+def formula_solve(spark: SparkSession, d: str) -> DataFrame:
+    made = _calculated(_t(spark, d, "part"), "p_partkey", "formula", formula="v = u + a*t", solve_for="a", substitutions=F.struct(F.col("p_size").alias("v"), F.lit(3).alias("u"), F.lit(4).alias("t")))
+    return made.select("p_partkey", F.round(F.col("result").cast("double"), 6).alias("a"))
+
+
+@query("select p_partkey, '\"x + ' || (p_size + 1) || '\"' as result from part")
+def simplified_quotient(spark: SparkSession, d: str) -> DataFrame:
+    n = (F.col("p_size") + 1).cast("string")
+    return _calculated(_t(spark, d, "part"), "p_partkey", "simplify", expression=F.concat(F.lit("(x^2 - "), n, F.lit("*"), n, F.lit(")/(x - "), n, F.lit(")")))
+
+
+@query("select p_partkey, cast(p_size as double) as reached from part")
+def quotient_limit(spark: SparkSession, d: str) -> DataFrame:
+    n = F.col("p_size").cast("string")
+    made = _calculated(_t(spark, d, "part"), "p_partkey", "limit", expression=F.concat(F.lit("(x^2 - "), n, F.lit("*x)/(x - "), n, F.lit(")")), variable="x", approach=n)
+    return made.select("p_partkey", F.col("result").cast("double").alias("reached"))
+
+
+@query("select p_partkey, p_size * 5.0 as distance from part")
+def point_distance(spark: SparkSession, d: str) -> DataFrame:
+    n = F.col("p_size").cast("string")
+    made = _calculated(_t(spark, d, "part"), "p_partkey", "geometry", expression=F.concat(F.lit("Point(0,0).distance(Point(3*"), n, F.lit(",4*"), n, F.lit("))")))
+    return made.select("p_partkey", F.col("result").cast("double").alias("distance"))
+
+
 @query(f"""with m as (select doc_id, count(*) as n from ({_SQL_MARKED}) group by doc_id)
   select d.doc_id, coalesce(n, 0) as n_markers, coalesce(n, 0) as n_anchors, cast(0 as bigint) as n_fallbacks, cast(0 as bigint) as missing, true as ok from documents d left join m on d.doc_id = m.doc_id""")
 def word_delivery(spark: SparkSession, d: str) -> DataFrame:

@@ -1,3 +1,4 @@
+import json
 import random
 
 import pytest
@@ -147,6 +148,32 @@ def test_alignment_keeps_order():
         ("equality", '{"expression_a": "(x+1)^2", "expression_b": "x^2+2*x+1"}', "true"),
         ("differentiate", '{"expression": "x^3", "variable": "x", "substitutions": {"x": 2}}', "12"),
         ("vector", '{"vector_operation": "cross", "vec_a": [1,0,0], "vec_b": [0,1,0]}', "[0, 0, 1]"),
+        ("simplify", '{"expression": "(x^2 - 1)/(x - 1)"}', '"x + 1"'),
+        ("simplify", '{"expression": "a*b/(2*a)"}', '"b/2"'),
+        ("simplify", '{"expression": "(x+y)^2", "method": "expand"}', '"x**2 + 2*x*y + y**2"'),
+        ("simplify", '{"expression": "1/x - 1/(x+1)"}', '"1/(x**2 + x)"'),
+        ("simplify", '{"expression": "0.1 + 0.2"}', "0.3"),
+        ("simplify", '{"expression": "2*x^3 - 2*x", "method": "factor"}', '"2*(x + 1)*x*(x - 1)"'),
+        ("simplify", '{"expression": "x^4 + x^2", "method": "factor"}', '"x**2*(x**2 + 1)"'),
+        ("integrate", '{"expression": "3*x^2 + a"}', '"x**3 + a*x"'),
+        ("integrate", '{"expression": "x", "lower_limit": "0", "upper_limit": "2"}', "2"),
+        ("integrate", '{"expression": "x^2", "lower_limit": "0", "upper_limit": "pi"}', "10.3354255601"),
+        ("limit", '{"expression": "(x^2-4)/(x-2)", "variable": "x", "approach": "2"}', "4"),
+        ("limit", '{"expression": "(3*x^2+1)/(x^2-x)", "variable": "x", "approach": "oo"}', "3"),
+        ("limit", '{"expression": "x^3", "variable": "x", "approach": "-oo"}', '"-oo"'),
+        ("limit", '{"expression": "1/x", "variable": "x", "approach": "0", "direction": "-"}', '"-oo"'),
+        ("limit", '{"expression": "1/x^2", "variable": "x", "approach": "0"}', '"oo"'),
+        ("formula", '{"formula": "v = u + a*t", "solve_for": "a", "substitutions": {"v": 20, "u": 0, "t": 5}}', "4"),
+        ("formula", '{"formula": "F = k*q/r^2", "solve_for": "q"}', '"F*r**2/k"'),
+        ("formula", '{"formula": "E = 1/2*m*v^2", "solve_for": "v", "substitutions": {"E": 100, "m": 2}}', '{"ambiguous": true, "solutions": [-10, 10]}'),
+        ("formula", '{"formula": "x^2 = -1", "solve_for": "x"}', "null"),
+        ("formula", '{"formula": "x^2/x = 0", "solve_for": "x"}', "null"),
+        ("geometry", '{"expression": "Point(0,0).distance(Point(3,4))"}', "5"),
+        ("geometry", '{"expression": "Circle(Point(0,0), 5).intersection(Line(Point(-10,3), Point(10,3)))"}', "[[-4, 3], [4, 3]]"),
+        ("geometry", '{"expression": "Circle(Point(0,0), 5).intersection(Circle(Point(6,0), 5))"}', "[[3, -4], [3, 4]]"),
+        ("geometry", '{"expression": "Line(Point(0,0), Point(2,2)).intersection(Line(Point(0,2), Point(2,0)))"}', "[[1, 1]]"),
+        ("geometry", '{"expression": "Line(Point(0,0), Point(1,0)).perpendicular_line(Point(3,4)).intersection(Line(Point(0,0), Point(1,0)))"}', "[[3, 0]]"),
+        ("geometry", '{"expression": "Point(0,0).midpoint(Point(4,6)).x"}', "2"),
         ("chemistry_balance", '{"equation": "KMnO4+HCl->KCl+MnCl2+H2O+Cl2"}', "[2, 16, 2, 2, 8, 5]"),
     ],
 )
@@ -155,8 +182,31 @@ def test_calc(op, params, want):
     assert found["success"] and found["result"] == want, found
 
 
+_LEAF = st.sampled_from(["x", "y", "2", "3", "0.5"])
+_EXPRESSION = st.recursive(_LEAF, lambda e: st.tuples(e, st.sampled_from("+-*/"), e).map(lambda t: f"({t[0]} {t[1]} {t[2]})"), max_leaves=8)
+
+
+@given(_EXPRESSION)
+def test_simplify_keeps_the_value(expression):
+    found, point = C.call("simplify", json.dumps({"expression": expression})), {"x": 1.37, "y": -2.11}
+    try:
+        want = C.value(C.tree(expression), point)
+    except ZeroDivisionError:
+        return
+    if found["success"]:
+        got = json.loads(found["result"])
+        got = C.value(C.tree(got), point) if isinstance(got, str) else got
+        assert abs(got - want) <= 1e-7 * max(1, abs(want))
+    else:
+        assert "zero" in found["error"]  # a denominator that cancels to nothing
+
+
 def test_calc_never_guesses():
-    assert C.call("integrate", "{}")["code"] == "unsupported"
+    for op, expression in (("integrate", "sin(x)"), ("integrate", "1/x"), ("simplify", "sin(x)^2 + cos(x)^2"), ("limit", "sin(x)/x"), ("geometry", "Point(a, b)")):
+        found = C.call(op, json.dumps({"expression": expression, "variable": "x", "approach": "0"}))
+        assert not found["success"] and found["code"] == "unsupported", found
+    assert C.call("integrate", "{}")["code"] == "usage"
+    assert C.call("limit", '{"expression": "1/x", "variable": "x", "approach": "0"}')["code"] == "calc_failed"
     assert C.call("evaluate", '{"expression": "x = 1"}')["code"] == "calc_failed"
     assert C.call("evaluate", "{}")["code"] == "usage"
     assert C.call("evaluate", '{"expression": "__import__(\'os\')"}')["success"] is False
