@@ -20,6 +20,11 @@ _W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 SCHEMA = "path string, kind string, markdown string, blocks array<struct<kind: string, level: int, title: string, start_line: int, end_line: int>>, warnings array<string>, error string"
 
 
+# Styles of marginal notes, and the height in points of a row of stories on a page.
+NOTE_STYLES = "旁注|小贴士|贴士|批注|注释：|[Nn]ote"
+ROW_HEIGHT = 60.0
+
+
 class SourceError(ValueError):
     pass
 
@@ -67,10 +72,14 @@ def _style_levels(z: zipfile.ZipFile) -> dict[str, int]:
     return out
 
 
-def _run_text(paragraph: ElementTree.Element) -> str:
-    """A paragraph's text: deleted runs left out, neighbouring bold runs in one pair of marks."""
+def _run_text(paragraph: ElementTree.Element, notes: dict[str, str] | None = None) -> str:
+    """A paragraph's text: deleted runs left out, neighbouring bold runs in one pair of marks, ``notes`` where their ranges end."""
     parts: list[tuple[bool, str]] = []
-    for r in paragraph.iter(f"{_W}r"):
+    for r in paragraph.iter():
+        if r.tag == f"{_W}commentRangeEnd" and notes and (key := r.get(f"{_W}id")) in notes:
+            parts.append((False, notes[key]))
+        if r.tag != f"{_W}r":
+            continue
         text = "".join(t.text or "" if t.tag == f"{_W}t" else "\t" if t.tag == f"{_W}tab" else "\n" if t.tag == f"{_W}br" else "" for t in r)
         bold = r.find(f"{_W}rPr/{_W}b")
         strong = bold is not None and bold.get(f"{_W}val", "1") not in ("0", "false")
@@ -81,9 +90,41 @@ def _run_text(paragraph: ElementTree.Element) -> str:
     return "".join(f"**{t}**" if b and t.strip() else t for b, t in parts)
 
 
-def read_docx(data: bytes) -> tuple[str, list[dict], list[str]]:
-    """(Markdown, blocks, warnings): headings, paragraphs and tables with 1-based inclusive lines."""
+def _comment_texts(z: zipfile.ZipFile) -> dict[str, str]:
+    if "word/comments.xml" not in z.namelist():
+        return {}
+    return {c.get(f"{_W}id", ""): "".join(t.text or "" for t in c.iter(f"{_W}t")) for c in _xml(z, "word/comments.xml").iter(f"{_W}comment")}
+
+
+def _comment_anchors(z: zipfile.ZipFile) -> list[tuple[str, str]]:
+    """(id, text under it) of the comment ranges of a Word file, by where they end."""
+    found: list[tuple[str, str]] = []
+    begun: dict[str, list[str]] = {}
+    for e in _xml(z, "word/document.xml").iter():
+        if e.tag == f"{_W}commentRangeStart":
+            begun[e.get(f"{_W}id", "")] = []
+        elif e.tag == f"{_W}t":
+            for held in begun.values():
+                held.append(e.text or "")
+        elif e.tag == f"{_W}commentRangeEnd" and (k := e.get(f"{_W}id", "")) in begun:
+            found.append((k, "".join(begun.pop(k))))
+    return found
+
+
+def _comment_tags(z: zipfile.ZipFile) -> dict[str, str]:
+    """The tag of each comment that has a text under it, numbered in order."""
+    texts = _comment_texts(z)
+    held = [(k, anchor) for k, anchor in _comment_anchors(z) if anchor and k in texts]
+    return {k: f"<批注 id={n}><原>{anchor}</原><改>{texts[k]}</改></批注>" for n, (k, anchor) in enumerate(held, 1)}
+
+
+def read_docx(data: bytes, with_comments: bool = False) -> tuple[str, list[dict], list[str]]:
+    """(Markdown, blocks, warnings): headings, paragraphs and tables with 1-based inclusive lines.
+
+    With comments, each stands in a tag where its range ends, by its place in the file and not by a search for its text.
+    """
     z = open_archive(data)
+    notes = _comment_tags(z) if with_comments else {}
     if "word/document.xml" not in z.namelist():
         raise SourceError("no Word document inside")
     levels, body = _style_levels(z), _xml(z, "word/document.xml").find(f"{_W}body")
@@ -99,14 +140,14 @@ def read_docx(data: bytes) -> tuple[str, list[dict], list[str]]:
         if node.tag == f"{_W}p":
             if next(node.iter("{http://schemas.openxmlformats.org/officeDocument/2006/math}oMath"), None) is not None:
                 warnings.append("a formula object isn't converted")
-            text = _run_text(node)
+            text = _run_text(node, notes)
             style = node.find(f"{_W}pPr/{_W}pStyle")
             level = levels.get(style.get(f"{_W}val", "")) if style is not None else None
             if text.strip():
                 plain = text.strip().strip("*")
                 add("heading" if level else "paragraph", level, plain if level else "", [f"{'#' * level} {plain}"] if level else text.split("\n"))
         elif node.tag == f"{_W}tbl":
-            rows = [[" ".join(filter(None, (_run_text(p).strip() for p in c.iter(f"{_W}p")))).replace("|", "\\|") for c in r.findall(f"{_W}tc")] for r in node.findall(f"{_W}tr")]
+            rows = [[" ".join(filter(None, (_run_text(p, notes).strip() for p in c.iter(f"{_W}p")))).replace("|", "\\|") for c in r.findall(f"{_W}tc")] for r in node.findall(f"{_W}tr")]
             wide = max(map(len, rows), default=0)
             if wide:
                 padded = [r + [""] * (wide - len(r)) for r in rows]
@@ -114,14 +155,40 @@ def read_docx(data: bytes) -> tuple[str, list[dict], list[str]]:
     return "\n".join(lines).rstrip("\n") + "\n", blocks, sorted(set(warnings))
 
 
+def _place(e: ElementTree.Element) -> tuple[float, float]:
+    """(x, y) that an element's transform moves it to; 0 where it has none."""
+    m = (e.get("ItemTransform") or "").split()
+    try:
+        return (float(m[4]), float(m[5])) if len(m) == 6 else (0.0, 0.0)
+    except ValueError:
+        return 0.0, 0.0
+
+
+def _page_rank(name: str) -> tuple[int, int, str]:
+    """Pages whose number is padded or of three digits come first, by number; then other numbers, then names without one."""
+    m = re.search(r"\d+", name)
+    padded = m is not None and (name.strip().startswith("0") or len(m[0]) >= 3)
+    return (2, 0, name) if m is None else (0 if padded else 1, int(m[0]), name)
+
+
 def read_idml(data: bytes) -> tuple[str, list[dict], list[str]]:
-    """(Markdown, blocks, warnings) of an InDesign archive: stories in the order of their spreads, then by name."""
+    """(Markdown, blocks, warnings) of an InDesign archive: stories by page, row on the page, notes after body text, then from the left.
+
+    A story stands where its first frame does; stories without a frame come last, by name.
+    """
     z = open_archive(data)
     names = z.namelist()
     local = lambda e: e.tag.rsplit("}", 1)[-1]
-    order: list[str] = []
+    frames: list[tuple[str, str, float, float]] = []  # story, page, y, x
     for spread in sorted(n for n in names if re.match(r"Spreads/.*\.xml$", n)):
-        order += [e.get("ParentStory", "") for e in _xml(z, spread).iter() if local(e) == "TextFrame" and e.get("ParentStory")]
+        root = _xml(z, spread)
+        pages = sorted((_place(e)[0], e.get("Name", "")) for e in root.iter() if local(e) == "Page")
+        for e in (e for e in root.iter() if local(e) == "TextFrame" and e.get("ParentStory") and e.get("PreviousTextFrame", "n") == "n"):
+            x, y = _place(e)
+            frames.append((e.get("ParentStory", ""), next((n for at, n in reversed(pages) if at <= x), pages[0][1] if pages else ""), y, x))
+    top: dict[str, float] = {}
+    for _, page, y, _ in frames:
+        top[page] = min(y, top.get(page, y))
     stories = {}
     for n in sorted(n for n in names if re.match(r"Stories/.*\.xml$", n)):
         for story in (e for e in _xml(z, n).iter() if local(e) == "Story" and e.get("Self")):
@@ -132,13 +199,15 @@ def read_idml(data: bytes) -> tuple[str, list[dict], list[str]]:
             stories[story.get("Self")] = paragraphs
     lines: list[str] = []
     blocks: list[dict] = []
-    for key in [*dict.fromkeys(k for k in order if k in stories), *(k for k in stories if k not in set(order))]:
+    rank = lambda f: (_page_rank(f[1]), int((f[2] - top[f[1]]) / ROW_HEIGHT), bool(stories[f[0]] and re.search(NOTE_STYLES, stories[f[0]][0][0])), f[3])
+    order = dict.fromkeys(f[0] for f in sorted((f for f in frames if f[0] in stories), key=rank))
+    for key in [*order, *(k for k in stories if k not in order)]:
         for style, text in stories[key]:
             if re.fullmatch(r"\s*\d{1,4}\s*|[①-⑳]+", text):
                 continue  # a page number or a bare circled numeral
             m = re.search(r"(?:标题|[Hh]eading)\s*(\d)", style)
             level = int(m[1]) if m else None
-            new = f"{'#' * min(level, 6)} {text.strip()}" if level else f"> {text.strip()}" if re.search("批注|旁注|[Nn]ote", style) else text.strip()
+            new = f"{'#' * min(level, 6)} {text.strip()}" if level else f"> {text.strip()}" if re.search(NOTE_STYLES, style) else text.strip()
             blocks.append({"kind": "heading" if level else "paragraph", "level": level, "title": text.strip() if level else "", "start_line": len(lines) + 1, "end_line": len(lines) + 1})
             lines += [new, ""]
     return "\n".join(lines).rstrip("\n") + "\n", blocks, []
@@ -154,8 +223,11 @@ def read_markdown(data: bytes) -> tuple[str, list[dict], list[str]]:
 READERS = {"docx": read_docx, "idml": read_idml, "md": read_markdown, "markdown": read_markdown}
 
 
-def materials(spark: SparkSession, path: str) -> DataFrame:
-    """(path, kind, markdown, blocks, warnings, error) of all files below a path; a file that can't be read gives its error."""
+def materials(spark: SparkSession, path: str, with_comments: bool = False) -> DataFrame:
+    """(path, kind, markdown, blocks, warnings, error) of all files below a path; a file that can't be read gives its error.
+
+    ``with_comments`` puts the comments of Word files into their Markdown, in tags that ``clean_markdown`` removes.
+    """
     block = pa.list_(pa.struct([("kind", pa.string()), ("level", pa.int32()), ("title", pa.string()), ("start_line", pa.int32()), ("end_line", pa.int32())]))
     kinds = {"path": pa.string(), "kind": pa.string(), "markdown": pa.string(), "blocks": block, "warnings": pa.list_(pa.string()), "error": pa.string()}
 
@@ -167,7 +239,7 @@ def materials(spark: SparkSession, path: str) -> DataFrame:
                 try:
                     if kind not in READERS:
                         raise SourceError(f"unsupported: .{kind}")
-                    made = READERS[kind](content.as_py())
+                    made = read_docx(content.as_py(), True) if with_comments and kind == "docx" else READERS[kind](content.as_py())
                     rows.append((file, kind, *made, None))
                 except (SourceError, ElementTree.ParseError, zipfile.BadZipFile, KeyError) as e:
                     rows.append((file, kind, None, [], [], f"{type(e).__name__}: {e}"))
@@ -188,16 +260,8 @@ def comments(spark: SparkSession, path: str) -> DataFrame:
                 z = open_archive(content.as_py())
                 if "word/comments.xml" not in z.namelist():
                     continue
-                texts = {c.get(f"{_W}id"): "".join(t.text or "" for t in c.iter(f"{_W}t")) for c in _xml(z, "word/comments.xml").iter(f"{_W}comment")}
-                open_: dict[str, list[str]] = {}
-                for e in _xml(z, "word/document.xml").iter():
-                    if e.tag == f"{_W}commentRangeStart":
-                        open_[e.get(f"{_W}id")] = []
-                    elif e.tag == f"{_W}t":
-                        for held in open_.values():
-                            held.append(e.text or "")
-                    elif e.tag == f"{_W}commentRangeEnd" and (k := e.get(f"{_W}id")) in open_:
-                        rows.append((file, k, texts.get(k), "".join(open_.pop(k))))
+                texts = _comment_texts(z)
+                rows += [(file, k, texts.get(k), anchor) for k, anchor in _comment_anchors(z)]
             cols = list(zip(*rows, strict=True)) or [()] * 4
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in cols], names=["path", "id", "text", "anchor"])
 

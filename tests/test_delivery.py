@@ -82,3 +82,24 @@ def test_tables(spark, tmp_path):
     assert {(r.body, r.status, r.superseded_by) for r in marked} == {("x", "current", None), ("y", "superseded", "run7"), ("z", "current", None)}
     one = spark.range(1).select(delivery.report_json(F.lit("无问题"), F.array(F.struct(F.lit(1).alias("num"), F.lit(None).cast("string").alias("reason")))).alias("j")).first()
     assert json.loads(one.j) == {"summary": "无问题", "items": [{"num": 1, "reason": None}]}
+
+
+def test_comments_stand_in_the_markdown():
+    content = delivery.make_docx([{"unit_name": "u", "body": "x 【1|a|b】 y", "reasons": [{"num": 1, "reason": "r"}]}])
+    assert "x a<批注 id=1><原>a</原><改>1. a → br</改></批注> y" in materials.read_docx(content, True)[0]
+    assert "x a y" in materials.read_docx(content)[0]
+
+
+def test_idml_order():
+    import io
+
+    story = lambda key, style, text: f'<Story Self="{key}"><ParagraphStyleRange AppliedParagraphStyle="ParagraphStyle/{style}"><CharacterStyleRange><Content>{text}</Content></CharacterStyleRange></ParagraphStyleRange></Story>'
+    frame = lambda key, x, y: f'<TextFrame ParentStory="{key}" PreviousTextFrame="n" ItemTransform="1 0 0 1 {x} {y}"/>'
+    page = lambda name, x: f'<Page Name="{name}" ItemTransform="1 0 0 1 {x} 0"/>'
+    texts = {"s1": ("正文", "second row"), "s2": ("旁注", "margin note"), "s3": ("正文", "right body"), "s4": ("正文", "padded page"), "s5": ("正文", "unplaced")}
+    with zipfile.ZipFile(out := io.BytesIO(), "w") as z:
+        z.writestr("Spreads/a.xml", f"<Spread>{page('7', 0)}{page('08', 500)}{frame('s1', 10, 200)}{frame('s2', 10, 20)}{frame('s3', 300, 50)}{frame('s4', 510, 300)}</Spread>")
+        for key, (style, text) in texts.items():
+            z.writestr(f"Stories/{key}.xml", f"<R>{story(key, style, text)}</R>")
+    lines = [x for x in materials.read_idml(out.getvalue())[0].split("\n") if x]
+    assert lines == ["padded page", "right body", "> margin note", "second row", "unplaced"]
