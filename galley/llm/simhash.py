@@ -323,8 +323,9 @@ def similar_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Shards are made by pairs of minimum hashes, of which two texts that similar share one of sixteen but for about one
     pair in ten million.  In each shard BK-trees over fingerprints of the sets (a passage that a text repeats counts
-    once, as it does in the similarity) find what lies within the radius, which is wide enough for the similarity; then
-    the texts' own sets of shingles (as 32-bit hashes) are compared.  Texts with equal sets
+    once, as it does in the similarity) find what lies within the radius, beyond which two texts at the threshold lie in
+    less than one case of a million, or one of 75,000 if they have four shingles and five, the worst; then the texts'
+    own sets of shingles (as 32-bit hashes) are compared.  Texts with equal sets
     are one to the search, empty and null texts among them.  ``component_id`` is the smallest identifier reachable;
     rows keep their number; an empty table gives no row; other columns are ignored.
     """
