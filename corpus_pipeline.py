@@ -11,35 +11,44 @@ from pyspark.sql import functions as F
 
 from galley.llm import exact_dedup as exact
 from galley.llm import packing, quality_model, secret_scan, simhash
-from galley.llm.common import new_path, release
+from galley.llm.common import ROW, new_path, numbered, release
 from galley.llm.vocabulary import Vocabulary
 
 
 def _chosen(docs: DataFrame, rows: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose identifier is in ``rows`` (doc_id), one row for each identifier there."""
-    return docs.join(rows.select("doc_id").distinct(), "doc_id", "left_semi").select(*docs.columns)
+    """The rows of ``docs`` (from ``numbered``) that ``rows`` names; a verdict on one row says nothing of others with its identifier."""
+    key = list(ROW[1:])
+    return docs.join(rows.select(*key), key, "left_semi").drop(*ROW)
+
+
+def _one_each(found: DataFrame, group: str) -> DataFrame:
+    """One row of each group: the first by content, then by place, so that only equal rows are left to chance."""
+    return found.groupBy(group).agg(F.min(F.struct(*ROW)).alias("r")).select("r.*")
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop what the quality classifier rejects."""
     release(spark)  # the table before is written; what it was made of can go
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    judged = quality_model.classify(docs, labels)
+    docs = numbered(docs)
+    judged = quality_model.classify(docs, labels, carry=ROW)
     return _chosen(docs, judged.where("predicted = 1"))
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document of each group of equal texts, the one with the smallest identifier."""
+    """Keep one document of each group of equal texts, the one with the smallest identifier; null comes last."""
     release(spark)
-    found = exact.exact_dedup(docs, keep="smallest")
-    return _chosen(docs, found.where("kept"))
+    docs = numbered(docs)
+    found = exact.exact_dedup(docs, keep="smallest", carry=ROW)
+    return _chosen(docs, _one_each(found.where("kept"), "text_sha256"))
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document of each group of near-duplicates, the one with the smallest identifier."""
+    """Keep one document of each group of near-duplicates, the one with the smallest identifier; null comes last."""
     release(spark)
-    found = simhash.similar_documents(docs, ngram=5, similarity=0.8)
-    return _chosen(docs, found.where("doc_id = component_id"))
+    docs = numbered(docs)
+    found = simhash.similar_documents(docs, ngram=5, similarity=0.8, carry=ROW)
+    return _chosen(docs, _one_each(found.where("doc_id <=> component_id"), "component"))
 
 
 def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -44,6 +45,25 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Columns that tell the rows of a table apart: a hash of the content, the file, the number in the file.
+ROW = ("__content", "__file", "__row")
+
+
+def numbered(df: DataFrame) -> DataFrame:
+    """``df`` with the columns ``ROW``, the same whenever it is read; what isn't a plain scan of Parquet is written first."""
+    own = [F.col(f"`{c}`") for c in df.columns]
+    key = F.xxhash64(*own), F.xxhash64("_metadata.file_path"), F.col("_metadata.row_index")
+    node = df._jdf.queryExecution().analyzed()
+    while node.getClass().getSimpleName() in ("Project", "Filter", "SubqueryAlias"):
+        node = node.children().head()
+    if node.getClass().getSimpleName() == "LogicalRelation":
+        try:
+            return df.select(*own, *[k.alias(n) for k, n in zip(key, ROW, strict=True)])
+        except AnalysisException:  # a format without row numbers
+            pass
+    return materialize(df, "numbered").select(*own, *[k.alias(n) for k, n in zip(key, ROW, strict=True)])
+
+
 def release(spark: SparkSession) -> None:
     """Remove every table ``materialize`` wrote so far; call it only when no pending result reads them."""
     keep = []

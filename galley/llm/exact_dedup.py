@@ -17,6 +17,7 @@ import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..shipping import ship
 from .common import materialize, shuffle_partitions, sub_batches
@@ -27,21 +28,24 @@ _ENTRY = "bucket int, run int, digest binary, n_bytes long, check_sum long, min_
 _KEY = ("bucket", "run", "digest", "n_bytes", "check_sum")
 
 
-def digests(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, digest, n_bytes, check_sum) of every text, lower-cased A-Z; null counts as empty."""
-    source = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+def digests(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, digest, n_bytes, check_sum, *carry) of every text, lower-cased A-Z; null counts as empty."""
+    source = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *carry)
+    schema = StructType.fromDDL("doc_id long, digest binary, n_bytes long, check_sum long")
+    for field in source.schema.fields[2:]:
+        schema.add(field)
 
     def run(batches):
         for batch in batches:
             for part in sub_batches(batch, "text", 16 << 20):
                 low = pc.binary_join_element_wise(pc.fill_null(pc.ascii_lower(part.column(1)), ""), "", "").cast(pa.binary()).to_pylist()
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array([hashlib.sha256(t).digest() for t in low], pa.binary()), pa.array([len(t) for t in low], pa.int64()), pa.array(np.array([xxhash.xxh64_intdigest(t) for t in low], np.uint64).view(np.int64))],
-                    names=["doc_id", "digest", "n_bytes", "check_sum"],
+                    [part.column(0), pa.array([hashlib.sha256(t).digest() for t in low], pa.binary()), pa.array([len(t) for t in low], pa.int64()), pa.array(np.array([xxhash.xxh64_intdigest(t) for t in low], np.uint64).view(np.int64)), *part.columns[2:]],
+                    names=["doc_id", "digest", "n_bytes", "check_sum", *carry],
                 )
 
     ship(df.sparkSession)
-    return source.mapInArrow(run, "doc_id long, digest binary, n_bytes long, check_sum long")
+    return source.mapInArrow(run, schema)
 
 
 def _collapse(key: list[np.ndarray], low: np.ndarray, high: np.ndarray, n: np.ndarray):
@@ -114,23 +118,23 @@ def merge_runs(runs: DataFrame, fan_in: int) -> DataFrame:
     return met.repartition(shuffle_partitions(runs.sparkSession), "bucket", "run").sortWithinPartitions(*_KEY).mapInArrow(run, _ENTRY)
 
 
-def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "largest", fan_in: int = 4) -> DataFrame:
-    """One row per input row: (doc_id, keep_id, group_size, kept, text_sha256).
+def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "largest", fan_in: int = 4, carry: tuple[str, ...] = ()) -> DataFrame:
+    """One row per input row: (doc_id, keep_id, group_size, kept, text_sha256, *carry).
 
     Texts are equal when identical after lower-casing A-Z, checked by SHA-256, byte length and a second check sum.
     ``keep`` says whether the row with the smallest or the largest identifier stays.  Null and empty texts are equal
     to each other.  Where the identifier that stays is repeated within its group, all its rows are marked kept; a row
     with a null identifier is kept only where its group has no other, and then keep_id is null.  An empty table gives
-    no row; other columns are ignored.
+    no row; the columns ``carry`` follow as they are, others are ignored.
     """
     if keep not in ("smallest", "largest"):
         raise ValueError("keep: smallest or largest")
-    hashed = materialize(digests(df, id_col, text_col), "digests")
+    hashed = materialize(digests(df, id_col, text_col, carry), "digests")
     ranges = max(shuffle_partitions(df.sparkSession), hashed.count() // RANGE_ENTRIES)
-    runs, left = local_runs(hashed, ranges), hashed.rdd.getNumPartitions()
+    runs, left = local_runs(hashed.select("doc_id", "digest", "n_bytes", "check_sum"), ranges), hashed.rdd.getNumPartitions()
     while True:
         runs, left = merge_runs(runs, fan_in), -(-left // fan_in)
         if left <= 1:
             break
     groups = runs.select("digest", "n_bytes", "check_sum", F.col("min_id" if keep == "smallest" else "max_id").alias("keep_id"), F.col("n").alias("group_size"))
-    return hashed.join(groups, ["digest", "n_bytes", "check_sum"]).select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
+    return hashed.join(groups, ["digest", "n_bytes", "check_sum"]).select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"), *carry)

@@ -146,14 +146,15 @@ def score(stats: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",)) -
     return source.mapInArrow(run, schema)
 
 
-def classify(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def classify(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
     """One row per input row: (doc_id, held_out, score, predicted).
 
     Only texts are inputs of a score; null and empty texts have one too.  Labels that are null or neither 0 nor 1 are
     left out, and repeated ones count each.  Without usable labels all scores are 0.5.  A null identifier is not held
-    out.  Rows keep their number; an empty table gives no row; other columns are ignored.
+    out.  Rows keep their number; an empty table gives no row; the columns ``carry`` follow as they are, others are ignored.
     """
-    stats = materialize(with_stats(df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))), "stats")
+    source = df.select(F.col(id_col).cast("long").alias("doc_id"), *carry, F.col(text_col).alias("text"))
+    stats = materialize(with_stats(source, ("doc_id", *carry)), "stats")
     model = fit(materialize(training_rows(stats, labels), "train"))
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(False))
-    return score(stats, model).select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    return score(stats, model, ("doc_id", *carry)).select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), *carry)

@@ -18,6 +18,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..shipping import ship
 from .common import materialize, shuffle_partitions, sub_batches, texts
@@ -262,10 +263,13 @@ def minhash_keys(hashes: np.ndarray, bands: int = BANDS, rows: int = BAND_ROWS)
     return out
 
 
-def _sets(df: DataFrame, id_col: str, text_col: str, ngram: int) -> DataFrame:
-    """(doc_id, id, fp, keys, shingles) of every text: id is a hash of the set of its shingles, shingles their 32-bit hashes."""
-    source = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    names = ["doc_id", "id", "fp", "keys", "shingles"]
+def _sets(df: DataFrame, id_col: str, text_col: str, ngram: int, carry: tuple[str, ...]) -> DataFrame:
+    """(doc_id, id, fp, keys, shingles, *carry) of every text: id is a hash of the set of its shingles, shingles their 32-bit hashes."""
+    source = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *carry)
+    names = ["doc_id", "id", "fp", "keys", "shingles", *carry]
+    schema = StructType.fromDDL("doc_id long, id long, fp long, keys array<long>, shingles binary")
+    for field in source.schema.fields[2:]:
+        schema.add(field)
 
     def run(batches):
         for batch in batches:
@@ -278,10 +282,10 @@ def _sets(df: DataFrame, id_col: str, text_col: str, ngram: int) -> DataFrame:
                     for c, v in zip(cols, (key, majority(own), minhash_keys(own) if len(own) else [], small.tobytes()), strict=True):
                         c.append(v)
                 signed = [pa.array(np.array(c, np.uint64).view(np.int64)) for c in cols[:2]]
-                yield pa.RecordBatch.from_arrays([part.column(0), *signed, pa.array(cols[2], pa.list_(pa.int64())), pa.array(cols[3], pa.binary())], names=names)
+                yield pa.RecordBatch.from_arrays([part.column(0), *signed, pa.array(cols[2], pa.list_(pa.int64())), pa.array(cols[3], pa.binary()), *part.columns[2:]], names=names)
 
     ship(df.sparkSession)
-    return source.mapInArrow(run, "doc_id long, id long, fp long, keys array<long>, shingles binary")
+    return source.mapInArrow(run, schema)
 
 
 def _found(fp: np.ndarray, nodes: np.ndarray, asked: np.ndarray, radius: int):
@@ -318,18 +322,19 @@ def similar_links(sets: list[bytes], found, n: int, similarity: float) -> list[t
     return out
 
 
-def similar_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", ngram: int = 5, similarity: float = 0.8, radius: int = 26) -> DataFrame:
-    """One row per input row: (doc_id, component_id) over links of at least this Jaccard similarity of word shingles.
+def similar_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", ngram: int = 5, similarity: float = 0.8, radius: int = 26, carry: tuple[str, ...] = ()) -> DataFrame:
+    """One row per input row: (doc_id, component_id, component, *carry) over links of at least this Jaccard similarity of word shingles.
 
     Shards are made by pairs of minimum hashes, of which two texts that similar share one of sixteen but for about one
     pair in ten million.  In each shard BK-trees over fingerprints of the sets (a passage that a text repeats counts
     once, as it does in the similarity) find what lies within the radius, beyond which two texts at the threshold lie in
     less than one case of a million, or one of 75,000 if they have four shingles and five, the worst; then the texts'
     own sets of shingles (as 32-bit hashes) are compared.  Texts with equal sets
-    are one to the search, empty and null texts among them.  ``component_id`` is the smallest identifier reachable;
-    rows keep their number; an empty table gives no row; other columns are ignored.
+    are one to the search, empty and null texts among them.  ``component_id`` is the smallest identifier reachable, null
+    if none is known; ``component`` tells components apart where identifiers are null or repeated.  Rows keep their
+    number; an empty table gives no row; the columns ``carry`` follow as they are, others are ignored.
     """
-    found = materialize(_sets(df, id_col, text_col, ngram), "sets")
+    found = materialize(_sets(df, id_col, text_col, ngram, carry), "sets")
     distinct = found.groupBy("id").agg(F.min("doc_id").alias("first"), F.min("fp").alias("fp"), F.min("keys").alias("keys"))
     distinct = materialize(distinct, "distinct")
     keyed = distinct.select("id", "fp", F.posexplode("keys").alias("tbl", "key")).select("tbl", "key", "id", "fp")
@@ -367,5 +372,5 @@ def similar_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
     labels = connected_components(compared)
     labelled = materialize(labels.select(F.col("v").alias("id"), "label").join(distinct.select("id", "first"), "id"), "labels")
     smallest = labelled.groupBy("label").agg(F.min("first").alias("component_id"))
-    full = distinct.select("id", "first").join(labelled.join(smallest, "label").select("id", "component_id"), "id", "left").select("id", F.coalesce("component_id", "first").alias("component_id"))
-    return found.select("doc_id", "id").join(full, "id").select("doc_id", "component_id")
+    full = distinct.select("id", "first").join(labelled.join(smallest, "label").select("id", "label", "component_id"), "id", "left").select("id", F.coalesce("component_id", "first").alias("component_id"), F.coalesce("label", "id").alias("component"))
+    return found.select("doc_id", "id", *carry).join(full, "id").select("doc_id", "component_id", "component", *carry)

@@ -1,7 +1,10 @@
 import re
+from collections import Counter
+
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from galley.llm import secret_scan
+from galley.llm import quality_model, secret_scan, simhash
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 D = "/root/testdata/sf0.001"
@@ -30,3 +33,54 @@ def test_stages(spark, tmp_path):
 
 def test_run(spark):
     assert corpus_pipeline.run(spark, D).count() > 0
+
+
+def row(r):
+    return tuple(r[c] for c in COLUMNS)
+
+
+def kept_of(rows, linked):
+    """Groups of linked rows, each with the identifier that stays: the smallest, null only where there is no other."""
+    groups = []
+    for r in rows:
+        near = [g for g in groups if any(linked(r, x) for x in g)]
+        groups = [g for g in groups if g not in near] + [[r, *(x for g in near for x in g)]]
+    return [(g, min((x.doc_id for x in g if x.doc_id is not None), default=None)) for g in groups]
+
+
+def held_rows(odd):
+    """The odd rows, an identifier with several texts and copies of each, and one more row without an identifier."""
+    base = odd.select(*COLUMNS).collect()
+    text = " ".join(f"word{i}" for i in range(60))
+    more = [(500, t, "en", "s", None) for t in (text, text, text.upper(), text + " tail", "another text of this id", None)]
+    return [tuple(r) for r in base] + more + [(None, "nobody knows where this one is from", "en", None, None)] * 3
+
+
+def test_verdicts_are_on_rows(spark, odd):
+    kind = odd.select(*COLUMNS).schema
+    docs = spark.createDataFrame(held_rows(odd), kind).repartition(3)
+    rows = docs.collect()
+    labels = spark.read.parquet(f"{D}/labels.parquet")
+    verdict = {r.copy: r.predicted for r in quality_model.classify(docs.withColumn("copy", F.col("text")), labels, carry=("copy",)).collect()}
+    out = corpus_pipeline.quality_stage(spark, docs, D).collect()
+    assert Counter(map(row, out)) == Counter(row(r) for r in rows if verdict[r.text] == 1)
+
+    low = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    for stage, linked in ((corpus_pipeline.exact_stage, lambda a, b: (a.text or "").translate(low) == (b.text or "").translate(low)), (corpus_pipeline.near_stage, jaccard_linked())):
+        left = stage(spark, docs, D).collect()
+        groups = kept_of(rows, linked)
+        assert len(left) == len(groups)
+        for group, stays in groups:
+            have = [r for r in left if row(r) in set(map(row, group)) and r.doc_id == stays]
+            assert len(have) == 1
+
+
+def jaccard_linked():
+    sets = {}
+
+    def shingled(t):
+        if t not in sets:
+            sets[t] = set(simhash.shingles(t or "", 5).tolist())
+        return sets[t]
+
+    return lambda a, b: len(shingled(a.text) & shingled(b.text)) >= 0.8 * len(shingled(a.text) | shingled(b.text))
