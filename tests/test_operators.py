@@ -64,6 +64,23 @@ def test_verify_two_ways(spark):
     assert {r.k: r.ok for r in reports.verdicts(df, issues, "k").collect()} == {1: True, 2: False, 3: False, 4: False}
 
 
+def test_verify_fields_likeness_and_version_two(spark):
+    one = lambda body: f"总结：轻微问题\n\n{reports.MARKED}\n\n{body}\n\n{reports.REASONS}\n\n1. because\n"
+    two = lambda body, n=None: f"<!-- x-report-v2 -->\n总结：轻微问题\n\n{reports.MARKED}\n\n<!-- x-body-length:{n or len(body)}:{n or len(body)} -->\n{body}\n<!-- x-body-end -->\n{reports.REASONS}\n1. because\n"
+    rows = [
+        (1, one("para 【1|one|uno|due】"), "para one"), (2, one("para 【1|one|ＯＮＥ】"), "para one"),
+        (3, two("para 【1|a\\|b\\】|a\\【c】 end"), "para a|b】 end"), (4, two("para 【1|a|b】 end", 3), "para a end"), (5, two("para 【1|one|uno】 gone"), "para one end"), (6, two("para 【1|one|b|c】"), "para one"),
+        (7, two("cost 【1|$x\\|y$|$z$】 now").replace("\n", "\r\n"), "cost $x|y$ now"),
+    ]
+    df = spark.createDataFrame(rows, "k long, r string, s string")
+    issues = reports.verify(df, "k", "r", "s")
+    codes = {k: sorted(r.code for r in issues.where(F.col("k") == k).collect()) for k, *_ in rows}
+    assert codes[1] == ["syntax.field-count"] and codes[2] == ["marker.manual-review"] and codes[3] == [] and codes[6] == ["syntax.field-count"]
+    assert "integrity.missing-paragraph" in codes[4] and codes[5] == ["integrity.extra-paragraph", "integrity.missing-paragraph", "locate.unknown"]
+    assert not {c for c in codes[7] if c != "integrity.unknown-diff"}
+    assert {r.k: r.ok for r in reports.verdicts(df, issues, "k").collect()} == {1: False, 2: True, 3: True, 4: False, 5: False, 6: False, 7: True}
+
+
 def test_splice_restores(spark):
     docs = spark.createDataFrame([(1, "😀ab|cd【x】"), (2, "plain")], "k long, s string")
     fixes = spark.createDataFrame([(1, 1, 3, "A"), (1, 4, 6, "C|")], "k long, start int, `end` int, replacement string")
