@@ -220,3 +220,19 @@ def test_dimensions():
     assert C.check_dimensions("E = m*c^2", {"E": ["J", "N*m"], "m": "kg", "c": "m/s"})["ambiguous"]
     assert C.convert_unit(36, "km/h", "m/s") == 10
     assert C.circle([0, 0], [1, 0], [0, 2], [0, -1])["radius"] == 1
+
+
+def test_whole_calculations():
+    ask = lambda op, **p: (lambda r: json.loads(r["result"]) if r["success"] else r["code"])(C.call(op, json.dumps(p)))
+    assert [ask("differentiate", expression="x^3", order=k, substitutions={"x": 2}) for k in (0, 1, 2, 3, 4)] == [8, 12, 12, 6, 0]
+    assert ask("differentiate", expression="x^4", order=2) == [0, 0, 12] and ask("differentiate", expression="x", order=-1) == "calc_failed"
+    assert ask("solve", equations="x^2 = -1", variables="x", domain="complex") == ["-I", "I"] and ask("solve", equations="x^2 = -1", variables="x") == []
+    assert ask("solve", equations=["x^2 - 2*x + 5"], variables=["x"], domain="complex") == [{"x": "1 - 2*I"}, {"x": "1 + 2*I"}]
+    assert ask("solve", equations=["x^2 = 4"], variables=["x"]) == [{"x": -2}, {"x": 2}]
+    assert ask("solve", equations=["x + y = 5", "x/2 - y = 1"], variables=["x", "y"]) == [{"x": 4, "y": 1}]
+    assert ask("solve", equations=["x = 1", "x = 2"], variables=["x"]) == [] and ask("solve", equations=["x*y = 1", "x = 2"], variables=["x", "y"]) == "unsupported"
+    assert ask("solve", equations=["x + y = 1"], variables=["x", "y"]) == "unsupported"
+    units = {"F": "N", "m": "kg", "a": "m/s^2"}
+    assert ask("dimensional", expression="F = m*a", unit_definitions=units, dim_operation="get_dimensions") == {"dimensions": {"a": "L·T⁻²", "m": "M", "F": "M·L·T⁻²"}, "expression": "M·L·T⁻²"}
+    assert ask("dimensional", expression="m*a", unit_definitions=units, dim_operation="other") == "unsupported"
+    assert ask("dimensional", expression="F = m*a", unit_definitions=units)["consistent"]
