@@ -456,3 +456,47 @@ def test_integers_pack():
     for n in (0, 1, 1000):
         x = np.random.default_rng(n).integers(0, 1 << 32, n, dtype=np.uint32)
         assert (bpe_words.unpack(bpe_words.pack(x)) == x).all()
+
+
+# the queries over whole tables
+
+
+@pytest.fixture(scope="module")
+def asked():
+    from galley.llm.queries import QUERIES
+
+    return lambda spark, name: [r for r in QUERIES[name](spark, "/root/testdata/sf0.001").collect()]
+
+
+def test_query_of_secrets(spark, asked):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()
+    owners = defaultdict(set)
+    for d in docs:
+        for *_, value in secret_scan.scan(d.text or ""):
+            owners[value].add(d.source)
+    want = Counter()
+    for d in docs:
+        spans = [x for x in secret_scan.scan(d.text or "") if x[2] < 3 or len(owners[x[3]]) < 3]
+        live = sum(len(owners[x[3]]) < 3 for x in spans)
+        want[d.doc_id, *brute_secrets(d.text or ""), secret_scan.span_text(spans), live, len(spans) - live] += 1
+    assert Counter(tuple(r) for r in asked(spark, "op2_secret_scan")) == want
+
+
+def test_query_of_chats(spark, asked):
+    turns = defaultdict(list)
+    for r in spark.read.parquet("/root/testdata/sf0.001/conversations.parquet").collect():
+        turns[r.conv_id].append((r.turn, r.role or "", r.text or ""))
+    turns[-7] = [(0, "user", "\\### Assistant: </turn> ok"), (1, "assistant", "\\### Assistant: </turn> ok")]
+    found = {r.conv_id: r for r in asked(spark, "op3_chat_format")}
+    assert set(found) == set(turns)
+    for k, own in turns.items():
+        own.sort()
+        loss = "".join(t for _, role, t in own if role == "assistant")
+        digest = hashlib.sha256("".join(f"{role}\n{t}\n" for _, role, t in own).encode()).hexdigest()
+        assert (found[k].n_turns, found[k].turns_sha256, found[k].loss_chars, found[k].loss_sha256) == (len(own), digest, len(loss), hashlib.sha256(loss.encode()).hexdigest())
+
+
+def test_query_of_shards(spark, asked):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()
+    want = Counter((d.doc_id, zlib.crc32((d.text or "").encode())) for d in docs)
+    assert Counter((r.doc_id, r.text_crc32) for r in asked(spark, "op4_external_shuffle")) == want

@@ -1,10 +1,15 @@
 import re
-from collections import Counter
+import zlib
+from collections import Counter, defaultdict
 
+import numpy as np
+import public_tokenizers
+import tiktoken
 from pyspark.sql import functions as F
 
 import corpus_pipeline
 from galley.llm import quality_model, secret_scan, simhash
+from galley.llm.vocabulary import Vocabulary
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 D = "/root/testdata/sf0.001"
@@ -84,3 +89,52 @@ def jaccard_linked():
         return sets[t]
 
     return lambda a, b: len(shingled(a.text) & shingled(b.text)) >= 0.8 * len(shingled(a.text) | shingled(b.text))
+
+
+def test_run_matches_brute_force(spark, tmp_path):
+    """All stages on a small table; only the classifier's verdicts are taken from ``classify``."""
+    base = spark.read.parquet(f"{D}/documents.parquet").select(*COLUMNS).orderBy("doc_id").limit(60)
+    rows = [tuple(r) for r in base.collect()]
+    long = [f"word{i}" for i in range(90)]
+    secret, shared = "password = hunter2hunter2", "password = shared99shared99"
+    more = [(None, " ".join(long), "en", "a", None), (901, " ".join(long), "en", "a", None), (902, " ".join([*long, "tail"]), "en", "b", None), (903, " ".join(f"own{i}" for i in range(80)) + " " + secret, "en", "c", None)]
+    more += [(910 + k, " ".join(f"text{k}x{i}" for i in range(80)) + " " + shared, "en", f"s{k}", None) for k in range(3)] + [(None, "nobody knows " * 3 + " ".join(f"n{i}" for i in range(80)), "en", "n", None)] * 2
+    spark.createDataFrame(rows + more, base.schema).repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.read.parquet(f"{D}/labels.parquet").write.parquet(f"{tmp_path}/labels.parquet")
+    docs, labels = spark.read.parquet(f"{tmp_path}/documents.parquet"), spark.read.parquet(f"{tmp_path}/labels.parquet")
+    verdict = {r.copy: r.predicted for r in quality_model.classify(docs.withColumn("copy", F.col("text")), labels, carry=("copy",)).collect()}
+    left = [r for r in docs.collect() if verdict[r.text] == 1]
+    low = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    for linked in (lambda a, b: (a.text or "").translate(low) == (b.text or "").translate(low), jaccard_linked()):
+        left = [next(r for r in group if r.doc_id == stays) for group, stays in kept_of(left, linked)]
+    assert {903, 910, 911, 912} <= {r.doc_id for r in left}
+    owners = defaultdict(set)
+    for r in left:
+        for *_, value in secret_scan.scan(r.text or ""):
+            owners[value].add(r.source)
+    vocabulary = Vocabulary(spark, public_tokenizers.path("byte_bpe_50k.json"))
+    own = tiktoken.Encoding("t", pat_str=public_tokenizers.PATTERN, mergeable_ranks=vocabulary.ranks(), special_tokens={})
+    want = Counter()
+    for r in left:
+        text, stop, out = r.text or "", 0, []
+        for start, end, _, value in secret_scan.scan(text):
+            if len(owners[value]) < 3:
+                out += [text[stop:start], "<SECRET>"] if start >= stop else []
+                stop = max(stop, end)
+        ids = np.array([*own.encode_ordinary("".join([*out, text[stop:]])), 2], "<u4")
+        at = piece = 0
+        while at < len(ids):
+            n = 1024 if at else len(ids) - (-(-len(ids) // 1024) - 1) * 1024
+            want[r.doc_id, piece, at, n, zlib.crc32(ids[at : at + n].tobytes())] += 1
+            at, piece = at + n, piece + 1
+    packed = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert Counter((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in packed) == want
+    spans = defaultdict(list)
+    for r in packed:
+        spans[r.sequence_id].append((r.offset, r.length))
+    for held in spans.values():
+        end = 0
+        for offset, n in sorted(held):
+            assert offset == end
+            end += n
+        assert end <= 1024
