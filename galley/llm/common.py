@@ -139,6 +139,28 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+#: Rows of groups that ``by_group`` broadcasts whole.
+FEW_GROUPS = 50_000
+
+
+def by_group(rows: DataFrame, groups: DataFrame, on: list[str], size: str = "__n", most: int = 1000) -> DataFrame:
+    """The inner join of rows with one row for each of their groups, without a hot group in one task.
+
+    ``size`` says how many rows a group has and isn't returned.  Up to ``FEW_GROUPS`` groups are broadcast.  Of more,
+    those with over a ``most``-th of all rows are fewer than ``most``, so these are broadcast; the others are joined by
+    a shuffle, in which no key has more rows than that.  ``groups`` should be a written table of narrow rows, since it
+    is read again and again; keys must not be null.
+    """
+    count, total = groups.agg(F.count("*"), F.sum(size)).first()
+    if count <= FEW_GROUPS:
+        return rows.join(F.broadcast(groups.drop(size)), on)
+    edge = max(10_000, total // most)
+    hot, cold = (groups.where(x).drop(size) for x in (F.col(size) > edge, F.col(size) <= edge))
+    if hot.isEmpty():
+        return rows.join(cold, on)
+    return rows.join(F.broadcast(hot), on).unionByName(rows.join(F.broadcast(hot.select(*on)), on, "left_anti").join(cold, on))
+
+
 def empty_if_null(name: str):
     return F.coalesce(F.col(name), F.lit(""))
 
