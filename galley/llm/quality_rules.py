@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import by_group, materialize
 from .docstats import with_stats
 
 #: metric: (numerator, denominator, factor, least spread): integers, factor * numerator div denominator.
@@ -37,22 +37,36 @@ def sketches(stats: DataFrame) -> DataFrame:
     return rows.withColumn("cut", drop).withColumn("value", value).groupBy("lang", "source", "metric", "value").agg(F.count("*").alias("n"))
 
 
-def quartiles(sketch: DataFrame, *by: str) -> DataFrame:
-    """(by, metric, n, q1, q3) of merged sketches."""
-    merged = sketch.groupBy(*by, "metric", "value").agg(F.sum("n").alias("n"))
-    group = Window.partitionBy(*by, "metric")
-    ranked = merged.withColumn("upto", F.sum("n").over(group.orderBy("value"))).withColumn("all", F.sum("n").over(group))
+#: Where a group's cutoffs may come from: its own sketch, that of its language, that of the corpus.
+LEVELS = (("lang", "source"), ("lang",), ())
+
+
+def quartiles(sketch: DataFrame) -> DataFrame:
+    """(level, lang, source, metric, n, q1, q3) of the sketches merged at all ``LEVELS``; columns that a level lacks are empty."""
+    each = F.array(*[F.struct(F.lit(k).alias("level"), *[(F.col(c) if c in by else F.lit("")).alias(c) for c in LEVELS[0]]) for k, by in enumerate(LEVELS)])
+    group = ["level", "lang", "source", "metric"]
+    merged = sketch.select(F.explode(each).alias("at"), "metric", "value", "n").select("at.*", "metric", "value", "n").groupBy(*group, "value").agg(F.sum("n").alias("n"))
+    window = Window.partitionBy(*group)
+    ranked = merged.withColumn("upto", F.sum("n").over(window.orderBy("value"))).withColumn("all", F.sum("n").over(window))
     at = lambda quarter: F.min(F.when(4 * F.col("upto") >= quarter * F.col("all"), F.col("value")))
-    return ranked.groupBy(*by, "metric").agg(F.max("all").alias("n"), at(1).alias("q1"), at(3).alias("q3"))
+    return ranked.groupBy(*group).agg(F.max("all").alias("n"), at(1).alias("q1"), at(3).alias("q3"))
 
 
-def _limits(q: DataFrame, name: str, *by: str) -> DataFrame:
-    """One row a group, with a struct of cutoffs: above ``q3 + SPREADS * spread``, for word length also below ``q1 - ...``."""
+def limits(q: DataFrame) -> DataFrame:
+    """(level, lang, source, limits): a struct of cutoffs above ``q3 + SPREADS * spread``, for word length also below ``q1 - ...``."""
     least = F.coalesce(*[F.when(F.col("metric") == m, F.lit(x[3])) for m, x in METRICS.items()])
     spread = SPREADS * F.greatest(F.col("q3") - F.col("q1"), least)
     own = q.withColumn("high", F.col("q3") + spread).withColumn("low", F.when(F.col("metric") == "word_length", F.col("q1") - spread).otherwise(F.lit(-1)))
     parts = [F.max(F.when(F.col("metric") == m, F.col(c))).alias(f"{m}_{c}") for m in METRICS for c in ("low", "high")]
-    return own.groupBy(*by).agg(F.max("n").alias("n"), *parts).select(*by, F.struct("n", *[f"{m}_{c}" for m in METRICS for c in ("low", "high")]).alias(name))
+    return own.groupBy("level", "lang", "source").agg(F.max("n").alias("n"), *parts).select("level", "lang", "source", F.struct("n", *[f"{m}_{c}" for m in METRICS for c in ("low", "high")]).alias("limits"))
+
+
+def _chosen(groups: DataFrame, found: DataFrame) -> DataFrame:
+    """The groups (lang, source) with the ``limits`` of the first level that has ``LEAST_ROWS`` documents, or the corpus."""
+    own, lang, whole = (found.where(F.col("level") == k).select(*by, F.col("limits").alias(f"l{k}")) for k, by in enumerate(LEVELS))
+    joined = groups.join(own, ["lang", "source"], "left").join(lang, "lang", "left").crossJoin(F.broadcast(whole.agg(F.first("l2").alias("l2"))))  # one row, null without documents
+    picked = F.when(F.col("l0.n") >= LEAST_ROWS, F.col("l0")).when(F.col("l1.n") >= LEAST_ROWS, F.col("l1")).otherwise(F.col("l2"))
+    return joined.select("lang", "source", "__n", picked.alias("limits"))
 
 
 def quality_rules(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
@@ -65,11 +79,9 @@ def quality_rules(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     source = df.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(lang_col), F.lit("")).alias("lang"), F.coalesce(F.col(source_col), F.lit("")).alias("source"), F.col(text_col).alias("text"))
     stats = materialize(with_stats(source, ("doc_id", "lang", "source")), "stats").withColumn("base_failed", failing())
-    small = materialize(sketches(stats.where(~F.col("base_failed"))), "sketch")
-    own, lang, whole = (_limits(quartiles(small, *by), name, *by) for name, by in (("own", ("lang", "source")), ("by_lang", ("lang",)), ("whole", ())))
-    joined = stats.join(own, ["lang", "source"], "left").join(F.broadcast(lang), "lang", "left").join(F.broadcast(whole), F.lit(True), "left")
-    limits = F.when(F.col("own.n") >= LEAST_ROWS, F.col("own")).when(F.col("by_lang.n") >= LEAST_ROWS, F.col("by_lang")).otherwise(F.col("whole"))
-    judged = joined.withColumn("limits", limits)
+    found = materialize(limits(quartiles(sketches(stats.where(~F.col("base_failed"))))), "limits")
+    groups = materialize(_chosen(stats.groupBy("lang", "source").agg(F.count("*").alias("__n")), found), "groups")
+    judged = by_group(stats, groups, ["lang", "source"])
     value = {m: F.expr(f"cast({k} * {a} div {b} as bigint)") for m, (a, b, k, _) in METRICS.items()}
     broken = F.array_compact(F.array(*[F.when((v > F.col(f"limits.{m}_high")) | (v < F.col(f"limits.{m}_low")), F.lit(m)) for m, v in value.items()]))
     judged = judged.withColumn("broken", F.when(F.col("base_failed"), F.array().cast("array<string>")).otherwise(broken))
