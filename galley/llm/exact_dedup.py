@@ -1,10 +1,10 @@
 """Exact dedup by a tree-merge of sorted digest runs.
 
-Every input partition sorts what it has of (digest, length, check sum) into a run, in which copies are one entry with
-the smallest and largest identifier and a count.  Runs are exchanged in rounds: in round r the runs with the same
-number divided by ``fan_in ** r`` meet, sorted, and a stream over adjacent entries merges them.  The digest space is
-cut into ranges, so that a merged run never has to fit one task, and a group of copies of any size crosses a round as
-one entry a run.
+Every input partition sorts what it has of (digest, length, check sum) into runs, in which copies are one entry with
+the smallest and largest identifier and a count.  Runs are exchanged in binomial rounds: in round r the runs whose
+numbers agree after division by ``2 ** r`` meet and are merged, without sorting again, into one sorted run.  The digest
+space is cut into ranges; a run's part of a range travels as one row of packed entries, small enough for any task, and a
+group of copies of any size crosses a round as one entry a run.
 """
 from __future__ import annotations
 
@@ -20,12 +20,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ..shipping import ship
-from .common import materialize, shuffle_partitions, sub_batches
+from .common import by_group, materialize, shuffle_partitions, sub_batches
 
-#: Entries of a run's part that one task merges at least before the digest space is cut more finely.
-RANGE_ENTRIES = 500_000
-_ENTRY = "bucket int, run int, digest binary, n_bytes long, check_sum long, min_id long, max_id long, n long"
-_KEY = ("bucket", "run", "digest", "n_bytes", "check_sum")
+#: Entries that a range of the digest space has about, and that a worker holds before it emits a run.
+RANGE_ENTRIES, RUN_ENTRIES = 50_000, 400_000
+_RUN = "bucket int, run int, entries binary"
+#: key: digest, length and check sum, big-endian, so that keys are ordered as bytes.
+ENTRY = np.dtype([("key", "S48"), ("low", "<i8"), ("high", "<i8"), ("n", "<i8")])
+_GROUP = "digest binary, n_bytes long, check_sum long, min_id long, max_id long, n long"
 
 
 def digests(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
@@ -48,93 +50,123 @@ def digests(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry
     return source.mapInArrow(run, schema)
 
 
-def _collapse(key: list[np.ndarray], low: np.ndarray, high: np.ndarray, n: np.ndarray):
-    """Adjacent rows with equal keys as one; an identifier that is missing has the largest (smallest) value."""
-    new = np.ones(len(n), bool)
-    new[1:] = np.logical_or.reduce([k[1:] != k[:-1] if k.ndim == 1 else (k[1:] != k[:-1]).any(axis=1) for k in key])
-    at = np.flatnonzero(new)
-    return [k[at] for k in key], np.minimum.reduceat(low, at), np.maximum.reduceat(high, at), np.add.reduceat(n, at)
+_NONE_LOW, _NONE_HIGH = np.iinfo(np.int64).max, np.iinfo(np.int64).min  # an identifier that is missing
 
 
-_NONE_LOW, _NONE_HIGH = np.iinfo(np.int64).max, np.iinfo(np.int64).min
+def collapse(run: np.ndarray) -> np.ndarray:
+    """A sorted run with adjacent entries of equal keys as one."""
+    at = np.flatnonzero(np.append(True, run["key"][1:] != run["key"][:-1])) if len(run) else np.empty(0, np.int64)
+    out = run[at]
+    if len(at) < len(run):
+        out["low"], out["high"], out["n"] = np.minimum.reduceat(run["low"], at), np.maximum.reduceat(run["high"], at), np.add.reduceat(run["n"], at)
+    return out
 
 
-def _emit(key, low, high, n) -> pa.RecordBatch:
-    bucket, run, digest, size, check = key
-    cut = pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(np.arange(0, 32 * len(n) + 1, 32, dtype=np.int32)), pa.py_buffer(np.ascontiguousarray(digest, ">u8"))])
-    return pa.RecordBatch.from_arrays(
-        [pa.array(bucket, pa.int32()), pa.array(run, pa.int32()), cut, pa.array(size), pa.array(check), pa.array(low, mask=low == _NONE_LOW), pa.array(high, mask=high == _NONE_HIGH), pa.array(n)],
-        names=["bucket", "run", "digest", "n_bytes", "check_sum", "min_id", "max_id", "n"],
-    )
+def merge(runs: list[np.ndarray]) -> np.ndarray:
+    """One sorted run of many: two at a time, the smallest first, each entry put where it belongs by binary search."""
+    left = sorted(runs, key=len, reverse=True)
+    while len(left) > 1:
+        b, a = left.pop(), left.pop()
+        out = np.empty(len(a) + len(b), ENTRY)
+        at = np.searchsorted(a["key"], b["key"]) + np.arange(len(b))
+        rest = np.ones(len(out), bool)
+        rest[at] = False
+        out[at], out[rest] = b, a
+        out = collapse(out)
+        left.append(out)
+        left.sort(key=len, reverse=True)
+    return left[0]
 
 
-def _digest_array(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, 32).view(">u8")
+def _entries(batch: pa.RecordBatch) -> np.ndarray:
+    """An entry for each row of (doc_id, digest, n_bytes, check_sum)."""
+    out = np.empty(batch.num_rows, ENTRY)
+    key = np.empty((batch.num_rows, 6), ">u8")
+    key[:, :4] = np.frombuffer(b"".join(batch.column(1).to_pylist()), ">u8").reshape(-1, 4)
+    for i in (2, 3):
+        key[:, i + 2] = batch.column(i).to_numpy().view(np.uint64)
+    out["key"] = key.reshape(-1).view("S48")
+    out["low"], out["high"] = (pc.fill_null(batch.column(0), missing).to_numpy(zero_copy_only=False) for missing in (_NONE_LOW, _NONE_HIGH))
+    out["n"] = 1
+    return out
 
 
-def _ints(column: pa.Array, missing: int = 0) -> np.ndarray:
-    return pc.fill_null(column, missing).to_numpy(zero_copy_only=False)
+def _prefix(run: np.ndarray) -> np.ndarray:
+    """The leading 24 bits of the digests."""
+    return np.ascontiguousarray(run["key"]).view(np.uint8).reshape(-1, 48)[:, :3].astype(np.int64) @ np.array([1 << 16, 1 << 8, 1])
 
 
 def local_runs(hashed: DataFrame, ranges: int) -> DataFrame:
-    """Each partition's entries as sorted runs, copies collapsed."""
+    """Each partition's entries as sorted runs with copies collapsed, a row for each range of the digest space."""
 
     def run(batches):
-        number = TaskContext.get().partitionId()
+        number, held, many = TaskContext.get().partitionId(), [], 0
+
+        def emit() -> pa.RecordBatch:
+            whole = np.concatenate(held)
+            own = collapse(whole[np.argsort(whole["key"], kind="stable")])
+            bucket = _prefix(own) * ranges >> 24
+            cuts = np.flatnonzero(np.diff(bucket, prepend=-1)).tolist()
+            parts = [own[i:j].tobytes() for i, j in zip(cuts, [*cuts[1:], len(own)], strict=True)]
+            return pa.RecordBatch.from_arrays([pa.array(bucket[cuts], pa.int32()), pa.array([number] * len(cuts), pa.int32()), pa.array(parts, pa.binary())], names=["bucket", "run", "entries"])
+
         for batch in batches:
-            digest = _digest_array(batch.column(1))
-            bucket = (digest[:, 0].astype(np.uint64) >> np.uint64(40)).astype(np.int64) * ranges >> 24
-            size, check, ids = _ints(batch.column(2)), _ints(batch.column(3)), batch.column(0)
-            low, high = _ints(ids, _NONE_LOW), _ints(ids, _NONE_HIGH)
-            order = np.lexsort((check, size, *(digest[:, i] for i in (3, 2, 1, 0)), bucket))
-            key = [bucket[order], np.full(len(order), number), digest[order], size[order], check[order]]
-            yield _emit(*_collapse(key, low[order], high[order], np.ones(len(order), np.int64)))
+            if batch.num_rows:
+                held.append(_entries(batch))
+                many += batch.num_rows
+            if many >= RUN_ENTRIES:  # the rest becomes another run of the same number
+                yield emit()
+                held, many = [], 0
+        if many:
+            yield emit()
 
-    return hashed.mapInArrow(run, _ENTRY)
+    return hashed.mapInArrow(run, _RUN)
 
 
 def merge_runs(runs: DataFrame, fan_in: int) -> DataFrame:
     """A round: the runs whose numbers agree after division by ``fan_in`` become one sorted run."""
 
+    def run(table: pa.Table) -> pa.Table:
+        one = merge([np.frombuffer(x, ENTRY) for x in table.column("entries").to_pylist()])
+        return pa.table({"bucket": table.column("bucket")[:1], "run": table.column("run")[:1], "entries": pa.array([one.tobytes()], pa.binary())})
+
+    return runs.withColumn("run", F.expr(f"cast(run div {fan_in} as int)")).groupBy("bucket", "run").applyInArrow(run, _RUN)
+
+
+def groups(runs: DataFrame) -> DataFrame:
+    """The entries of merged runs as rows (``_GROUP``)."""
+
     def run(batches):
-        held = None  # the last entry may go on in the next batch
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            c = batch.columns
-            key = [_ints(c[0]), _ints(c[1]), _digest_array(c[2]), _ints(c[3]), _ints(c[4])]
-            low, high, n = _ints(c[5], _NONE_LOW), _ints(c[6], _NONE_HIGH), _ints(c[7])
-            if held is not None:
-                key = [np.concatenate(x) for x in zip(held[0], key, strict=True)]
-                low, high, n = (np.concatenate(x) for x in zip(held[1:], (low, high, n), strict=True))
-            key, low, high, n = _collapse(key, low, high, n)
-            held = [k[-1:] for k in key], low[-1:], high[-1:], n[-1:]
-            if len(n) > 1:
-                yield _emit([k[:-1] for k in key], low[:-1], high[:-1], n[:-1])
-        if held is not None:
-            yield _emit(*held)
-
-    met = runs.withColumn("run", F.expr(f"cast(run div {fan_in} as int)"))
-    return met.repartition(shuffle_partitions(runs.sparkSession), "bucket", "run").sortWithinPartitions(*_KEY).mapInArrow(run, _ENTRY)
-
-
-def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "largest", fan_in: int = 4, carry: tuple[str, ...] = ()) -> DataFrame:
+            for x in batch.column(2):
+                e = np.frombuffer(x.as_py(), ENTRY)
+                key = np.ascontiguousarray(e["key"]).view(">u8").reshape(-1, 6)
+                digest = pa.Array.from_buffers(pa.binary(), len(e), [None, pa.py_buffer(np.arange(0, 32 * len(e) + 1, 32, dtype=np.int32)), pa.py_buffer(np.ascontiguousarray(key[:, :4]))])
+                size, check = (np.ascontiguousarray(key[:, i], np.uint64).view(np.int64) for i in (4, 5))
+                low, high = np.ascontiguousarray(e["low"]), np.ascontiguousarray(e["high"])
+                yield pa.RecordBatch.from_arrays([digest, pa.array(size), pa.array(check), pa.array(low, mask=low == _NONE_LOW), pa.array(high, mask=high == _NONE_HIGH), pa.array(np.ascontiguousarray(e["n"]))], names=["digest", "n_bytes", "check_sum", "min_id", "max_id", "n"])
+
+    return runs.mapInArrow(run, _GROUP)
+
+
+def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "largest", fan_in: int = 2, carry: tuple[str, ...] = ()) -> DataFrame:
     """One row per input row: (doc_id, keep_id, group_size, kept, text_sha256, *carry).
 
-    Texts are equal when identical after lower-casing A-Z, checked by SHA-256, byte length and a second check sum.
-    ``keep`` says whether the row with the smallest or the largest identifier stays.  Null and empty texts are equal
-    to each other.  Where the identifier that stays is repeated within its group, all its rows are marked kept; a row
-    with a null identifier is kept only where its group has no other, and then keep_id is null.  An empty table gives
-    no row; the columns ``carry`` follow as they are, others are ignored.
+    Texts are equal when identical after lower-casing A-Z, verified at every merge by SHA-256, byte length and a second
+    check sum.  ``keep`` says whether the row with the smallest or the largest identifier stays.  Null and empty texts
+    are equal to each other.  Where the identifier that stays is repeated within its group, all its rows are marked
+    kept; a row with a null identifier is kept only where its group has no other, and then keep_id is null.  An empty
+    table gives no row; the columns ``carry`` follow as they are, others are ignored.
     """
     if keep not in ("smallest", "largest"):
         raise ValueError("keep: smallest or largest")
     hashed = materialize(digests(df, id_col, text_col, carry), "digests")
-    ranges = max(shuffle_partitions(df.sparkSession), hashed.count() // RANGE_ENTRIES)
+    ranges = min(1 << 24, max(shuffle_partitions(df.sparkSession), hashed.count() // RANGE_ENTRIES))
     runs, left = local_runs(hashed.select("doc_id", "digest", "n_bytes", "check_sum"), ranges), hashed.rdd.getNumPartitions()
     while True:
         runs, left = merge_runs(runs, fan_in), -(-left // fan_in)
         if left <= 1:
             break
-    groups = runs.select("digest", "n_bytes", "check_sum", F.col("min_id" if keep == "smallest" else "max_id").alias("keep_id"), F.col("n").alias("group_size"))
-    return hashed.join(groups, ["digest", "n_bytes", "check_sum"]).select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"), *carry)
+    key = ["digest", "n_bytes", "check_sum"]
+    found = materialize(groups(runs), "groups").select(*key, F.col("min_id" if keep == "smallest" else "max_id").alias("keep_id"), F.col("n").alias("group_size"), F.col("n").alias("__n"))
+    return by_group(hashed, found, key).select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"), *carry)

@@ -63,7 +63,7 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .exact_dedup import exact_dedup
 
     (docs,) = tables(spark, sf_dir, "documents")
-    return exact_dedup(docs, keep="largest", fan_in=4)
+    return exact_dedup(docs, keep="largest")
 
 
 def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
