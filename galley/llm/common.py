@@ -139,20 +139,60 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def tree_sum(rows: DataFrame, part: Callable[[pa.RecordBatch], list], fan_in: int = 16) -> list:
+    """The sum over all batches of the arrays of numbers that part(batch) gives; none without rows.
+
+    Arrays, whose sizes must not depend on the rows, are added within a task, then of ``fan_in`` tasks at a time, round
+    by round, until a few are left for the driver.
+    """
+    import numpy as np
+    import zstandard
+    from pyspark import TaskContext
+
+    def dump(total: list) -> list[bytes]:
+        return [zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(a, np.float64).tobytes()) for a in total]
+
+    def load(held: list[bytes]) -> list:
+        return [np.frombuffer(zstandard.ZstdDecompressor().decompress(x)) for x in held]
+
+    def run(batches):
+        total = None
+        for batch in batches:
+            if batch.num_rows:
+                own = part(batch)
+                total = own if total is None else [a + b for a, b in zip(total, own, strict=True)]
+        if total is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([dump(total)], pa.list_(pa.binary()))], names=["g", "sums"])
+
+    def add(table: pa.Table) -> pa.Table:
+        total = None
+        for held in table.column("sums"):
+            own = load(held.as_py())
+            total = own if total is None else [a + b for a, b in zip(total, own, strict=True)]
+        return pa.table({"g": table.column("g")[:1], "sums": pa.array([dump(total)], pa.list_(pa.binary()))})
+
+    schema = "g int, sums array<binary>"
+    left, sums = rows.rdd.getNumPartitions(), ship(rows.sparkSession) and rows.mapInArrow(run, schema)
+    while left > 4:
+        sums, left = sums.withColumn("g", F.expr(f"cast(g div {fan_in} as int)")).groupBy("g").applyInArrow(add, schema), -(-left // fan_in)
+    parts = [load(r["sums"]) for r in sums.collect()]  # four rows at most
+    return [sum(x) for x in zip(*parts, strict=True)]
+
+
 #: Rows of groups that ``by_group`` broadcasts whole.
 FEW_GROUPS = 50_000
 
 
-def by_group(rows: DataFrame, groups: DataFrame, on: list[str], size: str = "__n", most: int = 1000) -> DataFrame:
+def by_group(rows: DataFrame, groups: DataFrame, on: list[str], size: str = "__n", most: int = 1000, few: int | None = None) -> DataFrame:
     """The inner join of rows with one row for each of their groups, without a hot group in one task.
 
-    ``size`` says how many rows a group has and isn't returned.  Up to ``FEW_GROUPS`` groups are broadcast.  Of more,
+    ``size`` says how many rows a group has and isn't returned.  Up to ``few`` (``FEW_GROUPS``) groups are broadcast.  Of more,
     those with over a ``most``-th of all rows are fewer than ``most``, so these are broadcast; the others are joined by
     a shuffle, in which no key has more rows than that.  ``groups`` should be a written table of narrow rows, since it
     is read again and again; keys must not be null.
     """
     count, total = groups.agg(F.count("*"), F.sum(size)).first()
-    if count <= FEW_GROUPS:
+    if count <= (FEW_GROUPS if few is None else few):
         return rows.join(F.broadcast(groups.drop(size)), on)
     edge = max(10_000, total // most)
     hot, cold = (groups.where(x).drop(size) for x in (F.col(size) > edge, F.col(size) <= edge))

@@ -1,22 +1,21 @@
 """Quality classifier: random Fourier features of document statistics, ridge scores, isotonic calibration.
 
 Random cosines approximate a Gaussian kernel over standardised statistics.  Each partition sums its part of the normal
-equations, sums are added in a tree, and the driver solves a system of fixed size.  Scores of each half of the training
+equations, sums are added in rounds of bounded fan-in, and the driver solves a system of fixed size.  Scores of each half of the training
 rows by the other half's weights, counted in fixed bins, are calibrated by pooling adjacent violators.
 """
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..shipping import ship
-from .common import materialize
+from .common import materialize, tree_sum
 from .docstats import NAMES, with_stats
 
-FEATURES, BINS, GROUPS = 192, 1024, 8
+FEATURES, BINS = 192, 1024
 LOW, HIGH = -0.5, 1.5
 
 
@@ -66,27 +65,6 @@ def _matrix(batch: pa.RecordBatch) -> np.ndarray:
     return np.stack([batch.column(at(n)).to_numpy(zero_copy_only=False) for n in NAMES], axis=1)
 
 
-def _summed(rows: DataFrame, part) -> list[np.ndarray]:
-    """The sum over all batches of the arrays part(batch) gives: within tasks, then within groups, then of the groups."""
-
-    def run(batches):
-        total = None
-        for batch in batches:
-            if batch.num_rows:
-                own = part(batch)
-                total = own if total is None else [a + b for a, b in zip(total, own, strict=True)]
-        if total is not None:
-            yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId() % GROUPS], pa.int32()), pa.array([[a.tobytes() for a in total]], pa.list_(pa.binary()))], names=["g", "sums"])
-
-    def add(table: pa.Table) -> pa.Table:
-        rows_ = table.column("sums").to_pylist()
-        total = [sum(np.frombuffer(r[i]) for r in rows_).tobytes() for i in range(len(rows_[0]))]
-        return pa.table({"g": table.column("g")[:1], "sums": pa.array([total], pa.list_(pa.binary()))})
-
-    found = rows.mapInArrow(run, "g int, sums array<binary>").groupBy("g").applyInArrow(add, "g int, sums array<binary>").collect()  # GROUPS rows at most
-    return [sum(np.frombuffer(r["sums"][i]) for r in found) for i in range(len(found[0]["sums"]))] if found else []
-
-
 def fit(train: DataFrame, seed: int = 5, penalty: float = 1e-3) -> Model:
     """From rows of counts, ``quality`` (0 or 1) and ``fold`` (0 or 1); all rows are used.
 
@@ -94,7 +72,7 @@ def fit(train: DataFrame, seed: int = 5, penalty: float = 1e-3) -> Model:
     """
     d, rng = describe(np.zeros((1, len(NAMES)))).shape[1], np.random.default_rng(seed)
     weights, phase = rng.normal(size=(d, FEATURES)) / np.sqrt(d), rng.uniform(0, 2 * np.pi, FEATURES)
-    sums = _summed(train, lambda b: [(x := describe(_matrix(b))).sum(0), (x * x).sum(0), np.array([float(len(x))])])
+    sums = tree_sum(train, lambda b: [(x := describe(_matrix(b))).sum(0), (x * x).sum(0), np.array([float(len(x))])])
     blank = Model(np.zeros(d), np.ones(d), weights, phase, [np.zeros(FEATURES + 1)] * 3, (np.zeros(1), np.full(1, 0.5)))
     if not sums:
         return blank
@@ -105,7 +83,7 @@ def fit(train: DataFrame, seed: int = 5, penalty: float = 1e-3) -> Model:
         z, y, fold = blank.cosines(_matrix(b)), b.column(b.schema.get_field_index("quality")).to_numpy().astype(float), b.column(b.schema.get_field_index("fold")).to_numpy()
         return [a for f in (0, 1) for a in ((z[fold == f].T @ z[fold == f]).ravel(), z[fold == f].T @ y[fold == f])]
 
-    a0, b0, a1, b1 = _summed(train, equations)
+    a0, b0, a1, b1 = tree_sum(train, equations)
     size = FEATURES + 1
 
     def solve(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -119,7 +97,7 @@ def fit(train: DataFrame, seed: int = 5, penalty: float = 1e-3) -> Model:
         at = (((np.where(fold == 0, model.raw(x, 0), model.raw(x, 1)) - LOW) / (HIGH - LOW)).clip(0, 1) * (BINS - 1)).round().astype(int)
         return [np.bincount(at, minlength=BINS).astype(float), np.bincount(at, y, BINS)]
 
-    n, s = _summed(train, bins)
+    n, s = tree_sum(train, bins)
     found = [(LOW + (HIGH - LOW) * i / (BINS - 1), n[i], s[i]) for i in np.flatnonzero(n)]
     model.knots = isotonic(found)
     return model

@@ -11,6 +11,7 @@ queries rather than to every executor.
 """
 from __future__ import annotations
 
+import math
 from itertools import combinations
 
 import numpy as np
@@ -21,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ..shipping import ship
-from .common import materialize, shuffle_partitions, sub_batches, texts
+from .common import by_group, materialize, shuffle_partitions, sub_batches, texts, tree_sum
 from .components import connected_components
 
 BITS, TREE = 64, 4096
@@ -244,68 +245,138 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     labelled = materialize(labels.select(F.col("v").alias("fp"), "label").join(distinct.select("fp", "first"), "fp"), "labels")
     smallest = labelled.groupBy("label").agg(F.min("first").alias("component_id"))
     by_fp = labelled.join(smallest, "label").select("fp", "component_id")
-    full = distinct.join(by_fp, "fp", "left").select("fp", "n_same", F.coalesce("component_id", "first").alias("component_id"))
-    return found.join(full, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "n_same")
+    full = distinct.join(by_fp, "fp", "left").select("fp", "n_same", F.coalesce("component_id", "first").alias("component_id"), F.col("n_same").alias("__n"))
+    return by_group(found, materialize(full, "full"), ["fp"]).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "n_same")
 
 
-BANDS, BAND_ROWS, SIMILAR_TREE = 16, 2, 1024
-
-
-def minhash_keys(hashes: np.ndarray, bands: int = BANDS, rows: int = BAND_ROWS) -> list[int]:
-    """A key for each band: the least of ``rows`` multiplicative hashes of a set of shingles, combined."""
-    factors = np.random.default_rng(17).integers(1, 1 << 63, bands * rows, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-    out = []
-    for b in range(bands):
-        key = 0
-        for f in factors[b * rows : (b + 1) * rows]:
-            key = (key * 0x9E3779B97F4A7C15 + int((hashes * f).min())) % (1 << 64)
-        out.append(key - (1 << 64) if key >> 63 else key)
-    return out
+COUNTERS, BLOCK, BLOCK_BYTES, MANY = 1 << 20, 1024, 32 << 20, 100_000
 
 
 def _sets(df: DataFrame, id_col: str, text_col: str, ngram: int, carry: tuple[str, ...]) -> DataFrame:
-    """(doc_id, id, fp, keys, shingles, *carry) of every text: id is a hash of the set of its shingles, shingles their 32-bit hashes."""
+    """(doc_id, id, fp, shingles, *carry) of every text: id is a hash of the set of its shingles, shingles their sorted 32-bit hashes."""
     source = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *carry)
-    names = ["doc_id", "id", "fp", "keys", "shingles", *carry]
-    schema = StructType.fromDDL("doc_id long, id long, fp long, keys array<long>, shingles binary")
+    names = ["doc_id", "id", "fp", "shingles", *carry]
+    schema = StructType.fromDDL("doc_id long, id long, fp long, shingles binary")
     for field in source.schema.fields[2:]:
         schema.add(field)
 
     def run(batches):
         for batch in batches:
             for part in sub_batches(batch, "text", 8 << 20):
-                cols: list[list] = [[] for _ in range(4)]
+                cols: list[list] = [[] for _ in range(3)]
                 for t in texts(part.column(1)):
                     own = np.unique(shingles(t, ngram))
-                    key = xxhash.xxh64_intdigest(own.tobytes(), 1)
-                    small = np.unique(own.astype(np.uint32))
-                    for c, v in zip(cols, (key, majority(own), minhash_keys(own) if len(own) else [], small.tobytes()), strict=True):
+                    small = np.unique(own.astype(np.uint32)).tobytes()
+                    for c, v in zip(cols, (xxhash.xxh64_intdigest(small, 1), majority(own), small), strict=True):
                         c.append(v)
                 signed = [pa.array(np.array(c, np.uint64).view(np.int64)) for c in cols[:2]]
-                yield pa.RecordBatch.from_arrays([part.column(0), *signed, pa.array(cols[2], pa.list_(pa.int64())), pa.array(cols[3], pa.binary()), *part.columns[2:]], names=names)
+                yield pa.RecordBatch.from_arrays([part.column(0), *signed, pa.array(cols[2], pa.binary()), *part.columns[2:]], names=names)
 
     ship(df.sparkSession)
     return source.mapInArrow(run, schema)
 
 
-def _found(fp: np.ndarray, nodes: np.ndarray, asked: np.ndarray, radius: int):
-    """(node, indices of the queries within the radius of it) of a shard; nodes and asked are indices."""
-    if len(fp) <= 24 and len(nodes) == len(asked) == len(fp):
-        return ((a, np.array([b])) for a, b in _small(fp.tolist(), radius))
-    return ((int(nodes[node]), asked[queries]) for node, queries in BKTree(fp[nodes]).search(fp[asked], radius))
+def _shingle_counts(sets: DataFrame) -> np.ndarray:
+    """How many shingles of all sets fall to each of ``COUNTERS`` counters."""
+
+    def part(batch: pa.RecordBatch) -> list[np.ndarray]:
+        flat = np.frombuffer(b"".join(batch.column(0).to_pylist()), np.uint32)
+        return [np.bincount(flat // ((1 << 32) // COUNTERS), minlength=COUNTERS)]
+
+    found = tree_sum(sets.select("shingles"), part)
+    return found[0] if found else np.zeros(COUNTERS)
 
 
-def similar_links(sets: list[bytes], found, n: int, similarity: float) -> list[tuple[int, int]]:
-    """A spanning forest of the pairs in ``found`` (node, near indices) whose sets have at least this Jaccard similarity."""
+def _prefix_length(n: int, similarity: float) -> int:
+    """Two sets this similar have one of their first so many members in common, whatever the order, if it is one for all sets."""
+    return n - math.ceil(similarity * n - 1e-9) + 1 if n else 0
+
+
+def _prefixes(sets: DataFrame, counts: np.ndarray, similarity: float) -> DataFrame:
+    """(key, salt, salts, id): the members of each set's prefix, those with the least counts first.
+
+    A member whose counter says that it may be in over ``MANY`` sets is dealt out by salt.
+    """
+    known = sets.sparkSession.sparkContext.broadcast(np.minimum(counts, (1 << 31) - 1).astype(np.uint32))  # COUNTERS numbers
+
+    def run(batches):
+        count, seen = known.value, set()
+        for batch in batches:
+            keys, salts, ids = [], [], []
+            for i, x in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                own = np.frombuffer(x.as_py(), np.uint32)
+                k = _prefix_length(len(own), similarity)
+                if not k or i in seen:
+                    continue
+                seen.add(i)
+                order = count[own // ((1 << 32) // COUNTERS)].astype(np.uint64) << np.uint64(32) | own
+                first = np.partition(order, k - 1)[:k]
+                keys.append(first.astype(np.uint32))
+                salts.append((first >> np.uint64(32)).astype(np.int64) // MANY + 1)
+                ids.append(np.full(k, i))
+            if keys:
+                many, own = np.concatenate(salts), np.concatenate(ids)
+                salt = (own.view(np.uint64) % many.view(np.uint64)).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int32)), pa.array(salt), pa.array(many.astype(np.int32)), pa.array(own)], names=["key", "salt", "salts", "id"])
+
+    ship(sets.sparkSession)
+    return sets.select("id", "shingles").mapInArrow(run, "key int, salt int, salts int, id long")
+
+
+def _stars(prefixes: DataFrame) -> DataFrame:
+    """(key, salts, u, v): every set v with a key, beside the first set u of the key (and salt); keys of one set are left out, if not salted."""
+
+    def run(batches):
+        last = None  # key, salt, first set, set before, whether the first set has been written
+        for batch in batches:
+            n = batch.num_rows
+            if not n:
+                continue
+            key, salt, salts, ids = (c.to_numpy() for c in batch.columns)
+            new, same = np.ones(n, bool), np.zeros(n, bool)
+            new[1:] = (key[1:] != key[:-1]) | (salt[1:] != salt[:-1])
+            same[1:] = ~new[1:] & (ids[1:] == ids[:-1])
+            if last is not None and (key[0], salt[0]) == last[:2]:
+                new[0], same[0] = False, ids[0] == last[3]
+            at = np.maximum.accumulate(np.where(new, np.arange(n), -1))
+            first = np.where(at >= 0, ids[at], last[2] if last is not None else 0)
+            member = ~new & ~same
+            heads = np.unique(np.concatenate([at[member], np.flatnonzero(new & (salts > 1))]))
+            carried = len(heads) > 0 and heads[0] < 0
+            heads = heads[heads >= 0]
+            early = [[x] for x in (last[0], salts[0], last[2], last[2])] if carried and not last[4] else [[]] * 4
+            cols = [np.concatenate([np.array(e, k.dtype), a[heads], b[member]]) for e, k, a, b in zip(early, (key, salts, ids, ids), (key, salts, ids, ids), (key, salts, first, ids), strict=True)]
+            written = bool(len(heads) and heads[-1] == at[-1]) if at[-1] >= 0 else carried or last[4]
+            last = key[-1], salt[-1], first[-1], ids[-1], written
+            if len(cols[0]):
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["key", "salts", "u", "v"])
+
+    ship(prefixes.sparkSession)
+    by = ["key", "salt", "id"]
+    return prefixes.repartition(shuffle_partitions(prefixes.sparkSession), "key", "salt").sortWithinPartitions(*by).mapInArrow(run, "key int, salts int, u long, v long")
+
+
+def jaccard_at_least(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
+    """Of sorted arrays of distinct numbers."""
+    if not (len(a) >= similarity * len(b) - 1e-9 and len(b) >= similarity * len(a) - 1e-9):
+        return False
+    small, large = sorted((a, b), key=len)
+    at = np.searchsorted(large, small)
+    both = int((large[np.minimum(at, len(large) - 1)] == small).sum()) if len(large) else 0
+    return both * (1 + similarity) >= similarity * (len(a) + len(b)) - 1e-9
+
+
+def similar_links(sets: list[bytes], nodes: np.ndarray, asked: np.ndarray, roots: np.ndarray, similarity: float) -> list[tuple[int, int]]:
+    """A spanning forest of the pairs (node, asked) with at least this Jaccard similarity, over what roots (a label each) have linked."""
     members = [np.frombuffer(x, np.uint32) for x in sets]
     sizes = np.array([len(m) for m in members])
-    flat = np.unique(np.concatenate(members), return_inverse=True)[1] if n else np.empty(0, np.int64)
+    flat = np.unique(np.concatenate(members), return_inverse=True)[1]
     offsets = np.concatenate([[0], np.cumsum(sizes)])
     mark = np.zeros(int(flat.max(initial=0)) + 1, bool)
-    root = np.arange(n)  # the smallest index of what is linked so far
+    root = np.unique(roots, return_inverse=True)[1]
     out = []
-    for node, near in found:
-        near = near[root[near] != root[node]]
+    for node in nodes.tolist():
+        near = asked[root[asked] != root[node]]
         near = near[(sizes[near] >= similarity * sizes[node] - 1e-9) & (sizes[node] >= similarity * sizes[near] - 1e-9)]
         if not len(near):
             continue
@@ -315,62 +386,108 @@ def similar_links(sets: list[bytes], found, n: int, similarity: float) -> list[t
         both = np.add.reduceat(mark[flat[at]].astype(np.int64), ends - sizes[near])
         mark[flat[offsets[node] : offsets[node + 1]]] = False
         for q in near[both * (1 + similarity) >= similarity * (sizes[near] + sizes[node]) - 1e-9].tolist():
-            a, b = sorted((int(root[node]), int(root[q])))
-            if a != b:
-                root[root == b] = a
+            if root[node] != root[q]:
+                root[root == root[q]] = root[node]
                 out.append((node, q))
     return out
 
 
-def similar_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", ngram: int = 5, similarity: float = 0.8, radius: int = 26, carry: tuple[str, ...] = ()) -> DataFrame:
-    """One row per input row: (doc_id, component_id, component, *carry) over links of at least this Jaccard similarity of word shingles.
+def _proposed(distinct: DataFrame, stars: DataFrame, radius: int) -> DataFrame:
+    """Pairs (u, v) of sets that may be similar: by fingerprints, through BK-trees, and by shared keys."""
+    fps = materialize(distinct.groupBy("fp").agg(F.min("id").alias("head"), F.count("*").alias("__n")), "fps")
+    same = by_group(distinct.select("id", "fp"), fps, ["fp"]).where("id <> head").select(F.col("head").alias("u"), F.col("id").alias("v"))
+    head = lambda c: fps.select(F.col("fp").alias(c), F.col("head").alias(f"h{c}"))
+    trees = links(fps.select("fp"), fps.count(), radius).join(head("u"), "u").join(head("v"), "v").select(F.col("hu").alias("u"), F.col("hv").alias("v"))
+    firsts = stars.where("salts > 1 and u = v").select("key", "v")
+    hot = firsts.join(firsts.groupBy("key").agg(F.min("v").alias("u")), "key").select("u", "v")
+    pairs = stars.select("u", "v").union(hot).union(trees).union(same).where("u <> v")
+    return pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
 
-    Shards are made by pairs of minimum hashes, of which two texts that similar share one of sixteen but for about one
-    pair in ten million.  In each shard BK-trees over fingerprints of the sets (a passage that a text repeats counts
-    once, as it does in the similarity) find what lies within the radius, beyond which two texts at the threshold lie in
-    less than one case of a million, or one of 75,000 if they have four shingles and five, the worst; then the texts'
-    own sets of shingles (as 32-bit hashes) are compared.  Texts with equal sets
-    are one to the search, empty and null texts among them.  ``component_id`` is the smallest identifier reachable, null
-    if none is known; ``component`` tells components apart where identifiers are null or repeated.  Rows keep their
-    number; an empty table gives no row; the columns ``carry`` follow as they are, others are ignored.
-    """
-    found = materialize(_sets(df, id_col, text_col, ngram, carry), "sets")
-    distinct = found.groupBy("id").agg(F.min("doc_id").alias("first"), F.min("fp").alias("fp"), F.min("keys").alias("keys"))
-    distinct = materialize(distinct, "distinct")
-    keyed = distinct.select("id", "fp", F.posexplode("keys").alias("tbl", "key")).select("tbl", "key", "id", "fp")
 
-    def near(part):
-        rows = []
-        for i, j in _cuts(part[:4]):
-            own, fp = part[4][i:j], part[6][i:j].view(np.uint64)
-            nodes, asked = np.flatnonzero(own == part[2][i]), np.flatnonzero(own == part[3][i])
-            hit = np.zeros(j - i, bool)
-            for node, others in _found(fp, nodes, asked, radius):
-                others = others[others != node]
-                if len(others):
-                    hit[node] = True
-                    hit[others] = True
-            rows.append(i + np.flatnonzero(hit))
-        at = np.concatenate(rows) if rows else np.empty(0, np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(c[at]) for c in part], names=["tbl", "key", "t", "q", "own", "id", "fp"])
-
-    hits = materialize(_by_shard(_deal(keyed, SIMILAR_TREE), near, "tbl int, key long, t int, q int, own int, id long, fp long"), "hits")
-    wanted = hits.select("id").distinct()
-    sets = materialize(found.join(wanted, "id", "left_semi").groupBy("id").agg(F.min("shingles").alias("shingles")), "wanted")
+def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs that have the similarity; sets: (id, shingles)."""
+
+    def run(batches):
+        for batch in batches:
+            keep = [jaccard_at_least(np.frombuffer(a.as_py(), np.uint32), np.frombuffer(b.as_py(), np.uint32), similarity) for a, b in zip(batch.column(2), batch.column(3), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(i).filter(pa.array(keep, pa.bool_())) for i in (0, 1)], names=["u", "v"])
+
+    ship(pairs.sparkSession)
+    heads = materialize(pairs.groupBy("u").agg(F.count("*").alias("__n")).join(sets.select(F.col("id").alias("u"), F.col("shingles").alias("a")), "u"), "heads")
+    rows = by_group(pairs.join(sets.select(F.col("id").alias("v"), F.col("shingles").alias("b")), "v"), heads, ["u"], most=100, few=0)
+    return rows.select("u", "v", "a", "b").mapInArrow(run, "u long, v long")
+
+
+def _completed(stars: DataFrame, labels: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Links between labels (u, v) that are missing: from keys whose sets have several labels, all pairs of which are compared.
+
+    Keys with the same sets are one.  A key's most frequent label is left out of one side, so that a few others beside a
+    large component meet its blocks, and its blocks don't meet each other.
+    """
+    owned = stars.select("key", F.col("v").alias("id")).distinct().join(labels, "id", "left").select("key", "id", F.coalesce("label", "id").alias("label"))
+    owned = materialize(owned, "owned")
+    mark = F.xxhash64("id")
+    by_label = owned.groupBy("key", "label").agg(F.count("*").alias("n"), F.bit_xor(mark).alias("a"), F.sum(mark.bitwiseAND(F.lit((1 << 32) - 1))).alias("b"))
+    mixed = by_label.groupBy("key").agg(F.count("*").alias("labels"), F.max(F.struct("n", "label")).alias("top"), F.sum("n").alias("n"), F.bit_xor("a").alias("a"), F.sum("b").alias("b")).where("labels > 1")
+    mixed = mixed.groupBy("a", "b", "n").agg(F.min(F.struct("key", F.col("top.label").alias("top"), F.col("top.n").alias("n_top"))).alias("m")).select("m.*", (F.col("n") - F.col("m.n_top")).alias("n_rest"))
+    rows = owned.join(materialize(mixed, "mixed"), "key")
+    blocks = lambda n: F.ceil(F.col(n) / BLOCK).cast("int")
+    is_top = F.col("label") == F.col("top")
+    rows = rows.withColumn("own", F.pmod(F.xxhash64(F.lit(7), "id"), F.when(is_top, blocks("n_top")).otherwise(blocks("n_rest"))).cast("int") - F.when(is_top, blocks("n_top")).otherwise(0))
+    trees = F.sequence(F.lit(0), blocks("n_rest") - 1)
+    small = F.sequence(-blocks("n_top"), F.lit(-1))  # blocks of the most frequent label have numbers below zero
+    meets = F.when(is_top, F.transform(trees, lambda t: F.struct(t.alias("t"), F.col("own").alias("q")))).otherwise(
+        F.concat(F.transform(small, lambda q: F.struct(F.col("own").alias("t"), q.alias("q"))), F.transform(trees, lambda t: F.struct(F.least(t, F.col("own")).alias("t"), F.greatest(t, F.col("own")).alias("q"))))
+    )
+    dealt = rows.withColumn("p", F.explode(meets)).select(F.lit(0).alias("tbl"), "key", "p.t", "p.q", "own", "id", "label").join(sets, "id").select("tbl", "key", "t", "q", "own", "label", "shingles")
 
     def compare(part):
         us, vs = [], []
         for i, j in _cuts(part[:4]):
-            own, ids, fp = part[4][i:j], part[5][i:j], part[6][i:j].view(np.uint64)
+            own, label = part[4][i:j], part[5][i:j]
             nodes, asked = np.flatnonzero(own == part[2][i]), np.flatnonzero(own == part[3][i])
-            for x, y in similar_links(list(part[7][i:j]), _found(fp, nodes, asked, radius), j - i, similarity):
-                us.append(int(ids[x]))
-                vs.append(int(ids[y]))
+            sized = np.array([len(x) for x in part[6][i:j]])
+            for a in _byte_cuts(nodes, sized):  # very long texts meet in smaller parts
+                for b in _byte_cuts(asked, sized):
+                    at = np.unique(np.concatenate([a, b]))
+                    for x, y in similar_links([part[6][i + k] for k in at.tolist()], np.searchsorted(at, a), np.searchsorted(at, b), label[at], similarity):
+                        us.append(int(label[at[x]]))
+                        vs.append(int(label[at[y]]))
         return pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], names=["u", "v"])
 
-    compared = _by_shard(hits.join(sets, "id").select(*hits.columns, "shingles"), compare, "u long, v long")
-    labels = connected_components(compared)
-    labelled = materialize(labels.select(F.col("v").alias("id"), "label").join(distinct.select("id", "first"), "id"), "labels")
-    smallest = labelled.groupBy("label").agg(F.min("first").alias("component_id"))
-    full = distinct.select("id", "first").join(labelled.join(smallest, "label").select("id", "label", "component_id"), "id", "left").select("id", F.coalesce("component_id", "first").alias("component_id"), F.coalesce("label", "id").alias("component"))
-    return found.select("doc_id", "id", *carry).join(full, "id").select("doc_id", "component_id", "component", *carry)
+    return _by_shard(dealt, compare, "u long, v long")
+
+
+def _byte_cuts(index: np.ndarray, sizes: np.ndarray) -> list[np.ndarray]:
+    """The indices in parts of ``BLOCK_BYTES`` at most, or of one."""
+    ends = np.cumsum(sizes[index])
+    part = (ends - 1) // BLOCK_BYTES if len(ends) else ends
+    return np.split(index, np.flatnonzero(np.diff(part)) + 1)
+
+
+def similar_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", ngram: int = 5, similarity: float = 0.8, radius: int = 3, carry: tuple[str, ...] = ()) -> DataFrame:
+    """One row per input row: (doc_id, component_id, component, *carry) over links of at least this Jaccard similarity of word shingles.
+
+    No link is missed.  Fingerprints of the sets of shingles within the radius, found through BK-trees, propose pairs
+    first; they are near copies, which make up large groups.  Two sets this similar also share a member of their
+    prefixes, the members that come first in one order for all: here the least frequent by counters over the corpus, so
+    that what many texts quote makes no large groups.  Each set is proposed to be linked with the first one of every key
+    of its prefix.  Proposals are verified on the sets themselves (as 32-bit hashes), and make components; then all pairs
+    of those keys whose sets are still in several components are compared.  Texts with equal sets are one to the
+    search, empty and null texts among them.  ``component_id`` is the smallest identifier reachable, null
+    if none is known; ``component`` tells components apart where identifiers are null or repeated.  Rows keep their
+    number; an empty table gives no row; the columns ``carry`` follow as they are, others are ignored.
+    """
+    found = materialize(_sets(df, id_col, text_col, ngram, carry), "sets")
+    distinct = materialize(found.groupBy("id").agg(F.min("doc_id").alias("first"), F.min("fp").alias("fp"), F.count("*").alias("__n")), "distinct")
+    stars = materialize(_stars(_prefixes(found, _shingle_counts(found), similarity)), "stars")
+    pairs = materialize(_proposed(distinct, stars, radius), "pairs")
+    wanted = pairs.select(F.explode(F.array("u", "v")).alias("id")).distinct()
+    sets = materialize(found.join(wanted, "id", "left_semi").groupBy("id").agg(F.min("shingles").alias("shingles")), "wanted")
+    labels = materialize(connected_components(_verified(pairs, sets, similarity)).withColumnRenamed("v", "id"), "labels")
+    later = connected_components(_completed(stars, labels, sets, similarity)).select(F.col("v").alias("label"), F.col("label").alias("to"))
+    full = distinct.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id")).join(later, "label", "left").select("id", "first", "__n", F.coalesce("to", "label").alias("component"))
+    full = materialize(full, "full")
+    smallest = full.groupBy("component").agg(F.min("first").alias("component_id"), F.count("*").alias("__n"))
+    named = by_group(full.withColumnRenamed("__n", "n"), materialize(smallest, "smallest"), ["component"]).select("id", "component_id", "component", F.col("n").alias("__n"))
+    return by_group(found.select("doc_id", "id", *carry), materialize(named, "named"), ["id"]).select("doc_id", "component_id", "component", *carry)

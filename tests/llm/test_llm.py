@@ -1,4 +1,5 @@
 import hashlib
+import math
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -13,7 +14,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from galley.llm import bpe_words, chat, components, exact_dedup, packing, pretokens, quality_model, quality_rules, secret_scan, sharding, simhash, warc
+from galley.llm import bpe_words, chat, common, components, exact_dedup, packing, pretokens, quality_model, quality_rules, secret_scan, sharding, simhash, warc
 from galley.llm.docstats import NAMES, stats
 from galley.llm.vocabulary import Vocabulary
 
@@ -131,6 +132,42 @@ def test_short_texts_at_the_threshold(spark):
     assert found == {d: d - d % 2 for d, _ in docs}
 
 
+@pytest.mark.parametrize("many,block,few", [(10**5, 1024, 10**5), (6, 8, 4)])
+def test_no_link_is_missed(spark, monkeypatch, many, block, few):
+    """Pairs about the threshold, chains, a passage in most texts, one large group; salted keys, small blocks, shuffled joins."""
+    monkeypatch.setattr(simhash, "MANY", many)
+    monkeypatch.setattr(simhash, "BLOCK", block)
+    monkeypatch.setattr(simhash, "BLOCK_BYTES", 1500)
+    monkeypatch.setattr(common, "FEW_GROUPS", few)
+    rng = np.random.default_rng(11)
+    passage, docs = [f"p{i}" for i in range(50)], []
+    for g in range(60):
+        n = int(rng.integers(3, 90))
+        base = [f"g{g}w{i}" for i in range(n)]
+        for c in range(30 if g == 7 else int(rng.integers(1, 7))):
+            own = list(base)
+            for _ in range(int(rng.integers(0, 1 + n // 12))):
+                own[int(rng.integers(len(own)))] = f"x{rng.integers(10**9)}"
+            own = own[: int(rng.integers(max(1, int(0.8 * n)), n + 1))]
+            docs.append((len(docs), " ".join([*own, *passage] if g % 2 else own)))
+            if c % 2 == 0:
+                base = own if len(own) > 2 else base  # a chain: the next copy is a copy of this one
+    docs += [(len(docs) + k, " ".join([*passage, *[f"t{k}e{i}" for i in range(k)]])) for k in range(14)]
+    sets = [set(simhash.shingles(t, 5).tolist()) for _, t in docs]
+    roots = classes(sets, lambda a, b: len(a & b) >= 0.8 * len(a | b))
+    found = {r.doc_id: r.component_id for r in simhash.similar_documents(spark.createDataFrame(docs, "doc_id long, text string").repartition(5)).collect()}
+    assert [found[d] for d, _ in docs] == [min(d for (d, _), x in zip(docs, roots, strict=True) if x == r) for r in roots]
+    assert 20 < len(set(roots)) < len(docs) - 20
+
+
+def test_prefixes_meet_at_the_threshold():
+    for a in range(1, 60):
+        for b in range(a, 75):
+            both = math.ceil(0.8 * (a + b) / 1.8 - 1e-9)
+            if both <= a:  # the last members in common, all others first
+                assert simhash._prefix_length(a, 0.8) > a - both and simhash._prefix_length(b, 0.8) > b - both
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(60)] + [(100, 101), (7, 7)]
     found = {r.v: r.label for r in components.connected_components(spark.createDataFrame(edges, "u long, v long")).collect()}
@@ -310,6 +347,62 @@ def test_arc_versions():
     assert warc.iso_date("1999") == "1999-01-01T00:00:00Z" and warc.iso_date("x") == "1970-01-01T00:00:00Z"
 
 
+def test_damage_is_kept_apart():
+    first = warc.arc_start(1, "a.arc", "20240101000000")
+    good = [warc.arc_record(1, f"http://x/{i}", "20240102000000", b"body", i) for i in range(3)]
+    data = b"\n".join([first, good[0], b"broken line", good[1], b"http://y 0 2024 text/html 9x", good[2], b"cut"])
+    found = list(warc.parse_arc(data, "keep"))
+    assert [r["url"] for r in found] == ["filedesc://a.arc", "http://x/0", "-", "http://x/1", "-", "http://x/2", "-"]
+    assert [r["content"] for r in found if r["type"] == "damaged"] == [b"broken line", b"http://y 0 2024 text/html 9x", b"cut"]
+    with pytest.raises(ValueError):
+        list(warc.parse_arc(data))
+
+
+def test_inflated_members_and_offsets():
+    import gzip
+
+    data = bytes(range(256)) * 20000
+    for content in (data, gzip.compress(data), b"".join(warc.member(data[i : i + 777]) for i in range(0, len(data), 777)) + b"\0" * 9):
+        source = warc.Inflated(content)
+        assert source.take(3) == data[:3] and source.until(b"\xff\x00") == data[3:255] and source.offset == 257
+        assert source.take(len(data) - 257) == data[257:] and source.take(1) is None and source.ends()
+    with pytest.raises(ValueError):
+        warc.Inflated(gzip.compress(data)[:-9]).take(len(data) + 1)
+    raw = b"".join(warc.member(warc.warc_record("response", "u", "d", f"r{i}", b"", b"x" * i, "0", i, {}) + b"\r\n\r\n") + warc.member(b"") for i in range(5))
+    for fields, block, at in warc.parse_warc(raw):
+        again = next(warc.parse_warc(raw[at:]))
+        assert again[0] == fields and again[1] == block
+
+
+def test_any_archive_converts(spark, tmp_path):
+    """Binary payloads, one stream of many records, any file name, folders within the folder."""
+    import gzip
+
+    (tmp_path / "arcs/deep").mkdir(parents=True)
+    latin = "déjà vu ".encode("latin-1") * 40 + bytes(range(256))
+    files = {"arcs/IA-0001.arc.gz": gzip.compress, "arcs/deep/x.arc": bytes}
+    for k, (name, squeeze) in enumerate(files.items()):
+        records = [warc.arc_record(1 + k, f"http://x/{k}{i}", "20240102000000", latin, 10 * k + i) for i in range(3)]
+        plain = "http://x/dns 0.0.0.0 20240101 text/dns 5" if k == 0 else "http://x/dns 0.0.0.0 20240101 text/dns 200 - - 0 n 5"
+        (tmp_path / name).write_bytes(squeeze(b"\n".join([warc.arc_start(1 + k, name, "20240101000000"), *records, plain.encode() + b"\nhello", b""])))
+    warc.convert(spark, str(tmp_path / "arcs"), str(tmp_path / "warcs"))
+    found = warc.read_warcs(spark, str(tmp_path / "warcs")).collect()
+    assert Counter(r["record_type"] for r in found) == {"resource": 2, "response": 1, "revisit": 5}
+    (first,) = (r for r in found if r["record_type"] == "response")
+    assert first["page_id"] == 0 and first["payload_digest"] == hashlib.sha256(latin).hexdigest()
+    assert {r["refers_to_id"] for r in found if r["record_type"] == "revisit"} == {first["record_id"]}
+
+
+def test_a_page_of_most_rows(spark, monkeypatch):
+    """One page copied 12,000 times, beside a clashing column; revisits told by broadcast and by a join."""
+    big = "<p>" + "hot " * 50
+    df = spark.range(0, 15000, numPartitions=5).select(F.col("id").alias("page_id"), F.lit("u").alias("url"), F.when(F.col("id") % 5 < 4, big).otherwise(F.concat(F.lit(big), "id")).alias("html"), F.lit(1).alias("digest"))
+    for told in (1 << 20, 0):
+        monkeypatch.setattr(warc, "TOLD_BYTES", told)
+        found = warc.archive(df).groupBy("record_type", "refers_to").count().collect()
+        assert sorted((r["record_type"], r["refers_to"], r["count"]) for r in found) == [("response", None, 3001), ("revisit", 0, 11999)]
+
+
 def test_archives_round_trip(spark):
     big = "<p>" + "same payload " * 20
     rows = [(3, "http://a", big), (1, "http://b", big), (2, None, big), (4, "http://c", "tiny"), (5, "http://c", "tiny"), (6, "http://d", None), (7, "http://e", ""), (8, "http://f", "WARC/1.1\r\n\r\nfiledesc://x\n日本"), (1, "http://b", big), (None, "http://g", big), (9, "u", "é" * 200000)]
@@ -345,6 +438,32 @@ def test_exact_dedup(odd, none, keep, fan_in):
     assert exact_dedup.exact_dedup(none).count() == 0
 
 
+def test_runs_merge_as_one_sort():
+    rng = np.random.default_rng(3)
+    runs, rows = [], []
+    for n in (0, 1, 7, 400, 33):
+        run = np.zeros(n, exact_dedup.ENTRY)
+        run["key"] = [bytes(rng.integers(0, 3, 2, np.uint8)) * 24 for _ in range(n)]
+        run["low"] = run["high"] = rng.integers(-9, 9, n)
+        run["n"] = 1
+        rows += run.tolist()
+        runs.append(exact_dedup.collapse(run[np.argsort(run["key"], kind="stable")]))
+    want = {}
+    for k, low, high, n in rows:
+        a = want.get(k, (low, high, 0))
+        want[k] = min(a[0], low), max(a[1], high), a[2] + n
+    assert [(k, (a, b, n)) for k, a, b, n in exact_dedup.merge(runs).tolist()] == sorted(want.items())
+
+
+def test_exact_dedup_of_a_hot_text(spark, monkeypatch):
+    """Half of 30,000 rows are one text; small runs, small ranges, groups beyond what is broadcast."""
+    monkeypatch.setattr(common, "FEW_GROUPS", 10)
+    monkeypatch.setattr(exact_dedup, "RANGE_ENTRIES", 500)
+    df = spark.range(0, 30000, numPartitions=7).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 2 == 0, "Hot").otherwise(F.concat(F.lit("t"), (F.col("id") / 10).cast("int"))).alias("text"))
+    found = exact_dedup.exact_dedup(df).groupBy("group_size", "kept").count().collect()
+    assert {(r["group_size"], r["kept"]): r["count"] for r in found} == {(15000, True): 1, (15000, False): 14999, (5, True): 3000, (5, False): 12000}
+
+
 # 8
 
 
