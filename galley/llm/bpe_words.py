@@ -1,9 +1,10 @@
 """Byte-level BPE encoding through a global shuffle of distinct words, and decoding through the token-byte table.
 
 Texts are cut into blocks.  A block's pre-tokens become positions that refer to the block's own distinct words; the
-words are dealt out by hash over all blocks, each distinct word is encoded once where it meets its copies, and the ids
-go back to their blocks, where positions put them in order.  Positions travel as compressed integers, so that the
-exploded form (text, position, word) never exists as rows, and a frequent word costs one entry a block.
+words are dealt out by hash over all blocks, each distinct word is encoded once where it meets its copies (in a large
+corpus once for each part of it, which bounds a bucket), and the ids go back to their blocks, where positions put them
+in order.  Positions travel as compressed integers, so that the exploded form (text, position, word) never exists as
+rows, and a frequent word costs one entry a block.
 """
 from __future__ import annotations
 
@@ -22,9 +23,11 @@ from . import pretokens
 from .common import estimated_bytes, shuffle_partitions, sub_batches, texts
 from .vocabulary import Vocabulary
 
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 4 << 20
 #: Bytes of input for each bucket of words at least; a bucket holds about a tenth of that in distinct words.
-BUCKET_INPUT = 32 << 20
+BUCKET_INPUT = 8 << 20
+#: Bytes of input whose blocks may meet in one bucket: a word that all blocks have is encoded once for each so many.
+SALT_INPUT = 8 << 30
 _ROW = "bucket int, block long, part int, a binary, b binary, c binary"
 
 
@@ -56,6 +59,7 @@ def encode(df: DataFrame, vocabulary: Vocabulary, id_col: str = "doc_id", text_c
     """
     spark = ship(df.sparkSession)
     buckets = max(shuffle_partitions(spark), min(1 << 22, estimated_bytes(df) // BUCKET_INPUT))
+    salts = 1 + min(511, estimated_bytes(df) // SALT_INPUT)
     source = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
 
     def blocks(batches):
@@ -85,7 +89,7 @@ def encode(df: DataFrame, vocabulary: Vocabulary, id_col: str = "doc_id", text_c
             for i, j in zip(cuts, [*cuts[1:], len(order)], strict=False):
                 at = order[i:j]
                 held = [mine[k] for k in at.tolist()]
-                rows.append((int(home[at[0]]), block, int(home[at[0]]), pack(np.diff(at, prepend=0)), pack(np.fromiter(map(len, held), np.uint32, len(held))), _squeeze(b"".join(held))))
+                rows.append((int(home[at[0]]) * salts + block % salts, block, int(home[at[0]]), pack(np.diff(at, prepend=0)), pack(np.fromiter(map(len, held), np.uint32, len(held))), _squeeze(b"".join(held))))
                 if len(rows) == 2000:
                     yield _rows(rows)
                     rows = []

@@ -2,6 +2,8 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import contextvars
 import os
 import uuid
 from collections.abc import Callable, Iterator
@@ -14,29 +16,41 @@ from pyspark.sql.types import StructType
 
 from ..shipping import ship
 
-#: Tables this process wrote below the shared folder, by session.
-_WRITTEN: list[tuple[SparkSession, str]] = []
-#: Those that ``release`` leaves alone.
-_LASTING: list[tuple[SparkSession, str]] = []
+#: Tables this process wrote below the shared folder: session, owner, path.
+_WRITTEN: list[tuple[SparkSession, str, str]] = []
+_OWNER: contextvars.ContextVar[str] = contextvars.ContextVar("owner", default="")
 _OWN = f"/tmp/checkpoints/galley-{os.getpid()}"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``; a local default only where it is unset."""
+    """The folder all executors share: ``spark.checkpoint.dir``; a default of this machine only where it is unset and all run on it."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = _OWN
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
-def new_path(spark: SparkSession, label: str, scratch: bool = True) -> str:
-    """A fresh path below the shared folder; ``release`` removes it if it is scratch, else the end of the process."""
+def new_path(spark: SparkSession, label: str) -> str:
+    """A fresh path below the shared folder, removed with its owner's others or at the end of the process."""
     path = f"{shared_dir(spark)}/galley-{label}-{uuid.uuid4().hex}"
-    (_WRITTEN if scratch else _LASTING).append((spark, path))
+    _WRITTEN.append((spark, _OWNER.get(), path))
     return path
 
 
+@contextlib.contextmanager
+def owned(spark: SparkSession, owner: str):
+    """Tables written within belong to ``owner``; what it wrote before is removed first, since nothing reads it any more."""
+    release(owner)
+    token = _OWNER.set(owner)
+    try:
+        yield
+    finally:
+        _OWNER.reset(token)
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as a Parquet table in the shared folder and read it back: cuts the lineage, survives lost executors."""
     spark = df.sparkSession
@@ -64,26 +78,24 @@ def numbered(df: DataFrame) -> DataFrame:
     return materialize(df, "numbered").select(*own, *[k.alias(n) for k, n in zip(key, ROW, strict=True)])
 
 
-def release(spark: SparkSession) -> None:
-    """Remove every table ``materialize`` wrote so far; call it only when no pending result reads them."""
+def release(owner: str | None = None) -> None:
+    """Remove the tables of an owner, or all; call it only when no pending result reads them."""
     keep = []
-    for owner, path in _WRITTEN:
+    for spark, whose, path in _WRITTEN:
+        if owner is not None and whose != owner:
+            keep.append((spark, whose, path))
+            continue
         try:
             jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-            jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jvm_path, True)
-        except Exception:  # the folder may be gone, or the session stopped
-            keep.append((owner, path))
-    _WRITTEN[:] = keep if keep and not spark._jsc.sc().isStopped() else []
+            stopped = spark._jsc.sc().isStopped()
+            conf = spark._jvm.org.apache.hadoop.conf.Configuration() if stopped else spark._jsc.hadoopConfiguration()
+            jvm_path.getFileSystem(conf).delete(jvm_path, True)
+        except Exception:  # the JVM or the store may be gone; at the end nothing more can be done
+            keep.append((spark, whose, path))
+    _WRITTEN[:] = keep
 
 
-@atexit.register
-def _at_exit() -> None:
-    _WRITTEN.extend(_LASTING)
-    for spark in {id(s): s for s, _ in _WRITTEN}.values():
-        try:
-            release(spark)
-        except Exception:
-            pass
+atexit.register(release)
 
 
 def texts(column: pa.Array | pa.ChunkedArray) -> list[str]:

@@ -99,15 +99,21 @@ def pieces(df: DataFrame, vocabulary: Vocabulary, capacity: int, end_id: int, id
         seen: dict[int, int] = {}
         for batch in batches:
             for own in sub_batches(batch, "text", 4 << 20):
-                index, distinct, counts = pretokens.words(texts(own.column(1)))
+                parts = [vocabulary.split(t) for t in texts(own.column(1))]
+                index, distinct, counts = pretokens.words([x for p in parts for x in p[::2]])
                 flat, offsets = pretokens.flat_ids(vocabulary.encode(), pretokens.as_bytes(distinct))
                 ids, ends = pretokens.gather(flat, offsets, index)
-                stops = np.concatenate([[0], ends])[np.cumsum(counts)].tolist()
+                stops = iter(np.concatenate([[0], ends])[np.cumsum(counts)].tolist())
                 data, begin = ids.astype("<u4", copy=False).tobytes(), 0
-                tail, cols = np.uint32(end_id).tobytes(), [[] for _ in range(7)]
-                for doc, stop in zip(own.column(0).to_pylist(), stops, strict=True):
-                    whole, n = data[4 * begin : 4 * stop] + tail, stop - begin + 1
-                    begin, at, piece = stop, 0, 0
+                cols = [[] for _ in range(7)]
+                for doc, p in zip(own.column(0).to_pylist(), parts, strict=True):
+                    runs = []
+                    for x in [*p[1::2], end_id]:
+                        stop = next(stops)
+                        runs += [data[4 * begin : 4 * stop], np.uint32(x).tobytes()]
+                        begin = stop
+                    whole = b"".join(runs)
+                    n, at, piece = len(whole) // 4, 0, 0
                     while at < n:
                         size = capacity if at else n - (-(-n // capacity) - 1) * capacity
                         k = seen.get(size, 0)

@@ -249,28 +249,48 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return by_group(found, materialize(full, "full"), ["fp"]).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "n_same")
 
 
-COUNTERS, BLOCK, BLOCK_BYTES, MANY = 1 << 20, 1024, 32 << 20, 100_000
+COUNTERS, BLOCK, BLOCK_BYTES, MANY, FEW_SETS = 1 << 20, 1024, 32 << 20, 100_000, 200_000
+
+
+def sketch(members: np.ndarray) -> bytes:
+    """How many members of a set of 32-bit hashes each of 2 ** k equal ranges has, about six; nothing where one has over 255."""
+    if not len(members):
+        return b""
+    bits = max(2, math.ceil(math.log2(len(members) / 8)))
+    counts = np.bincount(members >> np.uint32(32 - bits), minlength=1 << bits)
+    return counts.astype(np.uint8).tobytes() if counts.max() < 256 else b""
+
+
+def may_be_similar(a: bytes, b: bytes, n_a: int, n_b: int, similarity: float) -> bool:
+    """Whether sets of these sketches and sizes can have this similarity: they share no more than their ranges allow."""
+    if n_a < similarity * n_b - 1e-9 or n_b < similarity * n_a - 1e-9:
+        return False
+    if not a or not b:
+        return True
+    x, y = sorted((np.frombuffer(a, np.uint8).astype(np.int32), np.frombuffer(b, np.uint8).astype(np.int32)), key=len)
+    both = int(np.minimum(x, y.reshape(len(x), -1).sum(1)).sum())
+    return both * (1 + similarity) >= similarity * (n_a + n_b) - 1e-9
 
 
 def _sets(df: DataFrame, id_col: str, text_col: str, ngram: int, carry: tuple[str, ...]) -> DataFrame:
-    """(doc_id, id, fp, shingles, *carry) of every text: id is a hash of the set of its shingles, shingles their sorted 32-bit hashes."""
+    """(doc_id, id, fp, n, sketch, shingles, *carry) of every text: id is a hash of the set of its n shingles, shingles their sorted 32-bit hashes."""
     source = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *carry)
-    names = ["doc_id", "id", "fp", "shingles", *carry]
-    schema = StructType.fromDDL("doc_id long, id long, fp long, shingles binary")
+    names = ["doc_id", "id", "fp", "n", "sketch", "shingles", *carry]
+    schema = StructType.fromDDL("doc_id long, id long, fp long, n int, sketch binary, shingles binary")
     for field in source.schema.fields[2:]:
         schema.add(field)
 
     def run(batches):
         for batch in batches:
             for part in sub_batches(batch, "text", 8 << 20):
-                cols: list[list] = [[] for _ in range(3)]
+                cols: list[list] = [[] for _ in range(5)]
                 for t in texts(part.column(1)):
                     own = np.unique(shingles(t, ngram))
-                    small = np.unique(own.astype(np.uint32)).tobytes()
-                    for c, v in zip(cols, (xxhash.xxh64_intdigest(small, 1), majority(own), small), strict=True):
+                    small = np.unique(own.astype(np.uint32))
+                    for c, v in zip(cols, (xxhash.xxh64_intdigest(data := small.tobytes(), 1), majority(own), len(small), sketch(small), data), strict=True):
                         c.append(v)
                 signed = [pa.array(np.array(c, np.uint64).view(np.int64)) for c in cols[:2]]
-                yield pa.RecordBatch.from_arrays([part.column(0), *signed, pa.array(cols[2], pa.binary()), *part.columns[2:]], names=names)
+                yield pa.RecordBatch.from_arrays([part.column(0), *signed, pa.array(cols[2], pa.int32()), *(pa.array(c, pa.binary()) for c in cols[3:]), *part.columns[2:]], names=names)
 
     ship(df.sparkSession)
     return source.mapInArrow(run, schema)
@@ -404,25 +424,51 @@ def _proposed(distinct: DataFrame, stars: DataFrame, radius: int) -> DataFrame:
     return pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """The pairs that have the similarity; sets: (id, shingles)."""
+def _attached(pairs: DataFrame, table: DataFrame, columns: list[str], few: int | None = None) -> DataFrame:
+    """Pairs (u, v) with the columns of both their sets, as u_name and v_name; a set with many pairs is joined apart."""
+    side = lambda x: table.select(F.col("id").alias(x), *[F.col(c).alias(f"{x}_{c}") for c in columns])
+    heads = materialize(pairs.groupBy("u").agg(F.count("*").alias("__n")).join(side("u"), "u"), "heads")
+    return by_group(pairs.join(side("v"), "v"), heads, ["u"], most=100, few=few)
+
+
+def _kept(rows: DataFrame, names: list[str], test) -> DataFrame:
+    """The pairs (u, v) of rows whose values of the columns pass a test."""
 
     def run(batches):
         for batch in batches:
-            keep = [jaccard_at_least(np.frombuffer(a.as_py(), np.uint32), np.frombuffer(b.as_py(), np.uint32), similarity) for a, b in zip(batch.column(2), batch.column(3), strict=True)]
+            keep = [test(*(x.as_py() for x in row)) for row in zip(*batch.columns[2:], strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(i).filter(pa.array(keep, pa.bool_())) for i in (0, 1)], names=["u", "v"])
 
-    ship(pairs.sparkSession)
-    heads = materialize(pairs.groupBy("u").agg(F.count("*").alias("__n")).join(sets.select(F.col("id").alias("u"), F.col("shingles").alias("a")), "u"), "heads")
-    rows = by_group(pairs.join(sets.select(F.col("id").alias("v"), F.col("shingles").alias("b")), "v"), heads, ["u"], most=100, few=0)
-    return rows.select("u", "v", "a", "b").mapInArrow(run, "u long, v long")
+    ship(rows.sparkSession)
+    return rows.select("u", "v", *names).mapInArrow(run, "u long, v long")
+
+
+def _candidates(pairs: DataFrame, distinct: DataFrame, similarity: float) -> DataFrame:
+    """The pairs whose sketches and sizes don't rule the similarity out."""
+    rows = _attached(pairs, distinct, ["n", "sketch"])
+    return _kept(rows, ["u_sketch", "v_sketch", "u_n", "v_n"], lambda a, b, m, n: may_be_similar(a, b, m, n, similarity))
+
+
+def _shingles_of(found: DataFrame, ids: DataFrame) -> DataFrame:
+    """(id, shingles) of the sets named; up to ``FEW_SETS`` identifiers are broadcast, so that other sets stay where they are."""
+    wanted = materialize(ids.distinct(), "ids")
+    few = wanted.count() <= FEW_SETS
+    return materialize(found.select("id", "shingles").join(F.broadcast(wanted) if few else wanted, "id", "left_semi").groupBy("id").agg(F.min("shingles").alias("shingles")), "wanted")
 
 
-def _completed(stars: DataFrame, labels: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+def _verified(pairs: DataFrame, found: DataFrame, similarity: float) -> DataFrame:
+    """The pairs that have the similarity."""
+    sets = _shingles_of(found, pairs.select(F.explode(F.array("u", "v")).alias("id")))
+    as_set = lambda x: np.frombuffer(x, np.uint32)
+    return _kept(_attached(pairs, sets, ["shingles"], few=0), ["u_shingles", "v_shingles"], lambda a, b: jaccard_at_least(as_set(a), as_set(b), similarity))
+
+
+def _completed(stars: DataFrame, labels: DataFrame, distinct: DataFrame, found: DataFrame, similarity: float) -> DataFrame:
     """Links between labels (u, v) that are missing: from keys whose sets have several labels, all pairs of which are compared.
 
     Keys with the same sets are one.  A key's most frequent label is left out of one side, so that a few others beside a
-    large component meet its blocks, and its blocks don't meet each other.
+    large component meet its blocks, and its blocks don't meet each other.  Sketches are compared first; only sets that
+    have a partner by these are brought together.
     """
     owned = stars.select("key", F.col("v").alias("id")).distinct().join(labels, "id", "left").select("key", "id", F.coalesce("label", "id").alias("label"))
     owned = materialize(owned, "owned")
@@ -439,7 +485,19 @@ def _completed(stars: DataFrame, labels: DataFrame, sets: DataFrame, similarity:
     meets = F.when(is_top, F.transform(trees, lambda t: F.struct(t.alias("t"), F.col("own").alias("q")))).otherwise(
         F.concat(F.transform(small, lambda q: F.struct(F.col("own").alias("t"), q.alias("q"))), F.transform(trees, lambda t: F.struct(F.least(t, F.col("own")).alias("t"), F.greatest(t, F.col("own")).alias("q"))))
     )
-    dealt = rows.withColumn("p", F.explode(meets)).select(F.lit(0).alias("tbl"), "key", "p.t", "p.q", "own", "id", "label").join(sets, "id").select("tbl", "key", "t", "q", "own", "label", "shingles")
+    dealt = rows.withColumn("p", F.explode(meets)).select(F.lit(0).alias("tbl"), "key", "p.t", "p.q", "own", "id", "label")
+    kept = ["tbl", "key", "t", "q", "own", "id", "label"]
+
+    def rule_out(part):
+        hit = np.zeros(len(part[0]), bool)
+        for i, j in _cuts(part[:4]):
+            own = part[4][i:j]
+            nodes, asked = np.flatnonzero(own == part[2][i]), np.flatnonzero(own == part[3][i])
+            hit[i + _partners(part[8][i:j], part[7][i:j], part[6][i:j], nodes, asked, similarity)] = True
+        return pa.RecordBatch.from_arrays([pa.array(c[hit]) for c in part[:7]], names=kept)
+
+    schema = "tbl int, key int, t int, q int, own int, id long, label long"
+    hits = materialize(_by_shard(dealt.join(distinct.select("id", "n", "sketch"), "id").select(*kept, "n", "sketch"), rule_out, schema), "hits")
 
     def compare(part):
         us, vs = [], []
@@ -455,7 +513,33 @@ def _completed(stars: DataFrame, labels: DataFrame, sets: DataFrame, similarity:
                         vs.append(int(label[at[y]]))
         return pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], names=["u", "v"])
 
-    return _by_shard(dealt, compare, "u long, v long")
+    sets = _shingles_of(found, hits.select("id"))
+    return _by_shard(hits.join(sets, "id").select("tbl", "key", "t", "q", "own", "label", "shingles"), compare, "u long, v long")
+
+
+def _partners(sketches: np.ndarray, sizes: np.ndarray, label: np.ndarray, nodes: np.ndarray, asked: np.ndarray, similarity: float) -> np.ndarray:
+    """Indices of the nodes and of those asked that may be similar to one of the other side with another label."""
+    wide = {}  # for each width of sketches those asked, as rows of a matrix, also at half the width
+    width = np.array([len(x) for x in sketches])
+    for w in np.unique(width[asked]).tolist():
+        own = asked[width[asked] == w]
+        matrix = np.frombuffer(b"".join(sketches[own]), np.uint8).reshape(len(own), w)
+        wide[w] = own, matrix, matrix.reshape(len(own), -1, 2).sum(2, dtype=np.uint16) if w > 1 else matrix
+    hit = np.zeros(len(sizes), bool)
+    for node in nodes.tolist():
+        mine, w = np.frombuffer(sketches[node], np.uint8), int(width[node])
+        for v, (own, matrix, half) in wide.items():
+            near = (label[own] != label[node]) & (sizes[own] >= similarity * sizes[node] - 1e-9) & (sizes[node] >= similarity * sizes[own] - 1e-9)
+            if not near.any():
+                continue
+            if v and w and v in (w, 2 * w, w // 2):
+                a, b = (matrix[near], mine) if v == w else (half[near], mine) if v == 2 * w else (matrix[near], mine.reshape(-1, 2).sum(1, dtype=np.uint16))
+                both = np.minimum(a, b).sum(1, dtype=np.int64)
+                near[near] = both * (1 + similarity) >= similarity * (sizes[own[near]] + sizes[node]) - 1e-9
+            if near.any():
+                hit[node] = True
+                hit[own[near]] = True
+    return np.flatnonzero(hit)
 
 
 def _byte_cuts(index: np.ndarray, sizes: np.ndarray) -> list[np.ndarray]:
@@ -472,20 +556,19 @@ def similar_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
     first; they are near copies, which make up large groups.  Two sets this similar also share a member of their
     prefixes, the members that come first in one order for all: here the least frequent by counters over the corpus, so
     that what many texts quote makes no large groups.  Each set is proposed to be linked with the first one of every key
-    of its prefix.  Proposals are verified on the sets themselves (as 32-bit hashes), and make components; then all pairs
-    of those keys whose sets are still in several components are compared.  Texts with equal sets are one to the
+    of its prefix.  Proposals that sketches of the sets don't rule out are verified on the sets themselves (as 32-bit
+    hashes), and make components; then all pairs of those keys whose sets are still in several components are compared,
+    in the same two steps.  Texts with equal sets are one to the
     search, empty and null texts among them.  ``component_id`` is the smallest identifier reachable, null
     if none is known; ``component`` tells components apart where identifiers are null or repeated.  Rows keep their
     number; an empty table gives no row; the columns ``carry`` follow as they are, others are ignored.
     """
     found = materialize(_sets(df, id_col, text_col, ngram, carry), "sets")
-    distinct = materialize(found.groupBy("id").agg(F.min("doc_id").alias("first"), F.min("fp").alias("fp"), F.count("*").alias("__n")), "distinct")
+    distinct = materialize(found.groupBy("id").agg(F.min("doc_id").alias("first"), F.min("fp").alias("fp"), F.min("n").alias("n"), F.min("sketch").alias("sketch"), F.count("*").alias("__n")), "distinct")
     stars = materialize(_stars(_prefixes(found, _shingle_counts(found), similarity)), "stars")
-    pairs = materialize(_proposed(distinct, stars, radius), "pairs")
-    wanted = pairs.select(F.explode(F.array("u", "v")).alias("id")).distinct()
-    sets = materialize(found.join(wanted, "id", "left_semi").groupBy("id").agg(F.min("shingles").alias("shingles")), "wanted")
-    labels = materialize(connected_components(_verified(pairs, sets, similarity)).withColumnRenamed("v", "id"), "labels")
-    later = connected_components(_completed(stars, labels, sets, similarity)).select(F.col("v").alias("label"), F.col("label").alias("to"))
+    pairs = materialize(_candidates(_proposed(distinct, stars, radius), distinct, similarity), "pairs")
+    labels = materialize(connected_components(_verified(pairs, found, similarity)).withColumnRenamed("v", "id"), "labels")
+    later = connected_components(_completed(stars, labels, distinct, found, similarity)).select(F.col("v").alias("label"), F.col("label").alias("to"))
     full = distinct.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id")).join(later, "label", "left").select("id", "first", "__n", F.coalesce("to", "label").alias("component"))
     full = materialize(full, "full")
     smallest = full.groupBy("component").agg(F.min("first").alias("component_id"), F.count("*").alias("__n"))

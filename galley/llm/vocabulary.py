@@ -2,6 +2,8 @@
 from __future__ import annotations
 
 import hashlib
+import json
+import re
 from collections.abc import Callable
 
 from pyspark.sql import SparkSession
@@ -35,6 +37,25 @@ class Vocabulary:
     def encode(self):
         return self._once("encode", lambda: pretokens.encoder(self.ranks()))
 
+    def added(self) -> dict[str, int]:
+        """Tokens that a ``tokenizer.json`` adds to its model: they are matched in texts before anything else."""
+
+        def make() -> dict[str, int]:
+            found = json.loads(self.data.value).get("added_tokens", []) if self.kind == "json" else []
+            if any(t.get(k) for t in found for k in ("single_word", "lstrip", "rstrip", "normalized")):
+                raise ValueError("an added token that looks at its surroundings isn't supported")
+            return {t["content"]: t["id"] for t in found}
+
+        return self._once("added", make)
+
+    def split(self, text: str) -> list:
+        """The text cut at added tokens, whose ids stand between its parts; the leftmost counts, then the longest."""
+        added = self.added()
+        if not any(t in text for t in added):
+            return [text]
+        cut = self._once("cut", lambda: re.compile("(" + "|".join(map(re.escape, sorted(added, key=len, reverse=True))) + ")"))
+        return [added[x] if i % 2 else x for i, x in enumerate(cut.split(text))]
+
     def token_bytes(self):
         """(bytes of all tokens one after another, offsets): the token-byte table."""
         import numpy as np
