@@ -1,6 +1,7 @@
 """Text rules that must keep formulas whole: plain functions of one text, and pandas UDFs over them."""
 from __future__ import annotations
 
+import bisect
 import re
 import unicodedata
 
@@ -10,73 +11,99 @@ from pyspark.sql import functions as F
 
 from .text import DECOR_INCHES
 
-_INLINE, _DISPLAY = re.compile(r"\$[^$\n]+?\$"), re.compile(r"\$\$.*?\$\$", re.S)
+_INLINE = re.compile(r"(\$[^$\n]+\$)")
+#: Stands for a formula while the text around it is worked on.
+_HOLE = "\ue001"
 
 
-class Masked:
-    """A text whose formulas are slots; ``open`` fills them again in one pass."""
+def tokens(text: str) -> list[tuple[bool, str]]:
+    """(is a formula, piece) from the left: inline formulas first, then what a pair of double dollars encloses."""
+    out: list[tuple[bool, str]] = []
+    within: list[tuple[bool, str]] | None = None
+    for i, part in enumerate(_INLINE.split(text)):
+        if i % 2:
+            (out if within is None else within).append((True, part))
+            continue
+        for k, piece in enumerate(part.split("$$")):
+            if k and within is None:
+                within = []
+            elif k:
+                out.append((True, "$$" + "".join(x for _, x in within) + "$$"))
+                within = None
+            (out if within is None else within).append((False, piece))
+    return out if within is None else [*out, (False, "$$"), *within]
+
+
+def around_formulas(text: str, prose, formula=lambda x: x) -> str:
+    """The text with ``prose`` applied to it around its formulas, and ``formula`` to each of these."""
+    found = [(f or x == _HOLE, x) for f, piece in tokens(text) for x in ([piece] if f else re.split(f"({_HOLE})", piece))]
+    pieces = prose("".join(_HOLE if f else x for f, x in found)).split(_HOLE)
+    kept = [formula(x) if x != _HOLE else x for f, x in found if f]
+    return pieces[0] + "".join(a + b for a, b in zip(kept, pieces[1:], strict=True))
+
 
-    def __init__(self, text: str):
-        self.kept: list[str] = []
-        self.text = _DISPLAY.sub(self._slot, _INLINE.sub(self._slot, text))
+# Escaped signs that are plain around formulas, before and after brackets are looked at; those that are plain in them.
+EARLY, LATE, INSIDE = "_<>{}", "^#~&%*+-=|!'", "_^{}"
 
-    def _slot(self, m: re.Match) -> str:
-        self.kept.append(m[0])
-        return f"\x01{len(self.kept) - 1}\x02"
 
-    def open(self, text: str) -> str:
-        fill = lambda m: self.kept[int(m[1])]
-        out = re.sub("\x01(\\d+)\x02", fill, text)
-        return re.sub("\x01(\\d+)\x02", fill, out) if "\x01" in out else out  # an inline formula inside a display one
+def _unescape(signs: str):
+    pattern = re.compile(r"\\([" + re.escape(signs) + "])")
+    return lambda text: pattern.sub(r"\1", text)
 
 
-# Escapes undone outside formulas, and inside them.
-PLAIN_ESCAPES = ("\\^", "\\#", "\\~", "\\&", "\\%", "\\*", "\\+", "\\-", "\\=", "\\|", "\\!", "\\'")
-MATH_ESCAPES = ("\\_", "\\^", "\\{", "\\}")
+_EARLY, _LATE, _INSIDE = _unescape(EARLY), _unescape(LATE), _unescape(INSIDE)
+
+
+def _plain_brackets(text: str) -> str:
+    """``\\[...\\]`` around what has no sign of mathematics is a pair of brackets."""
+    return re.sub(r"\\\[([^]$\\^_]*)\\\]", r"[\1]", text)
 
 
 def fix_latex_escapes(text: str) -> str:
-    """Undo a converter's surplus escapes: everywhere doubled backslashes, outside formulas literal signs, inside only scripts and groups."""
-    for pattern, put in ((r"\\{2,}(?=[\[\]()$_<>{}])", r"\\"), (r"\\{2,}([a-zA-Z]+)", r"\\\1"), (r"\\{2,}([^a-zA-Z0-9])", r"\\\1")):
-        text = re.sub(pattern, put, text)
-    masked = Masked(text.replace("\\$", "$"))
-    out = masked.text
-    for sign in "_<>{}":
-        out = out.replace("\\" + sign, sign)
-    out = re.sub(r"\\(left|right)\\([()\[\]])", r"\\\1\2", out)
-    out = re.sub(r"\\\[([^\]]*?)\\\]", lambda m: m[0] if re.search(r"[$\\^_]", m[1]) else f"[{m[1]}]", out)
-    for escape in PLAIN_ESCAPES:
-        out = out.replace(escape, escape[1])
-    for i, block in enumerate(masked.kept):
-        for escape in MATH_ESCAPES:
-            block = block.replace(escape, escape[1])
-        masked.kept[i] = block
-    return masked.open(out)
+    """Undo a converter's surplus escapes.
+
+    A run of backslashes is one, but two before a digit or the end; dollars are never escaped.  Around formulas signs
+    lose their backslash, delimiters after ``\\left`` and ``\\right`` theirs, and brackets where they hold plain words;
+    inside formulas only scripts and groups do.
+    """
+    once = re.sub(r"\\{2,}([\s\S]?)", lambda m: ("\\\\" if m[1] in "0123456789" else "\\") + m[1], text).replace("\\$", "$")
+
+    def prose(x: str) -> str:
+        x = re.sub(r"\\left\\([(\[])|\\right\\([)\]])", lambda m: f"\\left{m[1]}" if m[1] else f"\\right{m[2]}", _EARLY(x))
+        return _LATE(_plain_brackets(x))
+
+    return around_formulas(once, prose, _INSIDE)
+
+
+_RULE = re.compile(r"(?:[|\s]*\d+\\?\.\s*[|\s]*)?([|+\-=:.\s]*)")
 
 
 def _is_rule(line: str) -> bool:
-    core = re.sub(r"^[|\s]*\d+\\?\.\s*[|\s]*", "", line.strip())
-    return len(core) > 2 and re.fullmatch(r"[|+\-=:.\s]*", core) is not None and re.fullmatch(r"[.\s]+", core) is None
+    """Whether a line, maybe numbered, only draws a table's border; three dots or more are none."""
+    m = _RULE.fullmatch(line.strip())
+    return m is not None and len(m[1]) > 2 and not set(m[1]).isdisjoint("|+-=:")
 
 
 def clean_tables(text: str) -> str:
     """Without table rules and pipes outside formulas; an answer label takes a following line of capitals; blank runs shrink."""
-    masked = Masked(text)
-    out: list[str] = []
-    rows = iter(enumerate(source := masked.text.splitlines()))
-    for i, line in rows:
-        if _is_rule(line):
-            continue
-        line = line.replace("|", "")
-        if "答案:" in line:
-            line = re.sub("[-=]+", "", line)
-            after = source[i + 1].strip() if i + 1 < len(source) else ""
-            if re.fullmatch(r"[A-Z\s]+", after):
-                line = f"{line.rstrip()} {after}"
-                next(rows)
-        out.append(line)
-    joined = re.sub(r"\n{3,}", "\n\n", "\n".join(out))
-    return masked.open("\n".join(x.strip() for x in joined.split("\n"))).strip()
+
+    def prose(x: str) -> str:
+        out: list[str] = []  # from the last line to the first
+        below = ""
+        for line in reversed(x.splitlines()):
+            if not _is_rule(line):
+                kept = line.replace("|", "")
+                if "答案:" in kept:
+                    kept = re.sub("[-=]+", "", kept)
+                    if re.fullmatch(r"[A-Z\s]+", below):
+                        kept = f"{kept.rstrip()} {below}"
+                        out.pop()
+                out.append(kept)
+            below = line.strip()
+        joined = re.sub(r"\n{3,}", "\n\n", "\n".join(reversed(out)))
+        return "\n".join(line.strip() for line in joined.split("\n"))
+
+    return around_formulas(text, prose).strip()
 
 
 def display_to_inline(text: str) -> str:
@@ -85,19 +112,21 @@ def display_to_inline(text: str) -> str:
 
 
 def drop_intent(text: str, problem_markers: tuple[str, ...]) -> str:
-    """Delete each intent note up to the next bold problem marker; a note without one after it stays."""
-    ends = [m.start() for m in re.finditer(r"\*\*(?:" + "|".join(f"(?:{p})" for p in problem_markers) + r")\*\*", text)] if problem_markers else []
-    out, at, k = [], 0, 0
-    for m in re.finditer("【出题意图】", text):
-        if m.start() < at:
-            continue
-        while k < len(ends) and ends[k] < m.end():
-            k += 1
-        if k == len(ends):
-            break
-        out.append(text[at : m.start()])
-        at = ends[k]
-    return "".join([*out, text[at:]])
+    """Delete each intent note that begins a line up to the next bold problem marker; one without a marker after it stays.
+
+    Blank runs shrink, outer blanks go; so they do where a marker's pattern is broken, and nothing else then.
+    """
+    try:
+        ends = [m.start() for m in re.finditer(r"\*\*(?:" + "|".join(problem_markers) + r")\*\*", text)] if problem_markers else []
+    except re.error:
+        return text.strip()
+    out, at = [], 0
+    for m in re.finditer(r"(?m)^【出题意图】", text):
+        k = bisect.bisect_right(ends, m.start())
+        if m.start() >= at and k < len(ends):
+            out.append(text[at : m.start()])
+            at = ends[k]
+    return re.sub(r"\n{3,}", "\n\n", "".join([*out, text[at:]])).strip()
 
 
 def drop_decor(text: str) -> str:
@@ -112,15 +141,19 @@ def drop_decor(text: str) -> str:
     return re.sub(r'!\[(?:test)?\]\([^)]*\)\{width="([\d.]+)in" height="([\d.]+)in"\}', put, text)
 
 
+OPTION_GAP = " " * 34  # fixed value: what stands between an option's letter and its text once its image is gone
+
+
 def lift_images(text: str) -> str:
-    """An option line's image goes to a line of its own, unless the other options within ten lines have images too."""
+    """The image ``![test](...)`` of a line ``A.`` goes to a line of its own, unless options B to D within ten lines have images."""
     rows = text.split("\n")
+    pictured = [i for i, line in enumerate(rows) if re.match(r"[B-D]\.\s*!\[", line)]
     out = []
     for i, line in enumerate(rows):
-        m = re.match(r"^\s*A[.．、]\s*(!\[[^\]]*\]\([^)]*\)(?:\{[^}]*\})?)(.*)$", line)
-        others = any(re.match(r"^\s*[B-D][.．、].*!\[", x) for x in rows[i + 1 : i + 10])
-        if m and not others:
-            out += [m[1], f"A. {m[2].strip()}".rstrip()]
+        m = re.match(r"A\.\s*!\[test\]\(([^)]+)\)\s*(\{[^}]*\})?\s*(.*)", line)
+        after = bisect.bisect_left(pictured, i)
+        if m and not (after < len(pictured) and pictured[after] < i + 10):
+            out += [f"![]({m[1]}){m[2] or ''}", f"A.{OPTION_GAP}{m[3]}"]
         else:
             out.append(line)
     return "\n".join(out)

@@ -210,7 +210,8 @@ def reasons_vs_markers(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def integrity_aligned(spark: SparkSession, d: str) -> DataFrame:
-    r = _reports(spark, d).withColumn("rebuilt", reports.exempted(F.col("body")))
+    r = reports.audited(_reports(spark, d), "body", "text")
+    r = r.withColumn("rebuilt", reports.rebuilt(F.col("body"), F.col("markers"), False))
     return reports.integrity(r, "doc_id", "text", "rebuilt")
 
 

@@ -1,3 +1,4 @@
+import itertools
 import json
 import random
 
@@ -76,7 +77,8 @@ def test_tables():
 
 
 def test_intent_and_decor():
-    assert M.drop_intent("a【出题意图】note **例1** b【出题意图】c", (r"例\d+",)) == "a**例1** b【出题意图】c"
+    assert M.drop_intent("a\n【出题意图】note\n\n\n**例1** b【出题意图】c **例2**\n【出题意图】d ", (r"例\d+",)) == "a\n**例1** b【出题意图】c **例2**\n【出题意图】d"
+    assert M.drop_intent(" a\n【出题意图】b **x**", ("(",)) == "a\n【出题意图】b **x**"
     assert M.drop_decor('x![](a.png){width="0.194in" height="0.194in"}y![](b.png){width="0.5in" height="0.1in"}') == 'xy![](b.png){width="0.5in" height="0.1in"}'
 
 
@@ -135,10 +137,29 @@ def test_segments_stay_in_a_formula():
 
 def test_alignment_keeps_order():
     a, b = ["p", "q", "p", "r"], ["p", "p", "x", "r"]
-    missing, extra, pairs = align(a, b, lambda i, j: a[i] == b[j])
+    missing, extra, pairs = align(a, b)
     assert missing == [1] and extra == [2] and pairs == [(0, 0), (2, 1), (3, 3)]
 
 
+@given(st.lists(st.sampled_from("abcd"), max_size=9), st.lists(st.sampled_from("abcdX"), max_size=9))
+def test_alignment_is_the_longest(a, b):
+    """Against every choice: X of the report may stand for a or b."""
+    fits = lambda i, j: a[i] == b[j] or (b[j] == "X" and a[i] in "ab")
+    best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+    for i, j in itertools.product(range(len(a)), range(len(b))):
+        best[i + 1][j + 1] = max(best[i][j + 1], best[i + 1][j], best[i][j] + fits(i, j))
+    missing, extra, pairs = align(a, b, lambda j: (lambda i: fits(i, j)) if b[j] == "X" else None)
+    assert len(pairs) == best[-1][-1] and all(fits(i, j) for i, j in pairs)
+    assert pairs == sorted(pairs) and len({i for i, _ in pairs}) == len({j for _, j in pairs}) == len(pairs)
+    assert sorted([*missing, *(i for i, _ in pairs)]) == list(range(len(a))) and sorted([*extra, *(j for _, j in pairs)]) == list(range(len(b)))
+
+
+def test_alignment_of_many_paragraphs():
+    a = [f"p{i % 9000}" for i in range(20000)]
+    missing, extra, _ = align(a, [x for i, x in enumerate(a) if i % 5000 != 7] + ["z"])
+    assert len(missing) == 4 and len(extra) == 1
+
+
 @pytest.mark.parametrize(
     "op, params, want",
     [

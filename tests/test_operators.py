@@ -46,9 +46,9 @@ def test_marker_verdicts(spark):
 
 
 def test_reasons(spark):
-    text = "1. first\nmore\n2-3、both\n④ round\n⑤-⑥ range"
+    text = "1. first\nmore\n2-3、both\n④ round\n⑤-⑥ range\n9-8) back\n7.\nnothing\n\n10. last\n核验说明：note\n0.5 no number\n---\n11. gone"
     found = reports.reasons(spark.createDataFrame([(1, text)], "k long, t string"), "k", "t").orderBy("num").collect()
-    assert [(r.num, r.reason) for r in found] == [(1, "first\nmore"), (2, "both"), (3, "both"), (4, "round"), (5, "range"), (6, "range")]
+    assert [(r.num, r.reason) for r in found] == [(1, "first\nmore"), (2, "both"), (3, "both"), (4, "round"), (5, "range"), (6, "range"), (8, "back"), (9, "back"), (10, "last")]
 
 
 def test_verify_two_ways(spark):
