@@ -103,6 +103,27 @@ def texts(column: pa.Array | pa.ChunkedArray) -> list[str]:
     return [x if x is not None else "" for x in column.to_pylist()]
 
 
+def tidy() -> None:
+    """Give memory that a worker no longer uses back to the machine: workers live on between stages."""
+    import ctypes
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:  # another C library
+        pass
+
+
+def tidied(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """A function over batches that tidies up at the end of a partition."""
+
+    def whole(batches):
+        yield from run(batches)
+        tidy()
+
+    return whole
+
+
 def map_arrow(df: DataFrame, schema: StructType | str, fn: Callable[[pa.RecordBatch], dict | None]) -> DataFrame:
     """``mapInArrow`` with a function from one record batch to the columns of one; empty results are left out."""
     want = schema if isinstance(schema, StructType) else StructType.fromDDL(schema)

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..shipping import ship
-from .common import sub_batches, texts
+from .common import sub_batches, texts, tidied
 
 SYMBOLS = "#*$%&|<>"
 NAMES = ("n_chars", "n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_distinct", "n_repeat_words", "n_upper", "n_digits", "n_marks", "n_stops", "longest", "most_frequent", "sum_squares", "n_wide")
@@ -63,4 +63,4 @@ def with_stats(df: DataFrame, keep: tuple[str, ...] = ("doc_id",), text_col: str
                 yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], *(pa.array(np.ascontiguousarray(c)) for c in made.T)], names=[*keep, *NAMES])
 
     ship(df.sparkSession)
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(tidied(run), schema)

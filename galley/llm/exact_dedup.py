@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ..shipping import ship
-from .common import by_group, materialize, shuffle_partitions, sub_batches
+from .common import by_group, materialize, shuffle_partitions, sub_batches, tidied
 
 #: Entries that a range of the digest space has about, and that a worker holds before it emits a run.
 RANGE_ENTRIES, RUN_ENTRIES = 50_000, 400_000
@@ -47,7 +47,7 @@ def digests(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry
                 )
 
     ship(df.sparkSession)
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(tidied(run), schema)
 
 
 _NONE_LOW, _NONE_HIGH = np.iinfo(np.int64).max, np.iinfo(np.int64).min  # an identifier that is missing
@@ -120,7 +120,7 @@ def local_runs(hashed: DataFrame, ranges: int) -> DataFrame:
         if many:
             yield emit()
 
-    return hashed.mapInArrow(run, _RUN)
+    return hashed.mapInArrow(tidied(run), _RUN)
 
 
 def merge_runs(runs: DataFrame, fan_in: int) -> DataFrame:
@@ -146,7 +146,7 @@ def groups(runs: DataFrame) -> DataFrame:
                 low, high = np.ascontiguousarray(e["low"]), np.ascontiguousarray(e["high"])
                 yield pa.RecordBatch.from_arrays([digest, pa.array(size), pa.array(check), pa.array(low, mask=low == _NONE_LOW), pa.array(high, mask=high == _NONE_HIGH), pa.array(np.ascontiguousarray(e["n"]))], names=["digest", "n_bytes", "check_sum", "min_id", "max_id", "n"])
 
-    return runs.mapInArrow(run, _GROUP)
+    return runs.mapInArrow(tidied(run), _GROUP)
 
 
 def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "largest", fan_in: int = 2, carry: tuple[str, ...] = ()) -> DataFrame:

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from ..shipping import ship
 from . import pretokens
-from .common import new_path, sub_batches, texts
+from .common import new_path, sub_batches, texts, tidied
 from .vocabulary import Vocabulary
 
 _PIECES = "doc_id long, piece int, start long, length long, ids binary, part int, k_local long"
@@ -124,7 +124,7 @@ def pieces(df: DataFrame, vocabulary: Vocabulary, capacity: int, end_id: int, id
                 kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["doc_id", "piece", "start", "length", "ids", "part", "k_local"])
 
-    return source.mapInArrow(run, _PIECES)
+    return source.mapInArrow(tidied(run), _PIECES)
 
 
 def pack(df: DataFrame, vocabulary: Vocabulary, capacity: int = 1024, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

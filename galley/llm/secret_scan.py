@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..shipping import ship
-from .common import as_array, by_group, materialize, sub_batches, texts
+from .common import as_array, by_group, materialize, sub_batches, texts, tidied
 
 KINDS = ("assign", "access", "hex", "token")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -80,7 +80,7 @@ def _findings(df: DataFrame, id_col: str, text_col: str, repo, owner) -> DataFra
             yield pa.RecordBatch.from_arrays(cols, names=["rid", "doc_id", "text_key", "repo", "owner", "n_assign", "n_access", "n_hex", "base_sha256", "spans"])
 
     ship(df.sparkSession)
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(tidied(run), schema)
 
 
 def ownership(candidates: DataFrame) -> DataFrame:

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ..shipping import ship
-from .common import by_group, materialize, shuffle_partitions, sub_batches, texts, tree_sum
+from .common import by_group, materialize, shuffle_partitions, sub_batches, texts, tidied, tree_sum
 from .components import connected_components
 
 BITS, TREE = 64, 4096
@@ -69,7 +69,7 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found.view(np.int64))], names=["doc_id", "fp"])
 
     ship(df.sparkSession)
-    return source.mapInArrow(run, "doc_id long, fp long")
+    return source.mapInArrow(tidied(run), "doc_id long, fp long")
 
 
 class BKTree:
@@ -215,7 +215,7 @@ def _by_shard(dealt: DataFrame, work, schema: str) -> DataFrame:
 
     ship(dealt.sparkSession)
     placed = dealt.repartition(shuffle_partitions(dealt.sparkSession), *_SHARD).sortWithinPartitions(*_SHARD)
-    return placed.mapInArrow(run, schema)
+    return placed.mapInArrow(tidied(run), schema)
 
 
 def _deal(keyed: DataFrame, most: int) -> DataFrame:
@@ -249,7 +249,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return by_group(found, materialize(full, "full"), ["fp"]).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "n_same")
 
 
-COUNTERS, BLOCK, BLOCK_BYTES, MANY, FEW_SETS = 1 << 20, 1024, 32 << 20, 100_000, 200_000
+COUNTERS, BLOCK, BLOCK_BYTES, MANY, FEW_SETS, DENSE = 1 << 20, 1024, 32 << 20, 100_000, 200_000, 8
 
 
 def sketch(members: np.ndarray) -> bytes:
@@ -293,7 +293,7 @@ def _sets(df: DataFrame, id_col: str, text_col: str, ngram: int, carry: tuple[st
                 yield pa.RecordBatch.from_arrays([part.column(0), *signed, pa.array(cols[2], pa.int32()), *(pa.array(c, pa.binary()) for c in cols[3:]), *part.columns[2:]], names=names)
 
     ship(df.sparkSession)
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(tidied(run), schema)
 
 
 def _shingle_counts(sets: DataFrame) -> np.ndarray:
@@ -340,7 +340,7 @@ def _prefixes(sets: DataFrame, counts: np.ndarray, similarity: float) -> DataFra
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int32)), pa.array(salt), pa.array(many.astype(np.int32)), pa.array(own)], names=["key", "salt", "salts", "id"])
 
     ship(sets.sparkSession)
-    return sets.select("id", "shingles").mapInArrow(run, "key int, salt int, salts int, id long")
+    return sets.select("id", "shingles").mapInArrow(tidied(run), "key int, salt int, salts int, id long")
 
 
 def _stars(prefixes: DataFrame) -> DataFrame:
@@ -373,7 +373,7 @@ def _stars(prefixes: DataFrame) -> DataFrame:
 
     ship(prefixes.sparkSession)
     by = ["key", "salt", "id"]
-    return prefixes.repartition(shuffle_partitions(prefixes.sparkSession), "key", "salt").sortWithinPartitions(*by).mapInArrow(run, "key int, salts int, u long, v long")
+    return prefixes.repartition(shuffle_partitions(prefixes.sparkSession), "key", "salt").sortWithinPartitions(*by).mapInArrow(tidied(run), "key int, salts int, u long, v long")
 
 
 def jaccard_at_least(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
@@ -440,7 +440,7 @@ def _kept(rows: DataFrame, names: list[str], test) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(i).filter(pa.array(keep, pa.bool_())) for i in (0, 1)], names=["u", "v"])
 
     ship(rows.sparkSession)
-    return rows.select("u", "v", *names).mapInArrow(run, "u long, v long")
+    return rows.select("u", "v", *names).mapInArrow(tidied(run), "u long, v long")
 
 
 def _candidates(pairs: DataFrame, distinct: DataFrame, similarity: float) -> DataFrame:
@@ -489,14 +489,24 @@ def _completed(stars: DataFrame, labels: DataFrame, distinct: DataFrame, found:
     kept = ["tbl", "key", "t", "q", "own", "id", "label"]
 
     def rule_out(part):
-        hit = np.zeros(len(part[0]), bool)
+        """Pairs (id, other) that may be similar; of a shard with many of them the rows that are in one, other being null."""
+        rows, others = [], []
         for i, j in _cuts(part[:4]):
             own = part[4][i:j]
             nodes, asked = np.flatnonzero(own == part[2][i]), np.flatnonzero(own == part[3][i])
-            hit[i + _partners(part[8][i:j], part[7][i:j], part[6][i:j], nodes, asked, similarity)] = True
-        return pa.RecordBatch.from_arrays([pa.array(c[hit]) for c in part[:7]], names=kept)
-
-    schema = "tbl int, key int, t int, q int, own int, id long, label long"
+            a, b = _partners(part[8][i:j], part[7][i:j], part[6][i:j], nodes, asked, similarity)
+            involved = np.unique(np.concatenate([a, b]))
+            if len(a) > DENSE * len(involved):
+                rows.append(i + involved)
+                others.append(np.zeros(len(involved), np.int64) - 1)
+            else:
+                rows.append(i + a)
+                others.append(i + b)
+        at = np.concatenate(rows) if rows else np.empty(0, np.int64)
+        other = np.concatenate(others) if others else np.empty(0, np.int64)
+        return pa.RecordBatch.from_arrays([*(pa.array(c[at]) for c in part[:7]), pa.array(part[5][other], mask=other < 0)], names=[*kept, "other"])
+
+    schema = "tbl int, key int, t int, q int, own int, id long, label long, other long"
     hits = materialize(_by_shard(dealt.join(distinct.select("id", "n", "sketch"), "id").select(*kept, "n", "sketch"), rule_out, schema), "hits")
 
     def compare(part):
@@ -513,19 +523,25 @@ def _completed(stars: DataFrame, labels: DataFrame, distinct: DataFrame, found:
                         vs.append(int(label[at[y]]))
         return pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], names=["u", "v"])
 
-    sets = _shingles_of(found, hits.select("id"))
-    return _by_shard(hits.join(sets, "id").select("tbl", "key", "t", "q", "own", "label", "shingles"), compare, "u long, v long")
+    alone = hits.where("other is not null").select(F.least("id", "other").alias("u"), F.greatest("id", "other").alias("v")).distinct()
+    linked = materialize(_verified(materialize(alone, "alone"), found, similarity), "linked")
+    labelled = distinct.select("id").join(labels, "id", "left").select("id", F.coalesce("label", "id").alias("label"))
+    ends = lambda c: labelled.select(F.col("id").alias(c), F.col("label").alias(f"l{c}"))
+    linked = linked.join(ends("u"), "u").join(ends("v"), "v").select(F.col("lu").alias("u"), F.col("lv").alias("v"))
+    dense = materialize(hits.where("other is null").drop("other"), "dense")
+    sets = _shingles_of(found, dense.select("id"))
+    return linked.union(_by_shard(dense.join(sets, "id").select("tbl", "key", "t", "q", "own", "label", "shingles"), compare, "u long, v long"))
 
 
-def _partners(sketches: np.ndarray, sizes: np.ndarray, label: np.ndarray, nodes: np.ndarray, asked: np.ndarray, similarity: float) -> np.ndarray:
-    """Indices of the nodes and of those asked that may be similar to one of the other side with another label."""
+def _partners(sketches: np.ndarray, sizes: np.ndarray, label: np.ndarray, nodes: np.ndarray, asked: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (node, asked), as two arrays of indices, that may be similar and have different labels."""
     wide = {}  # for each width of sketches those asked, as rows of a matrix, also at half the width
     width = np.array([len(x) for x in sketches])
     for w in np.unique(width[asked]).tolist():
         own = asked[width[asked] == w]
         matrix = np.frombuffer(b"".join(sketches[own]), np.uint8).reshape(len(own), w)
         wide[w] = own, matrix, matrix.reshape(len(own), -1, 2).sum(2, dtype=np.uint16) if w > 1 else matrix
-    hit = np.zeros(len(sizes), bool)
+    left, right = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
     for node in nodes.tolist():
         mine, w = np.frombuffer(sketches[node], np.uint8), int(width[node])
         for v, (own, matrix, half) in wide.items():
@@ -536,10 +552,9 @@ def _partners(sketches: np.ndarray, sizes: np.ndarray, label: np.ndarray, nodes:
                 a, b = (matrix[near], mine) if v == w else (half[near], mine) if v == 2 * w else (matrix[near], mine.reshape(-1, 2).sum(1, dtype=np.uint16))
                 both = np.minimum(a, b).sum(1, dtype=np.int64)
                 near[near] = both * (1 + similarity) >= similarity * (sizes[own[near]] + sizes[node]) - 1e-9
-            if near.any():
-                hit[node] = True
-                hit[own[near]] = True
-    return np.flatnonzero(hit)
+            left.append(np.full(int(near.sum()), node))
+            right.append(own[near])
+    return np.concatenate(left), np.concatenate(right)
 
 
 def _byte_cuts(index: np.ndarray, sizes: np.ndarray) -> list[np.ndarray]:
