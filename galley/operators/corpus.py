@@ -91,3 +91,27 @@ def paper_report(units: DataFrame, paper: str) -> DataFrame:
     part = F.when(F.col("ok"), F.concat(F.lit("## "), "unit_name", F.lit("\n\n"), "body")).otherwise(F.concat(F.lit("## "), "unit_name", F.lit("\n\n（未通过）")))
     rows = units.where("not skip").groupBy(paper).agg(F.array_sort(F.collect_list(F.struct(F.coalesce("unit_no", F.lit(9999)).alias("no"), "unit_name", part.alias("part")))).alias("p"), F.bool_and("ok").alias("complete"))
     return rows.select(paper, F.array_join(F.transform("p", lambda x: x["part"]), "\n\n").alias("text"), "complete")
+
+
+def distinct_counts(df: DataFrame, text: str, *by: str) -> DataFrame:
+    """(by, physical, contents): how many rows there are and how many different texts."""
+    return df.groupBy(*by).agg(F.count("*").alias("physical"), F.count_distinct(F.sha2(F.coalesce(text, F.lit("")), 256)).alias("contents"))
+
+
+def ranked(df: DataFrame, label: str) -> DataFrame:
+    """(label, n, place): labels by how often they occur, most first, then by name; only the counts meet in one task."""
+    n = df.groupBy(label).agg(F.count("*").alias("n"))
+    return n.withColumn("place", F.row_number().over(Window.orderBy(F.desc("n"), label)))
+
+
+def with_neighbours(df: DataFrame, key: str, order: str, text: str) -> DataFrame:
+    """``df`` with the nearest text before and after a row that isn't blank."""
+    full = F.when(F.length(F.trim(text)) > 0, F.col(text))
+    w = Window.partitionBy(key).orderBy(order)
+    before = F.last(full, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    return df.withColumn("before", before).withColumn("after", F.first(full, ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing)))
+
+
+def with_order(df: DataFrame, key: str, order: str, value: str) -> DataFrame:
+    """``df`` with ``rising``: whether a row's value isn't below that of the row before."""
+    return df.withColumn("rising", F.coalesce(F.col(value) >= F.lag(value).over(Window.partitionBy(key).orderBy(order)), F.lit(True)))
