@@ -213,7 +213,7 @@ def tree_sum(rows: DataFrame, part: Callable[[pa.RecordBatch], list], fan_in: in
 
 
 #: Rows of groups that ``by_group`` broadcasts whole.
-FEW_GROUPS = 50_000
+FEW_GROUPS = 5_000
 
 
 def by_group(rows: DataFrame, groups: DataFrame, on: list[str], size: str = "__n", most: int = 1000, few: int | None = None) -> DataFrame:

@@ -344,7 +344,10 @@ def _prefixes(sets: DataFrame, counts: np.ndarray, similarity: float) -> DataFra
 
 
 def _stars(prefixes: DataFrame) -> DataFrame:
-    """(key, salts, u, v): every set v with a key, beside the first set u of the key (and salt); keys of one set are left out, if not salted."""
+    """(key, salts, u, v, pair): every set v with a key, beside the first set u of the key (and salt); keys of one set are left out, if not salted.
+
+    ``pair`` says that the key is known to have two sets only; that of some with two isn't known.
+    """
 
     def run(batches):
         last = None  # key, salt, first set, set before, whether the first set has been written
@@ -366,14 +369,17 @@ def _stars(prefixes: DataFrame) -> DataFrame:
             heads = heads[heads >= 0]
             early = [[x] for x in (last[0], salts[0], last[2], last[2])] if carried and not last[4] else [[]] * 4
             cols = [np.concatenate([np.array(e, k.dtype), a[heads], b[member]]) for e, k, a, b in zip(early, (key, salts, ids, ids), (key, salts, ids, ids), (key, salts, first, ids), strict=True)]
+            group = np.cumsum(new)
+            pair = (np.bincount(group[member], minlength=group[-1] + 1) == 1) & (np.arange(group[-1] + 1) > 0) & (np.arange(group[-1] + 1) < group[-1])
+            cols.append(np.concatenate([np.zeros(len(early[0]), bool), pair[group[heads]] & (salts[heads] == 1), pair[group[member]] & (salts[member] == 1)]))
             written = bool(len(heads) and heads[-1] == at[-1]) if at[-1] >= 0 else carried or last[4]
             last = key[-1], salt[-1], first[-1], ids[-1], written
             if len(cols[0]):
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["key", "salts", "u", "v"])
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["key", "salts", "u", "v", "pair"])
 
     ship(prefixes.sparkSession)
     by = ["key", "salt", "id"]
-    return prefixes.repartition(shuffle_partitions(prefixes.sparkSession), "key", "salt").sortWithinPartitions(*by).mapInArrow(tidied(run), "key int, salts int, u long, v long")
+    return prefixes.repartition(shuffle_partitions(prefixes.sparkSession), "key", "salt").sortWithinPartitions(*by).mapInArrow(tidied(run), "key int, salts int, u long, v long, pair boolean")
 
 
 def jaccard_at_least(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
@@ -468,13 +474,13 @@ def _completed(stars: DataFrame, labels: DataFrame, distinct: DataFrame, found:
 
     Keys with the same sets are one.  A key's most frequent label is left out of one side, so that a few others beside a
     large component meet its blocks, and its blocks don't meet each other.  Sketches are compared first; only sets that
-    have a partner by these are brought together.
+    have a partner by these are brought together.  The two sets of a key that has no others have been compared before.
     """
-    owned = stars.select("key", F.col("v").alias("id")).distinct().join(labels, "id", "left").select("key", "id", F.coalesce("label", "id").alias("label"))
+    owned = stars.where("not pair").select("key", F.col("v").alias("id")).distinct().join(labels, "id", "left").select("key", "id", F.coalesce("label", "id").alias("label"))
     owned = materialize(owned, "owned")
     mark = F.xxhash64("id")
     by_label = owned.groupBy("key", "label").agg(F.count("*").alias("n"), F.bit_xor(mark).alias("a"), F.sum(mark.bitwiseAND(F.lit((1 << 32) - 1))).alias("b"))
-    mixed = by_label.groupBy("key").agg(F.count("*").alias("labels"), F.max(F.struct("n", "label")).alias("top"), F.sum("n").alias("n"), F.bit_xor("a").alias("a"), F.sum("b").alias("b")).where("labels > 1")
+    mixed = by_label.groupBy("key").agg(F.count("*").alias("labels"), F.max(F.struct("n", "label")).alias("top"), F.sum("n").alias("n"), F.bit_xor("a").alias("a"), F.sum("b").alias("b")).where("labels > 1 and n > 2")
     mixed = mixed.groupBy("a", "b", "n").agg(F.min(F.struct("key", F.col("top.label").alias("top"), F.col("top.n").alias("n_top"))).alias("m")).select("m.*", (F.col("n") - F.col("m.n_top")).alias("n_rest"))
     rows = owned.join(materialize(mixed, "mixed"), "key")
     blocks = lambda n: F.ceil(F.col(n) / BLOCK).cast("int")
