@@ -216,13 +216,16 @@ def math_safe(text: str) -> bool:
 
 
 def each(fn, kind: str = "string"):
-    """A pandas UDF of a function of one text; null stays null."""
+    """A pandas UDF of a function of one text; null stays null. It is made where it is used, once there is a session."""
 
-    @F.pandas_udf(kind)
-    def apply(s: pd.Series) -> pd.Series:
-        return s.map(fn, na_action="ignore")
+    def column(c) -> Column:
+        @F.pandas_udf(kind)
+        def apply(s: pd.Series) -> pd.Series:
+            return s.map(fn, na_action="ignore")
 
-    return lambda c: apply(c if isinstance(c, Column) else F.col(c))
+        return apply(c if isinstance(c, Column) else F.col(c))
+
+    return column
 
 
 def lecture_clean(problem_markers: tuple[str, ...]):

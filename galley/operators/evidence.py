@@ -100,7 +100,7 @@ def self_check_errors(covered: Column, has_corrections: Column) -> Column:
 
 def occurrences(spans: DataFrame, source: DataFrame, key: str, text: str) -> DataFrame:
     """(key, start, end, old_text, occurrence): located corrections as text with its ordinal among all places, overlapping ones too."""
-    met = spans.join(source.select(key, text), key).withColumn("old_text", F.substr(text, F.col("start") + 1, F.col("end") - F.col("start")))
+    met = spans.select(key, "start", "end").join(source.select(key, text), key).withColumn("old_text", F.substr(text, F.col("start") + 1, F.col("end") - F.col("start")))
     quoted = F.concat(F.lit("(?=\\Q"), F.col("old_text"), F.lit("\\E)"))
     before = F.substr(F.col(text), F.lit(1), F.col("end"))
     hits = F.size(F.regexp_extract_all(before, quoted, F.lit(0)))

@@ -10,12 +10,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import calc as C
-from ..functions import mathtext as M
 from ..functions import text as X
 from ..operators import compile as K
 from ..operators import corpus, ledger, locate, reports, segment
 from ..sources import delivery
-from ..streaming.ledger import fold_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -190,17 +188,6 @@ def report_issues(spark: SparkSession, d: str) -> DataFrame:
 FLAGSHIP = report_issues
 
 
-@query()
-def verify_reports(spark: SparkSession, d: str) -> DataFrame:
-    r = _reports(spark, d)
-    return reports.verdicts(r, reports.verify(r, "doc_id", "report", "text"), "doc_id")
-
-
-@query()
-def marker_audit(spark: SparkSession, d: str) -> DataFrame:
-    return reports.markers(_reports(spark, d), "doc_id", "body", "text").groupBy("verdict").agg(F.count("*").alias("n"), F.count_distinct("doc_id").alias("n_reports"))
-
-
 @query(f"select doc_id, cast(line_no as int) as num, 'reason.missing' as code from ({_SQL_MARKED}) where line_no % 5 = 0")
 def reasons_vs_markers(spark: SparkSession, d: str) -> DataFrame:
     r = _reports(spark, d)
@@ -208,19 +195,6 @@ def reasons_vs_markers(spark: SparkSession, d: str) -> DataFrame:
     return reports.reason_issues(found, why, "doc_id").select("doc_id", F.col("location").cast("int").alias("num"), "code")
 
 
-@query()
-def integrity_aligned(spark: SparkSession, d: str) -> DataFrame:
-    r = reports.audited(_reports(spark, d), "body", "text")
-    r = r.withColumn("rebuilt", reports.rebuilt(F.col("body"), F.col("markers"), False))
-    return reports.integrity(r, "doc_id", "text", "rebuilt")
-
-
-@query(f"select doc_id, '{reports.SEVERITIES[1]}' as severity, false as broken from documents")
-def severity_issues(spark: SparkSession, d: str) -> DataFrame:
-    r = _reports(spark, d)
-    return r.select("doc_id", reports.summary(F.col("report")).alias("severity"), (F.length(F.regexp_replace("report", "[^【]", "")) != F.length(F.regexp_replace("report", "[^】]", ""))).alias("broken"))
-
-
 @query("select doc_id, len(string_split(text, 'the ')) - 1 as n from documents where text like '%the %'")
 def locate_phrase(spark: SparkSession, d: str) -> DataFrame:
     return locate.locations(_t(spark, d, "documents"), "doc_id", "text", "the ").groupBy("doc_id").agg(F.count("*").alias("n"))
@@ -231,23 +205,6 @@ def phrase_counts(spark: SparkSession, d: str) -> DataFrame:
     return _t(spark, d, "documents").select("doc_id", locate.count_hits(F.col("text"), F.lit("tion")).alias("n"))
 
 
-@query()
-def anchor_resolve(spark: SparkSession, d: str) -> DataFrame:
-    docs = _t(spark, d, "documents").withColumn("old", F.substring("text", 1, 40))
-    return locate.anchors(docs, "doc_id", "text", "old").drop("candidates")
-
-
-@query()
-def math_spans(spark: SparkSession, d: str) -> DataFrame:
-    return locate.formulas(_t(spark, d, "documents"), "doc_id", "text")
-
-
-@query()
-def latex_clean(spark: SparkSession, d: str) -> DataFrame:
-    docs = _t(spark, d, "documents")
-    return docs.select("doc_id", F.sha2(M.each(M.fix_latex_escapes)("text"), 256).alias("fixed"), F.sha2(M.each(M.clean_tables)("text"), 256).alias("cleaned"))
-
-
 def _spans(spark: SparkSession, d: str) -> DataFrame:
     """Corrections of the first word of every third line, and of a stretch in which some overlap."""
     lines = _words(_lines(spark, d)).where("line_no % 3 = 1")
@@ -270,14 +227,6 @@ def max_severity(spark: SparkSession, d: str) -> DataFrame:
     return K.heaviest(_t(spark, d, "documents").withColumn("severity", s), "source")
 
 
-@query("select doc_id, true as same, 1 as n from documents where length(text) >= 10")
-def compile_render(spark: SparkSession, d: str) -> DataFrame:
-    docs = _t(spark, d, "documents").where("length(text) >= 10").select("doc_id", "text")
-    fix = docs.select("doc_id", F.lit(2).alias("start"), F.lit(6).alias("end"), F.lit("a|b").alias("replacement"))
-    made = K.splice(docs, fix, "doc_id", "text").join(docs, "doc_id")
-    return made.select("doc_id", (F.col("restored") == F.col("text")).alias("same"), F.size(F.regexp_extract_all("body", F.lit(X.MARKER_V2), F.lit(0))).alias("n"))
-
-
 @query("select e.event_id, 'none' as evidence_id from events e where e.event_id % 3 = 0")
 def evidence_dangling(spark: SparkSession, d: str) -> DataFrame:
     e = _t(spark, d, "events")
@@ -303,18 +252,6 @@ def _events(spark: SparkSession, d: str) -> DataFrame:
     return e.select((F.col("user_id") % 10).cast("string").alias("task_id"), F.col("user_id").cast("string").alias("unit_id"), F.col("event_id").alias("seq"), F.col("ts").cast("timestamp").alias("at"), F.col("event_type").alias("phase"), (F.col("event_id") % 5).cast("string").alias("attempt_id"))
 
 
-@query("""with l as (select *, row_number() over (partition by user_id order by ts desc, event_id desc) as r, (select max(ts) from events) as now from events)
-  select cast(user_id % 10 as varchar) as task_id, cast(user_id as varchar) as unit_id, event_type as phase, cast(event_id % 5 as varchar) as attempt_id,
-    cast(floor(epoch(now)) - floor(epoch(ts)) as bigint) as age, event_type <> 'purchase' as in_flight, event_type <> 'purchase' and floor(epoch(now)) - floor(epoch(ts)) > 900 as stale from l where r = 1""")
-def unit_progress(spark: SparkSession, d: str) -> DataFrame:
-    e = _events(spark, d)
-    now = e.agg(F.max("at").alias("now"))
-    last = ledger.latest(e, "task_id", "unit_id").join(F.broadcast(now), F.lit(True))  # one row
-    age = F.unix_timestamp("now") - F.unix_timestamp("at")
-    flying = F.col("phase") != "purchase"
-    return last.select("task_id", "unit_id", "phase", "attempt_id", age.alias("age"), flying.alias("in_flight"), (flying & (age > 900)).alias("stale"))
-
-
 @query("""with u as (select user_id, cast(user_id % 10 as varchar) as task_id, user_id % 13 = 0 as flying, user_id % 3 = 0 as waiting from (select distinct user_id from events)),
   f as (select task_id, 8 - count(*) filter (where flying) as free from u group by task_id),
   w as (select *, row_number() over (partition by task_id order by user_id, cast(user_id as varchar)) as nth from u where waiting and not flying)
@@ -341,23 +278,6 @@ def error_categories(spark: SparkSession, d: str) -> DataFrame:
     return _t(spark, d, "events").select("event_id", ledger.error_category(F.element_at(codes, (F.col("event_id") % 6 + 1).cast("int"))).alias("category"))
 
 
-def _ledger_events(spark: SparkSession, d: str) -> DataFrame:
-    k = F.col("seq") % 7
-    kind = F.when(k < 3, "event").when(k < 5, "recovery").when(k == 5, "cancel").otherwise("revoke")
-    category = F.element_at(F.array(*map(F.lit, ledger.BUDGETS)), (F.col("seq") % 6 + 1).cast("int"))
-    return _events(spark, d).withColumn("kind", kind).withColumn("category", category).withColumn("fingerprint", (F.col("seq") % 11).cast("string")).withColumn("initiator", F.lit("host")).withColumn("reason", F.lit("technical_timeout")).drop("phase", "at")
-
-
-@query()
-def recovery_fold(spark: SparkSession, d: str) -> DataFrame:
-    return fold_stream(_ledger_events(spark, d))
-
-
-@query("select source, sum(n) as n_docs, max(n) as most from (select source, lang, count(*) as n from documents group by source, lang) group by source")
-def severity_distribution(spark: SparkSession, d: str) -> DataFrame:
-    return _t(spark, d, "documents").groupBy("source", "lang").agg(F.count("*").alias("n")).groupBy("source").agg(F.sum("n").alias("n_docs"), F.max("n").alias("most"))
-
-
 @query("select sha256(text) as digest, count(*) as copies, min(source || '/' || doc_id) as representative from documents group by 1")
 def dedup_by_sha(spark: SparkSession, d: str) -> DataFrame:
     return corpus.representatives(_t(spark, d, "documents").withColumn("path", F.concat_ws("/", "source", F.col("doc_id").cast("string"))), "text", "path")
@@ -416,17 +336,6 @@ def dimension_check(spark: SparkSession, d: str) -> DataFrame:
     return out.select("p_partkey", F.col("c.result").cast("double").alias("g"), F.get_json_object("k.result", "$.consistent").cast("boolean").alias("same"))
 
 
-@query("select 'Fe+O2->Fe2O3' as equation, '[4, 3, 2]' as coefficients union all select 'C3H8+O2->CO2+H2O', '[1, 5, 3, 4]'")
-def chem_balance(spark: SparkSession, d: str) -> DataFrame:
-    e = spark.createDataFrame([("Fe+O2->Fe2O3",), ("C3H8+O2->CO2+H2O",)], "equation string")
-    return e.select("equation", C.calc(F.lit("chemistry_balance"), F.to_json(F.struct("equation")))["result"].alias("coefficients"))
-
-
-@query("select doc_id, (length(text) - length(replace(text, '](', ''))) // 2 as n from documents where text like '%](%'")
-def image_refs(spark: SparkSession, d: str) -> DataFrame:
-    return corpus.image_references(_t(spark, d, "documents"), "doc_id", "text").groupBy("doc_id").agg(F.count("*").alias("n"))
-
-
 @query(f"select source, string_agg('## ' || doc_id || chr(10) || chr(10) || case when doc_id % 4 > 0 then sha256(text) else '（未通过）' end, chr(10) || chr(10) order by doc_id, cast(doc_id as varchar)) as text, bool_and(doc_id % 4 > 0) as complete from documents where doc_id % 10 > 0 group by source")
 def paper_report(spark: SparkSession, d: str) -> DataFrame:
     u = _t(spark, d, "documents").select("source", F.col("doc_id").alias("unit_no"), F.col("doc_id").cast("string").alias("unit_name"), F.sha2("text", 256).alias("body"), (F.col("doc_id") % 4 > 0).alias("ok"), (F.col("doc_id") % 10 == 0).alias("skip"))

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from ..operators import compile as K
 from ..operators import corpus, evidence, images, ledger, locate, repair, reports, segment, units
+from ..sources import materials
+from ..streaming.ledger import fold_stream
 from .catalogue import _SQL_LINES, _SQL_MARKED, _lines, _reports, _t, query
 
 # Reports -------------------------------------------------------------------------------------------------------------
@@ -522,3 +524,41 @@ def complete_runs(spark: SparkSession, d: str) -> DataFrame:
 def nearest_words(spark: SparkSession, d: str) -> DataFrame:
     word = F.element_at(F.array(*map(F.lit, ("a", "ab", "b", "xyz"))), (F.col("doc_id") % 4 + 1).cast("int"))
     return units.closest(_t(spark, d, "documents").select("doc_id", (F.col("doc_id") % 4).alias("k"), word.alias("word")), "word", ("abc", "xyzzy"))
+
+
+@query("select event_id as seq, case when row_number() over (partition by user_id order by event_id) <= case user_id % 3 when 0 then 2 when 1 then 3 else 1 end then 'allowed' else 'exhausted' end as outcome from events")
+def recovery_budgets(spark: SparkSession, d: str) -> DataFrame:
+    category = F.element_at(F.array(F.lit("image_schema_fix"), F.lit("report_repair"), F.lit("technical_redispatch")), (F.col("user_id") % 3 + 1).cast("int"))
+    e = _t(spark, d, "events").select(F.lit("t").alias("task_id"), F.col("user_id").cast("string").alias("unit_id"), F.col("event_id").alias("seq"), F.lit("recovery").alias("kind"), F.col("event_id").cast("string").alias("attempt_id"), category.alias("category"), F.lit("f").alias("fingerprint"), F.lit(None).cast("string").alias("initiator"), F.lit(None).cast("string").alias("reason"))
+    return fold_stream(e).select("seq", "outcome")
+
+
+_CANCELS = (("event", "a1", "", "", "recorded"), ("cancel", "a0", "host", "technical_timeout", "not-current"), ("cancel", "a1", "host", "technical_timeout", "cancelled"), ("event", "a1", "", "", "terminated"), ("revoke", "a1", "parent", "technical_timeout", "not-revocable"), ("revoke", "a1", "host", "technical_timeout", "revoked"), ("revoke", "a1", "host", "technical_timeout", "replay"), ("event", "a1", "", "", "recorded"), ("cancel", "a1", "host", "user_cancel", "invalid"), ("cancel", "a9", "user", "user_cancel", "cancelled"), ("revoke", "a2", "user", "user_cancel", "not-revocable"), ("event", "a2", "", "", "recorded"))
+
+
+@query(f"select cast(c_custkey as varchar) as unit_id, u.seq, u.outcome from customer, (values {', '.join(f'({i}, {x[4]!r})' for i, x in enumerate(_CANCELS))}) u(seq, outcome)")
+def cancellations(spark: SparkSession, d: str) -> DataFrame:
+    rows = F.array(*[F.struct(F.lit(i).cast("long").alias("seq"), *[F.lit(v).alias(n) for n, v in zip(("kind", "attempt_id", "initiator", "reason"), x[:4], strict=True)]) for i, x in enumerate(_CANCELS)])
+    e = _t(spark, d, "customer").select(F.lit("t").alias("task_id"), F.col("c_custkey").cast("string").alias("unit_id"), F.explode(rows).alias("r")).select("task_id", "unit_id", "r.*", F.lit(None).cast("string").alias("category"), F.lit(None).cast("string").alias("fingerprint"))
+    return fold_stream(e).select("unit_id", F.col("seq").cast("int").alias("seq"), "outcome")
+
+
+@query("select doc_id, f.* from documents, (values (1, 2, 5, false), (2, 6, 13, true)) f(ord, start, stop, display)")
+def formula_rows(spark: SparkSession, d: str) -> DataFrame:
+    made = _t(spark, d, "documents").select("doc_id", F.lit("a $b$ $$c\nd$$ \\$5").alias("text"))
+    return locate.formulas(made, "doc_id", "text").select("doc_id", "ord", "start", F.col("end").alias("stop"), "display")
+
+
+@query("""select doc_id, h.* from documents, (values (1, 0, 3, 'p1'), (2, 1, 4, 'p1'), (3, 8, 14, 'p2')) h(match_index, safe_start, safe_end, paragraph)""")
+def located_phrases(spark: SparkSession, d: str) -> DataFrame:
+    made = _t(spark, d, "documents").select("doc_id", F.lit("aaaa\n\n\n\n$aaab$").alias("text"))
+    out = locate.locations(made, "doc_id", "text", "aaa")
+    return out.where("match_index < 4").select("doc_id", "match_index", F.col("safe_start").alias("safe_start"), "safe_end", F.regexp_extract("paragraph_id", "^(p[0-9]+)-", 1).alias("paragraph"))
+
+
+@query("select p_partkey, q.name, q.unit from part, (values ('length', 'm'), ('mass', 'kg'), ('time', 's')) q(name, unit) where p_partkey % 2 = 0 or q.name = 'mass'")
+def quantity_search(spark: SparkSession, d: str) -> DataFrame:
+    configs = _t(spark, d, "part").select(F.col("p_partkey").cast("string").alias("subject"), F.create_map(F.lit("mass"), F.lit("kg"), F.lit("length"), F.lit("m"), F.lit("time"), F.lit("s")).alias("quantities"))
+    every = configs.withColumn("p_partkey", F.col("subject").cast("long"))
+    found = materials.quantities(every.withColumn("subject", F.when(F.col("p_partkey") % 2 == 0, "even").otherwise("odd")), "even", "m", "p_partkey").union(materials.quantities(every.withColumn("subject", F.when(F.col("p_partkey") % 2 == 0, "even").otherwise("odd")), "odd", "ma", "p_partkey"))
+    return found.select("p_partkey", "name", "unit")

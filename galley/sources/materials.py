@@ -223,8 +223,8 @@ def read_markdown(data: bytes) -> tuple[str, list[dict], list[str]]:
 READERS = {"docx": read_docx, "idml": read_idml, "md": read_markdown, "markdown": read_markdown}
 
 
-def materials(spark: SparkSession, path: str, with_comments: bool = False) -> DataFrame:
-    """(path, kind, markdown, blocks, warnings, error) of all files below a path; a file that can't be read gives its error.
+def parsed(files: DataFrame, with_comments: bool = False) -> DataFrame:
+    """(path, kind, markdown, blocks, warnings, error) of files (path, content); a file that can't be read gives its error.
 
     ``with_comments`` puts the comments of Word files into their Markdown, in tags that ``clean_markdown`` removes.
     """
@@ -243,13 +243,18 @@ def materials(spark: SparkSession, path: str, with_comments: bool = False) -> Da
                     rows.append((file, kind, *made, None))
                 except (SourceError, ElementTree.ParseError, zipfile.BadZipFile, KeyError) as e:
                     rows.append((file, kind, None, [], [], f"{type(e).__name__}: {e}"))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds.values(), strict=True)], names=list(kinds))
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds.values(), strict=True)], names=list(kinds))
 
-    ship(spark)
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    ship(files.sparkSession)
     return files.select("path", "content").mapInArrow(run, SCHEMA)
 
 
+def materials(spark: SparkSession, path: str, with_comments: bool = False) -> DataFrame:
+    """``parsed`` of all files below a path."""
+    return parsed(spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path), with_comments)
+
+
 def comments(spark: SparkSession, path: str) -> DataFrame:
     """(path, id, text, anchor) of the comments of Word files, ordered by where they end."""
 
@@ -285,6 +290,7 @@ def subject_configs(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def quantities(configs: DataFrame, subject: str, search: str = "") -> DataFrame:
-    each = configs.where(F.col("subject") == subject).select(F.explode("quantities").alias("name", "unit"))
+def quantities(configs: DataFrame, subject: str, search: str = "", *carry: str) -> DataFrame:
+    """(carry, name, unit) of a subject's quantities whose name or unit holds the words."""
+    each = configs.where(F.col("subject") == subject).select(*carry, F.explode("quantities").alias("name", "unit"))
     return each.where(F.col("name").contains(search) | F.col("unit").contains(search))
