@@ -1,12 +1,17 @@
 """Queries of proposals, submissions, reviews, commands, calculations and source files."""
 from __future__ import annotations
 
+import io
+import zipfile
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import api
 from ..functions import calc as C
 from ..functions import text as X
+from ..functions.reporttext import tag_runs
 from ..operators import proposals, reports
 from ..sources import delivery, materials
 from .catalogue import _SQL_LINES, _t, query
@@ -224,3 +229,63 @@ def word_round_trip(spark: SparkSession, d: str) -> DataFrame:
     out = materials.parsed(files)
     lines = F.array_join(F.filter(F.split("markdown", "\n"), lambda x: x != ""), "|")
     return out.select(F.regexp_extract("path", r"(\d+)", 1).cast("long").alias("doc_id"), lines.alias("lines"), F.array_join(F.transform("blocks", lambda b: b["kind"]), ",").alias("kinds"))
+
+
+_NS = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main" xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships" xmlns:a="http://schemas.openxmlformats.org/drawingml/2006/main" xmlns:wp="http://schemas.openxmlformats.org/drawingml/2006/wordprocessingDrawing"'
+
+
+def _docx(body: str) -> bytes:
+    """A Word file of this body; picture ``r1`` is ``pic.png``."""
+    with zipfile.ZipFile(out := io.BytesIO(), "w") as z:
+        z.writestr("word/document.xml", f"<w:document {_NS}><w:body>{body}</w:body></w:document>")
+        z.writestr("word/_rels/document.xml.rels", '<R><x Id="r1" Target="media/pic.png"/></R>')
+        z.writestr("word/styles.xml", f'<w:styles {_NS}><w:style w:styleId="H"><w:pPr><w:outlineLvl w:val="1"/></w:pPr></w:style><w:style w:styleId="G"><w:basedOn w:val="H"/></w:style></w:styles>')
+    return out.getvalue()
+
+
+def _p(text: str, style: str = "", form: str = "") -> str:
+    return f'<w:p>{f"<w:pPr><w:pStyle w:val={chr(34)}{style}{chr(34)}/></w:pPr>" if style else ""}<w:r>{f"<w:rPr>{form}</w:rPr>" if form else ""}<w:t>{text}</w:t></w:r></w:p>'
+
+
+def _tbl(rows: list[list[str]], borders: bool = False) -> str:
+    drawn = '<w:tblPr><w:tblBorders><w:top w:val="single"/></w:tblBorders></w:tblPr>' if borders else ""
+    return f"<w:tbl>{drawn}{''.join('<w:tr>' + ''.join(f'<w:tc>{c}</w:tc>' for c in r) + '</w:tr>' for r in rows)}</w:tbl>"
+
+
+def _pic(inches: float, said: str = "") -> str:
+    return f'<w:p><w:r><w:drawing><wp:inline><wp:extent cx="{int(inches * 914400)}" cy="1000"/><wp:docPr descr="{said}"/><a:blip r:embed="r1"/></wp:inline></w:drawing></w:r></w:p>'
+
+
+#: Word bodies and what they are in Markdown, lines joined by bars of another kind, with the kinds of blocks.
+_WORD = (
+    (_p("Title", "G") + _p("bold", form="<w:b/>"), "## Title¦**bold**", "heading,paragraph"),
+    (_tbl([[_p("a"), _p("b|c")], [_p("$x|y$"), _p("d")]], True), "| a | b\\|c |¦| --- | --- |¦| $x|y$ | d |", "table"),
+    (_tbl([[_p("A. one"), _p("B. two")], [_p("C. three"), _p("D. four")]]), "A. one B. two¦C. three D. four", "paragraph"),
+    (_tbl([[_p("答案："), _p("C")], [_p("解析："), _p("long") + _p("text")]]), "答案： C¦解析：¦long¦text", "paragraph"),
+    (_tbl([[_p("1．stem")], [_p("A．one") + _p("more") + _p("B. two")], [_p("【答案】A")]]), "1．stem¦A. one more¦B. two¦【答案】A", "question"),
+    (_tbl([[_p("Short", "H")]]) + _tbl([[_p("x"), _p("y")]]), "## Short¦x¦y", "heading,paragraph"),
+    (_pic(1.0) + _pic(0.2) + _pic(0.2, "key"), "![](images/pic.png)¦![key](images/pic.png)", "paragraph,paragraph"),
+    (_tbl([[_p("q") + _tbl([[_p("1"), _p("2")], [_p("3"), _p("4")]], True)]]), "q¦| 1 | 2 |¦| --- | --- |¦| 3 | 4 |", "paragraph"),
+)
+
+
+@query(f"select p_partkey, ([{', '.join(chr(39) + m + chr(39) for _, m, _ in _WORD)}])[p_partkey % {len(_WORD)} + 1] as lines, ([{', '.join(chr(39) + k + chr(39) for _, _, k in _WORD)}])[p_partkey % {len(_WORD)} + 1] as kinds from part")
+def word_files_read(spark: SparkSession, d: str) -> DataFrame:
+    content = F.element_at(F.array(*[F.lit(bytearray(_docx(b))) for b, _, _ in _WORD]), (F.col("p_partkey") % len(_WORD) + 1).cast("int"))
+    out = materials.parsed(_t(spark, d, "part").select(F.concat(F.col("p_partkey").cast("string"), F.lit(".docx")).alias("path"), content.alias("content")))
+    lines = F.array_join(F.filter(F.split("markdown", "\n"), lambda x: x != ""), "¦")
+    return out.select(F.regexp_extract("path", r"(\d+)", 1).cast("long").alias("p_partkey"), lines.alias("lines"), F.array_join(F.transform("blocks", lambda b: b["kind"]), ",").alias("kinds"))
+
+
+_FORMS = (('<w:em w:val="dot"/>', "emphasis"), ('<w:u w:val="single"/>', "underline"), ('<w:u w:val="wave"/>', "wave"), ("<w:strike/>", "strike"), ('<w:u w:val="none"/>', ""), ("<w:b/>", ""))
+
+
+@query(f"select p_partkey, ([{', '.join(chr(39) + (f'{k}:word' if k else '') + chr(39) for _, k in _FORMS)}])[p_partkey % {len(_FORMS)} + 1] as formats, case when p_partkey % {len(_FORMS)} < 4 then 'a <' || (['着重', '下划线', '波浪线', '删除线'])[p_partkey % {len(_FORMS)} + 1] || '>word</' || (['着重', '下划线', '波浪线', '删除线'])[p_partkey % {len(_FORMS)} + 1] || '> b' else 'a word b' end as tagged from part")
+def word_run_formats(spark: SparkSession, d: str) -> DataFrame:
+    @F.pandas_udf("formats string, tagged string")
+    def read(content: pd.Series) -> pd.DataFrame:
+        found = [materials.run_formats(x) for x in content]
+        return pd.DataFrame({"formats": [",".join(f"{k}:{t}" for k, t in f) for f in found], "tagged": [tag_runs("a word b", f) for f in found]})
+
+    content = F.element_at(F.array(*[F.lit(bytearray(_docx(_p("a ") + _p("word", form=f)))) for f, _ in _FORMS]), (F.col("p_partkey") % len(_FORMS) + 1).cast("int"))
+    return _t(spark, d, "part").select("p_partkey", read(content).alias("r")).select("p_partkey", "r.*")

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..shipping import ship
+from . import wordparts as P
 
 MEMBER_BYTES, TOTAL_BYTES, MEMBERS = 32 << 20, 128 << 20, 8192
 _W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
@@ -72,15 +73,53 @@ def _style_levels(z: zipfile.ZipFile) -> dict[str, int]:
     return out
 
 
-def _run_text(paragraph: ElementTree.Element, notes: dict[str, str] | None = None) -> str:
-    """A paragraph's text: deleted runs left out, neighbouring bold runs in one pair of marks, ``notes`` where their ranges end."""
+def _relations(z: zipfile.ZipFile) -> dict[str, str]:
+    """Targets of the document's relations by identifier."""
+    name = "word/_rels/document.xml.rels"
+    return {e.get("Id", ""): e.get("Target", "") for e in _xml(z, name)} if name in z.namelist() else {}
+
+
+def _add_table(table: ElementTree.Element, add, inner, levels: dict[str, int]) -> None:
+    """A table as blocks: a heading or paragraph in a cell alone, a question in a column of cells, a line of cells, or data."""
+    rows = P.rows_of(table)
+    texts = [[[x for x in inner(c) if x.strip()] for c in r] for r in rows]
+    if len(rows) >= 3 and all(len(r) == 1 for r in rows):
+        stem = [x for r in texts[:1] for c in r for x in c]
+        rest = [x for r in texts[1:] for c in r for x in c]
+        first = next((i for i, x in enumerate(rest) if re.match(P.OPTION, x)), len(rest))
+        last = next((i for i, x in enumerate(rest) if i > first and re.match(r"^【?(?:答案|解析|详解)", x)), len(rest))
+        add("question", None, stem[0] if stem else "", [*stem, *rest[:first], *P.options(rest[first:last]), *rest[last:]] or [""])
+    elif len(rows) == 1:
+        held = [x for c in texts[0] for x in c]
+        style = table.find(f".//{_W}pPr/{_W}pStyle")
+        level = levels.get(style.get(f"{_W}val", "")) if style is not None and len(rows[0]) == 1 else None
+        if held and level and len(held) == 1 and len(held[0]) <= 20:
+            add("heading", level, held[0].strip("*"), [f"{'#' * level} {held[0].strip('*')}"])
+        elif held:
+            add("paragraph", None, held[0], held)
+    elif P.holds_data(table):
+        add("table", None, "", P.pipe_table(table, inner))
+    else:
+        made = P.answer_lines([(r[0][0] if len(r) > 1 and len(r[0]) == 1 else "", [x for c in (r[1:] if len(r) > 1 and len(r[0]) == 1 else r) for x in c]) for r in texts])
+        if made:
+            add("paragraph", None, made[0], made)
+
+
+def run_formats(data: bytes) -> list[tuple[str, str]]:
+    """(kind, text) of the formatted runs of a Word file."""
+    z = open_archive(data)
+    return P.formats(_xml(z, "word/document.xml")) if "word/document.xml" in z.namelist() else []
+
+
+def _run_text(paragraph: ElementTree.Element, notes: dict[str, str] | None = None, targets: dict[str, str] | None = None) -> str:
+    """A paragraph's text: deleted runs left out, neighbouring bold runs in one pair of marks, ``notes`` where their ranges end, drawings as images."""
     parts: list[tuple[bool, str]] = []
     for r in paragraph.iter():
         if r.tag == f"{_W}commentRangeEnd" and notes and (key := r.get(f"{_W}id")) in notes:
             parts.append((False, notes[key]))
         if r.tag != f"{_W}r":
             continue
-        text = "".join(t.text or "" if t.tag == f"{_W}t" else "\t" if t.tag == f"{_W}tab" else "\n" if t.tag == f"{_W}br" else "" for t in r)
+        text = "".join(t.text or "" if t.tag == f"{_W}t" else "\t" if t.tag == f"{_W}tab" else "\n" if t.tag == f"{_W}br" else P.drawing(t, targets) if targets and t.tag == f"{_W}drawing" else "" for t in r)
         bold = r.find(f"{_W}rPr/{_W}b")
         strong = bold is not None and bold.get(f"{_W}val", "1") not in ("0", "false")
         if text and parts and parts[-1][0] == strong:
@@ -127,7 +166,7 @@ def read_docx(data: bytes, with_comments: bool = False) -> tuple[str, list[dict]
     notes = _comment_tags(z) if with_comments else {}
     if "word/document.xml" not in z.namelist():
         raise SourceError("no Word document inside")
-    levels, body = _style_levels(z), _xml(z, "word/document.xml").find(f"{_W}body")
+    levels, body, targets = _style_levels(z), _xml(z, "word/document.xml").find(f"{_W}body"), _relations(z)
     lines: list[str] = []
     blocks: list[dict] = []
     warnings: list[str] = []
@@ -136,22 +175,32 @@ def read_docx(data: bytes, with_comments: bool = False) -> tuple[str, list[dict]
         blocks.append({"kind": kind, "level": level, "title": title, "start_line": len(lines) + 1, "end_line": len(lines) + len(new)})
         lines.extend([*new, ""])
 
+    def inner(container: ElementTree.Element) -> list[str]:
+        """Lines of a cell or a content control: its paragraphs and what its tables hold."""
+        out: list[str] = []
+        for child in container:
+            if child.tag == f"{_W}p":
+                out += _run_text(child, notes, targets).split("\n")
+            elif child.tag == f"{_W}tbl" and P.holds_data(child):
+                out += P.pipe_table(child, inner)
+            elif child.tag == f"{_W}tbl":
+                out += [x for row in P.rows_of(child) for cell in row for x in inner(cell)]
+            elif child.tag == f"{_W}sdt" and (held := child.find(f"{_W}sdtContent")) is not None:
+                out += inner(held)
+        return out
+
     for node in body if body is not None else ():
         if node.tag == f"{_W}p":
             if next(node.iter("{http://schemas.openxmlformats.org/officeDocument/2006/math}oMath"), None) is not None:
                 warnings.append("a formula object isn't converted")
-            text = _run_text(node, notes)
+            text = _run_text(node, notes, targets)
             style = node.find(f"{_W}pPr/{_W}pStyle")
             level = levels.get(style.get(f"{_W}val", "")) if style is not None else None
             if text.strip():
                 plain = text.strip().strip("*")
                 add("heading" if level else "paragraph", level, plain if level else "", [f"{'#' * level} {plain}"] if level else text.split("\n"))
         elif node.tag == f"{_W}tbl":
-            rows = [[" ".join(filter(None, (_run_text(p, notes).strip() for p in c.iter(f"{_W}p")))).replace("|", "\\|") for c in r.findall(f"{_W}tc")] for r in node.findall(f"{_W}tr")]
-            wide = max(map(len, rows), default=0)
-            if wide:
-                padded = [r + [""] * (wide - len(r)) for r in rows]
-                add("table", None, "", ["| " + " | ".join(r) + " |" for r in (padded[0], ["---"] * wide, *padded[1:])])
+            _add_table(node, add, inner, levels)
     return "\n".join(lines).rstrip("\n") + "\n", blocks, sorted(set(warnings))
 
 
