@@ -139,14 +139,14 @@ def test_materials(spark, tmp_path):
     w = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"'
     styles = f'<w:styles {w}><w:style w:styleId="H"><w:pPr><w:outlineLvl w:val="1"/></w:pPr></w:style><w:style w:styleId="K"><w:basedOn w:val="H"/></w:style></w:styles>'
     p = lambda t, s="": f'<w:p><w:pPr>{s}</w:pPr><w:r><w:t>{t}</w:t></w:r></w:p>'
-    doc = f'<w:document {w}><w:body>{p("Title", chr(60) + "w:pStyle w:val=" + chr(34) + "K" + chr(34) + "/>")}{p("text")}<w:tbl><w:tr><w:tc>{p("a|b")}</w:tc><w:tc>{p("c")}</w:tc></w:tr></w:tbl></w:body></w:document>'
+    doc = f'<w:document {w}><w:body>{p("Title", chr(60) + "w:pStyle w:val=" + chr(34) + "K" + chr(34) + "/>")}{p("text")}<w:tbl><w:tr><w:tc>{p("a|b")}</w:tc><w:tc>{p("c")}</w:tc></w:tr><w:tr><w:tc>{p("d")}</w:tc><w:tc>{p("e")}</w:tc></w:tr></w:tbl></w:body></w:document>'
     _zip(tmp_path / "a.docx", {"word/document.xml": doc, "word/styles.xml": styles})
     _zip(tmp_path / "b.idml", {"Stories/s1.xml": '<r><Story Self="u1"><ParagraphStyleRange AppliedParagraphStyle="ParagraphStyle/标题1"><Content>头</Content></ParagraphStyleRange><ParagraphStyleRange AppliedParagraphStyle="x"><Content>12</Content><Br/><Content>正文</Content></ParagraphStyleRange></Story></r>', "Spreads/p1.xml": '<r><TextFrame ParentStory="u1"/></r>'})
     (tmp_path / "c.md").write_bytes("# x\n\xff".encode("latin-1"))
     (tmp_path / "d.doc").write_bytes(b"old")
     (tmp_path / "e.docx").write_bytes(b"broken")
     found = {r.path.rsplit("/", 1)[-1]: r for r in materials.materials(spark, str(tmp_path)).collect()}
-    assert found["a.docx"].markdown == "## Title\n\ntext\n\n| a\\|b | c |\n| --- | --- |\n" and [b.kind for b in found["a.docx"].blocks] == ["heading", "paragraph", "table"]
+    assert found["a.docx"].markdown == "## Title\n\ntext\n\n| a\\|b | c |\n| --- | --- |\n| d | e |\n" and [b.kind for b in found["a.docx"].blocks] == ["heading", "paragraph", "table"]
     assert found["b.idml"].markdown == "# 头\n\n正文\n" and found["c.md"].warnings and found["d.doc"].error and found["e.docx"].error
 
 
