@@ -15,6 +15,11 @@ MARKER_V2 = r"【(\d+)\|([^|\\]*+(?:\\[\s\S][^|\\]*+)*+)\|([^】\\]*+(?:\\[\s\S]
 MARKER_V1 = r"【(\d+)\|([^|】]*)\|([^】]*)】"
 
 
+def let(value: Column, body) -> Column:
+    """body(value), with value computed once: what a function of an array's elements refers to is computed anew for each of them."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def clean_spacing(t: Column) -> Column:
     """Four blanks or more become two."""
     return F.regexp_replace(t, " {4,}", "  ")

@@ -178,11 +178,11 @@ _SQL_MARKED = f"select doc_id, line_no, line, w, case when line_no % 4 = 0 then
 @query(f"""with m as ({_SQL_MARKED}) select documents.source, count(*) as n_markers, count(*) filter (where orig = new) as n_noop, count(*) filter (where line_no % 5 = 0) as n_without_reason,
   count(distinct m.doc_id) as n_reports from m join documents on m.doc_id = documents.doc_id group by documents.source""")
 def report_issues(spark: SparkSession, d: str) -> DataFrame:
-    r = _reports(spark, d)
-    found, why = reports.markers(r, "doc_id", "body", "text"), reports.reasons(r.select("doc_id", reports.sections(F.col("report"))["reasons"].alias("t")), "doc_id", "t")
-    gone = reports.reason_issues(found, why, "doc_id").where("code = 'reason.missing'").select("doc_id", F.col("location").cast("int").alias("num"), F.lit(1).alias("gone"))
-    each = found.join(gone, ["doc_id", "num"], "left").join(r.select("doc_id", "source"), "doc_id")
-    return each.groupBy("source").agg(F.count("*").alias("n_markers"), F.count_if(F.col("verdict") == "noop").alias("n_noop"), F.count("gone").alias("n_without_reason"), F.count_distinct("doc_id").alias("n_reports"))
+    r = reports.audited(_reports(spark, d), "body", "text").where(F.size("markers") > 0)
+    numbers = reports.number_issues(F.transform("markers", lambda m: m["num"]), F.transform(reports.reason_entries(reports.sections(F.col("report"))["reasons"]), lambda x: x["num"]))
+    n = lambda of, keep: F.sum(F.size(F.filter(of, keep)))
+    each = r.withColumn("issues", numbers).groupBy("source")
+    return each.agg(F.sum(F.size("markers")).alias("n_markers"), n("markers", lambda m: m["verdict"] == "noop").alias("n_noop"), n("issues", lambda i: i["code"] == "reason.missing").alias("n_without_reason"), F.count_distinct("doc_id").alias("n_reports"))
 
 
 FLAGSHIP = report_issues
