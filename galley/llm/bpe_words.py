@@ -28,6 +28,8 @@ BLOCK_BYTES = 4 << 20
 BUCKET_INPUT = 8 << 20
 #: Bytes of input whose blocks may meet in one bucket: a word that all blocks have is encoded once for each so many.
 SALT_INPUT = 8 << 30
+#: Bytes of input for each task of a shuffle, so that none reads more as the input grows.
+TASK_INPUT = 16 << 20
 _ROW = "bucket int, block long, part int, a binary, b binary, c binary"
 
 
@@ -58,8 +60,9 @@ def encode(df: DataFrame, vocabulary: Vocabulary, id_col: str = "doc_id", text_c
     null.  Other columns are ignored.  A text is never cut; one longer than a block is a block.
     """
     spark = ship(df.sparkSession)
-    buckets = max(shuffle_partitions(spark), min(1 << 22, estimated_bytes(df) // BUCKET_INPUT))
-    salts = 1 + min(511, estimated_bytes(df) // SALT_INPUT)
+    size = estimated_bytes(df)
+    size = size if size < 1 << 50 else shuffle_partitions(spark) * BUCKET_INPUT  # unknown
+    buckets, salts, tasks = max(shuffle_partitions(spark), min(1 << 22, size // BUCKET_INPUT)), 1 + min(511, size // SALT_INPUT), max(8, size // TASK_INPUT)
     source = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
 
     def blocks(batches):
@@ -147,8 +150,8 @@ def encode(df: DataFrame, vocabulary: Vocabulary, id_col: str = "doc_id", text_c
         cut = [data[4 * i : 4 * j] for i, j in zip(tokens.tolist(), tokens[1:].tolist(), strict=False)]
         return pa.table({id_col: docs.column("id").cast(pa.int64()), "n_tokens": pa.array(np.diff(tokens), pa.int64()), "ids": pa.array(cut, pa.binary())})
 
-    encoded = source.mapInArrow(words, _ROW).groupBy("bucket").applyInArrow(encode_bucket, _ROW)
-    return source.mapInArrow(positions, _ROW).unionAll(encoded).groupBy("block").applyInArrow(reassemble, f"`{id_col}` long, n_tokens long, ids binary")
+    encoded = source.mapInArrow(words, _ROW).repartition(tasks, "bucket").groupBy("bucket").applyInArrow(encode_bucket, _ROW)
+    return source.mapInArrow(positions, _ROW).unionAll(encoded).repartition(tasks, "block").groupBy("block").applyInArrow(reassemble, f"`{id_col}` long, n_tokens long, ids binary")
 
 
 def decode(df: DataFrame, vocabulary: Vocabulary, ids_col: str = "ids", out_col: str = "decoded", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
