@@ -13,10 +13,14 @@ from pyspark.sql import functions as F
 
 from galley.llm import exact_dedup as exact
 from galley.llm import packing, quality_model, secret_scan, simhash
-from galley.llm.common import ROW, new_path, numbered, owned
+from galley.llm.common import ROW, materialize, new_path, numbered, owned
 from galley.llm.vocabulary import Vocabulary
 
 
+#: Rejected rows of a stage that are broadcast; of more, the texts are shuffled.
+FEW_ROWS = 500_000
+
+
 def _stage(f):
     """What a stage writes for itself goes when the next one over the same folder begins: its result has been written by then."""
 
@@ -31,7 +35,11 @@ def _stage(f):
 def _chosen(docs: DataFrame, rows: DataFrame) -> DataFrame:
     """The rows of ``docs`` (from ``numbered``) that ``rows`` names; a verdict on one row says nothing of others with its identifier."""
     key = list(ROW[1:])
-    return docs.join(rows.select(*key), key, "left_semi").drop(*ROW)
+    kept = materialize(rows.select(*key), "kept")
+    gone = materialize(docs.select(*key).join(kept, key, "left_anti"), "gone")
+    if gone.count() <= FEW_ROWS:  # sixteen bytes each: told to every executor, so that texts stay where they are
+        return docs.join(F.broadcast(gone), key, "left_anti").drop(*ROW)
+    return docs.join(kept, key, "left_semi").drop(*ROW)
 
 
 def _one_each(found: DataFrame, group: str) -> DataFrame:
