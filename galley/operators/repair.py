@@ -92,3 +92,19 @@ def candidates(df: DataFrame, key: str, text: str, source: str) -> DataFrame:
     codes = F.concat("__early", F.coalesce("__codes", none), F.coalesce("__left", none))
     ok = F.size(codes) == 0
     return out.select(key, ok.alias("ok"), codes.alias("codes"), F.when(ok, F.col("repaired")).alias("repaired"), F.when(ok, F.col("diff")).alias("diff"))
+
+
+def applied(df: DataFrame, repaired: DataFrame, key: str, text: str, expected: str | None = None) -> DataFrame:
+    """(key, text, applied, before_sha256): reports with their repaired text where there is one.
+
+    ``expected`` names a column with the digest that a caller has seen; a report that has changed since stays as it is.
+    """
+    met = df.join(repaired.select(key, "ok", "repaired"), key, "left")
+    fresh = F.lit(True) if expected is None else F.coalesce(F.sha2(text, 256) == F.col(expected), F.lit(False))
+    use = F.coalesce(F.col("ok"), F.lit(False)) & fresh
+    return met.select(key, F.when(use, F.col("repaired")).otherwise(F.col(text)).alias("text"), use.alias("applied"), F.sha2(text, 256).alias("before_sha256"))
+
+
+def legacy_parse_error(text: Column, registered: Column) -> Column:
+    """Why a report isn't parsed the old way: a version 2 report is submitted, and what is registered isn't written over."""
+    return F.when(reports.is_v2(text), "parse-v2-requires-submit").when(registered, "report-changed")

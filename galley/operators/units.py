@@ -186,3 +186,18 @@ def closest(df: DataFrame, text: str, others: tuple[str, ...]) -> DataFrame:
     """``df`` with ``nearest``: which of a few words, given as literals, is the nearest by edit distance; ties go to the first."""
     word = F.array(*[F.struct(F.levenshtein(text, F.lit(o)).alias("d"), F.lit(i).alias("i"), F.lit(o).alias("o")) for i, o in enumerate(others)])
     return df.withColumn("nearest", F.array_min(word)["o"])
+
+
+def artefacts(unit: Column) -> Column:
+    """STRUCT of the names of a unit's files: source, report, data, failure note, mark of what is skipped."""
+    names = {"source": F.concat(unit, F.lit(".md")), "report": F.lit("_校对报告.md"), "data": F.lit("_校对数据.json"), "failure": F.lit("_校对失败.md"), "skip": F.lit(".skip_proofread")}
+    return F.struct(*[c.alias(n) for n, c in names.items()])
+
+
+def is_unit_name(name: Column) -> Column:
+    return name.rlike(r"^(?:第\d+题|单元\d+|板块\d+)$")
+
+
+def rewritten(files: DataFrame, text: str, rule) -> DataFrame:
+    """``files`` with a text rule applied: only rows that it changes, as they are to be written."""
+    return files.withColumn("__new", rule(F.col(text))).where(~F.col("__new").eqNullSafe(F.col(text))).drop(text).withColumnRenamed("__new", text)

@@ -133,3 +133,6 @@ judged("normalized_sources", M.each(lambda t: str((locate.normalized(t)[0].encod
 judged("formula_spans", M.each(lambda t: str(M.math_spans(t))), [("a $b$ c", "[(2, 5, False)]"), ("$$x$$", "[(0, 5, True)]"), (r"\$5 $6$", "[(4, 7, False)]"), ("【1|$a$|b】 $c$", "[(10, 13, False)]"), ("none", "[]")])
 judged("line_columns", M.each(lambda t: str(locate.line_column(t, t.find("Q")))), [("Q", "(1, 1)"), ("ab\ncQ", "(2, 2)"), ("a\n\nQ", "(3, 1)"), ("对对Q", "(1, 3)")])
 judged("overlapping_hits", M.each(lambda t: str(locate.hits(t, "aa"))), [("aaaa", "[0, 1, 2]"), ("baab", "[1]"), ("b", "[]"), ("aa aa", "[0, 3]")])
+judged("rendered_latex", R.renderer_latex, [
+    (r"a \gt b \le c", r"a > b \leq c"), (r"\mbox{cm} \hspace{2em}x", r"\text{cm} \ x"), (r"\mathrel{=} \displaystyle x", r"=  x"), (r"\left\| x \right\| \|U", r"\left\Vert x \right\Vert {\Vert}U"), (r"\text{速度} v_对", r"\text{速度} v_\mathrm{对}"), (r"\leftarrow \gtx", r"\leftarrow \gtx"), (r"\mathrm{ \, }\sum\limits", r"\mathrm{}\sum"),
+])

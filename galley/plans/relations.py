@@ -562,3 +562,34 @@ def quantity_search(spark: SparkSession, d: str) -> DataFrame:
     every = configs.withColumn("p_partkey", F.col("subject").cast("long"))
     found = materials.quantities(every.withColumn("subject", F.when(F.col("p_partkey") % 2 == 0, "even").otherwise("odd")), "even", "m", "p_partkey").union(materials.quantities(every.withColumn("subject", F.when(F.col("p_partkey") % 2 == 0, "even").otherwise("odd")), "odd", "ma", "p_partkey"))
     return found.select("p_partkey", "name", "unit")
+
+
+@query("""select p_partkey, (['第3题.md', '单元1.md', 'x.md'])[p_partkey % 3 + 1] as source, p_partkey % 3 < 2 as unit, '_校对报告.md|_校对数据.json|_校对失败.md|.skip_proofread' as rest from part""")
+def artefact_names(spark: SparkSession, d: str) -> DataFrame:
+    name = F.element_at(F.array(F.lit("第3题"), F.lit("单元1"), F.lit("x")), (F.col("p_partkey") % 3 + 1).cast("int"))
+    a = _t(spark, d, "part").select("p_partkey", units.artefacts(name).alias("a"), units.is_unit_name(name).alias("unit"))
+    return a.select("p_partkey", "a.source", "unit", F.concat_ws("|", "a.report", "a.data", "a.failure", "a.skip").alias("rest"))
+
+
+@query("select doc_id, sha256(regexp_replace(text, ' {4,}', '  ', 'g')) as digest from (select doc_id, text || case when doc_id % 2 = 0 then '     x' else '' end as text from documents) where regexp_matches(text, ' {4,}')")
+def rewritten_files(spark: SparkSession, d: str) -> DataFrame:
+    files = _t(spark, d, "documents").select("doc_id", F.concat("text", F.when(F.col("doc_id") % 2 == 0, "     x").otherwise("")).alias("text"))
+    return units.rewritten(files, "text", X.clean_spacing).select("doc_id", F.sha2("text", 256).alias("digest"))
+
+
+@query("""select doc_id, doc_id % 3 = 0 as applied, case when doc_id % 3 = 0 then '轻微问题' || chr(10) || '### 标记原文' || chr(10) || 'a 【1|beta|B】 c' || chr(10) || '### 修改原因' || chr(10) || '1. why' || chr(10) end as text, ([null, 'report-changed', 'parse-v2-requires-submit'])[doc_id % 3 + 1] as legacy from documents""")
+def applied_repairs(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("doc_id") % 3
+    body = F.when(k == 2, "【1|gone|B】").otherwise("a 【1|beta|B】 lost")
+    text = F.concat(F.lit(f"轻微问题\n{reports.MARKED}\n"), body, F.lit(f"\n{reports.REASONS}\n1. why\n"))
+    made = _t(spark, d, "documents").select("doc_id", text.alias("text"), F.lit("a beta c").alias("source")).withColumn("seen", F.sha2(F.when(F.col("doc_id") % 3 == 1, F.lit("old")).otherwise(F.col("text")), 256))
+    out = repair.applied(made, repair.candidates(made, "doc_id", "text", "source"), "doc_id", "text", "seen")
+    old = repair.legacy_parse_error(F.when(k == 2, F.lit("<!-- x-report-v2 -->\n")).otherwise(F.col("text")), k == 1)
+    return out.select("doc_id", "applied", F.when(F.col("applied"), F.col("text")).alias("text"), old.alias("legacy"))
+
+
+@query("select p_partkey, p_partkey % 4 = 0 as broken from part")
+def broken_placeholders(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("p_partkey") % 4
+    known = images.placeholder_digest(b"pixels")
+    return _t(spark, d, "part").select("p_partkey", images.broken_placeholder(F.when(k == 1, 87).otherwise(88), F.when(k == 2, 105).otherwise(106), F.when(k == 3, "other").otherwise(known), (known,)).alias("broken"))

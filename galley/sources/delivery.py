@@ -5,7 +5,9 @@ the finished file, and its accounting are ordinary queries.  Only ``publish`` to
 """
 from __future__ import annotations
 
+import contextlib
 import io
+import time
 import re
 import uuid
 import zipfile
@@ -176,32 +178,76 @@ def reconcile(marks: DataFrame, audit: DataFrame, paper: str) -> DataFrame:
     return full.withColumn("ok", (left == 0) & (F.col("n_unpaired") == 0))
 
 
+def _replace(spark, passing, final) -> None:
+    """Give a file its final name in one step, also where there is one of that name."""
+    jvm, gateway = spark._jvm, spark.sparkContext._gateway
+    rename = getattr(jvm.org.apache.hadoop.fs, "Options$Rename")
+    options = gateway.new_array(rename, 1)
+    options[0] = rename.OVERWRITE
+    jvm.org.apache.hadoop.fs.FileContext.getFileContext(final.toUri(), spark._jsc.hadoopConfiguration()).rename(passing, final, options)
+
+
 def publish(files: DataFrame, folder: str, name: str = "name", ok: str = "ok") -> list[str]:
     """Write files (name, content, ok) into a folder of any file system Spark reaches; returns their paths.
 
-    Rows come to the driver one partition at a time and are written under a passing name, then renamed, so a reader
-    never meets half a file.  What isn't ok is named ``.failed.docx``, and leaves a file published before alone.
+    Rows come to the driver one partition at a time and are written under a passing name, then renamed over what may be
+    there, so a reader finds the old file or the new one and never half of one.  What isn't ok is named
+    ``.failed.docx``, and leaves a file published before alone.  Different files whose names are equal once they are
+    safe get a part of their digest behind them, but for the first by digest.
     """
     spark = files.sparkSession
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    root = jvm.org.apache.hadoop.fs.Path(folder)
+    fs = root.getFileSystem(conf)
+    root = fs.makeQualified(root)
+    named = files.select(X.safe_name(F.col(name)).alias("n"), "content", F.coalesce(F.col(ok), F.lit(False)).alias("ok")).where("content is not null").withColumn("d", F.sha2("content", 256))
+    first = named.groupBy("n", "ok").agg(F.min("d").alias("first"))
+    called = F.when(F.col("d") == F.col("first"), F.col("n")).otherwise(F.concat(F.col("n"), F.lit("-"), F.substring("d", 1, 8)))
     out = []
-    for row in files.select(X.safe_name(F.col(name)).alias("n"), "content", F.col(ok).alias("ok")).where("content is not null").toLocalIterator():
-        final = jvm.org.apache.hadoop.fs.Path(f"{folder.rstrip('/')}/{row['n']}{'.docx' if row['ok'] else '.failed.docx'}")
-        passing = jvm.org.apache.hadoop.fs.Path(f"{folder.rstrip('/')}/.{uuid.uuid4().hex}.tmp")
-        fs = final.getFileSystem(conf)
+    for row in named.join(first, ["n", "ok"]).select(called.alias("n"), "ok", "content").toLocalIterator():
+        final = jvm.org.apache.hadoop.fs.Path(root, f"{row['n']}{'.docx' if row['ok'] else '.failed.docx'}")
+        passing = jvm.org.apache.hadoop.fs.Path(root, f".{uuid.uuid4().hex}.tmp")
         stream = fs.create(passing, True)
         try:
             stream.write(bytearray(row["content"]))
         finally:
             stream.close()
-        if fs.exists(final):
-            fs.delete(final, False)
-        if not fs.rename(passing, final):
-            raise OSError(f"{final}: not renamed")
+        _replace(spark, passing, final)
         out.append(str(final))
     return out
 
 
+class LockTimeout(TimeoutError):
+    pass
+
+
+@contextlib.contextmanager
+def locked(spark, folder: str, wait: float = 10.0, stale_after: float = 600.0):
+    """Hold a folder of a store alone, from one driver to another, while what stands within runs; readers need no lock.
+
+    The lock is a file that only one can create.  One older than ``stale_after`` seconds was left behind and is broken;
+    after ``wait`` seconds without the lock, LockTimeout.
+    """
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder.rstrip('/')}/.lock")
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    until = time.monotonic() + wait
+    while True:
+        try:
+            fs.create(path, False).close()
+            break
+        except Exception as e:
+            if fs.exists(path) and time.time() - fs.getFileStatus(path).getModificationTime() / 1000 > stale_after:
+                fs.delete(path, False)
+                continue
+            if time.monotonic() >= until:
+                raise LockTimeout(f"{folder} is held") from e
+            time.sleep(0.05)
+    try:
+        yield
+    finally:
+        fs.delete(path, False)
+
+
 def report_json(summary: Column, marks: Column) -> Column:
     """A report as JSON: its severity and an array of (num, original, replacement, reason)."""
     return F.to_json(F.struct(summary.alias("summary"), marks.alias("items")), {"ignoreNullFields": "false"})

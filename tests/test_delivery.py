@@ -2,6 +2,7 @@ import json
 import zipfile
 from pathlib import Path
 
+import pytest
 from pyspark.sql import functions as F
 
 from galley.sources import delivery, materials
@@ -103,3 +104,25 @@ def test_idml_order():
             z.writestr(f"Stories/{key}.xml", f"<R>{story(key, style, text)}</R>")
     lines = [x for x in materials.read_idml(out.getvalue())[0].split("\n") if x]
     assert lines == ["padded page", "right body", "> margin note", "second row", "unplaced"]
+
+
+def test_names_that_become_equal(spark, tmp_path):
+    rows = [("a/b", b"1", True), ("a:b", b"2", True), ("a/b", b"1", False), ("c", None, True)]
+    df = spark.createDataFrame(rows, "name string, content binary, ok boolean")
+    out = delivery.publish(df, str(tmp_path))
+    assert len(out) == len(set(out)) == 3 and sorted(p.read_bytes() for p in tmp_path.glob("*.docx")) == [b"1", b"1", b"2"]
+    delivery.publish(spark.createDataFrame([("c", b"old", True)], df.schema), str(tmp_path))
+    delivery.publish(spark.createDataFrame([("c", b"new", True)], df.schema), str(tmp_path))
+    assert (tmp_path / "c.docx").read_bytes() == b"new" and not list(tmp_path.glob(".*.tmp"))
+
+
+def test_a_folder_is_held_by_one(spark, tmp_path):
+    with delivery.locked(spark, str(tmp_path)):
+        with pytest.raises(delivery.LockTimeout):
+            with delivery.locked(spark, str(tmp_path), wait=0.2):
+                pass
+        with delivery.locked(spark, str(tmp_path), wait=5, stale_after=-1):  # left behind, as it seems
+            pass
+    with delivery.locked(spark, str(tmp_path)):
+        pass
+    assert not (tmp_path / ".lock").exists()
