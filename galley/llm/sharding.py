@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, shuffle_partitions
+from .common import ROW, materialize, numbered, shuffle_partitions
 
 BUCKET_BYTES = 16 << 20
 #: What a row takes in memory beside its text.
@@ -34,8 +34,8 @@ def shuffle_shards(df: DataFrame, shards: int = 16, seed: int = 11, bucket_bytes
     """All rows and columns of ``df`` plus size, law (``rows``), shard, slot and grown_shard (null: only another law has it).
 
     ``size`` is the text's UTF-8 bytes plus 1 (null: 1).  ``slot`` counts from 0 without gaps within a shard.  Columns
-    of ``df`` with these names, or ``bucket``, are replaced.  Rows are dealt by identifier and text together, so a
-    repeated or null identifier spreads by its texts.  For given input and partition numbers the result repeats.
+    of ``df`` with these names, or ``bucket``, are replaced.  Rows are dealt by identifier, text and number in their
+    file, so that a bucket can't fill with copies of one row.  For given files and partition numbers the result repeats.
     Null identifiers and empty texts are rows like any other; an empty table gives no row.
     """
     made = ("size", "law", "shard", "slot", "grown_shard", "bucket")
@@ -43,8 +43,8 @@ def shuffle_shards(df: DataFrame, shards: int = 16, seed: int = 11, bucket_bytes
     size = F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long") + 1
     total = df.agg(F.coalesce(F.sum(size + ROW_BYTES), F.lit(0)), F.count("*")).first()
     rows, buckets = int(total[1]), max(1, -(-int(total[0]) // bucket_bytes))
-    drawn = F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col))
-    dealt = df.select(*kept, size.alias("size"), F.pmod(drawn, F.lit(buckets)).alias("bucket"), F.xxhash64(F.lit(seed + 1), F.col(id_col), F.col(text_col)).alias("__order"))
+    drawn = lambda n: F.xxhash64(F.lit(seed + n), F.col(id_col), F.col(text_col), F.col(ROW[2]))
+    dealt = numbered(df).select(*kept, size.alias("size"), F.pmod(drawn(0), F.lit(buckets)).alias("bucket"), drawn(1).alias("__order"))
     scattered = dealt.repartition(max(buckets, shuffle_partitions(df.sparkSession)), "bucket").sortWithinPartitions("bucket", "__order")
     held = F.struct(*kept, "size")
     permuted = scattered.groupBy("bucket").agg(F.shuffle(F.collect_list(held), F.lit(seed)).alias("rows"))  # Fisher-Yates

@@ -329,6 +329,15 @@ def test_sharding_repeats_and_mixes(spark):
     assert 150 < inverse < 350
 
 
+def test_copies_of_one_row_are_spread(spark):
+    """A third of all rows are one row; no bucket holds more of them than its share."""
+    df = spark.range(0, 9000, numPartitions=3).select(F.when(F.col("id") % 3 > 0, F.col("id")).alias("doc_id"), F.when(F.col("id") % 3 > 0, F.concat(F.lit("t"), "id")).alias("text"))
+    found = sharding.shuffle_shards(df, shards=4, seed=3, bucket_bytes=20000)
+    assert Counter(r.shard for r in found.collect()) == {0: 2250, 1: 2250, 2: 2250, 3: 2250}
+    hot = Counter(r.shard for r in found.where("doc_id is null").collect())
+    assert sum(hot.values()) == 3000 and all(600 < n < 900 for n in hot.values())
+
+
 # 5
 
 
