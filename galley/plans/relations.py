@@ -593,3 +593,31 @@ def broken_placeholders(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("p_partkey") % 4
     known = images.placeholder_digest(b"pixels")
     return _t(spark, d, "part").select("p_partkey", images.broken_placeholder(F.when(k == 1, 87).otherwise(88), F.when(k == 2, 105).otherwise(106), F.when(k == 3, "other").otherwise(known), (known,)).alias("broken"))
+
+
+_SEEN = (("a.png", "inline", None), ("b.png", "html", "images.unsupported_syntax"), ("", "inline", "images.invalid_reference"), ("http://x/c.png", "inline", "images.remote_unsupported"), ("../d.png", "inline", "images.invalid_reference"), ("e.png", "inline", "images.missing"), ("f.tif", "inline", "images.unsupported_format"), ("g.png", "inline", "images.unreadable"), ("h.png", "inline", "images.white_background_missing"), ("i.png", "inline", "images.white_background_unreadable"), ("j.png", "inline", None))
+
+
+@query(f"""select doc_id, r.* from documents, (values {', '.join(f"({i}, '{p}', '{c}')" for i, (p, _, c) in enumerate(_SEEN) if c)}, (null, 'z.png', 'images.extra_images')) r(reference_index, path, code)""")
+def inspected_images(spark: SparkSession, d: str) -> DataFrame:
+    docs = _t(spark, d, "documents").select("doc_id")
+    refs = docs.select("doc_id", F.explode(F.array(*[F.struct(F.lit(i).alias("reference_index"), F.lit(p).alias("path"), F.lit(s).alias("syntax")) for i, (p, s, _) in enumerate(_SEEN)])).alias("r")).select("doc_id", "r.*")
+    kept = (("a.png", True, False, None), ("f.tif", True, False, None), ("g.png", False, False, None), ("h.png", True, True, None), ("i.png", True, True, False), ("j.png", True, True, True), ("z.png", True, False, None))
+    files = docs.select("doc_id", F.explode(F.array(*[F.struct(F.lit(p).alias("path"), F.lit(r).alias("readable"), F.lit(t).alias("transparent"), F.lit(w).cast("boolean").alias("white_readable")) for p, r, t, w in kept])).alias("f")).select("doc_id", "f.*")
+    return images.inspect(refs, files, "doc_id")
+
+
+def _pixel(red: int, green: int, blue: int, alpha: int) -> bytes:
+    """A PNG of one pixel with alpha."""
+    body = images.struct.pack(">IIBBBBB", 1, 1, 8, 6, 0, 0, 0)
+    chunk = lambda kind, x: images.struct.pack(">I", len(x)) + kind + x + images.struct.pack(">I", images.zlib.crc32(kind + x))
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", body) + chunk(b"IDAT", images.zlib.compress(bytes([0, red, green, blue, alpha]))) + chunk(b"IEND", b"")
+
+
+@query("select p_partkey, (['ff0000ff', 'ffffffff', '0000ff80', null])[p_partkey % 4 + 1] as pixel, ([null, null, '7f7fffff', null])[p_partkey % 4 + 1] as white from (select p_partkey from part where p_partkey % 4 <> 1)")
+def white_copies(spark: SparkSession, d: str) -> DataFrame:
+    data = F.element_at(F.array(F.lit(bytearray(_pixel(255, 0, 0, 255))), F.lit(bytearray(b"no")), F.lit(bytearray(_pixel(0, 0, 255, 128))), F.lit(bytearray(b"\x89PNG\r\n\x1a\nbroken"))), (F.col("p_partkey") % 4 + 1).cast("int"))
+    made = _t(spark, d, "part").where("p_partkey % 4 <> 1").select("p_partkey", images.pixels_sha256(data).alias("p"), images.pixels_sha256(images.on_white(data)).alias("w"))
+    known = {bytes.fromhex(x): F.sha2(F.unhex(F.lit(x)), 256) for x in ("ff0000ff", "0000ff80", "7f7fffff")}
+    name = lambda c: F.coalesce(*[F.when(F.col(c) == h, F.lit(x.hex())) for x, h in known.items()])
+    return made.select("p_partkey", name("p").alias("pixel"), name("w").alias("white"))

@@ -1,5 +1,8 @@
 import json
+import struct
+import zlib
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -57,3 +60,30 @@ def test_empty_tables(spark):
 @pytest.mark.parametrize("data", [b"", b"\x89PNG\r\n\x1a\n", b"BM", b"\xff\xd8\xff", b"GIF89a", None])
 def test_damaged_images(spark, data):
     assert spark.createDataFrame([(data,)], "d binary").select(images.summary(F.col("d")).alias("s")).first().s.format is None
+
+
+def test_png_filters_and_colours():
+    """All filters and kinds of colour against pixels that are known, and a round trip."""
+    rng = np.random.default_rng(1)
+    chunk = lambda kind, x: struct.pack(">I", len(x)) + kind + x + struct.pack(">I", zlib.crc32(kind + x))
+    for colour, n in ((0, 1), (2, 3), (3, 1), (4, 2), (6, 4)):
+        want = rng.integers(0, 4 if colour == 3 else 256, (10, 7, n)).astype(np.uint8)
+        lines, above = [], np.zeros(7 * n + n, np.int64)
+        for y in range(10):
+            row = np.concatenate([np.zeros(n, np.int64), want[y].ravel()])
+            a, b, c = row[:-n], above[n:], above[:-n]
+            paeth = [min((abs(q - r), 0, p), (abs(p - r), 1, q), (abs(p + q - 2 * r), 2, r))[2] for p, q, r in zip(a, b, c, strict=True)]
+            guess = (np.zeros_like(a), a, b, (a + b) // 2, np.array(paeth))[y % 5]
+            lines.append(bytes([y % 5]) + ((row[n:] - guess) % 256).astype(np.uint8).tobytes())
+            above = row
+        data = b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", 7, 10, 8, colour, 0, 0, 0)) + chunk(b"PLTE", bytes(range(12))) + chunk(b"tRNS", bytes([9, 8]) if colour == 3 else bytes(2 * n)) * (colour in (0, 2, 3)) + chunk(b"IDAT", zlib.compress(b"".join(lines))) + chunk(b"IEND", b"")
+        got = images.decode_png(data)
+        if colour == 3:
+            assert (got[..., :3] == np.arange(12).reshape(4, 3)[want[..., 0]]).all() and (got[..., 3] == np.array([9, 8, 255, 255])[want[..., 0]]).all()
+        else:
+            assert (got[..., :3] == (want[..., :3] if n > 2 else want[..., :1])).all()
+            assert (got[..., 3] == (want[..., -1] if colour in (4, 6) else np.where((want == 0).all(2), 0, 255))).all()
+        white = images.white_copy(data)
+        assert (white is None) == bool((got[..., 3] == 255).all())
+        assert white is None or images.header(white)[:3] == ("png", 7, 10) and (images.decode_png(white)[..., 3] == 255).all()
+        assert images.decode_png(data[:-20]) is None and images.decode_png(data.replace(b"IDAT", b"IDAX")) is None
