@@ -14,7 +14,9 @@ def connected_components(edges: DataFrame, most_rounds: int = 200) -> DataFrame:
     round, and the edges between vertices that moved to the same one go.  A hub's neighbours meet in a partial
     aggregate; nothing is gathered by component.
     """
-    links = materialize(edges.select(F.col("u").cast("long"), F.col("v").cast("long")).where("u <> v").union(edges.select("v", "u").where("u <> v")).distinct(), "links")
+    way = lambda a, b: F.struct(F.col(a).cast("long").alias("u"), F.col(b).cast("long").alias("v"))
+    both_ways = edges.where("u <> v").select(F.explode(F.array(way("u", "v"), way("v", "u"))).alias("e"))  # edges are made once
+    links = materialize(both_ways.select("e.*").distinct(), "links")
     moves: list[DataFrame] = []
     for k in range(most_rounds):
         if links.isEmpty():

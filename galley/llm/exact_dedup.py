@@ -123,30 +123,26 @@ def local_runs(hashed: DataFrame, ranges: int) -> DataFrame:
     return hashed.mapInArrow(tidied(run), _RUN)
 
 
-def merge_runs(runs: DataFrame, fan_in: int) -> DataFrame:
-    """A round: the runs whose numbers agree after division by ``fan_in`` become one sorted run."""
+def _rows(entries: np.ndarray) -> list[pa.Array]:
+    """Columns of ``_GROUP`` of a run."""
+    key = np.ascontiguousarray(entries["key"]).view(">u8").reshape(-1, 6)
+    digest = pa.Array.from_buffers(pa.binary(), len(entries), [None, pa.py_buffer(np.arange(0, 32 * len(entries) + 1, 32, dtype=np.int32)), pa.py_buffer(np.ascontiguousarray(key[:, :4]))])
+    size, check = (np.ascontiguousarray(key[:, i], np.uint64).view(np.int64) for i in (4, 5))
+    low, high, n = (np.ascontiguousarray(entries[c]) for c in ("low", "high", "n"))
+    return [digest, pa.array(size), pa.array(check), pa.array(low, mask=low == _NONE_LOW), pa.array(high, mask=high == _NONE_HIGH), pa.array(n)]
+
+
+def merge_runs(runs: DataFrame, fan_in: int, last: bool = False) -> DataFrame:
+    """A round: the runs whose numbers agree after division by ``fan_in`` become one sorted run; the last one gives rows (``_GROUP``)."""
+    names = [x.split(" ")[0] for x in _GROUP.split(", ")]
 
     def run(table: pa.Table) -> pa.Table:
         one = merge([np.frombuffer(x, ENTRY) for x in table.column("entries").to_pylist()])
+        if last:  # in this task, so that no second worker is needed for it
+            return pa.table(_rows(one), names=names)
         return pa.table({"bucket": table.column("bucket")[:1], "run": table.column("run")[:1], "entries": pa.array([one.tobytes()], pa.binary())})
 
-    return runs.withColumn("run", F.expr(f"cast(run div {fan_in} as int)")).groupBy("bucket", "run").applyInArrow(run, _RUN)
-
-
-def groups(runs: DataFrame) -> DataFrame:
-    """The entries of merged runs as rows (``_GROUP``)."""
-
-    def run(batches):
-        for batch in batches:
-            for x in batch.column(2):
-                e = np.frombuffer(x.as_py(), ENTRY)
-                key = np.ascontiguousarray(e["key"]).view(">u8").reshape(-1, 6)
-                digest = pa.Array.from_buffers(pa.binary(), len(e), [None, pa.py_buffer(np.arange(0, 32 * len(e) + 1, 32, dtype=np.int32)), pa.py_buffer(np.ascontiguousarray(key[:, :4]))])
-                size, check = (np.ascontiguousarray(key[:, i], np.uint64).view(np.int64) for i in (4, 5))
-                low, high = np.ascontiguousarray(e["low"]), np.ascontiguousarray(e["high"])
-                yield pa.RecordBatch.from_arrays([digest, pa.array(size), pa.array(check), pa.array(low, mask=low == _NONE_LOW), pa.array(high, mask=high == _NONE_HIGH), pa.array(np.ascontiguousarray(e["n"]))], names=["digest", "n_bytes", "check_sum", "min_id", "max_id", "n"])
-
-    return runs.mapInArrow(tidied(run), _GROUP)
+    return runs.withColumn("run", F.expr(f"cast(run div {fan_in} as int)")).groupBy("bucket", "run").applyInArrow(run, _GROUP if last else _RUN)
 
 
 def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "largest", fan_in: int = 2, carry: tuple[str, ...] = ()) -> DataFrame:
@@ -163,10 +159,8 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k
     hashed = materialize(digests(df, id_col, text_col, carry), "digests")
     ranges = min(1 << 24, max(shuffle_partitions(df.sparkSession), hashed.count() // RANGE_ENTRIES))
     runs, left = local_runs(hashed.select("doc_id", "digest", "n_bytes", "check_sum"), ranges), hashed.rdd.getNumPartitions()
-    while True:
+    while left > fan_in:
         runs, left = merge_runs(runs, fan_in), -(-left // fan_in)
-        if left <= 1:
-            break
     key = ["digest", "n_bytes", "check_sum"]
-    found = materialize(groups(runs), "groups").select(*key, F.col("min_id" if keep == "smallest" else "max_id").alias("keep_id"), F.col("n").alias("group_size"), F.col("n").alias("__n"))
+    found = materialize(merge_runs(runs, fan_in, last=True), "groups").select(*key, F.col("min_id" if keep == "smallest" else "max_id").alias("keep_id"), F.col("n").alias("group_size"), F.col("n").alias("__n"))
     return by_group(hashed, found, key).select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"), *carry)
