@@ -298,6 +298,13 @@ def test_chat_round_trip(chats):
     assert {r.conv_id: r.valid for r in made} == {1: True, 2: True, 3: False, 4: False, None: False, 5: False}
 
 
+def test_chat_of_long_texts_beside_clashing_columns(spark):
+    long = "\\b<turn>é🙂\n" * 30000
+    df = spark.createDataFrame([(1, 0, "user", long, "x", 1, None), (1, 1, "assistant", long, "y", 2, None)], "conv_id long, turn long, role string, text string, formatted string, segments int, turns string")
+    (r,) = chat.format_chats(df).select("n_turns", "valid", chat.read_turns(F.col("formatted")).alias("back"), chat.loss_text(F.col("segments")).alias("loss")).collect()
+    assert (r.n_turns, r.valid, r.loss) == (2, True, long) and [tuple(x) for x in r.back] == [("user", long), ("assistant", long)]
+
+
 def test_chat_of_nothing(chats):
     assert chat.format_chats(chats.limit(0)).count() == 0
     with pytest.raises(ValueError):
@@ -458,6 +465,15 @@ def test_arc_versions():
     assert warc.iso_date("1999") == "1999-01-01T00:00:00Z" and warc.iso_date("x") == "1970-01-01T00:00:00Z"
 
 
+def test_pages_with_null_ids_and_clashing_columns(spark):
+    long = "<p>" + "long page é " * 200000
+    rows = [(None, "u", long, "d", 1), (None, "u", long, "d", 1), (3, "u", long, "d", 1), (None, None, None, None, None)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, digest string, path int").repartition(2)
+    found = Counter((r.page_id, r.payload_bytes, r.record_type, r.refers_to) for r in warc.archive(df).collect())
+    n = len(long.encode())
+    assert found == {(3, n, "response", None): 1, (None, n, "revisit", 3): 2, (None, 0, "response", None): 1}
+
+
 def test_damage_is_kept_apart():
     first = warc.arc_start(1, "a.arc", "20240101000000")
     good = [warc.arc_record(1, f"http://x/{i}", "20240102000000", b"body", i) for i in range(3)]
