@@ -9,6 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import SparkSession
 
 from . import pretokens
+from .common import tidy
 
 _READY: dict[tuple[str, str], object] = {}
 MOST_BYTES = 64 << 20
@@ -29,6 +30,7 @@ class Vocabulary:
     def _once(self, what: str, make: Callable[[], object]):
         if (self.key, what) not in _READY:
             _READY[self.key, what] = make()
+            tidy()  # what it was made from
         return _READY[self.key, what]
 
     def ranks(self) -> dict[bytes, int]:
