@@ -621,3 +621,26 @@ def white_copies(spark: SparkSession, d: str) -> DataFrame:
     known = {bytes.fromhex(x): F.sha2(F.unhex(F.lit(x)), 256) for x in ("ff0000ff", "0000ff80", "7f7fffff")}
     name = lambda c: F.coalesce(*[F.when(F.col(c) == h, F.lit(x.hex())) for x, h in known.items()])
     return made.select("p_partkey", name("p").alias("pixel"), name("w").alias("white"))
+
+
+@query("select r_name as doc, cast(row_number() over (order by r_regionkey desc) as int) as place from region")
+def covering_sample(spark: SparkSession, d: str) -> DataFrame:
+    classes = F.transform(F.sequence(F.lit(0), F.col("r_regionkey").cast("int")), lambda i: F.concat_ws("-", "r_name", i.cast("string")))
+    made = _t(spark, d, "region").select(F.col("r_name").alias("doc"), F.lit("u").alias("unit"), F.lit(10).alias("chars"), classes.alias("classes"))
+    chosen = corpus.cover(made.unionByName(made.withColumn("unit", F.lit("v")).withColumn("chars", F.lit(5))))
+    return spark.createDataFrame([(r["doc"], i + 1) for i, r in enumerate(chosen)], "doc string, place int")
+
+
+@query("select distinct (['第' || p_size || '题', '单元' || p_size, '板块2'])[p_partkey % 4 + 1] as unit_dir, ([p_size, p_size, 2])[p_partkey % 4 + 1] as unit_no from part where p_partkey % 4 < 3")
+def unit_folders(spark: SparkSession, d: str) -> DataFrame:
+    k, n = F.col("p_partkey") % 4, F.col("p_size").cast("string")
+    name = F.when(k == 0, F.concat(F.lit("第"), n, F.lit("题"))).when(k == 1, F.concat(F.lit("单元"), n)).when(k == 2, "板块2").otherwise(F.concat(F.lit("x单元"), n))
+    return materials.unit_dirs(_t(spark, d, "part").select(F.concat(F.lit("a/"), name, F.lit("/x.md")).alias("path")))
+
+
+@query("select c_custkey, ([null, '[\"calc\"]', '[]'])[c_custkey % 3 + 1] as tools, (['title', 'section', 'section'])[c_custkey % 3 + 1] as split_mode, (['^a', '^b', '^(\\d+)．'])[c_custkey % 3 + 1] as question from customer where c_custkey % 3 > 0 union all select c_custkey, '[]', 'title', '^a' from customer where c_custkey % 3 = 0")
+def subject_settings(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("c_custkey") % 3
+    text = F.when(k == 0, F.lit('{"lecture": {"split_mode": "title"}, "exam": {"question_pattern": "^a"}}')).when(k == 1, F.lit('{"tools": ["calc"], "exam_question_pattern": "^b", "exam": {"question_pattern": "^c"}}')).otherwise("{}")
+    out = materials.settings(_t(spark, d, "customer").select("c_custkey", text.alias("text")), "text", "c_custkey")
+    return out.select("c_custkey", F.to_json("tools").alias("tools"), "split_mode", F.col("exam_question_pattern").alias("question"))

@@ -289,3 +289,45 @@ def word_run_formats(spark: SparkSession, d: str) -> DataFrame:
 
     content = F.element_at(F.array(*[F.lit(bytearray(_docx(_p("a ") + _p("word", form=f)))) for f, _ in _FORMS]), (F.col("p_partkey") % len(_FORMS) + 1).cast("int"))
     return _t(spark, d, "part").select("p_partkey", read(content).alias("r")).select("p_partkey", "r.*")
+
+
+def _idml(stories: dict[str, str], spread: str) -> bytes:
+    with zipfile.ZipFile(out := io.BytesIO(), "w") as z:
+        for name, body in stories.items():
+            z.writestr(f"Stories/{name}.xml", f'<r><Story Self="{name}">{body}</Story></r>')
+        z.writestr("Spreads/p1.xml", f"<r>{spread}</r>")
+    return out.getvalue()
+
+
+def _range(style: str, text: str) -> str:
+    return f'<ParagraphStyleRange AppliedParagraphStyle="ParagraphStyle/{style}"><Content>{text}</Content></ParagraphStyleRange>'
+
+
+_INDESIGN = (
+    (_idml({"u1": _range("标题1", "head") + _range("x", "12") + _range("x", "body")}, '<TextFrame ParentStory="u1"/>'), "# head¦body"),
+    (_idml({"u1": _range("x", "low"), "u2": _range("x", "high")}, '<TextFrame ParentStory="u1" ItemTransform="1 0 0 1 0 400"/><TextFrame ParentStory="u2" ItemTransform="1 0 0 1 0 10"/>'), "high¦low"),
+    (_idml({"u1": _range("x", "right"), "u2": _range("x", "left")}, '<TextFrame ParentStory="u1" ItemTransform="1 0 0 1 300 12"/><TextFrame ParentStory="u2" ItemTransform="1 0 0 1 20 30"/>'), "left¦right"),
+    (_idml({"u1": _range("小贴士", "hint") + _range("Heading 2", "part")}, '<TextFrame ParentStory="u1"/>'), "> hint¦## part"),
+    (b"broken", None),
+)
+
+
+@query(f"select p_partkey, ([{', '.join('null' if m is None else chr(39) + m + chr(39) for _, m in _INDESIGN)}])[p_partkey % {len(_INDESIGN)} + 1] as lines, p_partkey % {len(_INDESIGN)} = 4 as failed from part")
+def indesign_files_read(spark: SparkSession, d: str) -> DataFrame:
+    content = F.element_at(F.array(*[F.lit(bytearray(b)) for b, _ in _INDESIGN]), (F.col("p_partkey") % len(_INDESIGN) + 1).cast("int"))
+    out = materials.parsed(_t(spark, d, "part").select(F.concat(F.col("p_partkey").cast("string"), F.lit(".idml")).alias("path"), content.alias("content")))
+    lines = F.array_join(F.filter(F.split("markdown", "\n"), lambda x: x != ""), "¦")
+    return out.select(F.regexp_extract("path", r"(\d+)", 1).cast("long").alias("p_partkey"), lines.alias("lines"), F.col("error").isNotNull().alias("failed"))
+
+
+@query("select doc_id, 1 as n, 'word' as anchor, true as told, 'plain ' || doc_id || ' and word here' as cleaned from documents")
+def word_comments_read(spark: SparkSession, d: str) -> DataFrame:
+    """The comments of a Word file, read back into its Markdown and taken out again."""
+    n = F.col("doc_id").cast("string")
+    why = F.array(F.struct(F.lit(1).alias("num"), F.lit("spelling").alias("reason")))
+    made = _t(spark, d, "documents").select("doc_id", F.lit(1).alias("unit_no"), F.concat(F.lit("u"), n).alias("unit_name"), F.concat(F.lit("plain "), n, F.lit(" and 【1|word|term】 here")).alias("body"), why.alias("reasons"))
+    files = delivery.word_files(made, "doc_id").select(F.concat(F.col("doc_id").cast("string"), F.lit(".docx")).alias("path"), "content")
+    out = materials.parsed(files, with_comments=True).withColumn("tag", F.regexp_extract("markdown", r"(?s)<批注 id=1><原>(.*?)</原><改>(.*?)</改></批注>", 2))
+    line = F.element_at(F.filter(F.split(X.clean_markdown(F.col("markdown")), "\n"), lambda x: x.startswith("plain")), 1)
+    tags = F.size(F.regexp_extract_all("markdown", F.lit("<批注 id="), F.lit(0)))
+    return out.select(F.regexp_extract("path", r"(\d+)", 1).cast("long").alias("doc_id"), tags.alias("n"), F.regexp_extract("markdown", "<原>(.*?)</原>", 1).alias("anchor"), (F.col("tag").contains("term") & F.col("tag").contains("spelling")).alias("told"), line.alias("cleaned"))

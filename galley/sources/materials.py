@@ -329,16 +329,23 @@ def unit_dirs(files: DataFrame) -> DataFrame:
     return files.select(name.alias("unit_dir")).where(name.rlike(r"^(?:第\d+题|单元\d+|板块\d+)$")).distinct().withColumn("unit_no", F.regexp_extract("unit_dir", r"(\d+)", 1).cast("int"))
 
 
-def subject_configs(spark: SparkSession, path: str) -> DataFrame:
-    """(subject, tools, split_mode, section_pattern, exam_question_pattern, nav_patterns, quantities): aliases resolved, the top level first."""
-    schema = "subject string, tools array<string>, split_mode string, section_pattern string, exam_question_pattern string, nav_patterns array<string>, quantities map<string, string>, lecture struct<split_mode: string, section_pattern: string>, exam struct<question_pattern: string>"
-    raw = spark.read.schema(schema).option("multiLine", "true").json(path)
+_SUBJECT = "subject string, tools array<string>, split_mode string, section_pattern string, exam_question_pattern string, nav_patterns array<string>, quantities map<string, string>, lecture struct<split_mode: string, section_pattern: string>, exam struct<question_pattern: string>"
+
+
+def settings(texts: DataFrame, text: str, *carry: str) -> DataFrame:
+    """(carry, subject, tools, split_mode, section_pattern, exam_question_pattern, nav_patterns, quantities) of JSON texts: aliases resolved, the top level first."""
+    raw = texts.select(*carry, F.from_json(text, _SUBJECT).alias("s")).select(*carry, "s.*")
     return raw.select(
-        "subject", F.coalesce("tools", F.array().cast("array<string>")).alias("tools"), F.coalesce("split_mode", "lecture.split_mode", F.lit("section")).alias("split_mode"), F.coalesce("section_pattern", "lecture.section_pattern").alias("section_pattern"),
+        *carry, "subject", F.coalesce("tools", F.array().cast("array<string>")).alias("tools"), F.coalesce("split_mode", "lecture.split_mode", F.lit("section")).alias("split_mode"), F.coalesce("section_pattern", "lecture.section_pattern").alias("section_pattern"),
         F.coalesce("exam_question_pattern", "exam.question_pattern", F.lit(r"^(\d+)．")).alias("exam_question_pattern"), F.coalesce("nav_patterns", F.array(F.lit("直击课堂"), F.lit("本讲导航"))).alias("nav_patterns"), "quantities",
     )
 
 
+def subject_configs(spark: SparkSession, path: str) -> DataFrame:
+    """``settings`` of all JSON files of a path."""
+    return settings(spark.read.option("wholetext", "true").text(path), "value")
+
+
 def quantities(configs: DataFrame, subject: str, search: str = "", *carry: str) -> DataFrame:
     """(carry, name, unit) of a subject's quantities whose name or unit holds the words."""
     each = configs.where(F.col("subject") == subject).select(*carry, F.explode("quantities").alias("name", "unit"))
