@@ -172,21 +172,23 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def tree_sum(rows: DataFrame, part: Callable[[pa.RecordBatch], list], fan_in: int = 16) -> list:
+def tree_sum(rows: DataFrame, part: Callable[[pa.RecordBatch], list], fan_in: int = 16, exact: bool = False) -> list:
     """The sum over all batches of the arrays of numbers that part(batch) gives; none without rows.
 
     Arrays, whose sizes must not depend on the rows, are added within a task, then of ``fan_in`` tasks at a time, round
-    by round, until a few are left for the driver.
+    by round, until a few are left for the driver.  Numbers are doubles; with ``exact`` they are Python's integers of any size.
     """
     import numpy as np
     import zstandard
     from pyspark import TaskContext
 
     def dump(total: list) -> list[bytes]:
-        return [zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(a, np.float64).tobytes()) for a in total]
+        plain = [" ".join(map(str, a)).encode() if exact else np.ascontiguousarray(a, np.float64).tobytes() for a in total]
+        return [zstandard.ZstdCompressor(level=1).compress(a) for a in plain]
 
     def load(held: list[bytes]) -> list:
-        return [np.frombuffer(zstandard.ZstdDecompressor().decompress(x)) for x in held]
+        plain = [zstandard.ZstdDecompressor().decompress(x) for x in held]
+        return [np.array([int(i) for i in a.split()], object) if exact else np.frombuffer(a) for a in plain]
 
     def run(batches):
         total = None

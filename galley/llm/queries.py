@@ -89,4 +89,42 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decoded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash_bk_trees, op2_secret_scan, op3_chat_format, op4_external_shuffle, op5_best_fit_packing, op6_arc_to_warc, op7_exact_dedup, op8_quality_classifier, op9_quality_rules, op10_byte_bpe)}
+def op11_pivot_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .topk import top_k
+
+    (vectors,) = tables(spark, sf_dir, "embeddings")
+    return top_k(vectors, queries=F.col("vec_id") % 50 == 0, k=5, scale=256)
+
+
+def _replanted(docs: DataFrame) -> DataFrame:
+    """(doc_id, text): of each tenth document, by a hash, the words from some place on are repeated with a period."""
+    words = F.filter(F.split(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    h = F.crc32(F.col("doc_id").cast("string"))
+    made = docs.select("doc_id", "text", F.when(h % 10 == 0, words).alias("w"), F.floor(h / 10).alias("g"))
+    made = made.withColumn("n", F.size("w")).withColumn("a", F.when(F.col("n") > 0, F.col("g") % F.col("n")))
+    made = made.withColumn("p", F.expr("1 + (n - a) div (3 + g % 8)"))
+    again = F.expr("array_join(transform(w, (x, i) -> if(i < a, x, w[cast(a + (i - a) % p as int)])), ' ')")
+    return made.select("doc_id", F.when(F.col("a").isNotNull(), again).otherwise(F.col("text")).alias("text"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .runs import periodic_runs
+
+    (docs,) = tables(spark, sf_dir, "documents")
+    found = periodic_runs(_replanted(docs), least=24, exponent=3)
+    more = "cast(l.length as decimal(19)) * r.period"
+    less = "cast(r.length as decimal(19)) * l.period"
+    first = F.expr(f"array_sort(runs, (l, r) -> case when {more} > {less} then -1 when {more} < {less} then 1 when l.start <> r.start then if(l.start < r.start, -1, 1) else if(l.period < r.period, -1, 1) end)[0]")
+    lines = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"].cast("string"), r["length"].cast("string"), r["period"].cast("string")), F.lit("\n"))), "")
+    best = found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), F.when(F.size("runs") > 0, first).alias("b"), F.sha2(lines, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+    return best.select("doc_id", "n_runs", F.col("b.start").alias("start"), F.col("b.length").alias("length"), F.col("b.period").alias("period"), F.expr("1000 * b.length div b.period").alias("exponent_milli"), "runs_sha256", "collapsed_sha256")
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .whitening import whiten
+
+    (vectors,) = tables(spark, sf_dir, "embeddings")
+    return whiten(vectors, components=16, scale=64, offset=1_000_000)
+
+
+QUERIES = {f.__name__: f for f in (op1_simhash_bk_trees, op2_secret_scan, op3_chat_format, op4_external_shuffle, op5_best_fit_packing, op6_arc_to_warc, op7_exact_dedup, op8_quality_classifier, op9_quality_rules, op10_byte_bpe, op11_pivot_top_k, op12_periodic_runs, op13_whitening)}

@@ -85,4 +85,16 @@ select s.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, ba
 from s left join broken on s.doc_id = broken.doc_id
 """
 
-ORACLES = {"op3_chat_format": OP3, "op6_arc_to_warc": OP6, "op7_exact_dedup": OP7, "op9_quality_rules": OP9}
+OP11 = """
+with v as (
+  select vec_id, list_transform(embedding, lambda x: floor(256 * cast(x as double))) as x from embeddings
+  where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+), s as (
+  select q.vec_id as query_id, v.vec_id as vec_id, cast(list_dot_product(q.x, v.x) as bigint) as score
+  from v as q join v on q.vec_id <> v.vec_id where q.vec_id % 50 = 0
+)
+select query_id, cast(row_number() over (partition by query_id order by score desc, vec_id) as integer) as rank, vec_id, score
+from s qualify rank <= 5
+"""
+
+ORACLES = {"op3_chat_format": OP3, "op6_arc_to_warc": OP6, "op7_exact_dedup": OP7, "op9_quality_rules": OP9, "op11_pivot_top_k": OP11}
