@@ -9,6 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import latex as L
 from ..functions import mathtext as M
 from ..functions import reporttext as R
 from ..functions import text as X
@@ -93,7 +94,7 @@ planted("exam_post_process", R.post_process, [("$$x^2^$$`<!-- -->`{=html}", "$x<
 planted("masked_code", M.each(M.mask_code), [("`ab`", "    "), ("``a`b``", "       "), ("\n```\nab\n```\n", "\n   \n  \n   \n"), ("a`b", "a`b"), ("plain", "plain")], many=1)
 
 # rules of reports on their way to Word
-planted("latex_for_word", M.each(R.preprocess_latex), [
+planted("latex_for_word", M.each(L.for_word), [
     (r"\[x\]", "$x$"), (r"\\[a\\b\\]", r"$a\b$"), (r"\$y\$", "$y$"), (r"${\rm m}$", r"$\mathrm{m}$"), (r"$\rm{kg}$", r"$\mathrm{kg}$"), ("$200\\Omega $", "$200\\Omega$"), ("$ x$", "$x$"), ("cost $5", "cost \\$5"), ("plain", "plain"),
 ], sep="\n")
 planted("reference_preamble", R.strip_preamble, [("## 前置参考 a\nold\n---\nnew", "new"), ("### 权威原文 a\nk", "k"), ("⚠️ careful\nk", "k"), ("编号：3\nk", "k"), ("内容：\nk", "k"), ("plain", "plain")], sep="\n", many=1)
@@ -133,6 +134,6 @@ judged("normalized_sources", M.each(lambda t: str((locate.normalized(t)[0].encod
 judged("formula_spans", M.each(lambda t: str(M.math_spans(t))), [("a $b$ c", "[(2, 5, False)]"), ("$$x$$", "[(0, 5, True)]"), (r"\$5 $6$", "[(4, 7, False)]"), ("【1|$a$|b】 $c$", "[(10, 13, False)]"), ("none", "[]")])
 judged("line_columns", M.each(lambda t: str(locate.line_column(t, t.find("Q")))), [("Q", "(1, 1)"), ("ab\ncQ", "(2, 2)"), ("a\n\nQ", "(3, 1)"), ("对对Q", "(1, 3)")])
 judged("overlapping_hits", M.each(lambda t: str(locate.hits(t, "aa"))), [("aaaa", "[0, 1, 2]"), ("baab", "[1]"), ("b", "[]"), ("aa aa", "[0, 3]")])
-judged("rendered_latex", R.renderer_latex, [
+judged("rendered_latex", M.each(L.for_renderer), [
     (r"a \gt b \le c", r"a > b \leq c"), (r"\mbox{cm} \hspace{2em}x", r"\text{cm} \ x"), (r"\mathrel{=} \displaystyle x", r"=  x"), (r"\left\| x \right\| \|U", r"\left\Vert x \right\Vert {\Vert}U"), (r"\text{速度} v_对", r"\text{速度} v_\mathrm{对}"), (r"\leftarrow \gtx", r"\leftarrow \gtx"), (r"\mathrm{ \, }\sum\limits", r"\mathrm{}\sum"),
 ])
