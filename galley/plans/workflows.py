@@ -5,7 +5,7 @@ import io
 import zipfile
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import api
@@ -13,7 +13,7 @@ from ..functions import calc as C
 from ..functions import text as X
 from ..functions.reporttext import tag_runs
 from ..operators import proposals, reports
-from ..sources import delivery, materials
+from ..sources import delivery, indesign, materials
 from .catalogue import _SQL_LINES, _t, query
 
 
@@ -231,7 +231,7 @@ def word_round_trip(spark: SparkSession, d: str) -> DataFrame:
     return out.select(F.regexp_extract("path", r"(\d+)", 1).cast("long").alias("doc_id"), lines.alias("lines"), F.array_join(F.transform("blocks", lambda b: b["kind"]), ",").alias("kinds"))
 
 
-_NS = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main" xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships" xmlns:a="http://schemas.openxmlformats.org/drawingml/2006/main" xmlns:wp="http://schemas.openxmlformats.org/drawingml/2006/wordprocessingDrawing"'
+_NS = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main" xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships" xmlns:a="http://schemas.openxmlformats.org/drawingml/2006/main" xmlns:wp="http://schemas.openxmlformats.org/drawingml/2006/wordprocessingDrawing" xmlns:m="http://schemas.openxmlformats.org/officeDocument/2006/math"'
 
 
 def _docx(body: str) -> bytes:
@@ -277,6 +277,56 @@ def word_files_read(spark: SparkSession, d: str) -> DataFrame:
     return out.select(F.regexp_extract("path", r"(\d+)", 1).cast("long").alias("p_partkey"), lines.alias("lines"), F.array_join(F.transform("blocks", lambda b: b["kind"]), ",").alias("kinds"))
 
 
+#: Shapes of formulas: the LaTeX of one around {a} with {b} inside, as the SQL says it, and its object in a Word file.
+_SHAPES = (
+    (r"\frac{A}{B}", "<m:f><m:num>A</m:num><m:den>B</m:den></m:f>"), (r"\sqrt{A}", '<m:rad><m:radPr><m:degHide m:val="1"/></m:radPr><m:deg/><m:e>A</m:e></m:rad>'), (r"\sqrt[B]{A}", "<m:rad><m:deg>B</m:deg><m:e>A</m:e></m:rad>"),
+    (r"x^{A}", "<m:sSup><m:e><m:r><m:t>x</m:t></m:r></m:e><m:sup>A</m:sup></m:sSup>"), (r"y_{A}^{B}", "<m:sSubSup><m:e><m:r><m:t>y</m:t></m:r></m:e><m:sub>A</m:sub><m:sup>B</m:sup></m:sSubSup>"),
+    (r"\sum_{B}^{n}{A}", '<m:nary><m:naryPr><m:chr m:val="∑"/></m:naryPr><m:sub>B</m:sub><m:sup><m:r><m:t>n</m:t></m:r></m:sup><m:e>A</m:e></m:nary>'), (r"\left( A \right)", "<m:d><m:e>A</m:e></m:d>"),
+    (r"\begin{matrix}A & B \\ B & A\end{matrix}", "<m:m><m:mr><m:e>A</m:e><m:e>B</m:e></m:mr><m:mr><m:e>B</m:e><m:e>A</m:e></m:mr></m:m>"), (r"\vec{A}", '<m:acc><m:accPr><m:chr m:val="&#x20d7;"/></m:accPr><m:e>A</m:e></m:acc>'),
+    (r"\sin{A}", '<m:func><m:fName><m:r><m:rPr><m:sty m:val="p"/></m:rPr><m:t>sin</m:t></m:r></m:fName><m:e>A</m:e></m:func>'),
+)
+
+
+def _step(i: int) -> str:
+    choices = " ".join(f"when {n} then replace(replace('{latex}', 'B', cast(k % 7 as varchar)), 'A', f)" for n, (latex, _) in enumerate(_SHAPES))
+    return f"case k // {10**i} % 10 {choices} end"
+
+
+#: Formulas three shapes deep by the digits of a key.
+_SQL_FORMULAS = "select p_partkey as k, chr(cast(97 + p_partkey % 23 as integer)) as f from part"
+for _i in range(3):
+    _SQL_FORMULAS = f"select k, {_step(_i)} as f from ({_SQL_FORMULAS})"
+
+
+def _formulas(spark: SparkSession, d: str, column: int) -> DataFrame:
+    """(k, f): the formulas of the SQL as LaTeX (0) or as objects (1)."""
+    leaf = (lambda c: c.cast("string"), lambda c: F.concat(F.lit("<m:r><m:t>"), c.cast("string"), F.lit("</m:t></m:r>")))[column]
+    out = _t(spark, d, "part").select(F.col("p_partkey").alias("k")).withColumn("f", leaf(F.char(97 + F.col("k") % 23)))
+    for i in range(3):
+        made = [F.replace(F.replace(F.lit(s[column]), F.lit("B"), leaf(F.col("k") % 7)), F.lit("A"), F.col("f")) for s in _SHAPES]
+        out = out.select("k", F.get(F.array(*made), F.floor(F.col("k") / 10**i).cast("int") % 10).alias("f"))
+    return out
+
+
+@query(f"select k as p_partkey, 'so $' || f || '$' as line, 0 as n_warnings from ({_SQL_FORMULAS})")
+def word_formulas_read(spark: SparkSession, d: str) -> DataFrame:
+    @F.pandas_udf("binary")
+    def file(formula: pd.Series) -> pd.Series:
+        return pd.Series([_docx(f"<w:p><w:r><w:t>so </w:t></w:r><m:oMath>{x}</m:oMath></w:p>") for x in formula])
+
+    files = _formulas(spark, d, 1).select(F.concat(F.col("k").cast("string"), F.lit(".docx")).alias("path"), file("f").alias("content"))
+    return materials.parsed(files).select(F.regexp_extract("path", r"(\d+)", 1).cast("long").alias("p_partkey"), F.rtrim(F.replace("markdown", F.lit("\n"), F.lit(" "))).alias("line"), F.size("warnings").alias("n_warnings"))
+
+
+@query(f"select k as p_partkey, n.no, case when n.no = 1 then f else 'x^{{2}}' end as latex from ({_SQL_FORMULAS}), (values (1), (2)) n(no)")
+def word_formulas_written(spark: SparkSession, d: str) -> DataFrame:
+    """The objects of Word files made from marked bodies: a formula in the text, and one that a comment holds on to."""
+    body = F.concat(F.lit("so $"), F.col("f"), F.lit("$ and 【1|$x^{2}$|y】 but $\\nothing{x}$"))
+    units = _formulas(spark, d, 0).select(F.col("k").alias("p_partkey"), F.lit(1).alias("unit_no"), F.lit("u").alias("unit_name"), body.alias("body"), F.array(F.struct(F.lit(1).alias("num"), F.lit("why").alias("reason"))).alias("reasons"))
+    files = delivery.word_files(units, "p_partkey").select(F.concat(F.col("p_partkey").cast("string"), F.lit(".docx")).alias("path"), "content")
+    return materials.formulas(files).select(F.regexp_extract("path", r"(\d+)", 1).cast("long").alias("p_partkey"), "no", "latex")
+
+
 _FORMS = (('<w:em w:val="dot"/>', "emphasis"), ('<w:u w:val="single"/>', "underline"), ('<w:u w:val="wave"/>', "wave"), ("<w:strike/>", "strike"), ('<w:u w:val="none"/>', ""), ("<w:b/>", ""))
 
 
@@ -304,15 +354,15 @@ def _range(style: str, text: str) -> str:
 
 
 _INDESIGN = (
-    (_idml({"u1": _range("标题1", "head") + _range("x", "12") + _range("x", "body")}, '<TextFrame ParentStory="u1"/>'), "# head¦body"),
-    (_idml({"u1": _range("x", "low"), "u2": _range("x", "high")}, '<TextFrame ParentStory="u1" ItemTransform="1 0 0 1 0 400"/><TextFrame ParentStory="u2" ItemTransform="1 0 0 1 0 10"/>'), "high¦low"),
-    (_idml({"u1": _range("x", "right"), "u2": _range("x", "left")}, '<TextFrame ParentStory="u1" ItemTransform="1 0 0 1 300 12"/><TextFrame ParentStory="u2" ItemTransform="1 0 0 1 20 30"/>'), "left¦right"),
-    (_idml({"u1": _range("小贴士", "hint") + _range("Heading 2", "part")}, '<TextFrame ParentStory="u1"/>'), "> hint¦## part"),
+    (_idml({"u1": _range("标题1", "head") + _range("x", "12") + _range("x", "1. body")}, '<TextFrame ParentStory="u1"/>'), "# NAME¦#### head¦12¦1. body"),
+    (_idml({"u1": _range("x", "low"), "u2": _range("x", "high")}, '<TextFrame ParentStory="u1" ItemTransform="1 0 0 1 0 400"/><TextFrame ParentStory="u2" ItemTransform="1 0 0 1 0 10"/>'), "# NAME¦high¦low"),
+    (_idml({"u1": _range("x", "right"), "u2": _range("x", "left")}, '<TextFrame ParentStory="u1" ItemTransform="1 0 0 1 300 12"/><TextFrame ParentStory="u2" ItemTransform="1 0 0 1 20 30"/>'), "# NAME¦left¦right"),
+    (_idml({"u1": _range("小贴士", "hint") + _range("Heading 2", "part")}, '<TextFrame ParentStory="u1"/>'), "# NAME¦> 💡 hint¦## part"),
     (b"broken", None),
 )
 
 
-@query(f"select p_partkey, ([{', '.join('null' if m is None else chr(39) + m + chr(39) for _, m in _INDESIGN)}])[p_partkey % {len(_INDESIGN)} + 1] as lines, p_partkey % {len(_INDESIGN)} = 4 as failed from part")
+@query(f"select p_partkey, replace(([{', '.join('null' if m is None else chr(39) + m + chr(39) for _, m in _INDESIGN)}])[p_partkey % {len(_INDESIGN)} + 1], 'NAME', cast(p_partkey as varchar)) as lines, p_partkey % {len(_INDESIGN)} = 4 as failed from part")
 def indesign_files_read(spark: SparkSession, d: str) -> DataFrame:
     content = F.element_at(F.array(*[F.lit(bytearray(b)) for b, _ in _INDESIGN]), (F.col("p_partkey") % len(_INDESIGN) + 1).cast("int"))
     out = materials.parsed(_t(spark, d, "part").select(F.concat(F.col("p_partkey").cast("string"), F.lit(".idml")).alias("path"), content.alias("content")))
@@ -320,6 +370,35 @@ def indesign_files_read(spark: SparkSession, d: str) -> DataFrame:
     return out.select(F.regexp_extract("path", r"(\d+)", 1).cast("long").alias("p_partkey"), lines.alias("lines"), F.col("error").isNotNull().alias("failed"))
 
 
+_SPOT = """select p_partkey as k, j, case (p_partkey + j) % 4 when 0 then 1 when 2 then -1 else 0 end as c, case (p_partkey + j) % 4 when 1 then 1 when 3 then -1 else 0 end as s,
+  (p_partkey * 37 + j * 101) % 700 - 350 as fx, (p_partkey * 53 + j * 71) % 500 - 250 as fy from part, (values (1), (2), (3), (4)) v(j)"""
+
+
+@query(f"""with spot as (select k, j, c * fx - s * fy + 400.0 as px, s * fx + c * fy + 300.0 as py from ({_SPOT})),
+  paged as (select *, case when px >= 0 and px < 400 and py >= 0 and py < 600 then 0 when px > 400 and px <= 800 and py > 0 and py <= 600 then 1 when px < 400 then 0 else 1 end as second from spot),
+  own as (select *, case second when 0 then px else 800 - px end as x, case second when 0 then py else 600 - py end as y from paged)
+  select k as p_partkey, 'u' || j as story, (['01', 'x2'])[second + 1] as page, cast(row_number() over (partition by k order by second, floor(gap / 60), j = 2, x, j) as integer) as place
+  from (select *, y - min(y) over (partition by k, second) as gap from own)""")
+def indesign_reading_order(spark: SparkSession, d: str) -> DataFrame:
+    """Four frames in turned groups on a spread whose second page is upside down."""
+
+    @F.pandas_udf("binary")
+    def archive(spread: pd.Series) -> pd.Series:
+        return pd.Series([_idml({f"u{j}": _range("旁注" if j == 2 else "x", f"text {j}") for j in (1, 2, 3, 4)}, x) for x in spread])
+
+    k = F.col("p_partkey")
+    text = lambda *parts: F.concat(*[p.cast("string") if isinstance(p, Column) else F.lit(p) for p in parts])
+    frames = []
+    for j in (1, 2, 3, 4):
+        turn = (k + j) % 4
+        c, s = F.when(turn == 0, 1).when(turn == 2, -1).otherwise(0), F.when(turn == 1, 1).when(turn == 3, -1).otherwise(0)
+        at = text((k * 37 + j * 101) % 700 - 350, " ", (k * 53 + j * 71) % 500 - 250)
+        frames.append(text('<Group ItemTransform="', c, " ", s, " ", -s, " ", c, ' 400 300"><Group><TextFrame Self="f', str(j), '" ParentStory="u', str(j), '" ItemTransform="1 0 0 1 ', at, '"/></Group></Group>'))
+    pages = '<Page Name="01" GeometricBounds="0 0 600 400" ItemTransform="1 0 0 1 0 0"/><Page Name="x2" GeometricBounds="0 0 600 400" ItemTransform="-1 0 0 -1 800 600"/>'
+    files = _t(spark, d, "part").select(text(k, ".idml").alias("path"), archive(text('<Spread ItemTransform="0 1 -1 0 50 9000">', pages, *frames, "</Spread>")).alias("content"))
+    return indesign.reading_order(indesign.parts(files)).select(F.regexp_extract("path", r"(\d+)", 1).cast("long").alias("p_partkey"), "story", "page", "place")
+
+
 @query("select doc_id, 1 as n, 'word' as anchor, true as told, 'plain ' || doc_id || ' and word here' as cleaned from documents")
 def word_comments_read(spark: SparkSession, d: str) -> DataFrame:
     """The comments of a Word file, read back into its Markdown and taken out again."""

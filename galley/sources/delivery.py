@@ -18,12 +18,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..functions.mathtext import math_spans
 from ..operators.corpus import paired_ids
 from ..shipping import ship
-from .materials import _W, _run_text, _xml, open_archive
+from . import omml
+from .archives import open_archive
+from .archives import read_xml as _xml
+from .materials import _W, _run_text
 
 AUTHOR = "galley"
-_NS = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"'
+_NS = f'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main" xmlns:m="{omml.NAMESPACE}"'
 _HEAD = '<?xml version="1.0" encoding="UTF-8" standalone="yes"?>\n'
 #: Parts of a Word file that are the same in each.
 _PARTS = {
@@ -40,7 +44,21 @@ _NOT_XML = re.compile("[^\t\n\r\x20-\ud7ff\ue000-\ufffd\U00010000-\U0010ffff]")
 
 
 def _run(text: str) -> str:
-    """A run; line ends within become breaks, and what XML can't hold is left out."""
+    """Runs and formula objects; line ends within become breaks, and what XML can't hold is left out.
+
+    A formula that says what has no object stays a text.
+    """
+    out, at = [], 0
+    for begin, end, display in math_spans(text) if "$" in text else ():
+        width = 2 if display else 1
+        made = omml.from_latex(_NOT_XML.sub("", text[begin + width : end - width]))
+        if made:
+            out += [_plain(text[at:begin]), f"<m:oMathPara>{made}</m:oMathPara>" if display else made]
+            at = end
+    return "".join([*out, _plain(text[at:])])
+
+
+def _plain(text: str) -> str:
     pieces = [f'<w:t xml:space="preserve">{escape(p)}</w:t>'.replace("\r", "&#13;") for p in _NOT_XML.sub("", text).split("\n")]
     return f"<w:r>{'<w:br/>'.join(pieces)}</w:r>" if text else ""
 

@@ -4,7 +4,6 @@ Files are read with Spark's binary reader; archives are opened in memory with li
 """
 from __future__ import annotations
 
-import io
 import re
 import zipfile
 from xml.etree import ElementTree
@@ -14,41 +13,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..shipping import ship
+from . import indesign, omml
 from . import wordparts as P
+from .archives import SourceError, open_archive
+from .archives import read_xml as _xml
 
-MEMBER_BYTES, TOTAL_BYTES, MEMBERS = 32 << 20, 128 << 20, 8192
 _W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
+_MATH = f"{{{omml.NAMESPACE}}}"
 SCHEMA = "path string, kind string, markdown string, blocks array<struct<kind: string, level: int, title: string, start_line: int, end_line: int>>, warnings array<string>, error string"
 
 
-# Styles of marginal notes, and the height in points of a row of stories on a page.
-NOTE_STYLES = "旁注|小贴士|贴士|批注|注释：|[Nn]ote"
-ROW_HEIGHT = 60.0
-
-
-class SourceError(ValueError):
-    pass
-
-
-def open_archive(data: bytes) -> zipfile.ZipFile:
-    """A zip archive whose members are few and small enough to be read."""
-    try:
-        z = zipfile.ZipFile(io.BytesIO(data))
-    except zipfile.BadZipFile:
-        raise SourceError("not a zip archive") from None
-    sizes = [i.file_size for i in z.infolist()]
-    if len(sizes) > MEMBERS or sum(sizes) > TOTAL_BYTES or max(sizes, default=0) > MEMBER_BYTES:
-        raise SourceError("the archive is over the limits")
-    return z
-
-
-def _xml(z: zipfile.ZipFile, name: str) -> ElementTree.Element:
-    with z.open(name) as f:
-        data = f.read(MEMBER_BYTES + 1)
-    if len(data) > MEMBER_BYTES or b"<!DOCTYPE" in data[:4096]:
-        raise SourceError(f"{name}: too large, or with a document type")
-    return ElementTree.fromstring(data)
-
 
 def _style_levels(z: zipfile.ZipFile) -> dict[str, int]:
     """Outline level of each paragraph style, inherited from the style it is based on."""
@@ -111,28 +85,52 @@ def run_formats(data: bytes) -> list[tuple[str, str]]:
     return P.formats(_xml(z, "word/document.xml")) if "word/document.xml" in z.namelist() else []
 
 
+def _formula(e: ElementTree.Element) -> str:
+    """A formula object in LaTeX; empty where it is nested too deep for that, which the reader warns of."""
+    try:
+        return omml.to_latex(e)
+    except RecursionError:
+        return ""
+
+
+def _plain_text(e: ElementTree.Element) -> str:
+    """The words below an element, formulas between dollars."""
+    return "".join(x.text or "" if x.tag == f"{_W}t" else f"${_formula(x)}$" for x in e.iter() if x.tag in (f"{_W}t", f"{_MATH}oMath"))
+
+
 def _run_text(paragraph: ElementTree.Element, notes: dict[str, str] | None = None, targets: dict[str, str] | None = None) -> str:
     """A paragraph's text: deleted runs left out, neighbouring bold runs in one pair of marks, ``notes`` where their ranges end, drawings as images."""
     parts: list[tuple[bool, str]] = []
+    shown: set[ElementTree.Element] = set()
+
+    def add(strong: bool, text: str) -> None:
+        if parts and parts[-1][0] == strong:
+            parts[-1] = (strong, parts[-1][1] + text)
+        else:
+            parts.append((strong, text))
+
     for r in paragraph.iter():
         if r.tag == f"{_W}commentRangeEnd" and notes and (key := r.get(f"{_W}id")) in notes:
             parts.append((False, notes[key]))
+        if r.tag == f"{_MATH}oMathPara":
+            shown.update(r.iter(f"{_MATH}oMath"))
+        if r.tag == f"{_MATH}oMath" and (formula := _formula(r)):
+            mark = "$$" if r in shown else "$"
+            add(False, f"{mark}{formula}{mark}")
         if r.tag != f"{_W}r":
             continue
         text = "".join(t.text or "" if t.tag == f"{_W}t" else "\t" if t.tag == f"{_W}tab" else "\n" if t.tag == f"{_W}br" else P.drawing(t, targets) if targets and t.tag == f"{_W}drawing" else "" for t in r)
         bold = r.find(f"{_W}rPr/{_W}b")
         strong = bold is not None and bold.get(f"{_W}val", "1") not in ("0", "false")
-        if text and parts and parts[-1][0] == strong:
-            parts[-1] = (strong, parts[-1][1] + text)
-        elif text:
-            parts.append((strong, text))
+        if text:
+            add(strong, text)
     return "".join(f"**{t}**" if b and t.strip() else t for b, t in parts)
 
 
 def _comment_texts(z: zipfile.ZipFile) -> dict[str, str]:
     if "word/comments.xml" not in z.namelist():
         return {}
-    return {c.get(f"{_W}id", ""): "".join(t.text or "" for t in c.iter(f"{_W}t")) for c in _xml(z, "word/comments.xml").iter(f"{_W}comment")}
+    return {c.get(f"{_W}id", ""): _plain_text(c) for c in _xml(z, "word/comments.xml").iter(f"{_W}comment")}
 
 
 def _comment_anchors(z: zipfile.ZipFile) -> list[tuple[str, str]]:
@@ -142,9 +140,9 @@ def _comment_anchors(z: zipfile.ZipFile) -> list[tuple[str, str]]:
     for e in _xml(z, "word/document.xml").iter():
         if e.tag == f"{_W}commentRangeStart":
             begun[e.get(f"{_W}id", "")] = []
-        elif e.tag == f"{_W}t":
+        elif e.tag in (f"{_W}t", f"{_MATH}oMath"):
             for held in begun.values():
-                held.append(e.text or "")
+                held.append(e.text or "" if e.tag == f"{_W}t" else f"${_formula(e)}$")
         elif e.tag == f"{_W}commentRangeEnd" and (k := e.get(f"{_W}id", "")) in begun:
             found.append((k, "".join(begun.pop(k))))
     return found
@@ -191,8 +189,8 @@ def read_docx(data: bytes, with_comments: bool = False) -> tuple[str, list[dict]
 
     for node in body if body is not None else ():
         if node.tag == f"{_W}p":
-            if next(node.iter("{http://schemas.openxmlformats.org/officeDocument/2006/math}oMath"), None) is not None:
-                warnings.append("a formula object isn't converted")
+            if any(not _formula(e) for e in node.iter(f"{_MATH}oMath")):
+                warnings.append("a formula object is empty or nested too deep")
             text = _run_text(node, notes, targets)
             style = node.find(f"{_W}pPr/{_W}pStyle")
             level = levels.get(style.get(f"{_W}val", "")) if style is not None else None
@@ -204,64 +202,6 @@ def read_docx(data: bytes, with_comments: bool = False) -> tuple[str, list[dict]
     return "\n".join(lines).rstrip("\n") + "\n", blocks, sorted(set(warnings))
 
 
-def _place(e: ElementTree.Element) -> tuple[float, float]:
-    """(x, y) that an element's transform moves it to; 0 where it has none."""
-    m = (e.get("ItemTransform") or "").split()
-    try:
-        return (float(m[4]), float(m[5])) if len(m) == 6 else (0.0, 0.0)
-    except ValueError:
-        return 0.0, 0.0
-
-
-def _page_rank(name: str) -> tuple[int, int, str]:
-    """Pages whose number is padded or of three digits come first, by number; then other numbers, then names without one."""
-    m = re.search(r"\d+", name)
-    padded = m is not None and (name.strip().startswith("0") or len(m[0]) >= 3)
-    return (2, 0, name) if m is None else (0 if padded else 1, int(m[0]), name)
-
-
-def read_idml(data: bytes) -> tuple[str, list[dict], list[str]]:
-    """(Markdown, blocks, warnings) of an InDesign archive: stories by page, row on the page, notes after body text, then from the left.
-
-    A story stands where its first frame does; stories without a frame come last, by name.
-    """
-    z = open_archive(data)
-    names = z.namelist()
-    local = lambda e: e.tag.rsplit("}", 1)[-1]
-    frames: list[tuple[str, str, float, float]] = []  # story, page, y, x
-    for spread in sorted(n for n in names if re.match(r"Spreads/.*\.xml$", n)):
-        root = _xml(z, spread)
-        pages = sorted((_place(e)[0], e.get("Name", "")) for e in root.iter() if local(e) == "Page")
-        for e in (e for e in root.iter() if local(e) == "TextFrame" and e.get("ParentStory") and e.get("PreviousTextFrame", "n") == "n"):
-            x, y = _place(e)
-            frames.append((e.get("ParentStory", ""), next((n for at, n in reversed(pages) if at <= x), pages[0][1] if pages else ""), y, x))
-    top: dict[str, float] = {}
-    for _, page, y, _ in frames:
-        top[page] = min(y, top.get(page, y))
-    stories = {}
-    for n in sorted(n for n in names if re.match(r"Stories/.*\.xml$", n)):
-        for story in (e for e in _xml(z, n).iter() if local(e) == "Story" and e.get("Self")):
-            paragraphs: list[list[str]] = []
-            for p in (e for e in story.iter() if local(e) == "ParagraphStyleRange"):
-                text = "".join(e.text or "" if local(e) == "Content" else "\n" for e in p.iter() if local(e) in ("Content", "Br"))
-                paragraphs += [[p.get("AppliedParagraphStyle", "").rsplit("/", 1)[-1], t] for t in text.split("\n") if t.strip()]
-            stories[story.get("Self")] = paragraphs
-    lines: list[str] = []
-    blocks: list[dict] = []
-    rank = lambda f: (_page_rank(f[1]), int((f[2] - top[f[1]]) / ROW_HEIGHT), bool(stories[f[0]] and re.search(NOTE_STYLES, stories[f[0]][0][0])), f[3])
-    order = dict.fromkeys(f[0] for f in sorted((f for f in frames if f[0] in stories), key=rank))
-    for key in [*order, *(k for k in stories if k not in order)]:
-        for style, text in stories[key]:
-            if re.fullmatch(r"\s*\d{1,4}\s*|[①-⑳]+", text):
-                continue  # a page number or a bare circled numeral
-            m = re.search(r"(?:标题|[Hh]eading)\s*(\d)", style)
-            level = int(m[1]) if m else None
-            new = f"{'#' * min(level, 6)} {text.strip()}" if level else f"> {text.strip()}" if re.search(NOTE_STYLES, style) else text.strip()
-            blocks.append({"kind": "heading" if level else "paragraph", "level": level, "title": text.strip() if level else "", "start_line": len(lines) + 1, "end_line": len(lines) + 1})
-            lines += [new, ""]
-    return "\n".join(lines).rstrip("\n") + "\n", blocks, []
-
-
 def read_markdown(data: bytes) -> tuple[str, list[dict], list[str]]:
     try:
         return data.decode("utf-8-sig"), [], []
@@ -269,7 +209,7 @@ def read_markdown(data: bytes) -> tuple[str, list[dict], list[str]]:
         return data.decode("utf-8", "replace"), [], ["bytes that aren't UTF-8 were replaced"]
 
 
-READERS = {"docx": read_docx, "idml": read_idml, "md": read_markdown, "markdown": read_markdown}
+READERS = {"docx": read_docx, "md": read_markdown, "markdown": read_markdown}
 
 
 def parsed(files: DataFrame, with_comments: bool = False) -> DataFrame:
@@ -296,7 +236,8 @@ def parsed(files: DataFrame, with_comments: bool = False) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds.values(), strict=True)], names=list(kinds))
 
     ship(files.sparkSession)
-    return files.select("path", "content").mapInArrow(run, SCHEMA)
+    designed = F.lower("path").endswith(".idml")
+    return files.where(~designed).select("path", "content").mapInArrow(run, SCHEMA).unionByName(indesign.documents(files.where(designed)))
 
 
 def materials(spark: SparkSession, path: str, with_comments: bool = False) -> DataFrame:
@@ -323,6 +264,25 @@ def comments(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").option("pathGlobFilter", "*.docx").load(path).select("path", "content").mapInArrow(run, "path string, id string, text string, anchor string")
 
 
+def formulas(files: DataFrame) -> DataFrame:
+    """(path, no, latex) of the formula objects of Word files (path, content), in order from 1; files that can't be read give no row."""
+
+    def run(batches):
+        for batch in batches:
+            rows = []
+            for file, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                try:
+                    body = _xml(open_archive(content.as_py()), "word/document.xml")
+                except (SourceError, ElementTree.ParseError, zipfile.BadZipFile, KeyError):
+                    continue
+                rows += [(file, no, _formula(e)) for no, e in enumerate(body.iter(f"{_MATH}oMath"), 1)]
+            cols = list(zip(*rows, strict=True)) or [()] * 3
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.int32(), pa.string()), strict=True)], names=["path", "no", "latex"])
+
+    ship(files.sparkSession)
+    return files.select("path", "content").mapInArrow(run, "path string, no int, latex string")
+
+
 def unit_dirs(files: DataFrame) -> DataFrame:
     """(unit_dir, unit_no) of paths whose folder is named like a unit."""
     name = F.element_at(F.split("path", "/"), -2)

@@ -1,11 +1,13 @@
+import io
 import json
 import zipfile
 from pathlib import Path
+from xml.etree import ElementTree
 
 import pytest
 from pyspark.sql import functions as F
 
-from galley.sources import delivery, materials
+from galley.sources import delivery, indesign, materials, omml
 
 UNITS = "paper string, unit_no int, unit_name string, body string, reasons array<struct<num: int, reason: string>>"
 ROWS = [
@@ -91,19 +93,99 @@ def test_comments_stand_in_the_markdown():
     assert "x a y" in materials.read_docx(content)[0]
 
 
-def test_idml_order():
-    import io
+def _idml(spreads, texts, designmap=None):
+    with zipfile.ZipFile(out := io.BytesIO(), "w") as z:
+        for name, spread in spreads.items():
+            z.writestr(f"Spreads/{name}.xml", f"<R>{spread}</R>")
+        for key, paragraphs in texts.items():
+            ranges = "".join(f'<ParagraphStyleRange AppliedParagraphStyle="ParagraphStyle/{style}"><CharacterStyleRange><Content>{text}</Content></CharacterStyleRange></ParagraphStyleRange>' for style, text in paragraphs)
+            z.writestr(f"Stories/{key}.xml", f'<R><Story Self="{key}">{ranges}</Story></R>')
+        if designmap:
+            z.writestr("designmap.xml", designmap)
+    return out.getvalue()
+
+
+def _frame(key, x, y, own="", previous="n", matrix="1 0 0 1"):
+    return f'<TextFrame Self="{own}" ParentStory="{key}" PreviousTextFrame="{previous}" ItemTransform="{matrix} {x} {y}"/>'
+
+
+def _page(name, x, matrix="1 0 0 1", y=0):
+    return f'<Page Name="{name}" GeometricBounds="0 0 600 500" ItemTransform="{matrix} {x} {y}"/>'
+
+
+def _markdown(spark, files):
+    rows = spark.createDataFrame([(k, bytearray(v)) for k, v in files.items()], "path string, content binary")
+    return {r.path: [x for x in (r.markdown or "").split("\n") if x] for r in materials.parsed(rows).collect()}
+
+
+def test_idml_order(spark):
+    texts = {"s1": [("正文", "second row")], "s2": [("旁注", "margin note")], "s3": [("正文", "right body")], "s4": [("正文", "padded page")], "s5": [("正文", "unplaced")]}
+    flat = _page("7", 0) + _page("08", 500) + _frame("s1", 10, 200) + _frame("s2", 10, 20) + _frame("s3", 300, 50) + _frame("s4", 510, 300)
+    # the same places by groups: turned by 90 degrees about a point, twice moved, scaled by two
+    turned = _page("7", 0) + _page("08", 500) + f'<Group ItemTransform="0 1 -1 0 210 190"><Group>{_frame("s1", 10, 200)}</Group></Group>' + f'<Group ItemTransform="1 0 0 1 4 5"><Group ItemTransform="1 0 0 1 5 5">{_frame("s2", 1, 10)}</Group></Group>' + f'<Group ItemTransform="2 0 0 2 0 0">{_frame("s3", 150, 25)}{_frame("s4", 255, 150)}</Group>'
+    want = ["# a", "padded page", "right body", "> 💡 margin note", "second row", "unplaced"]
+    found = _markdown(spark, {"a.idml": _idml({"x": flat}, texts), "b.idml": _idml({"x": f'<Spread ItemTransform="0 -1 1 0 3000 9">{turned}</Spread>'}, texts), "c.idml": b"none"})
+    assert found["a.idml"] == want and found["b.idml"] == ["# b", *want[1:]] and found["c.idml"] == []
+
+
+def test_idml_pages(spark):
+    """A page upside down, the halves of a spread for what is on no page, a frame that follows another, spreads as the map lists them."""
+    texts = {k: [("x", k)] for k in ("top", "bottom", "left", "right", "beside", "chained", "later")}
+    first = _page("1", 0) + _page("2", 1000, "-1 0 0 -1", 600) + _frame("top", 990, 590) + _frame("bottom", 600, 10) + _frame("left", 20, -80) + _frame("right", 700, 900) + _frame("chained", 10, 300, "f2", "f1") + _frame("chained", 900, 10, "f1")
+    second = _page("3", 0) + _frame("beside", -50, 10) + _frame("later", 10, 10)
+    data = _idml({"a": second, "b": first}, texts, '<D><Spread src="Spreads/b.xml"/><Spread src="Spreads/a.xml"/></D>')
+    parts = indesign.parts(spark.createDataFrame([("k.idml", bytearray(data))], "path string, content binary"))
+    assert [(r.story, r.page) for r in indesign.reading_order(parts).orderBy("place").collect()] == [("left", "1"), ("right", "2"), ("top", "2"), ("chained", "2"), ("bottom", "2"), ("later", "3"), ("beside", None)]
+    spots = {(r.story, r.self): (r.page, r.x, r.y, r.spread) for r in indesign.frames(parts).collect()}
+    assert spots["top", ""] == ("2", 10.0, 10.0, 0) and spots["beside", ""] == (None, None, None, 1) and spots["chained", "f1"] == ("2", 100.0, 590.0, 0)
+
+
+def test_idml_paragraphs(spark):
+    paragraphs = [("x", "ends here。"), ("x", "12"), ("x", "no end"), ("x", "13"), ("x", "14．item"), ("x", "15"), ("x", "2026"), ("x", "①②"), ("NormalParagraphStyle", "600字"), ("x", "600字"), ("第一讲", "top"), ("（一）导", "second"), ("例文标题", "third"), ("Heading 5", "fifth"), ("出处", "source"), ("表格宋", "cell"), ("小贴士", "hint")]
+    found = _markdown(spark, {"a.idml": _idml({"x": _page("1", 0) + _frame("s", 1, 1)}, {"s": paragraphs})})["a.idml"]
+    assert found == ["# a", "ends here。", "12", "no end", "13", "14．item", "2026", "600字", "## top", "### second", "#### third", "##### fifth", "> source", "`cell`", "> 💡 hint"]
+
+
+FORMULAS = [
+    (r"\frac{a}{b}", None), (r"\sqrt[3]{x+1}", None), (r"x_{1}^{2}", None), (r"\sum_{i=1}^{n}{i^{2}}", None), (r"\sum_{i=1}^n i", r"\sum_{i=1}^{n}{i}"), (r"\begin{cases}x=1 \\ y=2\end{cases}", None), (r"\begin{pmatrix}a & b\end{pmatrix}", r"\left( \begin{matrix}a & b\end{matrix} \right)"),
+    (r"\lim_{x \to 0}{\frac{\sin{x}}{x}}", r"\lim_{x\rightarrow0}{\frac{\sin{x}}{x}}"), (r"\log_{2}{x}", None), (r"\left. x \right|", None), (r"\text{速度 v}", None), (r"\mathrm{kg}", None), (r"f'(x)", r"f^{\prime}(x)"), (r"\alpha x", None), (r"\overline{AB}\leq\vec{c}", None), (r"\underset{n}{A}", None),
+]
+
+
+@pytest.mark.parametrize(("latex", "again"), FORMULAS)
+def test_formulas_go_to_word_and_back(latex, again):
+    content = delivery.make_docx([{"unit_name": "u", "body": f"so ${latex}$ here", "reasons": []}])
+    assert f"so ${again or latex}$ here" in materials.read_docx(content)[0]
+
 
-    story = lambda key, style, text: f'<Story Self="{key}"><ParagraphStyleRange AppliedParagraphStyle="ParagraphStyle/{style}"><CharacterStyleRange><Content>{text}</Content></CharacterStyleRange></ParagraphStyleRange></Story>'
-    frame = lambda key, x, y: f'<TextFrame ParentStory="{key}" PreviousTextFrame="n" ItemTransform="1 0 0 1 {x} {y}"/>'
-    page = lambda name, x: f'<Page Name="{name}" ItemTransform="1 0 0 1 {x} 0"/>'
-    texts = {"s1": ("正文", "second row"), "s2": ("旁注", "margin note"), "s3": ("正文", "right body"), "s4": ("正文", "padded page"), "s5": ("正文", "unplaced")}
+def test_formulas_without_an_object():
+    for latex in (r"\nothing{x}", "x_{1}_{2}", "{", r"\begin{matrix}a", r"\left( x", "{" * 5000):
+        assert omml.from_latex(latex) is None
+    body = "a $\\nothing$ b $$x^2$$ c 【1|$y_1$|$z$】"
+    content = delivery.make_docx([{"unit_name": "u", "body": body, "reasons": [{"num": 1, "reason": "r"}]}])
+    told = materials.read_docx(content, True)[0]
+    assert "a $\\nothing$ b $$x^{2}$$ c $y_{1}$<批注 id=1><原>$y_{1}$</原><改>1. $y_{1}$ → $z$r</改></批注>" in told
+    deep = "<m:r><m:t>x</m:t></m:r>"
+    for _ in range(3000):
+        deep = f"<m:e>{deep}</m:e>"
     with zipfile.ZipFile(out := io.BytesIO(), "w") as z:
-        z.writestr("Spreads/a.xml", f"<Spread>{page('7', 0)}{page('08', 500)}{frame('s1', 10, 200)}{frame('s2', 10, 20)}{frame('s3', 300, 50)}{frame('s4', 510, 300)}</Spread>")
-        for key, (style, text) in texts.items():
-            z.writestr(f"Stories/{key}.xml", f"<R>{story(key, style, text)}</R>")
-    lines = [x for x in materials.read_idml(out.getvalue())[0].split("\n") if x]
-    assert lines == ["padded page", "right body", "> margin note", "second row", "unplaced"]
+        z.writestr("word/document.xml", f"<w:document {delivery._NS}><w:body><w:p><w:r><w:t>t</w:t></w:r><m:oMath>{deep}</m:oMath></w:p></w:body></w:document>")
+    assert materials.read_docx(out.getvalue())[2] == ["a formula object is empty or nested too deep"]
+
+
+def test_formula_objects_of_other_writers():
+    r = lambda t, p="": f"<m:r>{p}<m:t>{t}</m:t></m:r>"
+    cases = {
+        f'<m:f><m:fPr><m:type m:val="lin"/></m:fPr><m:num>{r("a")}</m:num><m:den>{r("b")}</m:den></m:f>': "a/b",
+        f"<m:sPre><m:sub>{r('6')}</m:sub><m:sup>{r('12')}</m:sup><m:e>{r('C')}</m:e></m:sPre>": "{}_{6}^{12}C",
+        f"<m:nary><m:sub/><m:sup/><m:e>{r('f')}</m:e></m:nary>": r"\int{f}",
+        f'<m:d><m:dPr><m:begChr m:val="["/><m:endChr m:val=")"/><m:sepChr m:val=","/></m:dPr><m:e>{r("0")}</m:e><m:e>{r("1")}</m:e></m:d>': r"\left[ 0,1 \right)",
+        f"<m:func><m:fName><m:limLow><m:e>{r('lim')}</m:e><m:lim>{r('n→∞')}</m:lim></m:limLow></m:fName><m:e>{r('a')}</m:e></m:func>": r"\lim_{n\rightarrow\infty}{a}",
+        f'<m:groupChr><m:groupChrPr><m:pos m:val="top"/></m:groupChrPr><m:e>{r("a")}</m:e></m:groupChr>': r"\overbrace{a}",
+        f"<m:box><m:e>{r('5%')}</m:e></m:box>": r"5\%", r("αb"): r"\alpha b", r("s", '<m:rPr><m:sty m:val="p"/></m:rPr>'): r"\mathrm{s}",
+    }
+    for xml, want in cases.items():
+        assert omml.to_latex(ElementTree.fromstring(f'<m:oMath xmlns:m="{omml.NAMESPACE}">{xml}</m:oMath>')) == want
 
 
 def test_names_that_become_equal(spark, tmp_path):

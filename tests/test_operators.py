@@ -147,7 +147,7 @@ def test_materials(spark, tmp_path):
     (tmp_path / "e.docx").write_bytes(b"broken")
     found = {r.path.rsplit("/", 1)[-1]: r for r in materials.materials(spark, str(tmp_path)).collect()}
     assert found["a.docx"].markdown == "## Title\n\ntext\n\n| a\\|b | c |\n| --- | --- |\n| d | e |\n" and [b.kind for b in found["a.docx"].blocks] == ["heading", "paragraph", "table"]
-    assert found["b.idml"].markdown == "# 头\n\n正文\n" and found["c.md"].warnings and found["d.doc"].error and found["e.docx"].error
+    assert found["b.idml"].markdown == "# b\n\n#### 头\n\n12\n正文\n" and [(b.kind, b.level, b.start_line, b.end_line) for b in found["b.idml"].blocks] == [("heading", 1, 1, 1), ("heading", 4, 3, 3), ("paragraph", None, 5, 6)] and found["c.md"].warnings and found["d.doc"].error and found["e.docx"].error
 
 
 def test_archive_limits():
