@@ -28,7 +28,7 @@ def documents():
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_query_and_sql_agree(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "pages", "conversations"):
+    for t in ("documents", "pages", "conversations", "embeddings"):
         con.execute(f"create view {t} as select * from read_parquet('{FOLDER}/{t}.parquet')")
     found = QUERIES[name](spark, FOLDER)
     columns = sorted(found.columns)
