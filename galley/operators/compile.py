@@ -5,6 +5,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from .locate import MOST_OLD
 from .reports import SEVERITIES
 
 
@@ -76,12 +77,20 @@ def binding_errors(evidence: DataFrame, calls: DataFrame, bound: tuple[str, ...]
     return joined.withColumn("code", code).where("code is not null").select("call_id", "code")
 
 
+#: Characters of a correction's new text and of its reason, at most; its old text is an anchor.
+MOST_NEW = MOST_REASON = 2000
+
+
+def revision_limits(old: Column, new: Column, reason: Column) -> Column:
+    """ARRAY<STRING> of all limits that a correction breaks."""
+    long = (F.length(old) > MOST_OLD) | (F.length(new) > MOST_NEW) | (F.length(reason) > MOST_REASON)
+    checks = (("revise.too-long", long), ("revise.reason-empty", F.length(X.strip(F.coalesce(reason, F.lit("")))) == 0), ("revise.noop", old == new))
+    return F.array_compact(F.array(*[F.when(when, F.lit(code)) for code, when in checks]))
+
+
 def revision_input_error(old: Column, new: Column, reason: Column) -> Column:
     """The code of the first limit that a correction breaks; null if none."""
-    return (
-        F.when((F.length(old) > 2000) | (F.length(new) > 2000) | (F.length(reason) > 4000), "revise.too-long")
-        .when(F.length(X.strip(F.coalesce(reason, F.lit("")))) == 0, "revise.reason-empty").when(old == new, "revise.noop")
-    )
+    return F.get(revision_limits(old, new, reason), F.lit(0))
 
 
 def snapshot_digest(**parts: Column) -> Column:

@@ -115,10 +115,3 @@ def slots(found: DataFrame, audits: DataFrame, key: str) -> DataFrame:
 def bare(text: Column) -> Column:
     """The body that proposals are about: the whole source, as it is."""
     return text
-
-
-def proposal_limits(old: Column, new: Column, reason: Column) -> Column:
-    """ARRAY<STRING> of all limits that a correction breaks."""
-    blank = lambda c: F.length(X.strip(F.coalesce(c, F.lit("")))) == 0
-    checks = (("revise.too-long", (F.length(old) > 2000) | (F.length(new) > 2000) | (F.length(reason) > 4000)), ("revise.reason-empty", blank(reason)), ("revise.noop", old == new))
-    return F.array_compact(F.array(*[F.when(when, F.lit(code)) for code, when in checks]))

@@ -7,6 +7,7 @@ import re
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..functions.mathtext import math_spans
 from ..functions.text import ANCHOR_ZERO_WIDTH
@@ -112,6 +113,28 @@ def anchors(df: DataFrame, key: str, source: str, old: str, before: str | None =
     return rows.mapInArrow(run, f"`{key}` {kind}, {_RESULT}")
 
 
+def resolved(df: DataFrame, source: str, wanted: str, out: str = "spots") -> DataFrame:
+    """``df`` with ``out``: of each element of ``wanted``, an array of (old_text, context_before, context_after, occurrence), its (start, end, error).
+
+    A step of its own, not a function of columns, which can't stand within functions of an array's elements.
+    """
+    names = ("old_text", "context_before", "context_after", "occurrence")
+    schema = StructType([*df.schema.fields, *StructType.fromDDL(f"`{out}` array<struct<start: int, `end`: int, error: string>>").fields])
+    kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("error", pa.string())]))
+    at, by = df.columns.index(source), df.columns.index(wanted)
+
+    def run(batches):
+        for batch in batches:
+            found = []
+            for text, each in zip(batch.column(at).to_pylist(), batch.column(by).to_pylist(), strict=True):
+                spots = [resolve(text or "", *(x[n] or "" for n in names[:3]), x[names[3]]) for x in each or ()]
+                found.append([{c: x.get(c) for c in ("start", "end", "error")} for x in spots])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, kind)], names=schema.fieldNames())
+
+    ship(df.sparkSession)
+    return df.mapInArrow(run, schema)
+
+
 def locations(df: DataFrame, key: str, source: str, phrase: str, around: int = 48) -> DataFrame:
     """(key, match_index, start, end, safe_start, safe_end, paragraph_id, context) of every hit of a phrase."""
     kind = df.schema[key].dataType.simpleString()

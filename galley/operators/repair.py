@@ -4,7 +4,7 @@ from __future__ import annotations
 import difflib
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
@@ -26,17 +26,31 @@ def located_fields(df: DataFrame, key: str, body: str, source: str) -> DataFrame
     return found.select(key, "ord", "num", "original", "hits", start.alias("start"), (start + F.length("original")).alias("end"))
 
 
-def field_errors(fields: DataFrame, key: str) -> DataFrame:
-    """(key, ord, num, code): why markers can't be put back: repeated, empty, not found, found twice, out of order, overlapping."""
-    w = Window.partitionBy(key).orderBy("ord")
-    again = F.row_number().over(Window.partitionBy(key, "num").orderBy("ord")) > 1
-    placed = F.col("start").isNotNull()
-    last = lambda c: F.last(F.when(placed, F.col(c)), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    marked = fields.withColumn("again", again).withColumn("last_start", last("start")).withColumn("last_end", last("end"))
-    code = F.when(F.length("original") == 0, "repair.empty-original").when(F.col("hits") == 0, "repair.original-not-found").when(F.col("hits") > 1, "repair.original-not-unique")
-    order = F.when(placed & (F.col("start") < F.col("last_start")), "repair.marker-order").when(placed & (F.col("start") < F.col("last_end")), "repair.marker-overlap")
-    codes = F.array_compact(F.array(F.when(F.col("again"), F.lit("repair.duplicate-number")), code, order))
-    return marked.select(key, "ord", "num", F.explode(codes).alias("code"))
+def placed_fields(markers: Column, source: Column) -> Column:
+    """Markers of ``reports.audited`` as (ord, num, original, replacement, hits, start, end): where a source has their originals, if once."""
+
+    def one(m: Column) -> Column:
+        hits = F.when(F.length(m["original"]) > 0, count_hits(source, m["original"])).otherwise(F.lit(0).cast("long"))
+        start = F.when(hits == 1, F.position(m["original"], source) - 1)
+        return F.named_struct(F.lit("ord"), m["ord"], F.lit("num"), m["num"], F.lit("original"), m["original"], F.lit("replacement"), m["replacement"], F.lit("hits"), hits, F.lit("start"), start, F.lit("end"), start + F.length(m["original"]))
+
+    return F.transform(markers, one)
+
+
+def field_codes(fields: Column) -> Column:
+    """ARRAY<STRING>: why ``placed_fields`` can't be put back: repeated, empty, not found, found twice, out of order, overlapping."""
+    none, unset = F.array().cast("array<string>"), F.lit(None).cast("int")
+
+    def made(held: Column, numbers: Column) -> Column:
+        def step(acc: Column, m: Column) -> Column:
+            code = F.when(F.length(m["original"]) == 0, "repair.empty-original").when(m["hits"] == 0, "repair.original-not-found").when(m["hits"] > 1, "repair.original-not-unique")
+            order = F.when(m["start"] < acc["start"], "repair.marker-order").when(m["start"] < acc["end"], "repair.marker-overlap")
+            again = F.when(F.array_position(numbers, m["num"]) < m["ord"], "repair.duplicate-number")
+            return F.named_struct(F.lit("start"), F.coalesce(m["start"], acc["start"]), F.lit("end"), F.coalesce(m["end"], acc["end"]), F.lit("codes"), F.concat(acc["codes"], F.array_compact(F.array(again, code, order))))
+
+        return F.aggregate(held, F.named_struct(F.lit("start"), unset, F.lit("end"), unset, F.lit("codes"), none), step)["codes"]
+
+    return X.let(fields, lambda held: X.let(F.transform(held, lambda m: m["num"]), lambda numbers: made(held, numbers)))
 
 
 def structure_errors(text: Column) -> Column:
@@ -61,37 +75,34 @@ def candidates(df: DataFrame, key: str, text: str, source: str) -> DataFrame:
     """(key, ok, codes, repaired, diff) of version 1 reports: the body is the source with the report's markers in their places.
 
     ``codes`` says why a report can't be repaired: its version, an empty source, its structure, errors that a new body
-    leaves, markers without one place; or what still fails once it has been rebuilt.  Then nothing is repaired.
+    leaves, markers without one place; or what still fails once it has been rebuilt.  Then nothing is repaired.  A report is
+    one row throughout: it is verified, its markers are placed, and what they make is verified again.
     """
     unix = lambda c: F.replace(F.replace(F.col(c), F.lit("\r\n"), F.lit("\n")), F.lit("\r"), F.lit("\n"))
     base = df.select(key, unix(text).alias("__text"), unix(source).alias("__source"))
     head = F.regexp_extract("__text", rf"(?sm)\A.*?^{reports.MARKED}[^\n]*\n", 0)
     tail = F.regexp_extract("__text", rf"(?sm)^{reports.REASONS}.*\z", 0)
-    raw = F.substr("__text", F.length(head) + 1, F.length("__text") - F.length(head) - F.length(tail))
-    whole = base.select("*", head.alias("__head"), tail.alias("__tail"), strip_preamble(raw).alias("__body"))
     early = F.when(reports.is_v2(F.col("__text")), F.array(F.lit("repair.v2-not-supported"))).when(F.length(X.strip(F.coalesce("__source", F.lit("")))) == 0, F.array(F.lit("repair.source-missing"))).otherwise(structure_errors(F.col("__text")))
-    whole = whole.withColumn("__early", early)
-    asked = whole.where(F.size("__early") == 0)
-    issues = reports.verify(asked, key, "__text", "__source").where((F.col("severity") == "error") & ~F.col("code").isin(*MENDABLE))
-    fields = located_fields(asked, key, "__body", "__source")
-    errors = issues.select(key, "code").union(field_errors(fields, key).select(key, "code")).groupBy(key).agg(F.sort_array(F.collect_set("code")).alias("__codes"))
-    marks = reports.markers(asked.select(key, "__body"), key, "__body").select(key, "ord", "num", "original", "replacement")
-    mark = F.concat(F.lit("【"), F.col("num").cast("string"), F.lit("|"), "original", F.lit("|"), "replacement", F.lit("】"))
-    spans = fields.where("start is not null").select(key, "ord", "start", "end").join(marks, [key, "ord"]).select(key, "start", "end", mark.alias("mark"))
-    by_report = spans.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("start", "end", "mark"))).alias("__spans"))
-    good = asked.join(errors, key, "left_anti").join(by_report, key, "left")
-    zero = F.struct(F.lit("").alias("text"), F.lit(0).alias("at"))
-    step = lambda acc, s: F.struct(F.concat(acc["text"], F.substr("__source", acc["at"] + 1, s["start"] - acc["at"]), s["mark"]).alias("text"), s["end"].cast("int").alias("at"))
-    woven = F.aggregate(F.coalesce("__spans", F.array().cast("array<struct<start:int,`end`:int,mark:string>>")), zero, step)
-    body = F.concat(woven["text"], F.substr("__source", woven["at"] + 1, F.length("__source")))
-    made = good.select(key, "__text", "__source", F.concat("__head", F.when(body.endswith("\n"), body).otherwise(F.concat(body, F.lit("\n"))), "__tail").alias("repaired"))
-    left = reports.verify(made, key, "repaired", "__source").where("severity = 'error'").groupBy(key).agg(F.sort_array(F.collect_set("code")).alias("__left"))
-    done = made.join(left, key, "left").select(key, "repaired", "__left", diff("__text", "repaired").alias("diff"))
-    out = whole.select(key, "__early").join(errors, key, "left").join(done, key, "left")
+    whole = base.select("*", head.alias("__head"), tail.alias("__tail"), early.alias("__early"))
+    raw = F.substr("__text", F.length("__head") + 1, F.length("__text") - F.length("__head") - F.length("__tail"))
+    asked = whole.withColumn("__go", F.size("__early") == 0).withColumn("__body", F.when(F.col("__go"), strip_preamble(raw)))
+    marked = reports.audited(asked, "__body", out="__marks").withColumn("__fields", placed_fields(F.col("__marks"), F.col("__source")))
+    marked = marked.select(key, "__text", "__source", "__head", "__tail", "__early", "__go", field_codes(F.col("__fields")).alias("__field_codes"), F.filter("__fields", lambda m: m["start"].isNotNull()).alias("__fields"))
+    first = reports.judged(marked, key, "__text", "__source", ("__text", "__source", "__head", "__tail", "__early", "__go", "__field_codes", "__fields"))
     none = F.array().cast("array<string>")
-    codes = F.concat("__early", F.coalesce("__codes", none), F.coalesce("__left", none))
-    ok = F.size(codes) == 0
-    return out.select(key, ok.alias("ok"), codes.alias("codes"), F.when(ok, F.col("repaired")).alias("repaired"), F.when(ok, F.col("diff")).alias("diff"))
+    lasting = F.array_except(reports.errors_of(F.col("issues")), F.array(*map(F.lit, MENDABLE)))
+    codes = F.when(F.col("__go"), F.array_sort(F.array_union(lasting, "__field_codes"))).otherwise(F.col("__early"))
+    judged = first.select(key, "__text", "__source", "__head", "__tail", codes.alias("__codes"), F.sort_array(F.transform("__fields", lambda m: F.named_struct(F.lit("start"), m["start"], F.lit("end"), m["end"], F.lit("mark"), F.concat(F.lit("【"), m["num"].cast("string"), F.lit("|"), m["original"], F.lit("|"), m["replacement"], F.lit("】"))))).alias("__spans"))
+    zero = F.struct(F.lit("").alias("text"), F.lit(0).alias("at"))
+    step = lambda acc, s: F.named_struct(F.lit("text"), F.concat(acc["text"], F.substr("__source", acc["at"] + 1, s["start"] - acc["at"]), s["mark"]), F.lit("at"), s["end"].cast("int"))
+    woven = X.let(F.aggregate("__spans", zero, step), lambda w: F.concat(w["text"], F.substr("__source", w["at"] + 1, F.length("__source"))))
+    rebuilt = X.let(woven, lambda body: F.concat("__head", body, F.when(body.endswith("\n"), "").otherwise("\n"), "__tail"))
+    made = judged.select(key, "__text", "__source", "__codes", F.when(F.size("__codes") == 0, rebuilt).alias("repaired"))
+    last = reports.judged(made, key, "repaired", "__source", ("__text", "__codes", "repaired"))
+    left = F.when(F.col("repaired").isNotNull(), reports.errors_of(F.col("issues"))).otherwise(none)
+    out = last.select(key, F.concat("__codes", left).alias("codes"), "repaired", "__text").withColumn("ok", F.size("codes") == 0)
+    out = out.withColumn("repaired", F.when(F.col("ok"), F.col("repaired")))
+    return out.select(key, "ok", "codes", "repaired", diff(F.when(F.col("ok"), F.col("__text")), F.col("repaired")).alias("diff"))
 
 
 def applied(df: DataFrame, repaired: DataFrame, key: str, text: str, expected: str | None = None) -> DataFrame:

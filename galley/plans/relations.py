@@ -438,7 +438,7 @@ def prunable_evidence(spark: SparkSession, d: str) -> DataFrame:
 def revision_limits(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("doc_id") % 4
     old, new, why = F.when(k == 0, F.repeat(F.lit("x"), 2001)).otherwise("a"), F.when(k.isin(1, 2), "a").otherwise("b"), F.when(k < 2, " ").otherwise("why")
-    return _t(spark, d, "documents").select("doc_id", K.revision_input_error(old, new, why).alias("code"), F.array_join(evidence.proposal_limits(old, new, why), ",").alias("codes"))
+    return _t(spark, d, "documents").select("doc_id", K.revision_input_error(old, new, why).alias("code"), F.array_join(K.revision_limits(old, new, why), ",").alias("codes"))
 
 
 @query("""select doc_id, sha256('{"proposal_revision":2,"run_id":null,"source_sha256":"' || sha256(text) || '","unit_id":"u' || doc_id || '"}') as snapshot from documents""")

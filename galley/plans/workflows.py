@@ -19,40 +19,56 @@ from .catalogue import _SQL_LINES, _t, query
 
 def _rows(docs: DataFrame, kind: str, values: list[tuple]) -> DataFrame:
     """Rows of literals for every document; kind: names and types."""
+    return docs.select("doc_id", F.explode(_array(kind, values)).alias("r")).select("doc_id", "r.*")
+
+
+def _array(kind: str, values: list[tuple]) -> Column:
     fields = [x.split(" ") for x in kind.split(", ")]
-    row = lambda v: F.struct(*[F.lit(x).cast(t).alias(n) for x, (n, t) in zip(v, fields, strict=True)])
-    return docs.select("doc_id", F.explode(F.array(*map(row, values))).alias("r")).select("doc_id", "r.*")
+    row = lambda v: F.struct(*[(x if isinstance(x, Column) else F.lit(x)).cast(t).alias(n) for x, (n, t) in zip(v, fields, strict=True)])
+    return F.array(*map(row, values))
+
+
+#: Units of whole texts, each before ``beta <id> gamma`` and an image, and what becomes of their corrections by the identifier's remainder by eight.
+_SQL_UNITS = """select doc_id, doc_id % 8 as k, coalesce(text, '') || chr(10) || 'qz beta ' || doc_id || ' qz gamma ![](qz.png)' as source, length(coalesce(text, '')) + 1 as n, length(cast(doc_id as varchar)) as w from documents where strpos(coalesce(text, ''), 'qz') = 0 and strpos(coalesce(text, ''), '$') = 0 and strpos(coalesce(text, ''), '**') = 0"""
 
 
-def _proposed(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """Units ``alpha beta <id> gamma``, and what becomes of their corrections, by the identifier's remainder by five."""
-    docs = _t(spark, d, "documents").select("doc_id")
-    k = F.col("doc_id") % 5
-    units = docs.select("doc_id", F.concat(F.lit("alpha beta "), F.col("doc_id").cast("string"), F.lit(" gamma ![](a.png)")).alias("source"))
+def _proposed(spark: SparkSession, d: str) -> tuple[DataFrame, ...]:
+    """(units, base, withdrawn, added) of the SQL's units: two corrections, and what makes some of them wrong."""
+    t, k = F.coalesce("text", F.lit("")), F.col("doc_id") % 8
+    docs = _t(spark, d, "documents").where(~t.contains("qz") & ~t.contains("$") & ~t.contains("**"))
+    units = docs.select("doc_id", F.concat(t, F.lit("\nqz beta "), F.col("doc_id").cast("string"), F.lit(" qz gamma ![](qz.png)")).alias("source"))
+    docs = docs.select("doc_id")
+    base = _rows(docs, "id string, old_text string, new_text string, reason string, severity string", [("c1", "qz beta", "BETA", "why", "一般问题")])
+    gone = F.when(k == 1, F.array(F.lit("c1"))).when(k == 5, F.array(F.lit("c9"))).when(k == 6, F.array(F.lit("c1"), F.lit("c1"))).otherwise(F.array().cast("array<string>"))
+    old = F.when(k == 3, "qz beta").when(k == 4, "![](qz.png)").otherwise("qz gamma")
+    own = ("qz gamma", "D", "also", "轻微问题")
     kind = "id string, old_text string, new_text string, reason string, severity string"
-    base = _rows(docs, kind, [("c1", "beta", "BETA", "why", "一般问题")])
-    withdrawn = docs.where(k == 1).select("doc_id", F.lit("c1").alias("id"))
-    old = F.when(k == 3, "alpha beta").when(k == 4, "![](a.png)").otherwise("gamma")
-    added = _rows(docs, kind, [("c2", "", "", "because", "轻微问题")]).withColumn("old_text", old).withColumn("new_text", F.when(k == 2, "gamma").otherwise("G|x"))
-    return units, proposals.compiled(units, base, withdrawn, added, "doc_id", "source")
+    twice = _array(kind, [("c2", *own), ("c2", "qz beta", "E", "also", "轻微问题"), (None, *own), (None, "qz beta", "F", "also", "轻微问题")])
+    one = _array(kind, [("c2", old, F.when(k == 2, "qz gamma").otherwise("G|x"), "because", "轻微问题")])
+    added = docs.select("doc_id", F.explode(F.when(k == 7, twice).otherwise(one)).alias("r")).select("doc_id", "r.*")
+    return units, base, docs.select("doc_id", F.explode(gone).alias("id")), added
 
 
-@query("""with n as (select doc_id, doc_id % 5 as k, length(cast(doc_id as varchar)) as w from documents)
-  select doc_id, 'c1' as id, 6 as start, 10 as "end", case when k = 3 then 'proposal.overlap' end as error from n where k <> 1
-  union all select doc_id, 'c2', case k when 3 then 0 when 4 then 18 + w else 12 + w end, case k when 3 then 10 when 4 then 28 + w else 17 + w end, case k when 2 then 'revise.noop' when 4 then 'revise.image-only' end from n""")
+@query(f"""with u as ({_SQL_UNITS})
+  select doc_id, 'c1' as id, n as start, n + 7 as "end", null as error from u where k not in (1, 6)
+  union all select doc_id, 'c2', case k when 3 then n when 4 then n + 18 + w else n + 9 + w end, case k when 3 then n + 7 when 4 then n + 29 + w else n + 17 + w end, case k when 2 then 'revise.noop' when 3 then 'proposal.overlap' when 4 then 'revise.image-only' end from u where k <> 7
+  union all select doc_id, 'c9', null, null, 'revise.withdrawn' from u where k = 5 union all select doc_id, 'c1', null, null, 'revise.withdrawn' from u where k = 6
+  union all select doc_id, v.id, n + case v.old when 'b' then 0 else 9 + w end, n + case v.old when 'b' then 7 else 17 + w end, v.error from u, (values ('c2', 'g', 'revise.correction-id-duplicate'), ('c2', 'b', 'revise.correction-id-duplicate'), (null, 'g', 'revise.correction-id'), (null, 'b', 'revise.correction-id')) v(id, old, error) where k = 7""")
 def compiled_proposals(spark: SparkSession, d: str) -> DataFrame:
-    return _proposed(spark, d)[1].select("doc_id", "id", "start", "end", "error")
+    """Corrections of whole texts, some with repeated or null identifiers, withdrawals that name nothing or twice the same."""
+    return proposals.compiled(*_proposed(spark, d), "doc_id", "source").select("doc_id", "id", "start", "end", "error")
 
 
-@query("""select doc_id, case when doc_id % 5 > 1 then null when doc_id % 5 = 1 then '轻微问题' else '一般问题' end as summary, (['', '', 'revise.noop', 'proposal.overlap', 'revise.image-only'])[doc_id % 5 + 1] as error,
-  case when doc_id % 5 < 2 then sha256('alpha ' || case when doc_id % 5 = 0 then '【1|beta|BETA】' else 'beta' end || ' ' || doc_id || ' 【' || (2 - doc_id % 5) || '|gamma|G\\|x】 ![](a.png)') end as body, case when doc_id % 5 < 2 then 0 end as n_errors from documents""")
+@query(f"""with u as ({_SQL_UNITS}), r as (select *, ([null, null, 'revise.noop', 'proposal.overlap', 'revise.image-only', 'revise.withdrawn', 'revise.withdrawn', 'revise.correction-id'])[k + 1] as error from u)
+  select doc_id, case k when 0 then '一般问题' when 1 then '轻微问题' end as summary, coalesce(error, '') as error, case when k < 2 then 0 end as n_errors,
+  case when k < 2 then sha256(left(source, n) || case k when 0 then '【1|qz beta|BETA】 ' else 'qz beta ' end || doc_id || ' 【' || (2 - k) || '|qz gamma|G\\|x】 ![](qz.png)') end as body from r""")
 def rendered_reports(spark: SparkSession, d: str) -> DataFrame:
-    units, found = _proposed(spark, d)
-    made = proposals.rendered(units, found, "doc_id", "source")
-    whole = made.join(units, "doc_id")
-    n = reports.verify(whole.where("text is not null"), "doc_id", "text", "source").where("severity = 'error'").groupBy("doc_id").agg(F.count("*").cast("int").alias("n"))
+    """Version 2 reports of ``compiled_proposals``, verified against their sources."""
+    made = proposals.rendered(*_proposed(spark, d), "doc_id", "source")
+    whole = reports.judged(made, "doc_id", "text", "source", ("summary", "text", "error"))
     body = F.sha2(reports.sections(F.col("text"))["body"], 256)
-    return whole.join(n, "doc_id", "left").select("doc_id", "summary", F.coalesce("error", F.lit("")).alias("error"), body.alias("body"), F.when(F.col("text").isNotNull(), F.coalesce("n", F.lit(0))).alias("n_errors"))
+    n = F.size(F.filter("issues", lambda i: i["severity"] == "error"))
+    return whole.select("doc_id", "summary", F.coalesce("error", F.lit("")).alias("error"), body.alias("body"), F.when(F.col("text").isNotNull(), n).alias("n_errors"))
 
 
 def _state(spark: SparkSession, d: str) -> DataFrame:

@@ -1,4 +1,6 @@
 import io
+import random
+import time
 import zipfile
 
 import pytest
@@ -6,7 +8,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__
 from galley.operators import compile as K
-from galley.operators import corpus, ledger, reports, segment
+from galley.operators import corpus, ledger, proposals, repair, reports, segment
 from galley.sources import materials
 from galley.streaming import ledger as stream
 
@@ -162,3 +164,52 @@ def test_entry(spark):
     made = __spark_entry__.queries()
     assert set(__spark_entry__.oracle_sql()) <= set(made) and len(made) > 40
     assert __spark_entry__.entry(spark).count() > 0
+
+
+def test_compiled_rows_stay_rows(spark):
+    """Repeated and null identifiers, corrections of unknown units, units without any, rows that come in any order."""
+    units = spark.createDataFrame([(1, "a b c d"), (2, "none"), (None, "a b")], "k long, s string")
+    kind = "k long, id string, old_text string, new_text string, reason string, severity string, occurrence int"
+    base = spark.createDataFrame([(1, "x", "a", "A", "r", "轻微问题", None), (1, "y", "b", "B", "r", "严重错误", None), (9, "z", "a", "A", "r", None, None)], kind)
+    added = spark.createDataFrame([(1, None, "c", "C", "r", None, 1), (1, None, "c d", "D", "r", None, None), (1, "y", "d", "d", "r", None, None), (1, "w", "q", "Q", "r", None, None)], kind)
+    gone = spark.createDataFrame([(1, "x"), (1, "nothing"), (1, None)], "k long, id string")
+    found = sorted(((r.id, r.original, r.error) for r in proposals.compiled(units, base, gone, added, "k", "s").collect()), key=str)
+    want = [("y", "b", "revise.correction-id-duplicate"), (None, "c", "revise.correction-id"), (None, "c d", "revise.correction-id"), ("y", "d", "revise.correction-id-duplicate"), ("w", None, "anchor.not-found"), ("nothing", None, "revise.withdrawn")]
+    assert found == sorted(want, key=str)
+    none = gone.where("false")
+    made = {r.k: r for r in proposals.rendered(units, base, none, added.where("false"), "k", "s").collect()}
+    assert made[1].error is None and made[1].summary == "严重错误" and made[1].restored and "【1|a|A】 【2|b|B】 c d" in made[1].text
+    assert made[2].summary == "无问题" and made[2].restored and made[2].error is None and None in made and 9 not in made
+
+
+def test_alignment_against_a_table():
+    def longest(a, b):
+        held = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i, x in enumerate(a):
+            for j, y in enumerate(b):
+                held[i + 1][j + 1] = held[i][j] + 1 if x == y else max(held[i][j + 1], held[i + 1][j])
+        return held[-1][-1]
+
+    rng = random.Random(4)
+    for _ in range(600):
+        k = rng.choice([1, 2, 3, 9])
+        a, b = ([str(rng.randrange(k)) for _ in range(rng.randrange(16))] for _ in range(2))
+        left, right, pairs = reports.align(a, b)
+        assert len(pairs) == longest(a, b) and all(a[i] == b[j] for i, j in pairs) and all(x[0] < y[0] and x[1] < y[1] for x, y in zip(pairs, pairs[1:], strict=False))
+        assert sorted(left + [i for i, _ in pairs]) == list(range(len(a))) and sorted(right + [j for _, j in pairs]) == list(range(len(b)))
+    began = time.monotonic()
+    same = ["first", *["equal"] * 20000, "last"]
+    assert len(reports.align(same, ["other", *["equal"] * 20000, "end"])[2]) == 20000 and time.monotonic() - began < 10
+
+
+def test_repair_codes(spark):
+    head, tail = f"轻微问题\n{reports.MARKED}\n", f"\n{reports.REASONS}\n1. a\n2. b\n"
+    rows = [
+        (1, f"{head}x 【1|a|A】 【2|b|B】 y{tail}", "x a b y"), (2, f"{head}【2|b|B】 【1|a|A】{tail}", "a b"), (3, f"{head}【1|ab|A】 【2|b c|B】{tail}", "ab c"), (4, f"{head}【1|a|A】 【1|b|B】{tail}", "a b"), (5, f"{head}【1||A】 【2|b|B】{tail}", "a b"),
+        (6, "no sections", "a"), (7, f"{head}x{tail}", None), (8, None, "a"), (9, f"<!-- x-report-v2 -->\n{head}x{tail}", "a"), (10, f"{head}【1|a|A】 lost 【2|b|B】{tail}", "a kept b"),
+    ]
+    found = {r.k: r for r in repair.candidates(spark.createDataFrame(rows, "k int, t string, s string"), "k", "t", "s").collect()}
+    assert found[1].ok and found[10].ok and "【1|a|A】 kept 【2|b|B】" in found[10].repaired and "+" in found[10].diff
+    assert found[2].codes == ["repair.marker-order"] and "repair.marker-overlap" in found[3].codes and "repair.duplicate-number" in found[4].codes and "repair.empty-original" in found[5].codes
+    assert found[6].codes == ["report.marked-section", "report.reasons-section"] and found[7].codes == ["repair.source-missing"] and found[9].codes == ["repair.v2-not-supported"]
+    assert all(not found[k].ok and found[k].repaired is None and found[k].diff is None for k in (2, 3, 4, 5, 6, 7, 8, 9))
