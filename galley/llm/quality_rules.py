@@ -2,7 +2,9 @@
 
 A sketch counts the values of a metric by their six leading bits, so that sketches merge by adding counts, exactly, and
 a quantile is known to a thirty-second of its value.  The sketches of a source merge into those of a language and of
-the corpus, which stand in where a source or language has few documents.
+the corpus.  A group's quartiles are blended with those of the level above it by numbers of documents, so that small groups
+lean on it and none changes its cutoffs at once.  The least spread of a metric is a quartile too: of what one item more adds
+to a document's value, which is much for short documents and little for long ones.
 """
 from __future__ import annotations
 
@@ -12,16 +14,18 @@ from pyspark.sql import functions as F
 from .common import by_group, materialize
 from .docstats import with_stats
 
-#: metric: (numerator, denominator, factor, least spread): integers, factor * numerator div denominator.
+#: metric: (numerator, denominator, factor, items): integers, factor * numerator div denominator; ``items`` more of the numerator
+#: are one thing more to the reader (three places of a three-word window, where repeated words are counted).
 METRICS = {
-    "symbols": ("n_symbols", "n_words", 1000, 40),
-    "word_length": ("word_chars", "n_words", 100, 40),
-    "dup_lines": ("n_dup_lines", "n_lines", 1000, 150),
-    "repeats": ("n_repeat_words", "n_words", 1000, 125),
-    "capitals": ("n_upper", "word_chars", 1000, 40),
-    "marks": ("n_marks", "n_words", 1000, 40),
+    "symbols": ("n_symbols", "n_words", 1000, 1),
+    "word_length": ("word_chars", "n_words", 100, 1),
+    "dup_lines": ("n_dup_lines", "n_lines", 1000, 1),
+    "repeats": ("n_repeat_words", "n_words", 1000, 9),
+    "capitals": ("n_upper", "word_chars", 1000, 1),
+    "marks": ("n_marks", "n_words", 1000, 1),
 }
-SPREADS, LEAST_ROWS = 4, 100
+#: Spreads beyond a quartile at which a cutoff is, and documents that the level above a group counts for.
+SPREADS, WEIGHT = 8, 100
 
 
 def failing(min_words: int = 50, most_repeats: int = 50):
@@ -29,15 +33,19 @@ def failing(min_words: int = 50, most_repeats: int = 50):
 
 
 def sketches(stats: DataFrame) -> DataFrame:
-    """(lang, source, metric, value, n): how many documents of a language and source have a value of a metric."""
-    each = F.array(*[F.struct(F.lit(m).alias("metric"), F.expr(f"cast({k} * {a} div {b} as bigint)").alias("v")) for m, (a, b, k, _) in METRICS.items()])
+    """(lang, source, metric, value, n): how many documents of a language and source have a value of a metric.
+
+    ``<metric>_item`` is what one item more adds to a document's value of the metric.
+    """
+    parts = [(m, f"{k} * {a} div {b}") for m, (a, b, k, _) in METRICS.items()] + [(f"{m}_item", f"{k * more} div {b}") for m, (_, b, k, more) in METRICS.items()]
+    each = F.array(*[F.struct(F.lit(m).alias("metric"), F.coalesce(F.expr(f"cast({v} as bigint)"), F.lit(0)).alias("v")) for m, v in parts])
     rows = stats.select("lang", "source", F.explode(each).alias("m")).select("lang", "source", "m.*")
     drop = F.greatest(F.length(F.bin("v")) - 6, F.lit(0))
     value = F.expr("shiftleft(shiftright(v, cut), cut)")
     return rows.withColumn("cut", drop).withColumn("value", value).groupBy("lang", "source", "metric", "value").agg(F.count("*").alias("n"))
 
 
-#: Where a group's cutoffs may come from: its own sketch, that of its language, that of the corpus.
+#: The levels that sketches are merged at: a language's source, a language, the corpus.
 LEVELS = (("lang", "source"), ("lang",), ())
 
 
@@ -52,21 +60,24 @@ def quartiles(sketch: DataFrame) -> DataFrame:
     return ranked.groupBy(*group).agg(F.max("all").alias("n"), at(1).alias("q1"), at(3).alias("q3"))
 
 
-def limits(q: DataFrame) -> DataFrame:
-    """(level, lang, source, limits): a struct of cutoffs above ``q3 + SPREADS * spread``, for word length also below ``q1 - ...``."""
-    least = F.coalesce(*[F.when(F.col("metric") == m, F.lit(x[3])) for m, x in METRICS.items()])
-    spread = SPREADS * F.greatest(F.col("q3") - F.col("q1"), least)
-    own = q.withColumn("high", F.col("q3") + spread).withColumn("low", F.when(F.col("metric") == "word_length", F.col("q1") - spread).otherwise(F.lit(-1)))
-    parts = [F.max(F.when(F.col("metric") == m, F.col(c))).alias(f"{m}_{c}") for m in METRICS for c in ("low", "high")]
-    return own.groupBy("level", "lang", "source").agg(F.max("n").alias("n"), *parts).select("level", "lang", "source", F.struct("n", *[f"{m}_{c}" for m in METRICS for c in ("low", "high")]).alias("limits"))
+def blended(q: DataFrame) -> DataFrame:
+    """(lang, source, metric, q1, q3) of every language and source: its quartiles and those of its language, and these and the corpus's,
+    weighed by their documents against ``WEIGHT``."""
+    own, lang, whole = (q.where(F.col("level") == k).select(*by, "metric", F.struct("n", "q1", "q3").alias(f"l{k}")) for k, by in enumerate(LEVELS))
+    met = own.join(lang.join(F.broadcast(whole), "metric"), ["lang", "metric"])  # the corpus has a row for each metric
+    mix = lambda n, low, high: F.expr(f"({n} * {low} + {WEIGHT} * {high}) div ({n} + {WEIGHT})")
+    for c in ("q1", "q3"):
+        met = met.withColumn(f"up_{c}", mix("l1.n", f"l1.{c}", f"l2.{c}")).withColumn(c, mix("l0.n", f"l0.{c}", f"up_{c}"))
+    return met.select("lang", "source", "metric", "q1", "q3")
 
 
-def _chosen(groups: DataFrame, found: DataFrame) -> DataFrame:
-    """The groups (lang, source) with the ``limits`` of the first level that has ``LEAST_ROWS`` documents, or the corpus."""
-    own, lang, whole = (found.where(F.col("level") == k).select(*by, F.col("limits").alias(f"l{k}")) for k, by in enumerate(LEVELS))
-    joined = groups.join(own, ["lang", "source"], "left").join(lang, "lang", "left").crossJoin(F.broadcast(whole.agg(F.first("l2").alias("l2"))))  # one row, null without documents
-    picked = F.when(F.col("l0.n") >= LEAST_ROWS, F.col("l0")).when(F.col("l1.n") >= LEAST_ROWS, F.col("l1")).otherwise(F.col("l2"))
-    return joined.select("lang", "source", "__n", picked.alias("limits"))
+def limits(found: DataFrame) -> DataFrame:
+    """(lang, source, limits): a struct of cutoffs above ``q3 + SPREADS * spread``, for word length also below ``q1 - ...``."""
+    of = lambda m, c: F.max(F.when(F.col("metric") == m, F.col(c)))
+    each = found.groupBy("lang", "source").agg(*[of(m, c).alias(f"{m}_{c}") for m in METRICS for c in ("q1", "q3")], *[of(f"{m}_item", "q3").alias(f"{m}_item") for m in METRICS])
+    spread = {m: SPREADS * F.greatest(F.col(f"{m}_q3") - F.col(f"{m}_q1"), F.col(f"{m}_item")) for m in METRICS}
+    parts = [x for m in METRICS for x in ((F.col(f"{m}_q1") - spread[m] if m == "word_length" else F.lit(-1)).alias(f"{m}_low"), (F.col(f"{m}_q3") + spread[m]).alias(f"{m}_high"))]
+    return each.select("lang", "source", F.struct(*parts).alias("limits"))
 
 
 def quality_rules(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
@@ -79,8 +90,9 @@ def quality_rules(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     source = df.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(lang_col), F.lit("")).alias("lang"), F.coalesce(F.col(source_col), F.lit("")).alias("source"), F.col(text_col).alias("text"))
     stats = materialize(with_stats(source, ("doc_id", "lang", "source")), "stats").withColumn("base_failed", failing())
-    found = materialize(limits(quartiles(sketches(stats.where(~F.col("base_failed"))))), "limits")
-    groups = materialize(_chosen(stats.groupBy("lang", "source").agg(F.count("*").alias("__n")), found), "groups")
+    found = materialize(quartiles(sketches(stats.where(~F.col("base_failed")))), "quartiles")
+    sized = stats.groupBy("lang", "source").agg(F.count("*").alias("__n"))
+    groups = materialize(sized.join(limits(blended(found)), ["lang", "source"], "left"), "groups")
     judged = by_group(stats, groups, ["lang", "source"])
     value = {m: F.expr(f"cast({k} * {a} div {b} as bigint)") for m, (a, b, k, _) in METRICS.items()}
     broken = F.array_compact(F.array(*[F.when((v > F.col(f"limits.{m}_high")) | (v < F.col(f"limits.{m}_low")), F.lit(m)) for m, v in value.items()]))

@@ -42,15 +42,22 @@ select doc_id, max(doc_id) over (partition by t) as keep_id, count(*) over (part
 from d
 """
 
-_RATIOS = {"symbols": ("n_symbols", "n_words", 1000, 40), "word_length": ("word_chars", "n_words", 100, 40), "dup_lines": ("n_dup_lines", "n_lines", 1000, 150), "repeats": ("n_repeat_words", "n_words", 1000, 125), "capitals": ("n_upper", "word_chars", 1000, 40), "marks": ("n_marks", "n_words", 1000, 40)}
-_METRICS = " union all ".join(f"select doc_id, lang, source, '{m}' as metric, {k} * {a} // {b} as v, {least} as least from s where not base_failed" for m, (a, b, k, least) in _RATIOS.items())
+_RATIOS = {"symbols": ("n_symbols", "n_words", 1000, 1), "word_length": ("word_chars", "n_words", 100, 1), "dup_lines": ("n_dup_lines", "n_lines", 1000, 1), "repeats": ("n_repeat_words", "n_words", 1000, 9), "capitals": ("n_upper", "word_chars", 1000, 1), "marks": ("n_marks", "n_words", 1000, 1)}
+_METRICS = " union all ".join(f"select doc_id, lang, source, '{m}' as metric, {k} * {a} // {b} as v, {k * more} // {b} as item from s where not base_failed" for m, (a, b, k, more) in _RATIOS.items())
+_BITS = "({0} >> greatest(length(bin({0})) - 6, 0)) << greatest(length(bin({0})) - 6, 0)"
+
+
+def _quartile(quarter: int, column: str, part: str) -> str:
+    return f"select {part}, max(n_all) as n, min(b) filter (where 4 * upto >= {quarter} * n_all) as q from (select *, {column} as b, count(*) over (partition by {part} order by {column}) as upto, count(*) over (partition by {part}) as n_all from sk) group by {part}"
 
 
 def _level(name: str, by: str) -> str:
     part = ", ".join(filter(None, (by, "metric")))
-    return f"""{name} as (
-  select {part}, any_value(least) as least, count(*) as n, min(b) filter (where 4 * upto >= n_all) as q1, min(b) filter (where 4 * upto >= 3 * n_all) as q3
-  from (select *, count(*) over (partition by {part} order by b) as upto, count(*) over (partition by {part}) as n_all from sk) group by {part})"""
+    return f"""{name} as (select * from (select {part}, n, q as q1 from ({_quartile(1, 'b_v', part)})) join (select {part}, q as q3 from ({_quartile(3, 'b_v', part)})) using ({part}) join (select {part}, q as item from ({_quartile(3, 'b_item', part)})) using ({part}))"""
+
+
+def _blend(q: str) -> str:
+    return f"(o.n * o.{q} + 100 * ((l.n * l.{q} + 100 * w.{q}) // (l.n + 100))) // (o.n + 100) as {q}"
 
 
 OP9 = rf"""
@@ -72,14 +79,12 @@ covered as (
     (len(w) < 50 or 100 * coalesce(covered.n, 0) > 50 * len(w)) as base_failed
   from d left join covered on d.doc_id = covered.doc_id
 ), m as ({_METRICS}),
-sk as (select *, (v >> greatest(length(bin(v)) - 6, 0)) << greatest(length(bin(v)) - 6, 0) as b from m),
+sk as (select *, {_BITS.format("v")} as b_v, {_BITS.format("item")} as b_item from m),
 {_level("own", "lang, source")}, {_level("by_lang", "lang")}, {_level("whole", "")},
+mixed as (select o.lang, o.source, o.metric, {_blend("q1")}, {_blend("q3")}, {_blend("item")} from own o join by_lang l on o.lang = l.lang and o.metric = l.metric join whole w on o.metric = w.metric),
 broken as (
-  select m.doc_id, count(*) as n from m left join own on m.lang = own.lang and m.source = own.source and m.metric = own.metric
-    left join by_lang on m.lang = by_lang.lang and m.metric = by_lang.metric left join whole on m.metric = whole.metric
-  where m.v > case when own.n >= 100 then own.q3 + 4 * greatest(own.q3 - own.q1, m.least) when by_lang.n >= 100 then by_lang.q3 + 4 * greatest(by_lang.q3 - by_lang.q1, m.least) else whole.q3 + 4 * greatest(whole.q3 - whole.q1, m.least) end
-    or (m.metric = 'word_length' and m.v < case when own.n >= 100 then own.q1 - 4 * greatest(own.q3 - own.q1, m.least) when by_lang.n >= 100 then by_lang.q1 - 4 * greatest(by_lang.q3 - by_lang.q1, m.least) else whole.q1 - 4 * greatest(whole.q3 - whole.q1, m.least) end)
-  group by m.doc_id
+  select m.doc_id, count(*) as n from m join mixed x on m.lang = x.lang and m.source = x.source and m.metric = x.metric
+  where m.v > x.q3 + 8 * greatest(x.q3 - x.q1, x.item) or (m.metric = 'word_length' and m.v < x.q1 - 8 * greatest(x.q3 - x.q1, x.item)) group by m.doc_id
 )
 select s.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not base_failed and broken.n is null as kept
 from s left join broken on s.doc_id = broken.doc_id
