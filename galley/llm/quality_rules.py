@@ -25,7 +25,7 @@ METRICS = {
     "marks": ("n_marks", "n_words", 1000, 1),
 }
 #: Spreads beyond a quartile at which a cutoff is, and documents that the level above a group counts for.
-SPREADS, WEIGHT = 8, 100
+SPREADS, WEIGHT = 8, 10
 
 
 def failing(min_words: int = 50, most_repeats: int = 50):

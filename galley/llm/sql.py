@@ -57,7 +57,7 @@ def _level(name: str, by: str) -> str:
 
 
 def _blend(q: str) -> str:
-    return f"(o.n * o.{q} + 100 * ((l.n * l.{q} + 100 * w.{q}) // (l.n + 100))) // (o.n + 100) as {q}"
+    return f"(o.n * o.{q} + 10 * ((l.n * l.{q} + 10 * w.{q}) // (l.n + 10))) // (o.n + 10) as {q}"
 
 
 OP9 = rf"""

@@ -274,3 +274,21 @@ def test_op13(spark):
     for r in got:
         w[r.vec_id, r.component - 1] = r.whitened
     assert np.abs(np.cov(w.T, bias=True) - np.eye(16)).max() < 1e-8
+
+
+# 9
+
+
+def test_cutoffs_move_with_each_document(spark):
+    """One document more moves a group's cutoff by little, at every size: no number of rows at which it takes others."""
+    from galley.llm import quality_rules
+
+    def cutoff(n):
+        rows = [("en", "own", "symbols", 16, n), ("en", "rest", "symbols", 64, 5000), ("fr", "rest", "symbols", 2, 5000)]
+        rows += [(*r[:2], m, 1, r[4]) for r in rows for m in ("word_length", "dup_lines", "repeats", "capitals", "marks")] + [(*r[:2], f"{m}_item", 1, r[4]) for r in rows for m in quality_rules.METRICS]
+        found = quality_rules.limits(quality_rules.blended(quality_rules.quartiles(spark.createDataFrame(rows, "lang string, source string, metric string, value long, n long"))))
+        return found.where("source = 'own'").first().limits.symbols_high
+
+    seen = [cutoff(n) for n in (1, 10, 50, 99, 100, 101, 1000, 100000)]
+    assert seen == sorted(seen, reverse=True) and seen[0] > 60 and seen[-1] == 24
+    assert all(a - b <= 1 for a, b in zip(seen[3:6], seen[4:6], strict=False))
