@@ -249,7 +249,9 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return by_group(found, materialize(full, "full"), ["fp"]).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "n_same")
 
 
-COUNTERS, BLOCK, BLOCK_BYTES, MANY, FEW_SETS, DENSE = 1 << 20, 1024, 32 << 20, 100_000, 200_000, 8
+BLOCK, BLOCK_BYTES, MANY, FEW_SETS, DENSE = 1024, 32 << 20, 100_000, 200_000, 8
+#: Counters of shingles, as bits: at least and at most (64 MB), and how many shingles there may be for each before there are more.
+LEAST_BITS, MOST_BITS, FULL = 20, 24, 1000
 
 
 def sketch(members: np.ndarray) -> bytes:
@@ -296,15 +298,21 @@ def _sets(df: DataFrame, id_col: str, text_col: str, ngram: int, carry: tuple[st
     return source.mapInArrow(tidied(run), schema)
 
 
-def _shingle_counts(sets: DataFrame) -> np.ndarray:
-    """How many shingles of all sets fall to each of ``COUNTERS`` counters."""
+def _counter_bits(n_shingles: int) -> int:
+    """Bits of the number of counters for so many shingles, so that what few sets have isn't taken for frequent in a large corpus."""
+    return min(MOST_BITS, max(LEAST_BITS, math.ceil(math.log2(max(n_shingles, 1) / FULL))))
+
+
+def _shingle_counts(sets: DataFrame, n_shingles: int) -> np.ndarray:
+    """How many shingles of all sets fall to each counter: the leading bits of a shingle's hash say to which."""
+    bits = _counter_bits(n_shingles)
 
     def part(batch: pa.RecordBatch) -> list[np.ndarray]:
         flat = np.frombuffer(b"".join(batch.column(0).to_pylist()), np.uint32)
-        return [np.bincount(flat // ((1 << 32) // COUNTERS), minlength=COUNTERS)]
+        return [np.bincount(flat >> np.uint32(32 - bits), minlength=1 << bits)]
 
     found = tree_sum(sets.select("shingles"), part)
-    return found[0] if found else np.zeros(COUNTERS)
+    return found[0] if found else np.zeros(1 << bits)
 
 
 def _prefix_length(n: int, similarity: float) -> int:
@@ -315,9 +323,10 @@ def _prefix_length(n: int, similarity: float) -> int:
 def _prefixes(sets: DataFrame, counts: np.ndarray, similarity: float) -> DataFrame:
     """(key, salt, salts, id): the members of each set's prefix, those with the least counts first.
 
-    A member whose counter says that it may be in over ``MANY`` sets is dealt out by salt.
+    A member whose counter says that it may be in over ``MANY`` sets, and in far more than an average one, is dealt out by salt.
     """
-    known = sets.sparkSession.sparkContext.broadcast(np.minimum(counts, (1 << 31) - 1).astype(np.uint32))  # COUNTERS numbers
+    known = sets.sparkSession.sparkContext.broadcast(np.minimum(counts, (1 << 31) - 1).astype(np.uint32))  # 2^MOST_BITS numbers at most
+    unused, most = np.uint32(32 - (len(counts).bit_length() - 1)), max(MANY, 8 * int(counts.mean()), 1)
 
     def run(batches):
         count, seen = known.value, set()
@@ -329,10 +338,10 @@ def _prefixes(sets: DataFrame, counts: np.ndarray, similarity: float) -> DataFra
                 if not k or i in seen:
                     continue
                 seen.add(i)
-                order = count[own // ((1 << 32) // COUNTERS)].astype(np.uint64) << np.uint64(32) | own
+                order = count[own >> unused].astype(np.uint64) << np.uint64(32) | own
                 first = np.partition(order, k - 1)[:k]
                 keys.append(first.astype(np.uint32))
-                salts.append((first >> np.uint64(32)).astype(np.int64) // MANY + 1)
+                salts.append((first >> np.uint64(32)).astype(np.int64) // most + 1)
                 ids.append(np.full(k, i))
             if keys:
                 many, own = np.concatenate(salts), np.concatenate(ids)
@@ -482,7 +491,7 @@ def _completed(stars: DataFrame, labels: DataFrame, distinct: DataFrame, found:
     by_label = owned.groupBy("key", "label").agg(F.count("*").alias("n"), F.bit_xor(mark).alias("a"), F.sum(mark.bitwiseAND(F.lit((1 << 32) - 1))).alias("b"))
     mixed = by_label.groupBy("key").agg(F.count("*").alias("labels"), F.max(F.struct("n", "label")).alias("top"), F.sum("n").alias("n"), F.bit_xor("a").alias("a"), F.sum("b").alias("b")).where("labels > 1 and n > 2")
     mixed = mixed.groupBy("a", "b", "n").agg(F.min(F.struct("key", F.col("top.label").alias("top"), F.col("top.n").alias("n_top"))).alias("m")).select("m.*", (F.col("n") - F.col("m.n_top")).alias("n_rest"))
-    rows = owned.join(materialize(mixed, "mixed"), "key")
+    rows = by_group(owned, materialize(mixed.withColumn("__n", F.col("n_rest") + F.col("n_top")), "mixed"), ["key"])
     blocks = lambda n: F.ceil(F.col(n) / BLOCK).cast("int")
     is_top = F.col("label") == F.col("top")
     rows = rows.withColumn("own", F.pmod(F.xxhash64(F.lit(7), "id"), F.when(is_top, blocks("n_top")).otherwise(blocks("n_rest"))).cast("int") - F.when(is_top, blocks("n_top")).otherwise(0))
@@ -586,7 +595,8 @@ def similar_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     found = materialize(_sets(df, id_col, text_col, ngram, carry), "sets")
     distinct = materialize(found.groupBy("id").agg(F.min("doc_id").alias("first"), F.min("fp").alias("fp"), F.min("n").alias("n"), F.min("sketch").alias("sketch"), F.count("*").alias("__n")), "distinct")
-    stars = materialize(_stars(_prefixes(found, _shingle_counts(found), similarity)), "stars")
+    n_shingles = found.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    stars = materialize(_stars(_prefixes(found, _shingle_counts(found, n_shingles), similarity)), "stars")
     pairs = materialize(_candidates(_proposed(distinct, stars, radius), distinct, similarity), "pairs")
     labels = materialize(connected_components(_verified(pairs, found, similarity)).withColumnRenamed("v", "id"), "labels")
     later = connected_components(_completed(stars, labels, distinct, found, similarity)).select(F.col("v").alias("label"), F.col("label").alias("to"))

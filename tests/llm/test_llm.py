@@ -132,10 +132,16 @@ def test_short_texts_at_the_threshold(spark):
     assert found == {d: d - d % 2 for d, _ in docs}
 
 
-@pytest.mark.parametrize("many,block,few", [(10**5, 1024, 10**5), (6, 8, 4)])
-def test_no_link_is_missed(spark, monkeypatch, many, block, few):
-    """Pairs about the threshold, chains, a passage in most texts, one large group; salted keys, small blocks, shuffled joins."""
+def test_counters_grow_with_the_corpus():
+    assert [simhash._counter_bits(n) for n in (0, 1000, 1 << 30, 1 << 32, 1 << 50)] == [20, 20, 21, 23, 24]
+
+
+@pytest.mark.parametrize("many,block,few,bits", [(10**5, 1024, 10**5, 20), (6, 8, 4, 20), (0, 8, 4, 4)])
+def test_no_link_is_missed(spark, monkeypatch, many, block, few, bits):
+    """Pairs about the threshold, chains, a passage in most texts, one large group; salted keys, small blocks, shuffled joins, full counters."""
     monkeypatch.setattr(simhash, "MANY", many)
+    monkeypatch.setattr(simhash, "LEAST_BITS", bits)
+    monkeypatch.setattr(simhash, "MOST_BITS", bits)
     monkeypatch.setattr(simhash, "BLOCK", block)
     monkeypatch.setattr(simhash, "BLOCK_BYTES", 1500)
     monkeypatch.setattr(common, "FEW_GROUPS", few)
@@ -520,6 +526,42 @@ def test_any_archive_converts(spark, tmp_path):
     assert {r["refers_to_id"] for r in found if r["record_type"] == "revisit"} == {first["record_id"]}
 
 
+def test_archives_of_other_writers(spark, tmp_path):
+    """Other record types, digests in base 32 and other algorithms, folded and differently spelt fields, one stream of records."""
+    import base64
+    import gzip
+
+    body = "<p>déjà vu</p>".encode()
+    sha1 = "sha1:" + base64.b32encode(hashlib.sha1(body).digest()).decode()
+    http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html\r\n\r\n"
+
+    def record(block, **fields):
+        head = "".join(f"{k.replace('_', '-')}: {v}\r\n" for k, v in fields.items())
+        return f"WARC/1.0\r\n{head}content-length:  {len(block)}\r\n\r\n".encode() + block + b"\r\n\r\n"
+
+    records = [
+        record(b"software: x\r\n", WARC_Type="warcinfo", WARC_Record_ID="<urn:a>"),
+        record(b"GET / HTTP/1.1\r\nHost: h\r\n\r\n", WARC_Type="request", WARC_Record_ID="<urn:b>", WARC_Target_URI="http://h/"),
+        record(http + body, WARC_Type="response", WARC_Record_ID="<urn:c>", WARC_Payload_Digest=sha1, WARC_Target_URI="http://h/\r\n\tlong"),
+        record(http, warc_type="revisit", WARC_Record_ID="<urn:d>", WARC_Payload_Digest=sha1, WARC_Refers_To="<urn:c>"),
+        record(b"k: v\r\n", WARC_Type="metadata", WARC_Record_ID="<urn:e>", WARC_Payload_Digest="blake3:00ff"),
+        record(body, WARC_Type="resource", WARC_Record_ID="<urn:f>", WARC_Payload_Digest="SHA-256:" + hashlib.sha256(body).hexdigest().upper()),
+    ]
+    (tmp_path / "a.warc.gz").write_bytes(gzip.compress(b"".join(records)))
+    (tmp_path / "b.warc").write_bytes(records[2])
+    found = {(r["path"][-1], r["record_id"]): r for r in warc.read_warcs(spark, str(tmp_path)).collect()}
+    sha = lambda x: hashlib.sha256(x).hexdigest()
+    got = {k[1]: (r["record_type"], r["payload_bytes"], r["payload_digest"], r["refers_to_id"]) for k, r in found.items() if k[0] == "z"}
+    assert got == {
+        "<urn:a>": ("warcinfo", 13, sha(b"software: x\r\n"), None), "<urn:b>": ("request", 0, sha(b""), None), "<urn:c>": ("response", len(body), sha(body), None),
+        "<urn:d>": ("revisit", None, None, "<urn:c>"), "<urn:e>": ("metadata", 6, sha(b"k: v\r\n"), None), "<urn:f>": ("resource", len(body), sha(body), None),
+    }
+    assert len(found) == 7 and found["c", "<urn:c>"]["url"] == "http://h/ long" and found["c", "<urn:c>"]["declared_digest"] == sha1
+    (tmp_path / "c.warc").write_bytes(records[2].replace(b"vu</p>", b"vu</q>"))
+    with pytest.raises(Exception, match="isn't what its digest says"):
+        warc.read_warcs(spark, str(tmp_path)).collect()
+
+
 def test_a_page_of_most_rows(spark, monkeypatch):
     """One page copied 12,000 times, beside a clashing column; revisits told by broadcast and by a join."""
     big = "<p>" + "hot " * 50
