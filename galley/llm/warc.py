@@ -10,6 +10,7 @@ other records file by file and needs only to know which records of a file to lea
 """
 from __future__ import annotations
 
+import base64
 import hashlib
 import uuid
 import zlib
@@ -189,8 +190,8 @@ def parse_arc(data: bytes, damaged: str = "raise") -> Iterator[dict]:
 
 
 def split_http(content: bytes) -> tuple[bytes, bytes]:
-    """(head with its blank line, payload) of an HTTP response; no head if there is none."""
-    if not content.startswith(b"HTTP/"):
+    """(head with its blank line, payload) of an HTTP message; no head if there is none."""
+    if b"HTTP/" not in content[: content.find(b"\n") + 1 or 16]:
         return b"", content
     found = [(content.find(sep), len(sep)) for sep in (b"\r\n\r\n", b"\n\n")]
     found = [(i + n) for i, n in found if i >= 0]
@@ -206,6 +207,34 @@ def warc_record(kind: str, url: str, date: str, record_id: str, head: bytes, pay
     return ("WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in fields.items()) + "\r\n").encode() + block
 
 
+def header_fields(head: str) -> dict[str, str]:
+    """Fields of a record's header by name in lower case; a line that starts with white space goes on with the one before."""
+    lines: list[str] = []
+    for line in head.split("\r\n")[1:]:
+        if line[:1] in (" ", "\t") and lines:
+            lines[-1] += " " + line.strip()
+        else:
+            lines.append(line)
+    named = (x.partition(":") for x in lines if ":" in x)
+    return {k.strip().lower(): v.strip() for k, _, v in named}
+
+
+#: Digest algorithms that archives name, and the bytes of their digests.
+_ALGORITHMS = {"sha256": 32, "sha1": 20, "md5": 16, "sha512": 64}
+
+
+def read_digest(said: str) -> tuple[str, bytes] | None:
+    """(algorithm, digest) of a labelled digest, in base 16 or 32; none for one of another kind."""
+    name, _, value = said.strip().partition(":")
+    name = name.lower().replace("-", "")
+    size = _ALGORITHMS.get(name)
+    try:
+        raw = bytes.fromhex(value) if size and len(value) == 2 * size else base64.b32decode(value.upper() + "=" * (-len(value) % 8))
+    except ValueError:
+        return None
+    return (name, raw) if len(raw) == size else None
+
+
 def parse_warc(data: bytes) -> Iterator[tuple[dict[str, str], bytes, int]]:
     """(fields with names in lower case, block, where in the file the record's gzip member begins) of the records of a WARC file."""
     source = Inflated(data)
@@ -217,11 +246,11 @@ def parse_warc(data: bytes) -> Iterator[tuple[dict[str, str], bytes, int]]:
         head = source.until(b"\r\n\r\n")
         if head is None or not head.startswith(b"WARC/"):
             raise ValueError(f"offset {at}: no WARC record")
-        fields = dict(x.split(": ", 1) for x in head.decode("utf-8", "replace").split("\r\n")[1:])
-        fields = {k.lower(): v for k, v in fields.items()}
-        block = source.take(int(fields["content-length"]))
+        fields = header_fields(head.decode("utf-8", "replace"))
+        said = fields.get("content-length", "")
+        block = source.take(int(said)) if said.isdecimal() and len(said) < 16 else None
         if block is None:
-            raise ValueError(f"offset {at}: the declared length {fields['content-length']} doesn't fit the file")
+            raise ValueError(f"offset {at}: the declared length {said!r} doesn't fit the file")
         yield fields, block, begin
 
 
@@ -370,27 +399,37 @@ def convert(spark: SparkSession, arcs: str, warcs: str, damaged: str = "raise")
 
 
 def read_warcs(spark: SparkSession, path: str) -> DataFrame:
-    """Index of the records of all files of a folder: (record_id, refers_to_id, page_id, record_type, payload_bytes, payload_digest, path, member).
+    """Index of the records of all files of a folder: (record_id, refers_to_id, page_id, record_type, payload_bytes, payload_digest, path, member, url, declared_digest).
 
-    Lengths and digests of payloads are computed, and must be what the record says; a revisit's come from its fields.
-    ``member`` says where in the file the record's gzip member begins.
+    Records of any writer and type.  The payload of a response and of a request is what follows the HTTP head, of other records
+    the block; its length and SHA-256 (bare hex) are computed, and a declared digest in SHA-256, SHA-1, SHA-512 or MD5, base 16 or 32,
+    must agree.  A revisit has no payload here: its digest is the declared one, if that is SHA-256, and its length what the
+    record says, else null.  ``declared_digest`` is as it is written.  ``member`` says where in the file the record's gzip member begins.
     """
-    schema = "record_id string, refers_to_id string, page_id long, record_type string, payload_bytes long, payload_digest string, path string, member long"
-    kinds = (pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64())
+    schema = "record_id string, refers_to_id string, page_id long, record_type string, payload_bytes long, payload_digest string, path string, member long, url string, declared_digest string"
+    kinds = (pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string())
     names = [x.split(" ")[0] for x in schema.split(", ")]
+    number = lambda said: int(said) if said is not None and said.lstrip("-").isdecimal() and len(said) < 19 else None
+
+    def row(file: str, fields: dict[str, str], block: bytes, begin: int) -> tuple:
+        kind, said, size = fields.get("warc-type", ""), fields.get("warc-payload-digest"), number(fields.get("x-payload-length"))
+        known = read_digest(said) if said else None
+        if kind == "revisit":
+            digest = known[1].hex() if known and known[0] == "sha256" else None
+        else:
+            payload = split_http(block)[1] if kind in ("response", "request") else block
+            digest = hashlib.sha256(payload).hexdigest()
+            if (known and hashlib.new(known[0], payload).digest() != known[1]) or (size is not None and len(payload) != size):
+                raise ValueError(f"{fields.get('warc-record-id')}: the payload isn't what its digest says ({digest})")
+            size = len(payload)
+        return fields.get("warc-record-id"), fields.get("warc-refers-to"), number(fields.get("x-page-id")), kind, size, digest, file, begin, fields.get("warc-target-uri"), said
 
     def run(batches):
         for batch in batches:
             for i in range(batch.num_rows):
                 file, rows = batch.column(0)[i].as_py(), []
-                for fields, block, begin in parse_warc(batch.column(1)[i].as_py()):
-                    kind, said, size = fields["warc-type"], fields["warc-payload-digest"].removeprefix("sha256:"), int(fields["x-payload-length"])
-                    if kind != "revisit":
-                        payload = split_http(block)[1] if kind == "response" else block
-                        if (found := hashlib.sha256(payload).hexdigest()) != said or len(payload) != size:
-                            raise ValueError(f"{fields['warc-record-id']}: the payload isn't what its digest says ({found})")
-                    page = fields.get("x-page-id")
-                    rows.append((fields["warc-record-id"], fields.get("warc-refers-to"), None if page is None else int(page), kind, size, said, file, begin))
+                for found in parse_warc(batch.column(1)[i].as_py()):
+                    rows.append(row(file, *found))
                     if len(rows) == 5000:
                         yield _batch(rows, kinds, names)
                         rows = []
