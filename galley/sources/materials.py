@@ -212,6 +212,21 @@ def read_markdown(data: bytes) -> tuple[str, list[dict], list[str]]:
 READERS = {"docx": read_docx, "md": read_markdown, "markdown": read_markdown}
 
 
+#: What a damaged file raises.
+FAILURES = (SourceError, ElementTree.ParseError, zipfile.BadZipFile, KeyError)
+
+
+def read_one(path: str, data: bytes, with_comments: bool = False) -> tuple:
+    """(kind, markdown, blocks, warnings, error) of a file by its name's ending."""
+    kind = path.rsplit(".", 1)[-1].lower()
+    try:
+        if kind not in READERS:
+            raise SourceError(f"unsupported: .{kind}")
+        return kind, *(read_docx(data, True) if with_comments and kind == "docx" else READERS[kind](data)), None
+    except FAILURES as e:
+        return kind, None, [], [], f"{type(e).__name__}: {e}"
+
+
 def parsed(files: DataFrame, with_comments: bool = False) -> DataFrame:
     """(path, kind, markdown, blocks, warnings, error) of files (path, content); a file that can't be read gives its error.
 
@@ -222,16 +237,7 @@ def parsed(files: DataFrame, with_comments: bool = False) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            rows = []
-            for file, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                kind = file.rsplit(".", 1)[-1].lower()
-                try:
-                    if kind not in READERS:
-                        raise SourceError(f"unsupported: .{kind}")
-                    made = read_docx(content.as_py(), True) if with_comments and kind == "docx" else READERS[kind](content.as_py())
-                    rows.append((file, kind, *made, None))
-                except (SourceError, ElementTree.ParseError, zipfile.BadZipFile, KeyError) as e:
-                    rows.append((file, kind, None, [], [], f"{type(e).__name__}: {e}"))
+            rows = [(file, *read_one(file, content.as_py(), with_comments)) for file, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True)]
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds.values(), strict=True)], names=list(kinds))
 
