@@ -15,7 +15,7 @@ import uuid
 from collections.abc import Callable
 from urllib.parse import urlparse
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import proposals, reports
@@ -137,22 +137,23 @@ def _staged(rows: DataFrame, root: str) -> tuple[str, int]:
     return name, n
 
 
-def commit_rows(spark: SparkSession, root: str, kind: str, change: Callable[[DataFrame], tuple[DataFrame, DataFrame | None]], full: bool = False, before_name: Callable[[], None] | None = None) -> tuple[int, DataFrame | None]:
-    """(version, outcome): one commit of what ``change`` makes of the current state: the rows that change, and what to tell of them.
+def commit_rows(spark: SparkSession, root: str, kind: str, changed: Callable[[DataFrame, DataFrame | None], DataFrame], judge: Callable[[DataFrame], DataFrame] | None = None, full: bool = False, before_name: Callable[[], None] | None = None) -> tuple[int, DataFrame | None]:
+    """(version, outcome): one commit of the rows of the current state that change, and what ``judge`` has found about them.
 
-    ``change`` is called again on the newest state as often as another writer was faster.  Nothing is committed where no row
-    changes.  ``before_name`` is called when the data are there and the name isn't (tests end the writer here).
+    ``judge(state)`` is written, so that it is done once, and ``changed(state, outcome)`` gives the rows.  Both are called again on
+    the newest state as often as another writer was faster.  Nothing is committed where no row changes.  ``before_name`` is called when the data are there and the name isn't (tests end the writer here).
     """
     for attempt in range(TRIES):
         known = versions(spark, root)
         n = known[-1] + 1 if known else 0
         current = state(spark, root, n - 1) if n else spark.createDataFrame([], STATE)
-        rows, outcome = change(current)
-        name, size = _staged(rows, root)
+        outcome = None
+        if judge is not None:
+            found, told = judge(current), f"{root}/outcomes/{uuid.uuid4().hex}"
+            found.write.parquet(told)
+            outcome = spark.read.schema(found.schema).parquet(told)
+        name, size = _staged(changed(current, outcome), root)
         path = f"{root}/data/{name}"
-        if outcome is not None:
-            outcome.write.parquet(f"{root}/outcomes/{name}")
-            outcome = spark.read.schema(outcome.schema).parquet(f"{root}/outcomes/{name}")
         if before_name:
             before_name()
         if not size and n and not full:
@@ -161,7 +162,7 @@ def commit_rows(spark: SparkSession, root: str, kind: str, change: Callable[[Dat
         if _brought_into_being(spark, f"{root}/commits/{n}.json", {"version": n, "kind": kind, "data": name, "rows": size, "full": full or n == 0, "at": time.time()}):
             since = next((k for k, x in enumerate(reversed(history(spark, root))) if x["full"]), 0)
             if since >= FOLDED and kind != "fold":
-                commit_rows(spark, root, "fold", lambda now: (now, None), full=True)
+                commit_rows(spark, root, "fold", lambda now, _: now, full=True)
             return n, outcome
         _store(spark, path).delete(_path(spark, path), True)
         time.sleep(min(0.05 * 2**attempt, 2))
@@ -177,10 +178,10 @@ def begin(units: DataFrame, root: str) -> int:
     names = [f.split(" ") for f in STATE.split(", ")]
     rows = have.select(*[F.col(c) if c in have.columns else F.lit(None).cast(t).alias(c) for c, t in names])
 
-    def first(now: DataFrame) -> tuple[DataFrame, None]:
+    def first(now: DataFrame, _: None) -> DataFrame:
         if versions(spark, root):
             raise Conflict(f"{root} has been begun")
-        return rows, None
+        return rows
 
     return commit_rows(spark, root, "begin", first)[0]
 
@@ -204,16 +205,15 @@ def submit(submissions: DataFrame, root: str, before_name: Callable[[], None] |
     """
     spark = submissions.sparkSession
 
-    def change(current: DataFrame) -> tuple[DataFrame, DataFrame]:
-        outcome = judged(current, submissions)
+    def changed(current: DataFrame, outcome: DataFrame) -> DataFrame:
         taken = outcome.where("outcome = 'accepted'").select(*BY, "seq", F.col("revision").alias("__revision"), F.col("report_sha256").alias("__digest"))
         new = taken.join(submissions.select(*BY, "seq", F.col("text").alias("__text")), [*BY, "seq"])
         rows = current.join(new, list(BY)).withColumn("revision", F.col("__revision")).withColumn("report_sha256", F.col("__digest")).withColumn("report", F.col("__text"))
         for c in ("registered_run", "registered_sha256", "registered_inputs"):
             rows = rows.withColumn(c, F.lit(None).cast("string"))
-        return rows.drop("seq", "__revision", "__digest", "__text"), outcome
+        return rows.drop("seq", "__revision", "__digest", "__text")
 
-    return commit_rows(spark, root, "submit", change, before_name=before_name)
+    return commit_rows(spark, root, "submit", changed, lambda current: judged(current, submissions), before_name=before_name)
 
 
 def register(units: DataFrame, root: str) -> tuple[int, DataFrame]:
@@ -223,15 +223,17 @@ def register(units: DataFrame, root: str) -> tuple[int, DataFrame]:
     """
     spark = units.sparkSession
 
-    def change(current: DataFrame) -> tuple[DataFrame, DataFrame]:
+    def judge(current: DataFrame) -> DataFrame:
         seen = units.select(*BY, F.col("run_id").alias("__run"), F.col("report_sha256").alias("__seen"))
         met = current.join(seen, list(BY))
         what = F.when(F.col("report").isNull(), "report-missing").when(~F.col("run_id").eqNullSafe(F.col("__run")), "run-changed").when(~F.col("report_sha256").eqNullSafe(F.col("__seen")), "report-changed").otherwise("registered")
-        told = met.withColumn("outcome", what).withColumn("__n", F.row_number().over(Window.partitionBy(*BY).orderBy(what))).where("__n = 1")
-        rows = told.where("outcome = 'registered'").withColumn("registered_run", F.col("run_id")).withColumn("registered_sha256", F.col("report_sha256")).withColumn("registered_inputs", F.col("inputs_sha256"))
-        return rows.drop("outcome", "__run", "__seen", "__n"), told.select(*BY, "outcome")
+        return met.groupBy(*BY).agg(F.min(what).alias("outcome"))
 
-    return commit_rows(spark, root, "register", change)
+    def changed(current: DataFrame, outcome: DataFrame) -> DataFrame:
+        rows = current.join(outcome.where("outcome = 'registered'").select(*BY), list(BY), "left_semi")
+        return rows.withColumn("registered_run", F.col("run_id")).withColumn("registered_sha256", F.col("report_sha256")).withColumn("registered_inputs", F.col("inputs_sha256"))
+
+    return commit_rows(spark, root, "register", changed, judge)
 
 
 def registered(current: DataFrame) -> DataFrame:
@@ -244,7 +246,7 @@ def registered(current: DataFrame) -> DataFrame:
 
 def undo(spark: SparkSession, root: str, version: int) -> int:
     """A new version whose state is that of an older one; what was committed since stays in the history."""
-    return commit_rows(spark, root, f"undo:{version}", lambda now: (state(spark, root, version), None), full=True)[0]
+    return commit_rows(spark, root, f"undo:{version}", lambda now, _: state(spark, root, version), full=True)[0]
 
 
 def vacuum(spark: SparkSession, root: str, older_than: float = 86400.0) -> list[str]:

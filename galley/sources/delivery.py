@@ -5,9 +5,7 @@ the finished file, and its accounting are ordinary queries.  Only ``publish`` to
 """
 from __future__ import annotations
 
-import contextlib
 import io
-import time
 import re
 import uuid
 import zipfile
@@ -235,37 +233,6 @@ def publish(files: DataFrame, folder: str, name: str = "name", ok: str = "ok") -
     return out
 
 
-class LockTimeout(TimeoutError):
-    pass
-
-
-@contextlib.contextmanager
-def locked(spark, folder: str, wait: float = 10.0, stale_after: float = 600.0):
-    """Hold a folder of a store alone, from one driver to another, while what stands within runs; readers need no lock.
-
-    The lock is a file that only one can create.  One older than ``stale_after`` seconds was left behind and is broken;
-    after ``wait`` seconds without the lock, LockTimeout.
-    """
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder.rstrip('/')}/.lock")
-    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
-    until = time.monotonic() + wait
-    while True:
-        try:
-            fs.create(path, False).close()
-            break
-        except Exception as e:
-            if fs.exists(path) and time.time() - fs.getFileStatus(path).getModificationTime() / 1000 > stale_after:
-                fs.delete(path, False)
-                continue
-            if time.monotonic() >= until:
-                raise LockTimeout(f"{folder} is held") from e
-            time.sleep(0.05)
-    try:
-        yield
-    finally:
-        fs.delete(path, False)
-
-
 def report_json(summary: Column, marks: Column) -> Column:
     """A report as JSON: its severity and an array of (num, original, replacement, reason)."""
     return F.to_json(F.struct(summary.alias("summary"), marks.alias("items")), {"ignoreNullFields": "false"})

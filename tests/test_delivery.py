@@ -196,15 +196,3 @@ def test_names_that_become_equal(spark, tmp_path):
     delivery.publish(spark.createDataFrame([("c", b"old", True)], df.schema), str(tmp_path))
     delivery.publish(spark.createDataFrame([("c", b"new", True)], df.schema), str(tmp_path))
     assert (tmp_path / "c.docx").read_bytes() == b"new" and not list(tmp_path.glob(".*.tmp"))
-
-
-def test_a_folder_is_held_by_one(spark, tmp_path):
-    with delivery.locked(spark, str(tmp_path)):
-        with pytest.raises(delivery.LockTimeout):
-            with delivery.locked(spark, str(tmp_path), wait=0.2):
-                pass
-        with delivery.locked(spark, str(tmp_path), wait=5, stale_after=-1):  # left behind, as it seems
-            pass
-    with delivery.locked(spark, str(tmp_path)):
-        pass
-    assert not (tmp_path / ".lock").exists()
