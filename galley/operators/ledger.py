@@ -114,11 +114,14 @@ class Cancellation:
 
 
 def fold(rows: Iterable[dict], recovery: Recovery, cancels: Cancellation) -> list[tuple[int, str]]:
-    """(seq, outcome) of a unit's events in order: heartbeats, charges, cancels and revokes."""
+    """(seq, outcome) of a unit's events in order: heartbeats, charges, cancels, revokes, and registrations, which end what the unit has."""
     out = []
     for r in rows:
         kind, attempt = r["kind"], r["attempt_id"]
-        if kind == "event":
+        if kind == "registered":
+            recovery.used, recovery.attempts, cancels.log, cancels.current = {}, {}, [], None
+            out.append((r["seq"], "registered"))
+        elif kind == "event":
             ended = any(x[0] == "cancel" and x[1] == attempt and not x[4] for x in cancels.log)
             if not ended:
                 cancels.current = attempt
