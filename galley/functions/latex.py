@@ -121,8 +121,13 @@ def for_word(text: str) -> str:
     whole = "".join(f"${piece}$" if formula else piece for piece, formula in _bracketed(text)).replace("\\$", "$")
     out, at = [], 0
     while (begin := whole.find("$", at)) >= 0 and (end := whole.find("$", begin + 2)) >= 0:
-        inside = whole[begin + 1 : end].replace("\\\\", "\\")
-        out += [whole[at:begin], "$", inside if "\n" in inside else inside.strip(" \t"), "$"]
+        out += [whole[at:begin], "$", whole[begin + 1 : end].replace("\\\\", "\\"), "$"]
         at = end + 1
-    lines = upright("".join([*out, whole[at:]])).split("\n")
-    return "\n".join("\\$".join(line.rsplit("$", 1)) if line.count("$") % 2 else line for line in lines)
+    return "\n".join(map(_dollars_of_a_line, upright("".join([*out, whole[at:]])).split("\n")))
+
+
+def _dollars_of_a_line(line: str) -> str:
+    parts = line.split("$")
+    paired = (len(parts) - 1) // 2 * 2
+    parts = [x.strip(" \t") if i % 2 and i < paired else x for i, x in enumerate(parts)]
+    return "$".join(parts) if len(parts) % 2 else "$".join(parts[:-1]) + "\\$" + parts[-1]

@@ -1,4 +1,4 @@
-"""Queries of text rules: pieces with a known outcome, planted between words of every document.
+"""Queries of text rules: pieces with a known outcome, planted at many places of every document's letters.
 
 The SQL puts the known outcomes in the same places, so that it knows nothing of how a rule works.
 """
@@ -16,11 +16,13 @@ from ..functions import text as X
 from ..operators import locate, reports
 from .catalogue import query
 
-_WORD = "'x' || substr(regexp_replace(text, '[^a-z]+', '', 'g'), 1, 12)"
+#: The letters of a whole text in stretches; no rule has anything to say of them, so that all that changes is a piece.
+STRETCH = 200
+_LETTERS = f"regexp_extract_all('x' || regexp_replace(text, '[^a-z]+', '', 'g'), '.{{1,{STRETCH}}}')"
 
 
-def _word() -> Column:
-    return F.concat(F.lit("x"), F.substring(F.regexp_replace("text", "[^a-z]+", ""), 1, 12))
+def _letters() -> Column:
+    return F.regexp_extract_all(F.concat(F.lit("x"), F.regexp_replace("text", "[^a-z]+", "")), F.lit(f".{{1,{STRETCH}}}"), F.lit(0))
 
 
 def _quoted(s: str) -> str:
@@ -31,33 +33,33 @@ def _docs(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.parquet(f"{d}/documents.parquet").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
 
 
-def planted(name: str, fn: Callable[[Column], Column], pieces: list[tuple[str, str]], sep: str = " ", many: int = 2) -> None:
-    """A query of a text rule over word, piece, word ... word, with ``many`` of the pieces (before, after) in each document."""
+def planted(name: str, fn: Callable[[Column], Column], pieces: list[tuple[str, str]], sep: str = " ", many: bool = True) -> None:
+    """A query of a text rule over whole texts: a piece (before, after) behind each stretch of letters but the last, or, if not ``many``, one in the middle.
 
-    def picks(column: int) -> list[Column]:
-        values = F.array(*[F.lit(p[column]) for p in pieces])
-        return [F.element_at(values, ((F.col("doc_id") + k) % len(pieces) + 1).cast("int")) for k in range(many)]
+    A text of one stretch has a piece behind it and its letters once more.
+    """
 
     def run(spark: SparkSession, d: str) -> DataFrame:
-        made = _docs(spark, d).withColumn("w", _word())
-        parts = [x for p in picks(0) for x in (p, F.lit(sep), F.col("w"), F.lit(sep))][:-1]
-        out = fn(F.concat("w", F.lit(sep), *parts))
+        made = _docs(spark, d).withColumn("w", _letters()).withColumn("w", F.when(F.size("w") > 1, F.col("w")).otherwise(F.concat("w", "w")))
+        values = F.array(*[F.lit(p) for p, _ in pieces])
+        here = (lambda i: i < F.size("w") - 1) if many else (lambda i: i == F.floor(F.size("w") / 2) - 1)
+        put = lambda i: F.when(here(i), F.concat(F.lit(sep), F.element_at(values, ((F.col("doc_id") + i) % len(pieces) + 1).cast("int")), F.lit(sep))).otherwise("")
+        out = fn(F.array_join(F.transform("w", lambda x, i: F.concat(x, put(i))), ""))
         return made.withColumn("o", out).select("doc_id", F.sha2("o", 256).alias("digest"), F.length("o").cast("long").alias("n"))
 
     run.__name__ = name
     listed = "[" + ", ".join(_quoted(after) for _, after in pieces) + "]"
-    joined = f" || {_quoted(sep)} || w || {_quoted(sep)} || ".join(f"({listed})[(doc_id + {k}) % {len(pieces)} + 1]" for k in range(many))
-    query(f"select doc_id, sha256(o) as digest, length(o) as n from (select doc_id, w || {_quoted(sep)} || {joined} || {_quoted(sep)} || w as o from (select doc_id, {_WORD} as w from (select doc_id, coalesce(text, '') as text from documents)))")(run)
+    where = "i < len(w)" if many else "i = len(w) // 2"
+    put = f"list_transform(w, lambda x, i: x || case when {where} then {_quoted(sep)} || ({listed})[(doc_id + i - 1) % {len(pieces)} + 1] || {_quoted(sep)} else '' end)"
+    query(f"select doc_id, sha256(o) as digest, length(o) as n from (select doc_id, array_to_string({put}, '') as o from (select doc_id, case when len(w) > 1 then w else list_concat(w, w) end as w from (select doc_id, {_LETTERS} as w from (select doc_id, coalesce(text, '') as text from documents))))")(run)
 
 
-def judged(name: str, fn: Callable[[Column], Column], pieces: list[tuple[str, object]], sep: str = "", word: bool = False) -> None:
-    """A query of a function of one text: each document has one of the pieces, maybe between words, and the known value."""
+def judged(name: str, fn: Callable[[Column], Column], pieces: list[tuple[str, object]]) -> None:
+    """A query of a function of one short text: each document has one of the pieces, and the known value."""
 
     def run(spark: SparkSession, d: str) -> DataFrame:
         piece = F.element_at(F.array(*[F.lit(p) for p, _ in pieces]), (F.col("doc_id") % len(pieces) + 1).cast("int"))
-        made = _docs(spark, d).withColumn("w", _word())
-        text = F.concat("w", F.lit(sep), piece, F.lit(sep), "w") if word else piece
-        return made.withColumn("t", text).select("doc_id", fn(F.col("t")).alias("value"))
+        return _docs(spark, d).withColumn("t", piece).select("doc_id", fn(F.col("t")).alias("value"))
 
     run.__name__ = name
     values = "[" + ", ".join(_quoted(v) if isinstance(v, str) else "null" if v is None else str(v).lower() for _, v in pieces) + "]"
@@ -68,7 +70,7 @@ def judged(name: str, fn: Callable[[Column], Column], pieces: list[tuple[str, ob
 planted("latex_escapes", M.each(M.fix_latex_escapes), [
     (r"a\_b", "a_b"), (r"\\alpha", r"\alpha"), (r"\$x\_1\$", "$x_1$"), (r"50\% \# \&", "50% # &"), (r"\[note\]", "[note]"), (r"\[x\^2\]", r"\[x^2\]"),
     (r"\left\(a\right\)", r"\left(a\right)"), (r"$\{a\}\%$", r"${a}\%$"), (r"\\\\\_", "_"), (r"a \\5 \\\\5", r"a \\5 \\5"), (r"\<b\> it\'s", "<b> it's"), ("$$\nx\\_1\n$$", "$$\nx_1\n$$"),
-])
+], sep="\n")
 planted("table_remains", M.each(M.clean_tables), [
     ("k\n+---+---+", "k"), ("| a | b |", "a  b"), ("答案:--\nAB C", "答案: AB C"), ("$|x|$ | y", "$|x|$  y"), ("k\n1\\. +---+", "k"), ("....", "...."),
     ("k\n\n\n\nm", "k\n\nm"), ("答案: C\nnot", "答案: C\nnot"), ("k\n|---|:--|", "k"), ("  in  ", "in"), ("k\n$$\na | b\n$$", "k\n$$\na | b\n$$"),
@@ -80,7 +82,7 @@ _GAP = " " * 34
 planted("floating_images", M.each(M.lift_images), [
     ("A. ![test](u.png){width=1} one\nB. two", f"![](u.png){{width=1}}\nA.{_GAP}one\nB. two"), ("A. ![test](u.png)\nB. ![](v.png)", "A. ![test](u.png)\nB. ![](v.png)"), ("A.![test](u.png)", f"![](u.png)\nA.{_GAP}"),
     (" A. ![test](u.png)", " A. ![test](u.png)"), ("A. ![x](u.png) one", "A. ![x](u.png) one"), ("A. ![test](u.png) a\n" + "-\n" * 9 + "C. ![](v.png)", f"![](u.png)\nA.{_GAP}a\n" + "-\n" * 9 + "C. ![](v.png)"),
-], sep="\n", many=1)
+], sep="\n", many=False)
 planted("decor_images", M.each(M.drop_decor), [
     ('![](a.png){width="0.2in" height="0.3in"}', ""), ('![test](a.png){width="0.39in" height="0.1in"}', ""), ('![](a.png){width="0.5in" height="0.1in"}', '![](a.png){width="0.5in" height="0.1in"}'), ('![x](a.png){width="0.2in" height="0.3in"}', '![x](a.png){width="0.2in" height="0.3in"}'), ("![](a.png)", "![](a.png)"),
 ])
@@ -91,20 +93,20 @@ planted("comment_anomaly", X.drop_comment_anomaly, [("a`<!-- -->`{=html}b", "ab"
 planted("carets_and_tildes", X.caret_tilde, [("H~2~O", "H<下标>2</下标>O"), ("x^2^", "x<上标>2</上标>"), (r"a\~b", "a~b"), (r"\^2\^", "^2^"), ("~a b~", "~a b~"), ("^^", "^^")])
 planted("displays_inline", M.each(M.display_to_inline), [("$$x$$", "$x$"), ("$$a\nb$$", "$$a\nb$$"), ("$x$", "$x$"), ("$$x$$ $$y$$", "$x$ $y$")])
 planted("exam_post_process", R.post_process, [("$$x^2^$$`<!-- -->`{=html}", "$x<上标>2</上标>$"), ("H~2~O", "H<下标>2</下标>O"), ("$$a\nb$$", "$$a\nb$$"), ("plain", "plain")])
-planted("masked_code", M.each(M.mask_code), [("`ab`", "    "), ("``a`b``", "       "), ("\n```\nab\n```\n", "\n   \n  \n   \n"), ("a`b", "a`b"), ("plain", "plain")], many=1)
+planted("masked_code", M.each(M.mask_code), [("`ab`", "    "), ("``a`b``", "       "), ("\n```\nab\n```\n", "\n   \n  \n   \n"), ("a`b", "a`b"), ("plain", "plain")], many=False)
 
 # rules of reports on their way to Word
 planted("latex_for_word", M.each(L.for_word), [
     (r"\[x\]", "$x$"), (r"\\[a\\b\\]", r"$a\b$"), (r"\$y\$", "$y$"), (r"${\rm m}$", r"$\mathrm{m}$"), (r"$\rm{kg}$", r"$\mathrm{kg}$"), ("$200\\Omega $", "$200\\Omega$"), ("$ x$", "$x$"), ("cost $5", "cost \\$5"), ("plain", "plain"),
 ], sep="\n")
-planted("reference_preamble", R.strip_preamble, [("## 前置参考 a\nold\n---\nnew", "new"), ("### 权威原文 a\nk", "k"), ("⚠️ careful\nk", "k"), ("编号：3\nk", "k"), ("内容：\nk", "k"), ("plain", "plain")], sep="\n", many=1)
+planted("reference_preamble", R.strip_preamble, [("## 前置参考 a\nold\n---\nnew", "new"), ("### 权威原文 a\nk", "k"), ("⚠️ careful\nk", "k"), ("编号：3\nk", "k"), ("内容：\nk", "k"), ("plain", "plain")], sep="\n", many=False)
 judged("wrapping_fences", R.strip_fence, [("```markdown\na\nb\n```", "a\nb"), ("~~~\na\n~~~\n", "a"), ("a\n```\nb\n```\nc", "a\n```\nb\n```\nc"), ("```\na", "a"), ("plain", "plain")])
 judged("audit_bodies", R.audit_body, [("### 标记原文\n编号：1\n内容：x\ntext\n", "text"), ("```\n### 标记原文\nk\n```", "k"), ("## 前置参考\nold\n---\nnew", "new"), ("plain\n\nmore", "plain\n\nmore")])
 judged("trimmed_reasons", R.trim_reasons, [("1. a\n---\n2. b", "1. a"), ("1. a\n## 📋 c", "1. a"), ("1. a \n### e\nf", "1. a"), ("1. a\n## other\n", "1. a\n## other")])
 planted("masked_fields", R.mask_fields, [("【1|ab|c】", "【1|XX|X】"), ("【12|a\\】b|\\|】", "【12|XXXX|XX】"), ("【x|a|b】", "【x|a|b】"), ("plain", "plain"), ("【3||】", "【3||】")])
 planted("dash_grids", M.each(R.dash_tables), [
     ("----------\na  bc\n对  d\n----------", "+----+----+\n| a  | bc |\n+====+====+\n| 对 | d  |\n+----+----+"), ("---\na  b\n---", "---\na  b\n---"), ("- item", "- item"), ("------------\nonly", "------------\nonly"),
-], sep="\n", many=1)
+], sep="\n", many=False)
 planted("anchored_grids", M.each(lambda t: R.pipe_tables(t, "@@")), [
     ("| a | @@bc |\n|---|---|\n| 对 | d |", "+----+------+\n| a  | @@bc |\n+----+------+\n| 对 | d    |\n+----+------+"), ("| a | b |\n|---|---|\n| c | d |", "| a | b |\n|---|---|\n| c | d |"), ("@@ no table", "@@ no table"), ("| a \\| b@@ |", "+----------+\n| a \\| b@@ |\n+----------+"),
 ], sep="\n")
@@ -113,10 +115,10 @@ planted("skipped_formulas", M.each(lambda t: R.textify_skipped(t, {1: ("x^2", "x
 ])
 planted("inserted_comments", M.each(lambda t: R.insert_comments(t, [(1, "the “key”", "c"), (2, "the \"key\"", "d"), (3, "GONE!", "e")])[0]), [
     ('see the  "key" now', 'see the  "key"<批注 id=2><原>the "key"</原><改>d</改></批注><批注 id=1><原>the “key”</原><改>c</改></批注> now'), ("the“key” and the ‘key’", 'the“key”<批注 id=2><原>the "key"</原><改>d</改></批注><批注 id=1><原>the “key”</原><改>c</改></批注> and the ‘key’'), ("the “ke", "the “ke"), ("other", "other"),
-], many=1)
+], many=False)
 planted("tagged_runs", M.each(lambda t: R.tag_runs(t, [("emphasis", "Key"), ("underline", "Key word"), ("emphasis", "重"), ("strike", "Z")])), [
     ("a Key b", "a <着重>Key</着重> b"), ("重 Z", "<着重>重</着重> Z"), ("Key word", "<着重>Key</着重> word"), ("plain", "plain"), ("Key then Key word", "<着重>Key</着重> then <下划线>Key word</下划线>"),
-], many=1)
+], many=False)
 judged("visible_escapes", M.each(R.escape_invisible), [("a​b", "a\\u200bb"), ("a\tb\n", "a\\tb\\n"), ("对 b", "对 b"), ("﻿", "\\ufeff")])
 judged("brief_texts", lambda t: R.brief(t, 6), [("a\nb", "a\\nb"), ("abcdefg", "abcdef…"), ("abcdef", "abcdef"), ("", "")])
 

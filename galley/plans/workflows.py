@@ -1,7 +1,11 @@
 """Queries of proposals, submissions, reviews, commands, calculations and source files."""
 from __future__ import annotations
 
+import atexit
+import contextlib
 import io
+import os
+import uuid
 import zipfile
 
 import pandas as pd
@@ -13,7 +17,7 @@ from ..functions import calc as C
 from ..functions import text as X
 from ..functions.reporttext import tag_runs
 from ..operators import proposals, reports
-from ..sources import delivery, indesign, materials
+from ..sources import commits, delivery, indesign, material_source, materials
 from .catalogue import _SQL_LINES, _t, query
 
 
@@ -426,3 +430,57 @@ def word_comments_read(spark: SparkSession, d: str) -> DataFrame:
     line = F.element_at(F.filter(F.split(X.clean_markdown(F.col("markdown")), "\n"), lambda x: x.startswith("plain")), 1)
     tags = F.size(F.regexp_extract_all("markdown", F.lit("<批注 id="), F.lit(0)))
     return out.select(F.regexp_extract("path", r"(\d+)", 1).cast("long").alias("doc_id"), tags.alias("n"), F.regexp_extract("markdown", "<原>(.*?)</原>", 1).alias("anchor"), (F.col("tag").contains("term") & F.col("tag").contains("spelling")).alias("told"), line.alias("cleaned"))
+
+
+# Folders that several sessions share ------------------------------------------------------------------------------------
+
+_OWN_FOLDER = f"/tmp/checkpoints/galley-plans-{os.getpid()}"
+
+
+def _folder(spark: SparkSession, label: str) -> str:
+    """A fresh folder that the driver and all executors see, gone at the end of the process."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        root = f"file://{_OWN_FOLDER}"
+    path = f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    conf, made = spark._jsc.hadoopConfiguration(), spark._jvm.org.apache.hadoop.fs.Path(path)
+
+    def remove() -> None:
+        with contextlib.suppress(Exception):  # the JVM or the store may be gone
+            made.getFileSystem(conf).delete(made, True)
+
+    atexit.register(remove)
+    return path
+
+
+@query("select doc_id, 'md' as kind, sha256(coalesce(text, '')) as digest from documents")
+def material_folders(spark: SparkSession, d: str) -> DataFrame:
+    """Units of whole texts written as folders by the data source, and read back by it."""
+    material_source.register(spark)
+    path = _folder(spark, "material")
+    units = _t(spark, d, "documents").select(F.concat(F.lit("u"), F.col("doc_id").cast("string")).alias("unit_dir"), F.coalesce("text", F.lit("")).alias("markdown"))
+    units.write.format("material").mode("append").save(path)
+    read = spark.read.format("material").load(path)
+    return read.select(F.regexp_extract("path", r"u(\d+)\.md$", 1).cast("long").alias("doc_id"), "kind", F.sha2("markdown", 256).alias("digest"))
+
+
+@query("""with o as (select o_orderkey as unit_id, o_orderkey % 4 as k from orders)
+  select unit_id, (['accepted', 'verify_failed', 'snapshot-stale', 'accepted'])[k + 1] as first, case k when 0 then 'snapshot-stale' when 3 then 'snapshot-stale' when 1 then 'verify_failed' else 'snapshot-stale' end as second,
+  case when k in (0, 3) then 1 end as revision, k = 0 as registered, case when k in (0, 3) then sha256('alpha 【1|beta|B' || unit_id || '】 ' || unit_id) end as body from o""")
+def committed_submissions(spark: SparkSession, d: str) -> DataFrame:
+    """Two submissions of each unit on the first snapshot, one after the other, and registrations: what the units are at the end."""
+    path, k, n = _folder(spark, "units"), F.col("unit_id") % 4, F.col("unit_id").cast("string")
+    units = _t(spark, d, "orders").select(F.lit("t").alias("task_id"), F.col("o_orderkey").alias("unit_id"), F.lit("r1").alias("run_id"), F.concat(F.lit("alpha beta "), F.col("o_orderkey").cast("string")).alias("source"), F.lit("i").alias("inputs_sha256"))
+    commits.begin(units, path)
+    seen = proposals.snapshots(commits.state(spark, path)).select("task_id", "unit_id", "snapshot_sha256")
+    body = F.concat(F.lit("alpha 【1|beta|B"), n, F.lit("】 "), F.when(k == 1, "lost").otherwise(n))
+    size = F.length(body).cast("string")
+    text = F.concat(F.lit(f"{proposals.HEAD}\n总结：轻微问题\n\n{reports.MARKED}\n{proposals.LENGTH}"), size, F.lit(":"), size, F.lit(" -->\n"), body, F.lit(f"\n{proposals.END}\n{reports.REASONS}\n1. why\n"))
+    made = seen.select("task_id", "unit_id", F.lit(1).alias("seq"), F.when(k == 2, "other").otherwise(F.col("snapshot_sha256")).alias("expected_snapshot_sha256"), text.alias("text"))
+    first, second = commits.submit(made, path)[1], commits.submit(made.withColumn("seq", F.lit(2)), path)[1]
+    commits.register(commits.state(spark, path).where("report is not null").select("task_id", "unit_id", "run_id", F.when(k == 0, F.col("report_sha256")).otherwise("old").alias("report_sha256")), path)
+    now = commits.registered(commits.state(spark, path))
+    out = now.join(first.select("unit_id", F.col("outcome").alias("first")), "unit_id").join(second.select("unit_id", F.col("outcome").alias("second")), "unit_id")
+    return out.select("unit_id", "first", "second", "revision", "registered", F.sha2(reports.sections(F.col("report"))["body"], 256).alias("body"))
