@@ -16,7 +16,7 @@ from .. import api
 from ..functions import calc as C
 from ..functions import text as X
 from ..functions.reporttext import tag_runs
-from ..operators import proposals, reports
+from ..operators import nested, proposals, reports
 from ..sources import commits, delivery, indesign, material_source, materials
 from .catalogue import _SQL_LINES, _t, query
 
@@ -484,3 +484,35 @@ def committed_submissions(spark: SparkSession, d: str) -> DataFrame:
     now = commits.registered(commits.state(spark, path))
     out = now.join(first.select("unit_id", F.col("outcome").alias("first")), "unit_id").join(second.select("unit_id", F.col("outcome").alias("second")), "unit_id")
     return out.select("unit_id", "first", "second", "revision", "registered", F.sha2(reports.sections(F.col("report"))["body"], 256).alias("body"))
+
+
+# Nested values ----------------------------------------------------------------------------------------------------------
+
+_SQL_NESTED = """select doc_id as k, '{"id":"n' || doc_id || '","deep":' || repeat('[', cast(doc_id % 7 as integer)) || '{"id":"m","Expression a":' || to_json(coalesce(text, '')) || ',"n":[1.5,true,null,{}]}' || repeat(']', cast(doc_id % 7 as integer)) || ',"unit_definitions":{"expression":"no"}}' as j from documents"""
+
+
+def _nested(spark: SparkSession, d: str) -> DataFrame:
+    text = F.to_json(F.struct(F.coalesce("text", F.lit("")).alias("t")))
+    times = (F.col("doc_id") % 7).cast("int")
+    said = F.substring(text, F.lit(6), F.length(text) - 6)
+    return _t(spark, d, "documents").select(F.col("doc_id").alias("k"), F.concat(F.lit('{"id":"n'), F.col("doc_id").cast("string"), F.lit('","deep":'), F.repeat(F.lit("["), times), F.lit('{"id":"m","Expression a":'), said, F.lit(',"n":[1.5,true,null,{}]}'), F.repeat(F.lit("]"), times), F.lit(',"unit_definitions":{"expression":"no"}}')).alias("j"))
+
+
+@query(f"""with recursive walk(k, path, depth, v) as (select k, '', 0, cast(j as json) from ({_SQL_NESTED})
+  union all select w.k, case when json_type(w.v) = 'ARRAY' then w.path || '[' || e.key || ']' when w.path = '' then e.key else w.path || '.' || e.key end, w.depth + 1, e.value from walk w, json_each(w.v) e where json_type(w.v) in ('OBJECT', 'ARRAY'))
+  select k as doc_id, path, depth, case json_type(v) when 'OBJECT' then 'object' when 'ARRAY' then 'array' when 'VARCHAR' then 'string' when 'BOOLEAN' then 'boolean' when 'NULL' then 'null' else 'number' end as kind, case when json_type(v) in ('VARCHAR', 'BOOLEAN') then sha256(v ->> '$') end as digest from walk""")
+def nested_values(spark: SparkSession, d: str) -> DataFrame:
+    found = nested.values(_nested(spark, d), "k", "j")
+    return found.select(F.col("k").alias("doc_id"), "path", "depth", "kind", F.when(F.col("kind").isin("string", "boolean"), F.sha2("value", 256)).alias("digest"))
+
+
+@query("""select doc_id, 1 as item, (['call-missing', 'other-unit', 'other-run', 'other-source', 'call-failed', 'expression', 'result'])[doc_id % 8 + 1] as error, case when doc_id % 8 = 5 then 'deep' || repeat('[0]', cast(doc_id % 7 as integer)) || '.Expression a=' || coalesce(text, '') end as nearest from documents where doc_id % 8 < 7""")
+def calculation_evidence(spark: SparkSession, d: str) -> DataFrame:
+    """Evidence of calculations against calls whose parameters are nested and hold whole texts."""
+    k = F.col("k") % 8
+    base = _nested(spark, d).join(_t(spark, d, "documents").select(F.col("doc_id").alias("k"), F.coalesce("text", F.lit("")).alias("t")), "k")
+    own = lambda n, c: F.when(k == n, F.lit("other")).otherwise(F.lit(c))
+    call_id = F.concat(F.lit("c"), F.col("k").cast("string"))
+    calls = base.where(k != 0).select(call_id.alias("call_id"), F.lit("t").alias("task_id"), own(1, "u").alias("unit_id"), own(2, "r").alias("run_id"), own(3, "s").alias("source_sha256"), (k != 4).alias("success"), F.col("j").alias("params"), F.lit("42").alias("result"))
+    made = base.select(F.col("k").alias("doc_id"), F.lit(1).alias("item"), call_id.alias("call_id"), F.when(k == 5, F.concat("t", F.lit("!"))).otherwise(F.col("t")).alias("expression"), F.when(k == 6, "41").otherwise("42").alias("result"), F.lit("t").alias("task_id"), F.lit("u").alias("unit_id"), F.lit("r").alias("run_id"), F.lit("s").alias("source_sha256"))
+    return nested.calculation_errors(made, calls, "doc_id").select("doc_id", "item", "error", "nearest")
