@@ -516,3 +516,34 @@ def calculation_evidence(spark: SparkSession, d: str) -> DataFrame:
     calls = base.where(k != 0).select(call_id.alias("call_id"), F.lit("t").alias("task_id"), own(1, "u").alias("unit_id"), own(2, "r").alias("run_id"), own(3, "s").alias("source_sha256"), (k != 4).alias("success"), F.col("j").alias("params"), F.lit("42").alias("result"))
     made = base.select(F.col("k").alias("doc_id"), F.lit(1).alias("item"), call_id.alias("call_id"), F.when(k == 5, F.concat("t", F.lit("!"))).otherwise(F.col("t")).alias("expression"), F.when(k == 6, "41").otherwise("42").alias("result"), F.lit("t").alias("task_id"), F.lit("u").alias("unit_id"), F.lit("r").alias("run_id"), F.lit("s").alias("source_sha256"))
     return nested.calculation_errors(made, calls, "doc_id").select("doc_id", "item", "error", "nearest")
+
+
+# Roots and conversions --------------------------------------------------------------------------------------------------
+
+_SQL_ROOTS = "select p_partkey as k, p_partkey % 7 - 3 as a, p_size as b, -(p_partkey % 11) as c from part"
+
+
+@query(f"""select k as p_partkey, array_to_string(list_sort(list_distinct([2 * a, 2 * b, c])), ',') as doubled, 2 as n_complex, least(a, b) || ',' || greatest(a, b) as pair from ({_SQL_ROOTS}) where a <> b""")
+def polynomial_roots(spark: SparkSession, d: str) -> DataFrame:
+    """Equations of degree six made of known roots, one of them twice and two not real, and pairs of equations by sum and product."""
+    k = F.col("p_partkey")
+    p = _t(spark, d, "part").select("p_partkey", (k % 7 - 3).alias("a"), F.col("p_size").alias("b"), (-(k % 11)).alias("c")).where("a <> b")
+    n = lambda x: F.concat(F.lit("("), F.col(x).cast("string"), F.lit(")"))
+    equation = F.concat(F.lit("(x - "), n("a"), F.lit(")^2*(x - "), n("b"), F.lit(")*(2*x - "), n("c"), F.lit(")*(x^2 + x + 5) = 0"))
+    real = _calc(p.withColumn("e", equation), "p_partkey", "solve", equations=F.col("e"), variables="x").select("p_partkey", F.from_json("result", "array<double>").alias("roots"))
+    every = _calc(p.withColumn("e", equation), "p_partkey", "solve", equations=F.col("e"), variables="x", domain="complex").select("p_partkey", F.size(F.filter(F.from_json("result", "array<string>"), lambda r: r.contains("I"))).alias("n_complex"))
+    both = F.array(F.concat(F.lit("x + y = "), n("a"), F.lit(" + "), n("b")), F.concat(F.lit("x*y = "), n("a"), F.lit("*"), n("b")))
+    pair = _calc(p.withColumn("e", both), "p_partkey", "solve", equations=F.col("e"), variables=F.array(F.lit("x"), F.lit("y"))).select("p_partkey", F.transform(F.from_json("result", "array<struct<x: double, y: double>>"), lambda r: r["x"]).alias("pair"))
+    whole = lambda c, times=1: F.array_join(F.transform(c, lambda x: F.round(x * times).cast("int").cast("string")), ",")
+    return real.join(every, "p_partkey").join(pair, "p_partkey").select("p_partkey", whole("roots", 2).alias("doubled"), "n_complex", whole("pair").alias("pair"))
+
+
+@query("""select p_partkey, round(case p_partkey % 4 when 0 then p_size / 3.6 when 1 then p_size * 1000.0 + 3 when 2 then 3600000.0 * p_size when 3 then null end, 6) as value, p_partkey % 4 = 3 as refused from part""")
+def converted_units(spark: SparkSession, d: str) -> DataFrame:
+    """Amounts with units and symbols in other units: speeds, sums, powers of several units, and what can't be."""
+    k, n = F.col("p_partkey") % 4, F.col("p_size").cast("string")
+    e = F.concat(n, F.when(k == 0, "*km/h").when(k == 1, "*km + 3*a").when(k == 2, "*1000*W*h").otherwise("*kg + 1*s"))
+    target = F.when(k == 0, "m/s").when(k == 1, "m").when(k == 2, "J").otherwise("kg")
+    made = _t(spark, d, "part").select("p_partkey", e.alias("e"), target.alias("t"))
+    out = _calc(made, "p_partkey", "dimensional", expression=F.col("e"), dim_operation="convert", unit_definitions=F.struct(F.lit("m").alias("a")), target_units=F.col("t"))
+    return out.select("p_partkey", F.round(F.col("result").try_cast("double"), 6).alias("value"), (~F.col("success")).alias("refused"))

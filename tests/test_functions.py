@@ -1,14 +1,16 @@
 import itertools
 import json
 import random
+from fractions import Fraction
 
 import pytest
-from hypothesis import given
+from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from galley.functions import calc as C
 from galley.functions import mathtext as M
+from galley.functions import roots
 from galley.functions import text as X
 from galley.operators.locate import hits, resolve, safe_span
 from galley.operators.reports import align, match_segments
@@ -251,9 +253,53 @@ def test_whole_calculations():
     assert ask("solve", equations=["x^2 - 2*x + 5"], variables=["x"], domain="complex") == [{"x": "1 - 2*I"}, {"x": "1 + 2*I"}]
     assert ask("solve", equations=["x^2 = 4"], variables=["x"]) == [{"x": -2}, {"x": 2}]
     assert ask("solve", equations=["x + y = 5", "x/2 - y = 1"], variables=["x", "y"]) == [{"x": 4, "y": 1}]
-    assert ask("solve", equations=["x = 1", "x = 2"], variables=["x"]) == [] and ask("solve", equations=["x*y = 1", "x = 2"], variables=["x", "y"]) == "unsupported"
+    assert ask("solve", equations=["x = 1", "x = 2"], variables=["x"]) == [] and ask("solve", equations=["x*y = 1", "x = 2"], variables=["x", "y"]) == [{"x": 2, "y": 0.5}]
     assert ask("solve", equations=["x + y = 1"], variables=["x", "y"]) == "unsupported"
     units = {"F": "N", "m": "kg", "a": "m/s^2"}
     assert ask("dimensional", expression="F = m*a", unit_definitions=units, dim_operation="get_dimensions") == {"dimensions": {"a": "L·T⁻²", "m": "M", "F": "M·L·T⁻²"}, "expression": "M·L·T⁻²"}
     assert ask("dimensional", expression="m*a", unit_definitions=units, dim_operation="other") == "unsupported"
     assert ask("dimensional", expression="F = m*a", unit_definitions=units)["consistent"]
+
+
+@settings(max_examples=120, deadline=None)
+@given(st.lists(st.fractions(-40, 40, max_denominator=12), min_size=1, max_size=7), st.booleans())
+def test_roots_of_polynomials_made_from_them(known, beside):
+    p = [Fraction(1)]
+    for r in known:
+        p = [(p[i - 1] if i else 0) - r * (p[i] if i < len(p) else 0) for i in range(len(p) + 1)]
+    if beside:  # two roots that aren't real
+        p = [sum(p[i] * q for i, q in ((k, 2), (k - 2, 1)) if 0 <= i < len(p)) for k in range(len(p) + 2)]
+    assert roots.real_roots(p) == sorted(set(known))
+    assert len(roots.complex_roots(p)) == (2 if beside else 0)
+
+
+def test_close_roots_and_high_degrees():
+    close = [Fraction(1), Fraction(1) + Fraction(1, 10**9), Fraction(3, 7)]
+    p = [Fraction(1)]
+    for r in close:
+        p = [(p[i - 1] if i else 0) - r * (p[i] if i < len(p) else 0) for i in range(len(p) + 1)]
+    assert [round(float(r), 12) for r in roots.real_roots(p)] == sorted(round(float(r), 12) for r in close)
+    assert roots.real_roots([Fraction(-2)] + [Fraction(0)] * 19 + [Fraction(1)])[1].limit_denominator(10**6) == Fraction(2 ** (1 / 20)).limit_denominator(10**6)
+    assert roots.through([Fraction(0), Fraction(1), Fraction(2)], [Fraction(1), Fraction(2), Fraction(5)]) == [1, 0, 1]
+
+
+def test_solve_beyond_degree_two():
+    ask = lambda e, v="x", domain="real": C.solve(e, v, None, domain)
+    assert ask("x**3 - 6*x**2 + 11*x = 6") == [1, 2, 3] and ask("x**4 + 4 = 0") == [] and ask("1/x + x = 5/2") == [0.5, 2]
+    assert ask("x**4 + 4 = 0", domain="complex") == ["-1 - I", "-1 + I", "1 - I", "1 + I"] and ask("(x**2 - 1)/(x - 1) = 2") == []
+    assert ask(["x**2 + y**2 = 25", "x + y = 7"], ["x", "y"]) == [{"x": 3, "y": 4}, {"x": 4, "y": 3}]
+    assert len(ask(["x**2 = 2", "y**2 = 3"], ["x", "y"])) == 4 and ask(["x**2 + y**2 = 4", "y = x**2 - 2"], ["x", "y"])[1] == {"x": 0, "y": -2}
+    assert ask(["x*y = 6", "x - y = 1"], ["x", "y"]) == [{"x": -2, "y": -3}, {"x": 3, "y": 2}]
+    for equations in (["x*y = 0", "x*(y - 1) = 0"], ["x*y*z = 1", "x = 2"]):
+        with pytest.raises(C.CalcError):
+            ask(equations, ["x", "y"])
+
+
+def test_conversions():
+    assert C.convert("3*a + 2*km", {"a": "m"}, "m") == 2003 and C.convert("F/(m1*g1)", {"F": "N", "m1": "kg", "g1": "m/s^2"}, "1") == 1
+    assert C.convert("sqrt(2*E1/m1)", {"E1": "J", "m1": "kg"}, "km/h") == round(2**0.5 * 3.6, 11)
+    assert C.convert("5*N", {}, ["kg", "m", "s"]) == {"value": 5, "units": {"kg": 1, "m": 1, "s": -2}}
+    assert C.convert("1*V", {}, ["W", "A"]) == {"value": 1, "units": {"W": 1, "A": -1}} and C.convert("sqrt(4*m)", {}, ["m"]) == {"value": 2, "units": {"m": 0.5}}
+    for expression, declared, target in (("a + 1", {"a": "m"}, "m"), ("a", {"a": ["m", "s"]}, "m"), ("a", {"a": "dim:1,0,0,0,0,0,0"}, "m"), ("b", {}, "m"), ("5*N", {}, "J"), ("5*N", {}, ["kg", "m"]), ("5*m", {}, ["m", "km"]), ("sin(2*m)", {}, "m")):
+        with pytest.raises(C.CalcError):
+            C.convert(expression, declared, target)
