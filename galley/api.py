@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import hashlib
 import importlib
+import inspect
 import json
 import platform
 from collections.abc import Callable
@@ -15,8 +16,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import calc as C
-from .operators import corpus, ledger, locate, proposals, repair, reports, segment, units
-from .sources import delivery, materials
+from .operators import corpus, images, ledger, locate, proposals, repair, reports, segment, units
+from .sources import commits, delivery, materials
 
 #: Exit codes of the command line.
 EXIT = {"ok": 0, "usage": 2, "contract": 4, "env": 5}
@@ -93,10 +94,48 @@ def _folded(spark: SparkSession, events: str) -> DataFrame:
     return fold_stream(_table(spark, events))
 
 
-def _submit(spark: SparkSession, state: str, submissions: str) -> DataFrame:
+def _submit(spark: SparkSession, submissions: str, state: str = "", store: str = "") -> DataFrame:
+    """Outcomes of submissions: against a table of units, which stays as it is, or committed to a store of versions."""
+    if bool(state) == bool(store):
+        raise CommandError("usage", "either a state to look at or a store to commit to")
+    if store:
+        return commits.submit(_table(spark, submissions), store)[1]
     return proposals.submitted(proposals.snapshots(_table(spark, state)), _table(spark, submissions))
 
 
+def _register(spark: SparkSession, units: str, store: str) -> DataFrame:
+    return commits.register(_table(spark, units), store)[1]
+
+
+def _state(spark: SparkSession, store: str, version: str = "") -> DataFrame:
+    return commits.registered(commits.state(spark, store, int(version) if version else None))
+
+
+def inspect_images(spark: SparkSession, texts: str, folder: str = "", key: str = "id", text: str = "text") -> DataFrame:
+    """References of images outside code, or, with the folder of their files, what is wrong with each: (key, reference_index, path, code).
+
+    Files are named by their path below the folder, or below that of the text's key there; copies on white stand beside them.
+    """
+    df = _table(spark, texts)
+    refs = corpus.image_references(df, key, text)
+    if not folder:
+        return refs
+    root = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    root = root.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(root).toString()
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).select(F.substring("path", len(root) + 2, 1 << 20).alias("name"), images.summary("content").alias("s"), F.sha2("content", 256).alias("sha256")).select("name", "s.*", "sha256")
+    own = df.select(F.col(key), F.col(key).cast("string").alias("__own"))
+    named = lambda rows: rows.withColumn("__first", F.substring_index("name", "/", 1)).withColumn("__rest", F.regexp_replace("name", "^[^/]*/", ""))
+    whole = named(found)
+    below = own.join(whole, F.col("__own") == F.col("__first")).select(key, F.col("__rest").alias("path"), "format", "alpha", "sha256")
+    shared = refs.select(key, "path").distinct().join(whole.select(F.col("name").alias("path"), "format", "alpha", "sha256"), "path").select(key, "path", "format", "alpha", "sha256")
+    files = below.unionByName(shared.join(below.select(key, "path"), [key, "path"], "left_anti"))
+    copies = files.select(key, F.col("path").alias("__copy"), (F.col("format") == "png").alias("white_readable"))
+    with_copy = files.withColumn("__copy", images.white_copy_name(F.col("path"), F.col("sha256"))).join(copies, [key, "__copy"], "left")
+    is_copy = F.col("path").rlike(r"\.white-[0-9a-f]{16}\.png$")
+    judged = with_copy.where(~is_copy).select(key, "path", F.col("format").isNotNull().alias("readable"), F.coalesce("alpha", F.lit(False)).alias("transparent"), "white_readable")
+    return images.inspect(refs.withColumn("syntax", F.lit("inline")), judged, key)
+
+
 def _docx(spark: SparkSession, paper_units: str, paper: str = "paper") -> DataFrame:
     return delivery.word_files(_table(spark, paper_units), paper)
 
@@ -105,7 +144,7 @@ def _docx(spark: SparkSession, paper_units: str, paper: str = "paper") -> DataFr
 COMMANDS: dict[str, tuple[Callable[..., DataFrame], str]] = {
     "check-env": (doctor, "versions, modules, schema drift"),
     "inspect-source": (lambda spark, path: inspect_text(materials.materials(spark, path), "path", "markdown"), "structure of source files"),
-    "inspect-images": (lambda spark, texts, key="id", text="text": corpus.image_references(_table(spark, texts), key, text), "image references outside code"),
+    "inspect-images": (inspect_images, "image references outside code, and what is wrong with their files"),
     "convert": (lambda spark, path, with_comments="": materials.materials(spark, path, bool(with_comments)), "source files to Markdown"),
     "import": (lambda spark, path, mode="exam", strategy="rules": segment.split_material(segment.to_lines(materials.materials(spark, path).where("error is null"), "path", "markdown"), "path", mode, strategy), "source files to units"),
     "split": (_split, "texts to units"),
@@ -116,7 +155,9 @@ COMMANDS: dict[str, tuple[Callable[..., DataFrame], str]] = {
     "unit-locate": (lambda spark, texts, phrase, key="id", text="text": locate.locations(_table(spark, texts), key, text, phrase), "all places of a phrase"),
     "unit-read": (lambda spark, texts, start=1, lines=2000, key="id", text="text": units.page(_table(spark, texts), key, text, int(start), int(lines)), "a page of sources"),
     "unit-snapshot": (lambda spark, state: proposals.snapshots(_table(spark, state)), "snapshots of units"),
-    "unit-submit": (_submit, "outcome of submissions, nothing written"),
+    "unit-submit": (_submit, "outcome of submissions, committed if a store is named"),
+    "unit-register": (_register, "registrations committed to a store"),
+    "unit-state": (_state, "units of a store, as they are or were at a version"),
     "unit-recovery": (_folded, "budgets, cancels and events folded"),
     "unit-progress": (_progress, "last phase of units"),
     "dispatch-plan": (lambda spark, state, window=8: ledger.dispatch(_table(spark, state), int(window)), "units that may start"),
@@ -139,7 +180,9 @@ def run(spark: SparkSession, command: str, **arguments) -> DataFrame:
     if command not in COMMANDS:
         near = units.closest(spark.createDataFrame([(command,)], "c string"), "c", tuple(COMMANDS)).first()["nearest"]
         raise CommandError("usage", f"unknown command {command!r}", suggestion=near)
+    made = COMMANDS[command][0]
     try:
-        return COMMANDS[command][0](spark, **arguments)
+        inspect.signature(made).bind(spark, **arguments)
     except TypeError as e:
-        raise CommandError("usage", str(e).split(") ", 1)[-1], command=command) from e
+        raise CommandError("usage", str(e), command=command) from e
+    return made(spark, **arguments)

@@ -3,7 +3,6 @@ from __future__ import annotations
 
 import hashlib
 import struct
-import zlib
 
 import numpy as np
 import pandas as pd
@@ -11,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, BooleanType, IntegerType, StringType, StructField, StructType
 
+from ..functions.pixels import decode, encode_png, gif_is_transparent
+
 KIND = StructType([StructField("format", StringType()), StructField("width", IntegerType()), StructField("height", IntegerType()), StructField("alpha", BooleanType())])
 
 
@@ -20,7 +21,7 @@ def header(data: bytes) -> tuple[str, int, int, bool] | None:
         width, height, _, colour = struct.unpack(">IIBB", data[16:26])
         return "png", width, height, colour in (4, 6) or b"tRNS" in data[:4096]
     if data[:6] in (b"GIF87a", b"GIF89a") and len(data) >= 10:
-        return "gif", *struct.unpack("<HH", data[6:10]), False
+        return "gif", *struct.unpack("<HH", data[6:10]), gif_is_transparent(data)
     if data[:2] == b"BM" and len(data) >= 26:
         width, height = struct.unpack("<ii", data[18:26])
         return "bmp", width, abs(height), False
@@ -85,84 +86,9 @@ def broken_placeholder(width: Column, height: Column, pixels_sha256: Column, kno
     return (width == 88) & (height == 106) & pixels_sha256.isin(*known)
 
 
-def decode_png(data: bytes) -> np.ndarray | None:
-    """Pixels (height, width, red green blue alpha) of a PNG of eight bits a sample that isn't interlaced; None of others and of damaged ones."""
-    if data[:8] != b"\x89PNG\r\n\x1a\n":
-        return None
-    at, packed, palette, clear, head = 8, [], None, b"", None
-    while at + 12 <= len(data):
-        size, kind = int.from_bytes(data[at : at + 4], "big"), data[at + 4 : at + 8]
-        body = data[at + 8 : at + 8 + size]
-        if len(body) != size or zlib.crc32(kind + body) != int.from_bytes(data[at + 8 + size : at + 12 + size], "big"):
-            return None
-        if kind == b"IHDR":
-            head = struct.unpack(">IIBBBBB", body)
-        elif kind == b"PLTE":
-            palette = np.frombuffer(body, np.uint8).reshape(-1, 3)
-        elif kind == b"tRNS":
-            clear = body
-        elif kind == b"IDAT":
-            packed.append(body)
-        at += 12 + size
-    if head is None or head[2] != 8 or head[6] or head[3] not in (0, 2, 3, 4, 6):
-        return None
-    width, height, colour = head[0], head[1], head[3]
-    n = {0: 1, 2: 3, 3: 1, 4: 2, 6: 4}[colour]
-    try:
-        raw = np.frombuffer(zlib.decompress(b"".join(packed)), np.uint8).reshape(height, 1 + width * n)
-    except (zlib.error, ValueError):
-        return None
-    rows = np.zeros((height + 1, (width + 1) * n), np.uint8)  # a row above and a pixel to the left of zeros
-    for y in range(height):
-        kind, line, above = raw[y, 0], raw[y, 1:].astype(np.int64), rows[y].astype(np.int64)
-        if kind == 0:
-            out = line
-        elif kind == 1:
-            out = np.cumsum(line.reshape(width, n), axis=0).ravel()
-        elif kind == 2:
-            out = line + above[n:]
-        elif kind in (3, 4):
-            held = [0] * n
-            up = above.tolist()
-            for i, x in enumerate(line.tolist()):
-                a, b, c = held[i], up[i + n], up[i]
-                if kind == 3:
-                    guess = (a + b) // 2
-                else:
-                    guess = min((abs(b - c), 0, a), (abs(a - c), 1, b), (abs(a + b - 2 * c), 2, c))[2]
-                held.append((x + guess) % 256)
-            out = np.array(held[n:])
-        else:
-            return None
-        rows[y + 1, n:] = out % 256
-    pixels = rows[1:, n:].reshape(height, width, n)
-    opaque = np.full((height, width, 1), 255, np.uint8)
-    if colour == 3:
-        if palette is None or int(pixels.max(initial=0)) >= len(palette):
-            return None
-        alpha = np.full(len(palette), 255, np.uint8)
-        alpha[: len(clear)] = np.frombuffer(clear, np.uint8)[: len(palette)]
-        return np.concatenate([palette[pixels[..., 0]], alpha[pixels]], axis=2)
-    grey = np.repeat(pixels[..., :1], 3, axis=2)
-    if colour in (0, 2):
-        alpha = opaque
-        if clear:
-            alpha = np.where((pixels == np.frombuffer(clear, ">u2")).all(axis=2, keepdims=True), 0, opaque).astype(np.uint8)
-        return np.concatenate([grey if colour == 0 else pixels, alpha], axis=2)
-    return np.concatenate([grey, pixels[..., 1:]], axis=2) if colour == 4 else pixels
-
-
-def encode_png(pixels: np.ndarray) -> bytes:
-    """A PNG of (height, width, red green blue); equal pixels give equal bytes."""
-    height, width, _ = pixels.shape
-    raw = np.concatenate([np.zeros((height, 1), np.uint8), pixels.astype(np.uint8).reshape(height, -1)], axis=1).tobytes()
-    chunk = lambda kind, body: struct.pack(">I", len(body)) + kind + body + struct.pack(">I", zlib.crc32(kind + body))
-    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", width, height, 8, 2, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(raw, 6)) + chunk(b"IEND", b"")
-
-
 def white_copy(data: bytes) -> bytes | None:
-    """A transparent PNG on white; None where it has nothing transparent or can't be decoded."""
-    pixels = decode_png(data)
+    """A transparent image on white, as a PNG; None where it has nothing transparent or can't be decoded."""
+    pixels = decode(data)
     if pixels is None or (pixels[..., 3] == 255).all():
         return None
     alpha = pixels[..., 3:].astype(np.int64)
@@ -177,8 +103,8 @@ def on_white(data: pd.Series) -> pd.Series:
 
 @F.pandas_udf(StringType())
 def pixels_sha256(data: pd.Series) -> pd.Series:
-    """SHA-256 of the pixels of PNG images, red green blue alpha; null where they can't be decoded."""
-    found = [None if x is None else decode_png(x) for x in data]
+    """SHA-256 of the pixels of images, red green blue alpha; null where they can't be decoded."""
+    found = [None if x is None else decode(x) for x in data]
     return pd.Series([None if p is None else placeholder_digest(np.ascontiguousarray(p).tobytes()) for p in found])
 
 

@@ -1,6 +1,9 @@
 """Queries of relational operators over units, reports, proposals and materials derived from the driver's tables."""
 from __future__ import annotations
 
+import struct
+import zlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -609,9 +612,9 @@ def inspected_images(spark: SparkSession, d: str) -> DataFrame:
 
 def _pixel(red: int, green: int, blue: int, alpha: int) -> bytes:
     """A PNG of one pixel with alpha."""
-    body = images.struct.pack(">IIBBBBB", 1, 1, 8, 6, 0, 0, 0)
-    chunk = lambda kind, x: images.struct.pack(">I", len(x)) + kind + x + images.struct.pack(">I", images.zlib.crc32(kind + x))
-    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", body) + chunk(b"IDAT", images.zlib.compress(bytes([0, red, green, blue, alpha]))) + chunk(b"IEND", b"")
+    body = struct.pack(">IIBBBBB", 1, 1, 8, 6, 0, 0, 0)
+    chunk = lambda kind, x: struct.pack(">I", len(x)) + kind + x + struct.pack(">I", zlib.crc32(kind + x))
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", body) + chunk(b"IDAT", zlib.compress(bytes([0, red, green, blue, alpha]))) + chunk(b"IEND", b"")
 
 
 @query("select p_partkey, (['ff0000ff', 'ffffffff', '0000ff80', null])[p_partkey % 4 + 1] as pixel, ([null, null, '7f7fffff', null])[p_partkey % 4 + 1] as white from (select p_partkey from part where p_partkey % 4 <> 1)")

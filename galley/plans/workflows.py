@@ -5,8 +5,10 @@ import atexit
 import contextlib
 import io
 import os
+import struct
 import uuid
 import zipfile
+import zlib
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -16,7 +18,7 @@ from .. import api
 from ..functions import calc as C
 from ..functions import text as X
 from ..functions.reporttext import tag_runs
-from ..operators import nested, proposals, reports
+from ..operators import images, nested, proposals, reports
 from ..sources import commits, delivery, indesign, material_source, materials
 from .catalogue import _SQL_LINES, _t, query
 
@@ -158,9 +160,12 @@ def command_split(spark: SparkSession, d: str) -> DataFrame:
     return api.run(spark, "split", texts=f"{d}/documents.parquet", key="doc_id", strategy="whole").select("doc_id", F.col("unit_no").cast("int").alias("unit_no"), F.sha2("content", 256).alias("digest"))
 
 
-@query("select 'calc-schema' as command, 14 as n union all select 'unit-schema', 1 union all select 'check-env', 9 union all select 'calc', 1")
+@query("select c as command, count(*) as n, count(*) filter (where c <> 'parse-report') as told from documents, (values ('unit-read'), ('split'), ('repair-report'), ('parse-report')) v(c) group by c")
 def command_tables(spark: SparkSession, d: str) -> DataFrame:
-    made = [api.run(spark, c, **a).agg(F.lit(c).alias("command"), F.count("*").cast("int").alias("n")) for c, a in (("calc-schema", {}), ("unit-schema", {}), ("check-env", {}), ("calc", {"operation": "evaluate", "params": '{"expression": "1+1"}'}))]
+    """Rows that commands give for whole texts, and how many of them say something: a text without sections is no report, and why is told."""
+    texts = f"{d}/documents.parquet"
+    calls = (("unit-read", {"texts": texts}, "content is not null"), ("split", {"texts": texts, "strategy": "whole"}, "content is not null"), ("repair-report", {"table": texts, "text": "text", "source": "text"}, "size(codes) > 0"), ("parse-report", {"table": texts, "text": "text"}, "summary is not null"))
+    made = [api.run(spark, c, key="doc_id", **a).agg(F.lit(c).alias("command"), F.count("*").alias("n"), F.count_if(F.expr(said)).alias("told")) for c, a, said in calls]
     return made[0].union(made[1]).union(made[2]).union(made[3])
 
 
@@ -547,3 +552,35 @@ def converted_units(spark: SparkSession, d: str) -> DataFrame:
     made = _t(spark, d, "part").select("p_partkey", e.alias("e"), target.alias("t"))
     out = _calc(made, "p_partkey", "dimensional", expression=F.col("e"), dim_operation="convert", unit_definitions=F.struct(F.lit("m").alias("a")), target_units=F.col("t"))
     return out.select("p_partkey", F.round(F.col("result").try_cast("double"), 6).alias("value"), (~F.col("success")).alias("refused"))
+
+
+# Pixels -----------------------------------------------------------------------------------------------------------------
+
+
+def _grey_image(kind: int, grey: bytes) -> bytes:
+    """A picture of one row of grey pixels: a PNG of eight bits, an interlaced one of sixteen, a GIF."""
+    n = len(grey)
+    chunk = lambda name, body: struct.pack(">I", len(body)) + name + body + struct.pack(">I", zlib.crc32(name + body))
+    png = lambda depth, laced, raw: b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", n, 1, depth, 0, 0, 0, laced)) + chunk(b"IDAT", zlib.compress(raw, 1)) + chunk(b"IEND", b"")
+    if kind == 0:
+        return png(8, 0, b"\0" + grey)
+    if kind == 1:
+        wide = lambda part: b"\0" + b"".join(bytes((x, 7)) for x in part) if part else b""
+        return png(16, 1, wide(grey[0::8]) + wide(grey[4::8]) + wide(grey[2::4]) + wide(grey[1::2]))  # the passes that the first row is in
+    codes = [c for i in range(0, n, 200) for c in (256, *grey[i : i + 200])] + [257]  # nine bits each: the table never grows beyond
+    packed = sum(c << 9 * (i % 800) for i, c in enumerate(codes[:800])).to_bytes(900, "little") if len(codes) <= 800 else b"".join(sum(c << 9 * i for i, c in enumerate(codes[at : at + 800])).to_bytes(900, "little") for at in range(0, len(codes), 800))
+    blocks = b"".join(bytes([len(packed[i : i + 255])]) + packed[i : i + 255] for i in range(0, len(packed), 255))
+    return b"GIF89a" + struct.pack("<HHBBB", n, 1, 0xF7, 0, 0) + bytes(x for i in range(256) for x in (i, i, i)) + b"\x2c" + struct.pack("<HHHHB", 0, 0, n, 1, 0) + b"\x08" + blocks + b"\0\x3b"
+
+
+@query("select doc_id, (['png', 'png', 'gif'])[doc_id % 3 + 1] as format, strlen(t) as width, sha256(unhex(regexp_replace(hex(encode(t)), '(..)', '\\1\\1\\1FF', 'g'))) as pixels from (select doc_id, 'x' || coalesce(text, '') as t from documents) where strlen(t) < 60000")
+def decoded_images(spark: SparkSession, d: str) -> DataFrame:
+    """Whole texts as pictures, a byte a pixel, in formats and depths by turns, and the pixels that are read from them."""
+
+    @F.pandas_udf("binary")
+    def drawn(kind: pd.Series, text: pd.Series) -> pd.Series:
+        return pd.Series([_grey_image(k, t.encode()) for k, t in zip(kind, text, strict=True)])
+
+    made = _t(spark, d, "documents").select("doc_id", F.concat(F.lit("x"), F.coalesce("text", F.lit(""))).alias("t")).where(F.octet_length("t") < 60000)
+    out = made.select("doc_id", drawn((F.col("doc_id") % 3).cast("int"), "t").alias("data")).select("doc_id", images.summary("data").alias("s"), images.pixels_sha256("data").alias("pixels"))
+    return out.select("doc_id", F.col("s.format").alias("format"), F.col("s.width").cast("long").alias("width"), "pixels")

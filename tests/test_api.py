@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from galley import __main__ as cli
 from galley import api
+from galley.functions import pixels
 from galley.operators import evidence, images, proposals, units
 from galley.sources import materials
 
@@ -41,7 +42,7 @@ def test_unknown_commands_and_arguments(spark, capsys):
 
 
 def test_every_command_of_the_survey():
-    assert len(api.COMMANDS) == 29
+    assert len(api.COMMANDS) == 31
 
 
 def test_doctor_sees_drift(spark):
@@ -77,7 +78,7 @@ def test_png_filters_and_colours():
             lines.append(bytes([y % 5]) + ((row[n:] - guess) % 256).astype(np.uint8).tobytes())
             above = row
         data = b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", 7, 10, 8, colour, 0, 0, 0)) + chunk(b"PLTE", bytes(range(12))) + chunk(b"tRNS", bytes([9, 8]) if colour == 3 else bytes(2 * n)) * (colour in (0, 2, 3)) + chunk(b"IDAT", zlib.compress(b"".join(lines))) + chunk(b"IEND", b"")
-        got = images.decode_png(data)
+        got = pixels.decode_png(data)
         if colour == 3:
             assert (got[..., :3] == np.arange(12).reshape(4, 3)[want[..., 0]]).all() and (got[..., 3] == np.array([9, 8, 255, 255])[want[..., 0]]).all()
         else:
@@ -85,5 +86,40 @@ def test_png_filters_and_colours():
             assert (got[..., 3] == (want[..., -1] if colour in (4, 6) else np.where((want == 0).all(2), 0, 255))).all()
         white = images.white_copy(data)
         assert (white is None) == bool((got[..., 3] == 255).all())
-        assert white is None or images.header(white)[:3] == ("png", 7, 10) and (images.decode_png(white)[..., 3] == 255).all()
-        assert images.decode_png(data[:-20]) is None and images.decode_png(data.replace(b"IDAT", b"IDAX")) is None
+        assert white is None or images.header(white)[:3] == ("png", 7, 10) and (pixels.decode_png(white)[..., 3] == 255).all()
+        assert pixels.decode_png(data[:-20]) is None and pixels.decode_png(data.replace(b"IDAT", b"IDAX")) is None
+
+
+def test_images_of_files(spark, tmp_path):
+    made = pixels.encode_png(np.zeros((2, 2, 3), np.uint8))
+    chunk = lambda kind, x: struct.pack(">I", len(x)) + kind + x + struct.pack(">I", zlib.crc32(kind + x))
+    clear = b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", 1, 1, 8, 6, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(bytes(5))) + chunk(b"IEND", b"")
+    (tmp_path / "files/1").mkdir(parents=True)
+    for name, data in (("shared.png", made), ("1/own.png", made), ("1/clear.png", clear), ("1/extra.png", made), ("1/broken.png", b"x"), ("1/done.png", clear)):
+        (tmp_path / "files" / name).write_bytes(data)
+    import hashlib
+
+    (tmp_path / f"files/1/done.white-{hashlib.sha256(clear).hexdigest()[:16]}.png").write_bytes(images.white_copy(clear))
+    spark.createDataFrame([(1, "![](shared.png) ![](own.png) ![](clear.png) ![](gone.png) ![](broken.png) ![](../up.png) ![](done.png)"), (2, "![](shared.png)")], "id long, text string").write.parquet(str(tmp_path / "texts"))
+    found = api.run(spark, "inspect-images", texts=str(tmp_path / "texts"), folder=str(tmp_path / "files")).collect()
+    assert sorted((r.id, r.path, r.code) for r in found) == [(1, "../up.png", "images.invalid_reference"), (1, "broken.png", "images.unreadable"), (1, "clear.png", "images.white_background_missing"), (1, "extra.png", "images.extra_images"), (1, "gone.png", "images.missing")]
+    assert api.run(spark, "inspect-images", texts=str(tmp_path / "texts")).count() == 8
+
+
+def test_submissions_are_committed(spark, tmp_path):
+    from galley.sources import commits
+
+    units_ = spark.createDataFrame([("t", 1, "r", "alpha beta", "i")], "task_id string, unit_id long, run_id string, source string, inputs_sha256 string")
+    store = f"file://{tmp_path}/store"
+    commits.begin(units_, store)
+    seen = proposals.snapshots(commits.state(spark, store)).first().snapshot_sha256
+    body = "alpha 【1|beta|B】"
+    text = f"{proposals.HEAD}\n总结：轻微问题\n\n### 标记原文\n{proposals.LENGTH}{len(body)}:{len(body)} -->\n{body}\n{proposals.END}\n### 修改原因\n1. why\n"
+    spark.createDataFrame([("t", 1, 1, seen, text)], "task_id string, unit_id long, seq int, expected_snapshot_sha256 string, text string").write.parquet(str(tmp_path / "subs"))
+    assert api.run(spark, "unit-submit", submissions=str(tmp_path / "subs"), store=store).first().outcome == "accepted"
+    now = api.run(spark, "unit-state", store=store)
+    now.select("task_id", "unit_id", "run_id", "report_sha256").write.parquet(str(tmp_path / "reg"))
+    assert api.run(spark, "unit-register", units=str(tmp_path / "reg"), store=store).first().outcome == "registered"
+    assert api.run(spark, "unit-state", store=store).first().registered and not api.run(spark, "unit-state", store=store, version="1").first().registered
+    with pytest.raises(api.CommandError):
+        api.run(spark, "unit-submit", submissions="x")
