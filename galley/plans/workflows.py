@@ -584,3 +584,12 @@ def decoded_images(spark: SparkSession, d: str) -> DataFrame:
     made = _t(spark, d, "documents").select("doc_id", F.concat(F.lit("x"), F.coalesce("text", F.lit(""))).alias("t")).where(F.octet_length("t") < 60000)
     out = made.select("doc_id", drawn((F.col("doc_id") % 3).cast("int"), "t").alias("data")).select("doc_id", images.summary("data").alias("s"), images.pixels_sha256("data").alias("pixels"))
     return out.select("doc_id", F.col("s.format").alias("format"), F.col("s.width").cast("long").alias("width"), "pixels")
+
+
+@query("select p_partkey, round(ln((p_size + 1 + p_partkey % 5 + 1) / (2.0 + p_partkey % 5)) + 2 * (atan(p_size + 1) - atan(1)) + (1.0 / (p_partkey % 7 + 1) - 1.0 / (p_size + 1 + p_partkey % 7)), 6) as value from part")
+def quotient_integrals(spark: SparkSession, d: str) -> DataFrame:
+    """Definite integrals of quotients with a logarithm, an arcus tangens and a pole of order two outside the limits."""
+    k, text = F.col("p_partkey"), lambda c: c.cast("string")
+    expression = F.concat(F.lit("1/(x + "), text(k % 5 + 1), F.lit(") + 2/(x^2 + 1) + 1/(x + "), text(k % 7), F.lit(")^2"))
+    out = _calc(_t(spark, d, "part").withColumn("e", expression), "p_partkey", "integrate", expression=F.col("e"), variable="x", lower_limit="1", upper_limit=text(F.col("p_size") + 1))
+    return out.select("p_partkey", F.round(F.col("result").cast("double"), 6).alias("value"))

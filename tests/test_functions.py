@@ -8,6 +8,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from galley.functions import algebra, integrals
 from galley.functions import calc as C
 from galley.functions import mathtext as M
 from galley.functions import roots
@@ -225,7 +226,7 @@ def test_simplify_keeps_the_value(expression):
 
 
 def test_calc_never_guesses():
-    for op, expression in (("integrate", "sin(x)"), ("integrate", "1/x"), ("simplify", "sin(x)^2 + cos(x)^2"), ("limit", "sin(x)/x"), ("geometry", "Point(a, b)")):
+    for op, expression in (("integrate", "sin(x)"), ("integrate", "1/(x^4 + 1)"), ("integrate", "1/(x + y)"), ("simplify", "sin(x)^2 + cos(x)^2"), ("limit", "sin(x)/x"), ("geometry", "Point(a, b)")):
         found = C.call(op, json.dumps({"expression": expression, "variable": "x", "approach": "0"}))
         assert not found["success"] and found["code"] == "unsupported", found
     assert C.call("integrate", "{}")["code"] == "usage"
@@ -303,3 +304,43 @@ def test_conversions():
     for expression, declared, target in (("a + 1", {"a": "m"}, "m"), ("a", {"a": ["m", "s"]}, "m"), ("a", {"a": "dim:1,0,0,0,0,0,0"}, "m"), ("b", {}, "m"), ("5*N", {}, "J"), ("5*N", {}, ["kg", "m"]), ("5*m", {}, ["m", "km"]), ("sin(2*m)", {}, "m")):
         with pytest.raises(C.CalcError):
             C.convert(expression, declared, target)
+
+
+_FACTORS = st.one_of(st.tuples(st.integers(-4, 4), st.integers(1, 3)), st.tuples(st.integers(1, 5), st.integers(-2, 2), st.just(1)))
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.tuples(_FACTORS, st.integers(1, 3)), min_size=1, max_size=2), st.lists(st.integers(-5, 5), min_size=1, max_size=6))
+def test_the_derivative_of_an_integral_is_the_integrand(factors, numerator):
+    d = [Fraction(1)]
+    for f, k in factors:
+        for _ in range(k):
+            d = integrals.times(d, [Fraction(c) for c in f])
+    n = roots.trimmed([Fraction(c) for c in numerator])
+    g = roots.common_divisor(n, d) if any(n) else d
+    n, d = (roots.exact_quotient(n, g), roots.exact_quotient(d, g)) if len(g) > 1 and any(n) else (n, d)
+    if not any(n) or len(d) == 1:
+        return
+    try:
+        tree = C.tree(integrals.antiderivative(n, d, "x"))
+    except C.CalcError as e:
+        assert "doesn't factor" in str(e)  # two equal pairs of roots that aren't fractions
+        return
+    top = max([abs(float(r)) for r in roots.real_roots(d)] + [1])
+    for x in (top + 1.3, top + 2.7):
+        slope = (C.value(tree, {"x": x + 1e-5}) - C.value(tree, {"x": x - 1e-5})) / 2e-5
+        want = float(roots.at(n, Fraction(x)) / roots.at(d, Fraction(x)))
+        assert abs(slope - want) <= 1e-4 * max(1, abs(want))
+    b, d1, c, d2 = integrals.rational_part(roots.remainder(n, d) if len(n) >= len(d) else n, d)  # and this part exactly
+    left = integrals.plus(integrals.times(roots.derivative(b), d1), integrals.times(b, roots.derivative(d1)), Fraction(-1))
+    whole = integrals.plus(integrals.times(left, d2), integrals.times(c, integrals.times(d1, d1)))
+    assert integrals.times(whole, d) == integrals.times(roots.remainder(n, d) if len(n) >= len(d) else n, integrals.times(integrals.times(d1, d1), d2))
+
+
+def test_integrals_of_quotients():
+    ask = algebra.integrate
+    assert ask("1/x") == "log(x)" and ask("1/(x^2 + 1)") == "atan(x)" and ask("1/x^2") == "-1/x" and ask("x^3/(x^2 - 1)") == "x**2/2 + log(x**2 - 1)/2"
+    assert ask("1/(x^2 + x + 1)") == "2*atan((2*x + 1)/sqrt(3))/sqrt(3)" and ask("x^2/(x^4 + 5*x^2 + 4)") == "-atan(x)/3 + 2*atan(x/2)/3"
+    assert ask("1/(x - 1)", "x", "-2", "0") == C.rounded(-1.0986122886681098) and ask("2/(1 + x^2)", "x", "-1", "1") == C.rounded(3.141592653589793)
+    with pytest.raises(C.CalcError, match="pole"):
+        ask("1/x", "x", "-1", "1")
