@@ -161,7 +161,8 @@ def antiderivative(n: Dense, d: Dense, x: str) -> str:
         top, bottom = _text([abs(b[-1]) / b[-1] * c for c in b], x), _text(d1, x)
         terms.append(f" {sign} " + (f"({top})" if sum(map(bool, b)) > 1 or "/" in top else top) + (f"/{bottom}" if bottom.isidentifier() else f"/({bottom})"))
     if any(c):
-        found, left, below = logarithms(c, d2)
+        shared = common_divisor(c, d2)  # what the rational part has taken whole
+        found, left, below = logarithms(exact_quotient(c, shared), exact_quotient(d2, shared))
         terms += [_term(z, f"log({_text(v, x)})") for z, v in sorted(found, key=lambda f: (-len(f[1]), f[0]))]
         if any(left):
             for q in sorted(quadratics(below)):

@@ -342,5 +342,6 @@ def test_integrals_of_quotients():
     assert ask("1/x") == "log(x)" and ask("1/(x^2 + 1)") == "atan(x)" and ask("1/x^2") == "-1/x" and ask("x^3/(x^2 - 1)") == "x**2/2 + log(x**2 - 1)/2"
     assert ask("1/(x^2 + x + 1)") == "2*atan((2*x + 1)/sqrt(3))/sqrt(3)" and ask("x^2/(x^4 + 5*x^2 + 4)") == "-atan(x)/3 + 2*atan(x/2)/3"
     assert ask("1/(x - 1)", "x", "-2", "0") == C.rounded(-1.0986122886681098) and ask("2/(1 + x^2)", "x", "-1", "1") == C.rounded(3.141592653589793)
+    assert ask("1/(x + 1) + 2/(x^2 + 1) + 1/(x + 3)^2") == "-1/(x + 3) + log(x + 1) + 2*atan(x)"
     with pytest.raises(C.CalcError, match="pole"):
         ask("1/x", "x", "-1", "1")
