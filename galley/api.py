@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import calc as C
-from .operators import corpus, images, ledger, locate, proposals, repair, reports, segment, units
+from .operators import corpus, images, ledger, locate, proposals, repair, reports, segment, status, units
 from .sources import commits, delivery, materials
 
 #: Exit codes of the command line.
@@ -136,6 +136,17 @@ def inspect_images(spark: SparkSession, texts: str, folder: str = "", key: str =
     return images.inspect(refs.withColumn("syntax", F.lit("inline")), judged, key)
 
 
+def _status(spark: SparkSession, flags: str = "", files: str = "", registered: str = "", reviewed: str = "") -> DataFrame:
+    """States of units from a table of flags, or from the files of their folders with registrations and reviews, if there are any."""
+    if bool(flags) == bool(files):
+        raise CommandError("usage", "either flags of units or the files of their folders")
+    if flags:
+        return ledger.unit_status(_table(spark, flags))
+    held = _table(spark, files)
+    none = held.select(*status.BY, F.lit("").alias("report_sha256")).where("false")
+    return status.derived(held, _table(spark, registered) if registered else none, _table(spark, reviewed) if reviewed else none)
+
+
 def _docx(spark: SparkSession, paper_units: str, paper: str = "paper") -> DataFrame:
     return delivery.word_files(_table(spark, paper_units), paper)
 
@@ -150,7 +161,7 @@ COMMANDS: dict[str, tuple[Callable[..., DataFrame], str]] = {
     "split": (_split, "texts to units"),
     "slice": (_slice, "coverage of slices over lines"),
     "precheck-split": (lambda spark, made, key="id", overlong=20000: segment.precheck(_table(spark, made), key, int(overlong)), "lengths of units"),
-    "status": (lambda spark, flags: ledger.unit_status(_table(spark, flags)), "states of units"),
+    "status": (_status, "states of units, by flags or by the files in their folders"),
     "execution-policy": (_policies, "authorisation of runs"),
     "unit-locate": (lambda spark, texts, phrase, key="id", text="text": locate.locations(_table(spark, texts), key, text, phrase), "all places of a phrase"),
     "unit-read": (lambda spark, texts, start=1, lines=2000, key="id", text="text": units.page(_table(spark, texts), key, text, int(start), int(lines)), "a page of sources"),

@@ -18,7 +18,7 @@ from .. import api
 from ..functions import calc as C
 from ..functions import text as X
 from ..functions.reporttext import tag_runs
-from ..operators import images, nested, proposals, reports
+from ..operators import images, nested, proposals, reports, status
 from ..sources import commits, delivery, indesign, material_source, materials
 from .catalogue import _SQL_LINES, _t, query
 
@@ -593,3 +593,30 @@ def quotient_integrals(spark: SparkSession, d: str) -> DataFrame:
     expression = F.concat(F.lit("1/(x + "), text(k % 5 + 1), F.lit(") + 2/(x^2 + 1) + 1/(x + "), text(k % 7), F.lit(")^2"))
     out = _calc(_t(spark, d, "part").withColumn("e", expression), "p_partkey", "integrate", expression=F.col("e"), variable="x", lower_limit="1", upper_limit=text(F.col("p_size") + 1))
     return out.select("p_partkey", F.round(F.col("result").cast("double"), 6).alias("value"))
+
+
+# States -----------------------------------------------------------------------------------------------------------------
+
+
+@query("""with u as (select doc_id, doc_id % 9 as k from documents where strpos(coalesce(text, ''), 'qz') = 0 and strpos(coalesce(text, ''), '【') = 0)
+  select doc_id as task_id, (['not_started', 'failed', 'unverified', 'failed', 'pending', 'pending', 'completed', 'skip', 'pending'])[k + 1] as status,
+  case k when 1 then 'host crashed' when 2 then 'integrity.missing-paragraph; integrity.extra-paragraph' when 3 then 'again' when 4 then 'not registered, or changed since' when 5 then 'not reviewed, or sent back' when 8 then 'delivered by hand' end as reason,
+  case when k in (2, 3) then 2 else 0 end as n_errors, case when k in (0, 1, 7, 8) then 0 else 1 end as n_markers, case when k in (1, 3) then 1 else 0 end as n_problems from u""")
+def derived_states(spark: SparkSession, d: str) -> DataFrame:
+    """States of units whose sources are whole texts, by the files in their folders."""
+    t, k = F.coalesce("text", F.lit("")), F.col("doc_id") % 9
+    docs = _t(spark, d, "documents").where(~t.contains("qz") & ~t.contains("【")).select("doc_id", t.alias("t"))
+    body = F.concat("t", F.lit("\n\nqz alpha 【1|beta|B】"), F.when(k.isin(2, 3), " lost").otherwise(""))
+    size = F.length(body).cast("string")
+    report = F.concat(F.lit(f"{proposals.HEAD}\n总结：轻微问题\n\n{reports.MARKED}\n{proposals.LENGTH}"), size, F.lit(":"), size, F.lit(" -->\n"), body, F.lit(f"\n{proposals.END}\n{reports.REASONS}\n1. why\n"))
+    file = lambda name, text, when=None: F.when(F.lit(True) if when is None else when, F.struct(F.lit(name).alias("name"), text.alias("text")))
+    parts = F.array_compact(F.array(
+        file("u.md", F.concat("t", F.lit("\n\nqz alpha beta"))), file(status.REPORT, report, ~k.isin(0, 1, 7, 8)), file(status.NOTE, F.when(k == 1, "\n host crashed \nverify-report 标记").otherwise("again\n严重度 标记"), k.isin(1, 3)),
+        file(status.DATA, F.lit('{"legacy_manual": true}'), k == 8), file(status.SKIP, F.lit(""), k == 7), file("_other.md", F.lit("x")),
+    ))
+    files = docs.withColumn("r", report).select(F.col("doc_id").alias("task_id"), F.lit("u").alias("unit"), F.explode(parts).alias("f")).select("task_id", "unit", "f.*")
+    digests = files.where(F.col("name") == status.REPORT).select("task_id", "unit", F.sha2("text", 256).alias("report_sha256"))
+    kept = lambda *ks: digests.where((F.col("task_id") % 9).isin(*ks))
+    stale = kept(4).withColumn("report_sha256", F.lit("old"))
+    out = status.derived(files, kept(5, 6).unionByName(stale), kept(6))
+    return out.select("task_id", "status", "reason", "n_errors", "n_markers", F.size("note_problems").alias("n_problems"))
