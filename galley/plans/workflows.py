@@ -620,3 +620,16 @@ def derived_states(spark: SparkSession, d: str) -> DataFrame:
     stale = kept(4).withColumn("report_sha256", F.lit("old"))
     out = status.derived(files, kept(5, 6).unionByName(stale), kept(6))
     return out.select("task_id", "status", "reason", "n_errors", "n_markers", F.size("note_problems").alias("n_problems"))
+
+
+@query("select p_partkey, round(case p_partkey % 3 when 0 then cast(p_size as double) / (1 + p_partkey % 5) when 1 then p_size * p_size / 2.0 else p_size / 2.0 end, 6) as value, p_partkey % 2 = 0 as same from part")
+def series_limits(spark: SparkSession, d: str) -> DataFrame:
+    """Limits of functions at 0 by their series, and identities that differ by a billionth or not at all."""
+    k, n = F.col("p_partkey"), F.col("p_size").cast("string")
+    of = lambda *parts: F.concat(*[p if isinstance(p, Column) else F.lit(p) for p in parts])
+    e = F.when(k % 3 == 0, of("sin(", n, "*x)/(x*", (k % 5 + 1).cast("string"), ")")).when(k % 3 == 1, of("(1 - cos(", n, "*x))/x^2")).otherwise(of("(sqrt(1 + ", n, "*x) - 1)/x"))
+    p = _t(spark, d, "part")
+    value = _calc(p.withColumn("e", e), "p_partkey", "limit", expression=F.col("e"), variable="x", approach="0").select("p_partkey", F.round(F.col("result").cast("double"), 6).alias("value"))
+    left, right = of("sin(2*x + ", n, ")*exp(x)"), of("2*sin(x + ", n, "/2)*cos(x + ", n, "/2)*exp(2*x)/exp(x)", F.when(k % 2 == 0, "").otherwise(" + x/10^9"))
+    same = _calc(p.withColumn("a", left).withColumn("b", right), "p_partkey", "equality", expression_a=F.col("a"), expression_b=F.col("b")).select("p_partkey", F.col("result").cast("boolean").alias("same"))
+    return value.join(same, "p_partkey")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from galley.functions import algebra, integrals
 from galley.functions import calc as C
 from galley.functions import mathtext as M
-from galley.functions import roots
+from galley.functions import roots, series
 from galley.functions import text as X
 from galley.operators.locate import hits, resolve, safe_span
 from galley.operators.reports import align, match_segments
@@ -226,7 +226,7 @@ def test_simplify_keeps_the_value(expression):
 
 
 def test_calc_never_guesses():
-    for op, expression in (("integrate", "sin(x)"), ("integrate", "1/(x^4 + 1)"), ("integrate", "1/(x + y)"), ("simplify", "sin(x)^2 + cos(x)^2"), ("limit", "sin(x)/x"), ("geometry", "Point(a, b)")):
+    for op, expression in (("integrate", "sin(x)"), ("integrate", "1/(x^4 + 1)"), ("integrate", "1/(x + y)"), ("simplify", "sin(x)^2 + cos(x)^2"), ("limit", "x*sin(1/x)"), ("geometry", "Point(a, b)")):
         found = C.call(op, json.dumps({"expression": expression, "variable": "x", "approach": "0"}))
         assert not found["success"] and found["code"] == "unsupported", found
     assert C.call("integrate", "{}")["code"] == "usage"
@@ -345,3 +345,45 @@ def test_integrals_of_quotients():
     assert ask("1/(x + 1) + 2/(x^2 + 1) + 1/(x + 3)^2") == "-1/(x + 3) + log(x + 1) + 2*atan(x)"
     with pytest.raises(C.CalcError, match="pole"):
         ask("1/x", "x", "-1", "1")
+
+
+_TERM = st.sampled_from(["sin(x)", "cos(2*x)", "exp(x) - 1", "log(1 + x)", "tan(x)", "sqrt(1 + x) - 1", "atan(3*x)", "x", "x^2 - x", "sinh(x)"])
+
+
+@settings(max_examples=80, deadline=None)
+@given(st.lists(_TERM, min_size=1, max_size=3), st.lists(_TERM, min_size=1, max_size=3), st.fractions(-3, 3, max_denominator=4))
+def test_limits_made_by_composition(above, below, scale):
+    expression = f"({scale}) + ({')*('.join(above)})/({')*('.join(below)})"
+    try:
+        found = series.limit(expression, "x", Fraction(0))
+    except C.CalcError as e:
+        assert "different limits" in str(e)
+        return
+    near = [C.value(C.tree(expression), {"x": s * 1e-3}) for s in (-1, 1)]
+    if found in ("oo", "-oo"):
+        assert all(abs(v) > 30 for v in near)
+    else:
+        assert all(abs(v - found) < 0.05 * max(1, abs(found)) for v in near)
+
+
+def test_limits_by_series():
+    ask = lambda e, at=0, way="+-": series.limit(e, "x", Fraction(at), way)
+    assert ask("sin(x)/x") == 1 and ask("(1 - cos(x))/x^2") == 0.5 and ask("(sin(x) - x + x^3/6)/x^5") == C.rounded(1 / 120) and ask("(sqrt(x) - 2)/(x - 4)", 4) == 0.25
+    assert ask("exp(x)/x", way="+") == "oo" and ask("exp(x)/x", way="-") == "-oo" and ask("cos(x)/x^2") == "oo"
+    for e, at in (("exp(x)/x", 0), ("x*exp(1/x)", 0), ("exp(x)", 1), ("abs(x)", 0), ("1/(sin(x)^2 + cos(x)^2 - 1)", 0)):
+        with pytest.raises(C.CalcError):
+            ask(e, at)
+    assert algebra.limit("tan(x)/x", "x", "0") == 1
+
+
+IDENTITIES = [("sin(x)^2 + cos(x)^2", "1"), ("sin(2*x)", "2*sin(x)*cos(x)"), ("cos(x + y)", "cos(x)*cos(y) - sin(x)*sin(y)"), ("exp(x)*exp(y)", "exp(x + y)"), ("cosh(x)^2 - sinh(x)^2", "1"), ("1/cos(x)^2", "1 + tan(x)^2"), ("e^2*exp(x)", "exp(x + 2)"), ("sin(3*x)", "3*sin(x) - 4*sin(x)^3")]
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.sampled_from(IDENTITIES), st.sampled_from(["x", "2*y", "x*y + 1", "x^2/3"]), st.sampled_from(["y", "x - y", "3"]), st.sampled_from(["({})*(x + 2)", "({})^2 - x", "1/(({}) + 5)", "exp(y)*({})"]))
+def test_identities_by_composition(identity, x, y, around):
+    import re
+
+    put = lambda e: around.format(re.sub(r"\b[xy]\b", lambda m: f"({x if m[0] == 'x' else y})", e))
+    a, b = map(put, identity)
+    assert series.equal(a, b) and not series.equal(a, b + " + x*exp(y)/10^9") and C.equal(a, b)
