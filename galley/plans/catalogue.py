@@ -4,6 +4,7 @@
 """
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -13,6 +14,7 @@ from ..functions import calc as C
 from ..functions import text as X
 from ..operators import compile as K
 from ..operators import corpus, ledger, locate, reports, segment
+from ..shipping import ship
 from ..sources import delivery
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -22,10 +24,14 @@ _SQL: dict[str, str] = {}
 
 def query(sql: str | None = None):
     def add(f: Query) -> Query:
-        _QUERIES[f.__name__] = f
+        @functools.wraps(f)
+        def run(spark: SparkSession, d: str) -> DataFrame:
+            return f(ship(spark), d)  # before any function of this package is sent to workers
+
+        _QUERIES[f.__name__] = run
         if sql:
             _SQL[f.__name__] = sql
-        return f
+        return run
 
     return add
 
