@@ -26,6 +26,8 @@ from .vectors import MOST_SQUARES, longest, scaled, usable
 
 #: Vectors of a tile, of an annulus, queries that are scored together, and pivots at most.
 TILE, ANNULUS, TOGETHER, PIVOTS = 8192, 256, 512, 1024
+#: Bytes of queries and tiles of a cell, about, and blocks of queries that a cell scores together.
+GROUP, CELL, TOGETHER_BLOCKS = 8 << 20, 16, 8
 #: Bounds of tiles (a pivot's part of a tile is one) that are sent to all tasks; of more, every tile meets every block of queries.
 TOLD = 100_000
 
@@ -222,20 +224,64 @@ def _asked(tiles: DataFrame, dims: int, pivots: np.ndarray, k: int, told: list[t
     return tiles.mapInArrow(tidied(run), "qtile long, places array<long>, qids array<long>, vectors binary, floors array<long>, home array<struct<query: long, vec_id: long, score: long>>, to array<long>")
 
 
-def _elsewhere(met: DataFrame, dims: int, pivots: np.ndarray, k: int) -> DataFrame:
-    """What blocks of queries find in the tiles they met."""
+def _cell(dims: int, pivots: np.ndarray, k: int):
+    """What blocks of queries find in the tiles of their cell: a query's floor rises from tile to tile."""
     names = ["qtile", "query", "query_id", "vec_id", "score"]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in _rows(batch):
-                tile, vectors = Tile(row, dims), np.frombuffer(row["vectors"], "<i4").reshape(len(row["places"]), dims)
-                q, v, s = _kept(expand(tile, vectors, np.array(row["floors"], np.int64), np.full(len(vectors), -1), pivots, k), k, tile.ids)
-                if len(q):
-                    columns = [[row["qtile"]] * len(q), [row["places"][i] for i in q], [row["qids"][i] for i in q], [tile.ids[j] for j in v], s]
-                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=names)
-
-    return met.mapInArrow(tidied(run), _FOUND)
+    empty = pa.schema([(n, pa.int64()) for n in names]).empty_table()
+    least = np.iinfo(np.int64).min
+
+    def run(blocks: pa.Table, tiles: pa.Table) -> pa.Table:
+        if not blocks.num_rows or not tiles.num_rows:
+            return empty
+        held = [Tile(tiles.slice(i, 1).to_pylist()[0], dims) for i in range(tiles.num_rows)]
+        out = []
+        for start in range(0, blocks.num_rows, TOGETHER_BLOCKS):
+            own = list(_rows(blocks.slice(start, TOGETHER_BLOCKS)))
+            vectors = np.concatenate([np.frombuffer(r["vectors"], "<i4").reshape(len(r["places"]), dims) for r in own])
+            floor = np.concatenate([np.array(r["floors"], np.int64) for r in own])
+            qtile = np.concatenate([np.full(len(r["places"]), r["qtile"]) for r in own])
+            places, qids = [p for r in own for p in r["places"]], [i for r in own for i in r["qids"]]
+            have, found = np.full((len(vectors), k), least), []
+            for tile in held:
+                asks = np.flatnonzero(qtile != tile.at)  # what is in a query's own tile has been found
+                q, v, s = _kept(expand(tile, vectors[asks], floor[asks], np.full(len(asks), -1), pivots, k), k, tile.ids)
+                if not len(q):
+                    continue
+                new, first = np.full((len(asks), k), least), np.flatnonzero(np.diff(q, prepend=-1))
+                new[q, np.arange(len(q)) - np.repeat(first, np.diff(np.append(first, len(q))))] = s
+                have[asks] = np.partition(np.concatenate([have[asks], new], axis=1), k, axis=1)[:, k:]
+                floor[asks] = np.maximum(floor[asks], have[asks].min(axis=1))
+                found.append((asks[q], np.array([tile.ids[j] for j in v], object), s))
+            if found:
+                q, v, s = (np.concatenate(x) for x in zip(*found, strict=True))
+                keep = np.flatnonzero(s >= floor[q])
+                columns = [qtile[q[keep]], [places[i] for i in q[keep]], [qids[i] for i in q[keep]], v[keep].tolist(), s[keep]]
+                out.append(pa.table([pa.array(c, pa.int64()) for c in columns], names=names))
+        return pa.concat_tables(out) if out else empty
+
+    return run
+
+
+def _elsewhere(sent: DataFrame, tiles: DataFrame, dims: int, pivots: np.ndarray, k: int, everywhere: bool, count: int) -> DataFrame:
+    """What blocks of queries find in the tiles that can hold a result.
+
+    Queries and tiles meet in cells: groups of blocks by groups of tiles, each of bounded size, so that a vector travels once for
+    each group of the other side and not once for each pair, and no side is ever told to all.
+    """
+    asking = sent.agg(F.sum(F.size("places"))).first()[0] or 0
+    wide = max(1, -(-asking * dims * 4 // GROUP))
+    tall = max(1, min(count, max(-(-count // CELL), -(-shuffle_partitions(sent.sparkSession) // wide))))
+    group = lambda n, *by: F.pmod(F.xxhash64(*by), F.lit(n)).cast("int")
+    blocks = sent.withColumn("g", group(wide, "qtile", F.element_at("places", 1)))
+    if everywhere:
+        wanted = tiles.withColumn("tg", F.explode(F.sequence(F.lit(0), F.lit(wide - 1))))
+        blocks = blocks.withColumn("t", F.explode(F.sequence(F.lit(0), F.lit(tall - 1))))
+    else:
+        pairs = blocks.select(F.col("g").alias("tg"), F.explode("to").alias("tile")).distinct()
+        wanted = tiles.join(pairs, "tile")
+        blocks = blocks.withColumn("t", F.explode(F.array_distinct(F.transform("to", lambda x: group(tall, x)))))
+    wanted = wanted.withColumn("tt", group(tall, "tile"))
+    return blocks.drop("to").groupBy("g", "t").cogroup(wanted.groupBy("tg", "tt")).applyInArrow(_cell(dims, pivots, k), _FOUND)
 
 
 def top_k(df: DataFrame, queries: Column | None = None, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = 256) -> DataFrame:
@@ -265,14 +311,6 @@ def top_k(df: DataFrame, queries: Column | None = None, k: int = 5, id_col: str
         told = [tuple(r) for r in cells.groupBy("tile", "c.pivot").agg(F.min("c.near"), F.max("c.far"), F.max("c.most").cast("double")).collect()]
     asked = materialize(_asked(tiles, dims, pivots, k, told), "asked")
     home = asked.select("qtile", "places", "qids", F.explode("home").alias("h")).select("qtile", F.col("h.query").alias("query"), F.element_at("qids", F.array_position("places", F.col("h.query")).cast("int")).alias("query_id"), "h.vec_id", "h.score")
-    sent = asked.drop("home")
-    if told is None:
-        # every tile meets every block of queries, as each may hold a result: the blocks go to as many groups of tiles as tasks
-        groups = shuffle_partitions(df.sparkSession)
-        to = sent.withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))).drop("to")
-        met = to.join(tiles.withColumn("g", F.pmod(F.xxhash64("tile"), F.lit(groups)).cast("int")), "g").where("qtile <> tile").drop("g")
-    else:
-        met = sent.withColumn("tile", F.explode("to")).drop("to").join(tiles, "tile")
-    found = home.unionByName(_elsewhere(met, dims, pivots, k))
+    found = home.unionByName(_elsewhere(asked.drop("home"), tiles, dims, pivots, k, told is None, shape[1]))
     order = Window.partitionBy("qtile", "query").orderBy(F.desc("score"), F.col("vec_id").asc_nulls_last())
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -85,6 +85,16 @@ def test_top_k_leaves_tiles_and_annuli_out(spark, clustered, monkeypatch):
     assert sum(seen) < 5 * len(x) / 2
 
 
+def test_top_k_sends_no_queries_to_all_tasks(spark, clustered, monkeypatch):
+    monkeypatch.setattr(topk, "TILE", 64)
+    monkeypatch.setattr(topk, "GROUP", 256)
+    monkeypatch.setattr(topk, "CELL", 2)
+    monkeypatch.setattr(topk, "TOGETHER_BLOCKS", 2)
+    assert found_top_k(spark, clustered) == brute_top_k(clustered, 5)
+    plan = topk.top_k(spark.createDataFrame(rows_of(clustered), VECTORS), F.col("vec_id") % 50 == 0)._jdf.queryExecution().executedPlan().toString()
+    assert "CoGroup" in plan and "BuildLeft" not in plan  # queries repeated for each tile were one side of a broadcast
+
+
 def test_top_k_odd_rows(spark, monkeypatch):
     monkeypatch.setattr(topk, "TILE", 4)
     monkeypatch.setattr(topk, "ANNULUS", 2)
