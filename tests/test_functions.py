@@ -387,3 +387,14 @@ def test_identities_by_composition(identity, x, y, around):
     put = lambda e: around.format(re.sub(r"\b[xy]\b", lambda m: f"({x if m[0] == 'x' else y})", e))
     a, b = map(put, identity)
     assert series.equal(a, b) and not series.equal(a, b + " + x*exp(y)/10^9") and C.equal(a, b)
+
+
+def test_calculations_are_spread_and_done_once(spark):
+    C.answered.cache_clear()
+    asked = json.dumps({"expression": "x^2 + 1", "substitutions": {"x": 3}})
+    assert C.answered("evaluate", asked) == C.answered("evaluate", asked) == (True, "10", None, None)
+    assert C.answered.cache_info().misses == 1
+    rows = spark.range(0, 40, 1, 1).selectExpr("id", """concat('{"expression": "', id % 20, '+1"}') as p""")
+    made = C.calculated(rows, "evaluate", F.col("p"))
+    assert made.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions")) and made.columns == ["id", "p", "c"]
+    assert sorted(tuple(r) for r in made.select("id", "c.result").collect()) == [(i, str(i % 20 + 1)) for i in range(40)]
