@@ -398,3 +398,9 @@ def test_calculations_are_spread_and_done_once(spark):
     made = C.calculated(rows, "evaluate", F.col("p"))
     assert made.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions")) and made.columns == ["id", "p", "c"]
     assert sorted(tuple(r) for r in made.select("id", "c.result").collect()) == [(i, str(i % 20 + 1)) for i in range(40)]
+
+
+def test_texts_go_to_python_in_small_batches(spark):
+    made = spark.createDataFrame([("a",), (None,)], "t string").select(M.each(str.upper)("t").alias("o"))
+    assert "BatchEvalPython" in made._jdf.queryExecution().executedPlan().toString()
+    assert [r["o"] for r in made.collect()] == ["A", None]
