@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from ..functions.mathtext import math_spans
 from ..operators.corpus import paired_ids
-from ..shipping import ship
+from ..shipping import ship, sliced, spread
 from . import omml
 from .archives import open_archive
 from .archives import read_xml as _xml
@@ -120,10 +120,10 @@ def word_files(units: DataFrame, paper: str, escaped: bool = False) -> DataFrame
     """
     kind = units.schema[paper].dataType.simpleString()
     unit = F.struct(F.coalesce("unit_no", F.lit(1 << 30)).alias("no"), "unit_name", "body", "reasons")
-    papers = units.groupBy(paper).agg(F.array_sort(F.collect_list(unit)).alias("units"))
+    papers = spread(units, paper).groupBy(paper).agg(F.array_sort(F.collect_list(unit)).alias("units"))
 
     def run(batches):
-        for batch in batches:
+        for batch in sliced(batches):
             made: list[tuple[bytes | None, str | None]] = []
             for own in batch.column(1).to_pylist():
                 try:
@@ -167,7 +167,7 @@ def word_audit(files: DataFrame, paper: str) -> DataFrame:
     names = ("starts", "ends", "refs", "known", "at_heading")
 
     def run(batches):
-        for batch in batches:
+        for batch in sliced(batches):
             rows = [(k, *u) for k, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for u in _inspect(content)]
             cols = list(zip(*rows, strict=True)) or [()] * 8
             kinds = [batch.schema.field(0).type, pa.int32(), pa.string(), *[pa.list_(pa.string())] * 5]

@@ -196,3 +196,12 @@ def test_names_that_become_equal(spark, tmp_path):
     delivery.publish(spark.createDataFrame([("c", b"old", True)], df.schema), str(tmp_path))
     delivery.publish(spark.createDataFrame([("c", b"new", True)], df.schema), str(tmp_path))
     assert (tmp_path / "c.docx").read_bytes() == b"new" and not list(tmp_path.glob(".*.tmp"))
+
+
+def test_files_are_read_once_by_all_tasks(spark):
+    units = spark.createDataFrame([(i, 1, f"u{i}", f"body {i}") for i in range(5)], "id long, unit_no int, unit_name string, body string").coalesce(1)
+    made = delivery.word_files(units.withColumn("reasons", F.lit(None).cast("array<struct<num: int, reason: string>>")), "id")
+    assert made.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    read = materials.parsed(made.select(F.concat("id", F.lit(".docx")).alias("path"), "content"))
+    assert "MapInArrow" not in read._jdf.queryExecution().optimizedPlan().toString()  # archives and others were read each by its own pass
+    assert sorted(r["markdown"].split("\n")[0] for r in read.collect()) == [f"# u{i}" for i in range(5)]
