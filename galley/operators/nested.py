@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..staging import staged
+
 # Parameters that say whose a call is or what its words mean, and words in the names of those that hold an expression.
 NO_EXPRESSION = ("task_id", "unit_id", "subject", "variables", "domain", "dim_operation", "operation", "target_units", "quantities", "unit_definitions", "substitutions")
 EXPRESSIONS = ("expression", "formula", "equation")
@@ -73,7 +75,7 @@ def calculation_errors(evidence: DataFrame, calls: DataFrame, key: str) -> DataF
     """
     bound = ("task_id", "unit_id", "run_id", "source_sha256")
     there = calls.select("call_id", *[F.col(c).alias(f"c_{c}") for c in bound], "success", F.col("result").alias("c_result"), F.lit(True).alias("there"))
-    leaves = string_leaves(calls.join(evidence.select("call_id").distinct(), "call_id", "left_semi"), "call_id", "params")
+    leaves = staged(string_leaves(calls.join(evidence.select("call_id").distinct(), "call_id", "left_semi"), "call_id", "params"), "leaves")  # one walk for all that follows
     said = leaves.select("call_id", F.col("value").alias("expression")).distinct().withColumn("said", F.lit(True))
     met = evidence.join(there, "call_id", "left").join(said, ["call_id", "expression"], "left")
     same = lambda c: F.col(c).eqNullSafe(F.col(f"c_{c}"))
@@ -83,5 +85,6 @@ def calculation_errors(evidence: DataFrame, calls: DataFrame, key: str) -> DataF
     )
     wrong = met.withColumn("error", error).where("error is not null").select(key, "item", "call_id", "expression", "error")
     near = wrong.where("error = 'expression'").join(expressions(leaves, "call_id"), "call_id")
-    closest = near.groupBy(key, "item").agg(F.min_by(F.concat("path", F.lit("="), "value"), F.struct(F.when(F.levenshtein("expression", "value", EDITS) < 0, EDITS + 1).otherwise(F.levenshtein("expression", "value", EDITS)), "path")).alias("nearest"))
+    apart = F.expr(f"transform(array(levenshtein(expression, value, {EDITS})), n -> if(n < 0, {EDITS + 1}, n))[0]")  # worked out once
+    closest = near.groupBy(key, "item").agg(F.min_by(F.concat("path", F.lit("="), "value"), F.struct(apart, "path")).alias("nearest"))
     return wrong.drop("expression").join(closest, [key, "item"], "left").select(key, "item", "call_id", "error", "nearest")

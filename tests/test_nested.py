@@ -43,3 +43,11 @@ def test_expressions(spark):
     calls = [(1, '{"expression_a":"x+1","other":"y","unit_definitions":{"formula":"z"}}'), (2, '{"a":["p","q"],"subject":"math"}'), (3, '{"subject":"math"}')]
     leaves = nested.string_leaves(spark.createDataFrame(calls, "k long, j string"), "k", "j")
     assert rows(nested.expressions(leaves, "k")) == [(1, "expression_a", "x+1"), (2, "a[0]", "p"), (2, "a[1]", "q")]
+
+
+def test_parameters_of_calls_are_walked_once(spark):
+    calls = spark.createDataFrame([("c1", "t", "u", "r", "s", True, '{"expression": "x+1"}', "2")], "call_id string, task_id string, unit_id string, run_id string, source_sha256 string, success boolean, params string, result string")
+    said = spark.createDataFrame([("k", 1, "c1", "x+2", "2", "t", "u", "r", "s")], "key string, item int, call_id string, expression string, result string, task_id string, unit_id string, run_id string, source_sha256 string")
+    found = nested.calculation_errors(said, calls, "key")
+    assert "UnionLoop" not in found._jdf.queryExecution().optimizedPlan().toString()  # the walk was repeated for each use of its leaves
+    assert [tuple(r) for r in found.collect()] == [("k", 1, "c1", "expression", "expression=x+1")]
