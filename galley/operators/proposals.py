@@ -1,7 +1,7 @@
 """Proposals: revisions compiled into located corrections and rendered as reports; snapshots, submissions, reviews, events."""
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
@@ -160,14 +160,14 @@ def submitted(current: DataFrame, submissions: DataFrame, by: tuple[str, ...] =
     on the current snapshot and passes its gate is accepted; later ones and others are ``snapshot-stale``, one that fails
     its gate is ``verify_failed`` and leaves the unit as it was.
     """
-    met = submissions.join(current.select(*by, "snapshot_sha256", "next_revision", "revision", F.col("report_sha256").alias("__report")), list(by))
+    own = submissions.select(*by, "seq", "expected_snapshot_sha256", "ok", F.sha2("text", 256).alias("__digest"))
+    met = own.join(current.select(*by, "snapshot_sha256", "next_revision", "revision", F.col("report_sha256").alias("__report")), list(by))
     fresh = F.col("expected_snapshot_sha256") == F.col("snapshot_sha256")
-    first = met.where(fresh & F.col("ok")).groupBy(*by).agg(F.min("seq").alias("first"))
-    judged = met.join(first, list(by), "left")
+    judged = met.withColumn("first", F.min(F.when(fresh & F.col("ok"), F.col("seq"))).over(Window.partitionBy(*by)))  # no join with itself: a gate is costly
     stale = ~fresh | (F.col("first").isNotNull() & (F.col("seq") > F.col("first")))
     outcome = F.when(stale, "snapshot-stale").when(~F.col("ok"), "verify_failed").otherwise("accepted")
     done = outcome == "accepted"
-    return judged.select(*by, "seq", outcome.alias("outcome"), F.when(done, F.col("next_revision")).otherwise(F.coalesce("revision", F.lit(0))).alias("revision"), F.when(done, F.sha2("text", 256)).otherwise(F.col("__report")).alias("report_sha256"))
+    return judged.select(*by, "seq", outcome.alias("outcome"), F.when(done, F.col("next_revision")).otherwise(F.coalesce("revision", F.lit(0))).alias("revision"), F.when(done, F.col("__digest")).otherwise(F.col("__report")).alias("report_sha256"))
 
 
 def review_errors(reviews: DataFrame, current: DataFrame, by: tuple[str, ...] = ("task_id", "unit_id")) -> DataFrame:

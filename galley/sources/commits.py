@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import proposals, reports
+from ..shipping import spread
 
 #: Commits after which the whole state is written once more, so that a reader needn't fold all of them; and attempts of a commit.
 FOLDED, TRIES = 16, 20
@@ -189,11 +190,14 @@ def begin(units: DataFrame, root: str) -> int:
 def judged(current: DataFrame, submissions: DataFrame) -> DataFrame:
     """What submissions (task_id, unit_id, seq, expected_snapshot_sha256, text) would do, (by, seq, outcome, revision, report_sha256), without doing it.
 
-    A report passes the gate if its verification against the unit's source has no error.
+    A report passes the gate if its verification against the unit's source has no error.  Each is verified once, by all tasks, and
+    not at all where it was made on another snapshot.
     """
     now = proposals.snapshots(current)
-    met = submissions.join(current.select(*BY, "source"), list(BY)).withColumn("__k", F.struct(*BY, "seq"))
-    checked = reports.judged(met, "__k", "text", "source", (*BY, "seq", "expected_snapshot_sha256", "text"))
+    met = spread(submissions.join(now.select(*BY, "source", F.col("snapshot_sha256").alias("__now")), list(BY)), *BY).withColumn("__k", F.struct(*BY, "seq"))
+    stale = F.coalesce(F.col("expected_snapshot_sha256") != F.col("__now"), F.lit(False))  # whatever its report is like
+    seen = met.withColumn("__seen", F.when(~stale, F.col("text"))).withColumn("__against", F.when(~stale, F.col("source")))
+    checked = reports.judged(seen, "__k", "__seen", "__against", (*BY, "seq", "expected_snapshot_sha256", "text"))
     return proposals.submitted(now, checked.withColumn("ok", F.size(reports.errors_of(F.col("issues"))) == 0), BY)
 
 

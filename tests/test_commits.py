@@ -129,3 +129,13 @@ def test_what_can_not_be(spark, root, tmp_path):
     with pytest.raises(ValueError, match="aren't what"):
         commits.commit_rows(spark, root, "x", lambda now, _: now.withColumn("report", F.lit("r")).withColumn("report_sha256", F.lit("d")))
     assert commits.versions(spark, root) == [0]
+
+
+def test_submissions_are_verified_once_by_all_tasks(spark, root):
+    made = submissions(spark, snapshots(spark, root), [(1, report("alpha beta 1", "beta", "B")), (1, report("alpha beta 1", "alpha", "A"))])
+    found = commits.judged(commits.state(spark, root), made)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "RepartitionByExpression" in plan
+    assert outcomes(found) == [(1, 0, "accepted"), (1, 1, "snapshot-stale")]
+    stale = made.withColumn("expected_snapshot_sha256", F.when(F.col("seq") == 0, "old").otherwise(F.col("expected_snapshot_sha256")))
+    assert outcomes(commits.judged(commits.state(spark, root), stale)) == [(1, 0, "snapshot-stale"), (1, 1, "accepted")]
