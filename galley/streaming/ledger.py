@@ -4,12 +4,13 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from ..operators.ledger import Cancellation, Recovery, fold
-from ..shipping import ship
+from ..shipping import ship, spread
 
 OUTPUT = "task_id string, unit_id string, seq long, outcome string"
 #: What folding an event needs to know of it.
@@ -116,12 +117,25 @@ def fold_stream(events: DataFrame, lateness: str = "1 hour") -> DataFrame:
     if "at" not in events.columns:
         events = events.withColumn("at", F.timestamp_seconds("seq"))
 
-    def whole(key, frame: pd.DataFrame) -> pd.DataFrame:
-        rows = frame.sort_values(["at", "seq"], kind="stable").drop_duplicates("seq")
-        done = fold(rows.astype(object).where(rows.notna(), None).to_dict("records"), Recovery(), Cancellation())
-        return pd.DataFrame({"task_id": key[0], "unit_id": key[1], "seq": [s for s, _ in done], "outcome": [o for _, o in done]})
-
-    return _complete(events).groupBy("task_id", "unit_id").applyInPandas(whole, OUTPUT)
+    rows = spread(_complete(events), "task_id", "unit_id").sortWithinPartitions("task_id", "unit_id", F.asc_nulls_last("at"), F.asc_nulls_last("seq"))
+    return rows.select("task_id", "unit_id", "seq", *_EVENT).mapInArrow(_folded_in_order, OUTPUT)
+
+
+def _folded_in_order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Outcomes of a task's events, which come unit by unit in order: of each unit at hand its budgets, cancels and numbers are kept."""
+    unit, recovery, cancels, seen = None, Recovery(), Cancellation(), set()
+    for batch in batches:
+        places, outcomes = [], []
+        for i, (task_id, unit_id, seq, *event) in enumerate(zip(*(c.to_pylist() for c in batch.columns), strict=True)):
+            if unit != (task_id, unit_id):
+                unit, recovery, cancels, seen = (task_id, unit_id), Recovery(), Cancellation(), set()
+            if seq in seen:
+                continue
+            seen.add(seq)
+            places.append(i)
+            outcomes.append(fold([{"seq": seq, **dict(zip(_EVENT, event, strict=True))}], recovery, cancels)[0][1])
+        kept = batch.select(["task_id", "unit_id", "seq"]).take(pa.array(places, pa.int64()))
+        yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(outcomes, pa.string())], names=["task_id", "unit_id", "seq", "outcome"])
 
 
 class LastPhase(StatefulProcessor):

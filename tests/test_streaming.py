@@ -94,3 +94,27 @@ def test_last_phase_and_forgetting(session, tmp_path):
     found, states = run(session, tmp_path, source, lambda s: ledger.latest_stream(s.withColumnRenamed("kind", "phase"), "2 hours", 3), "phases", mode="update")
     assert [r.phase for r in found.where("unit_id = 'a'").orderBy("at").collect()] == ["x", "z"]  # what came later was earlier
     assert max(s["numRowsTotal"] for s in states) >= 2 and states[-1]["numRowsTotal"] <= 2
+
+
+def test_table_is_folded_unit_by_unit_across_batches(session):
+    from galley.operators.ledger import Cancellation, Recovery, fold
+
+    rng = random.Random(7)
+    events = ledger_of(5, rng, 30)
+    again = [{**e, "at": (START + dt.timedelta(days=1)).isoformat(), "kind": "revoke"} for e in rng.sample(events, 20)]  # of one number the first counts
+    mixed = events + again
+    rng.shuffle(mixed)
+    given = session.createDataFrame([{**e, "at": dt.datetime.fromisoformat(e["at"])} for e in mixed], SCHEMA)
+    keep = session.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    session.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        found = ledger.fold_stream(given)
+        assert "FlatMapGroups" not in found._jdf.queryExecution().optimizedPlan().toString()  # a call of Python for each unit
+        have = rows(found)
+    finally:
+        session.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", keep)
+    want = []
+    for u in {e["unit_id"] for e in events}:
+        own = sorted((e for e in events if e["unit_id"] == u), key=lambda e: (e["at"], e["seq"]))
+        want += [("t", u, seq, outcome) for seq, outcome in fold(own, Recovery(), Cancellation())]
+    assert have == sorted(want)
