@@ -9,6 +9,8 @@ FORMAT_TAGS = ("着重", "下划线", "波浪线", "删除线", "上标", "下
 ZERO_WIDTH = "\u200b\u200c\u200d\u200e\u200f\u2060\ufeff"
 ANCHOR_ZERO_WIDTH = "\u200b\u200c\u200d\ufeff"
 DECOR_INCHES = 0.4
+#: What a text has that isn't only Unicode white space; and the white space of ASCII.
+SOME, ASCII_BLANKS = r"(?U)\S", "\t\n\u000b\f\r "
 #: Marker with fields in which a backslash and the character after it belong together; possessive, so that long fields are safe.
 MARKER_V2 = r"【(\d+)\|([^|\\]*+(?:\\[\s\S][^|\\]*+)*+)\|([^】\\]*+(?:\\[\s\S][^】\\]*+)*+)】"
 #: Marker with plain fields.

@@ -213,3 +213,26 @@ def test_repair_codes(spark):
     assert found[2].codes == ["repair.marker-order"] and "repair.marker-overlap" in found[3].codes and "repair.duplicate-number" in found[4].codes and "repair.empty-original" in found[5].codes
     assert found[6].codes == ["report.marked-section", "report.reasons-section"] and found[7].codes == ["repair.source-missing"] and found[9].codes == ["repair.v2-not-supported"]
     assert all(not found[k].ok and found[k].repaired is None and found[k].diff is None for k in (2, 3, 4, 5, 6, 7, 8, 9))
+
+
+def test_verification_is_worked_out_once_a_report(spark):
+    from galley.plans import catalogue
+
+    plans = {n: catalogue.queries()[n](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString() for n in ("report_issues", "verify_reports")}
+    assert not [x for x in plans["report_issues"].splitlines() if ("Join" in x or "Filter" in x) and "regexp_extract_all" in x]
+    assert plans["verify_reports"].count("MapInArrow") == 1 and plans["verify_reports"].count("Relation [") == 2
+    assert all("RepartitionByExpression" in p for p in plans.values())
+
+
+def test_likeness_of_fields_of_all_kinds(spark):
+    pairs = [[("a B", "Ab"), ("ab", "a b")], [("ab", "abc")], [], None, [("Ａb", "aB"), ("x", "y")]]
+    rows = [(i, None if p is None else [{"original": a, "replacement": b} for a, b in p]) for i, p in enumerate(pairs)]
+    df = spark.createDataFrame(rows, "k int, m array<struct<original: string, replacement: string>>").coalesce(1)
+    found = df.withColumn("f", reports.alike(F.col("m"))).select("k", reports._same(F.col("f")).alias("s")).orderBy("k").collect()
+    assert [r.s for r in found][:3] + [found[4].s] == [[True, True], [False], [], [True, False]]
+
+
+def test_reports_that_restore_their_source_are_not_cut_into_paragraphs(spark):
+    df = spark.createDataFrame([(1, "a\n\nb", "a\n\nb"), (2, "a\n\nb", "a\n\nc\n\nd"), (3, None, "a"), (4, "a b", "ab"), (5, "a", None)], "k int, s string, r string")
+    found = sorted(map(tuple, reports.integrity(df, "k", "s", "r").collect()))
+    assert found == [(1, 0, 0, 0), (2, 1, 2, 0), (3, None, None, None), (4, 0, 0, 0), (5, 1, 0, 0)]
