@@ -10,6 +10,7 @@ from pyspark.sql.types import StringType
 
 from ..functions import text as X
 from ..functions.reporttext import strip_preamble
+from ..shipping import spread
 from . import reports
 from .locate import count_hits
 
@@ -76,10 +77,11 @@ def candidates(df: DataFrame, key: str, text: str, source: str) -> DataFrame:
 
     ``codes`` says why a report can't be repaired: its version, an empty source, its structure, errors that a new body
     leaves, markers without one place; or what still fails once it has been rebuilt.  Then nothing is repaired.  A report is
-    one row throughout: it is verified, its markers are placed, and what they make is verified again.
+    one row throughout: it is verified, its markers are placed, and what they make is verified again.  What can't be repaired
+    anyhow isn't verified.
     """
     unix = lambda c: F.replace(F.replace(F.col(c), F.lit("\r\n"), F.lit("\n")), F.lit("\r"), F.lit("\n"))
-    base = df.select(key, unix(text).alias("__text"), unix(source).alias("__source"))
+    base = spread(df.select(key, unix(text).alias("__text"), unix(source).alias("__source")), key)
     head = F.regexp_extract("__text", rf"(?sm)\A.*?^{reports.MARKED}[^\n]*\n", 0)
     tail = F.regexp_extract("__text", rf"(?sm)^{reports.REASONS}.*\z", 0)
     early = F.when(reports.is_v2(F.col("__text")), F.array(F.lit("repair.v2-not-supported"))).when(F.length(X.strip(F.coalesce("__source", F.lit("")))) == 0, F.array(F.lit("repair.source-missing"))).otherwise(structure_errors(F.col("__text")))
@@ -88,7 +90,8 @@ def candidates(df: DataFrame, key: str, text: str, source: str) -> DataFrame:
     asked = whole.withColumn("__go", F.size("__early") == 0).withColumn("__body", F.when(F.col("__go"), strip_preamble(raw)))
     marked = reports.audited(asked, "__body", out="__marks").withColumn("__fields", placed_fields(F.col("__marks"), F.col("__source")))
     marked = marked.select(key, "__text", "__source", "__head", "__tail", "__early", "__go", field_codes(F.col("__fields")).alias("__field_codes"), F.filter("__fields", lambda m: m["start"].isNotNull()).alias("__fields"))
-    first = reports.judged(marked, key, "__text", "__source", ("__text", "__source", "__head", "__tail", "__early", "__go", "__field_codes", "__fields"))
+    asked_of = marked.withColumn("__report", F.when(F.col("__go"), F.col("__text"))).withColumn("__against", F.when(F.col("__go"), F.col("__source")))
+    first = reports.judged(asked_of, key, "__report", "__against", ("__text", "__source", "__head", "__tail", "__early", "__go", "__field_codes", "__fields"))
     none = F.array().cast("array<string>")
     lasting = F.array_except(reports.errors_of(F.col("issues")), F.array(*map(F.lit, MENDABLE)))
     codes = F.when(F.col("__go"), F.array_sort(F.array_union(lasting, "__field_codes"))).otherwise(F.col("__early"))
@@ -98,7 +101,8 @@ def candidates(df: DataFrame, key: str, text: str, source: str) -> DataFrame:
     woven = X.let(F.aggregate("__spans", zero, step), lambda w: F.concat(w["text"], F.substr("__source", w["at"] + 1, F.length("__source"))))
     rebuilt = X.let(woven, lambda body: F.concat("__head", body, F.when(body.endswith("\n"), "").otherwise("\n"), "__tail"))
     made = judged.select(key, "__text", "__source", "__codes", F.when(F.size("__codes") == 0, rebuilt).alias("repaired"))
-    last = reports.judged(made, key, "repaired", "__source", ("__text", "__codes", "repaired"))
+    made = made.withColumn("__against", F.when(F.col("repaired").isNotNull(), F.col("__source")))
+    last = reports.judged(made, key, "repaired", "__against", ("__text", "__codes", "repaired"))
     left = F.when(F.col("repaired").isNotNull(), reports.errors_of(F.col("issues"))).otherwise(none)
     out = last.select(key, F.concat("__codes", left).alias("codes"), "repaired", "__text").withColumn("ok", F.size("codes") == 0)
     out = out.withColumn("repaired", F.when(F.col("ok"), F.col("repaired")))

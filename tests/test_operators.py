@@ -236,3 +236,10 @@ def test_reports_that_restore_their_source_are_not_cut_into_paragraphs(spark):
     df = spark.createDataFrame([(1, "a\n\nb", "a\n\nb"), (2, "a\n\nb", "a\n\nc\n\nd"), (3, None, "a"), (4, "a b", "ab"), (5, "a", None)], "k int, s string, r string")
     found = sorted(map(tuple, reports.integrity(df, "k", "s", "r").collect()))
     assert found == [(1, 0, 0, 0), (2, 1, 2, 0), (3, None, None, None), (4, 0, 0, 0), (5, 1, 0, 0)]
+
+
+def test_reports_of_one_file_are_repaired_and_parsed_by_all_tasks(spark):
+    df = spark.createDataFrame([(1, "no report", "a\n\nb")], "k int, t string, s string")
+    for made in (repair.candidates(df, "k", "t", "s"), reports.parse(df, "k", "t")):
+        assert made._jdf.queryExecution().optimizedPlan().toString().count("RepartitionByExpression") == 1
+    assert repair.candidates(df, "k", "t", "s").first().codes == ["report.marked-section", "report.reasons-section"]
