@@ -45,7 +45,8 @@ def derived(files: DataFrame, registered: DataFrame, reviewed: DataFrame, by: tu
     what is still missing.
     """
     units = folders(files, by).withColumn("__k", F.struct(*by))
-    checked = reports.judged(units, "__k", "report", "source", (*by, "source", "report", "note", "legacy", "skip"))
+    units = units.withColumn("__against", F.when(F.col("report").isNotNull(), F.col("source")))  # without a report nothing is verified
+    checked = reports.judged(units, "__k", "report", "__against", (*by, "source", "report", "note", "legacy", "skip"))
     digest = F.when(F.col("report").isNotNull(), F.sha2("report", 256))
     known = lambda df, c: df.select(*by, F.col("report_sha256").alias("__digest"), F.lit(True).alias(c)).distinct()
     met = checked.withColumn("__digest", digest).join(known(registered, "__registered"), [*by, "__digest"], "left").join(known(reviewed, "__reviewed"), [*by, "__digest"], "left")

@@ -27,3 +27,11 @@ def test_states_of_odd_folders(spark, tmp_path):
     df.write.parquet(str(tmp_path / "files"))
     assert api.run(spark, "status", files=str(tmp_path / "files")).count() == 9
     assert status.derived(df.limit(0), none, none).count() == 0
+
+
+def test_sources_without_a_report_are_not_verified(spark):
+    files = spark.createDataFrame([("t", "u", "u.md", "a\n\nb")], "task_id string, unit string, name string, text string")
+    none = files.selectExpr("task_id", "unit", "'' as report_sha256").where("false")
+    made = status.derived(files, none, none)
+    assert "__against" in made._jdf.queryExecution().analyzed().toString()
+    assert [(r.status, r.n_errors) for r in made.collect()] == [("not_started", 0)]
