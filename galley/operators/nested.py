@@ -1,7 +1,7 @@
 """Walks over nested JSON of unknown shape: leaves with their paths, identifiers, expressions of recorded calls, and what binds evidence to them.
 
-A walk is one recursive query whose steps open every object and array of the step before; it goes as deep as the values do, and a
-row is a value, so that large ones don't meet in one place.
+A walk goes as deep as the values do, in the task that has the text: nothing is shuffled.  A row is a value; a step opens a few levels,
+so that what a task holds at a time is a small multiple of one text.
 """
 from __future__ import annotations
 
@@ -15,6 +15,26 @@ NO_EXPRESSION = ("task_id", "unit_id", "subject", "variables", "domain", "dim_op
 EXPRESSIONS = ("expression", "formula", "equation")
 #: Nesting beyond this ends a walk with an error; expressions further apart than so many edits are equally far.
 DEPTH, EDITS = 90, 200
+#: Levels that a step of a walk opens; each of them is as large as the text at most.
+STEP = 10
+_VALUES = "array<struct<path: string, depth: int, v: variant>>"
+
+
+def _held(w: Column) -> Column:
+    """(path, depth, v) of each value that an object or array holds; none of others."""
+    part = lambda path, v: F.struct(path.alias("path"), (w["depth"] + 1).alias("depth"), v.alias("v"))
+    named = lambda e: part(F.when(w["path"] == "", e["key"]).otherwise(F.concat(w["path"], F.lit("."), e["key"])), e["value"])
+    numbered = lambda v, i: part(F.concat(w["path"], F.lit("["), i.cast("string"), F.lit("]")), v)
+    items = F.map_entries(w["v"].try_cast("map<string, variant>")), w["v"].try_cast("array<variant>")  # null unless it is one
+    return F.coalesce(F.transform(items[0], named), F.transform(items[1], numbered), F.array().cast(_VALUES))
+
+
+def _opened(w: Column, levels: int) -> Column:
+    """A value and all that it holds down to so many levels."""
+    none = F.array().cast(_VALUES)
+    start = F.struct(none.alias("done"), F.array(w).cast(_VALUES).alias("last"))
+    further = lambda s, _: F.struct(F.concat(s["done"], s["last"]).alias("done"), F.flatten(F.transform(s["last"], _held)).alias("last"))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(levels)), start, further, lambda s: F.concat(s["done"], s["last"]))
 
 
 def values(df: DataFrame, key: str, json: str) -> DataFrame:
@@ -23,17 +43,14 @@ def values(df: DataFrame, key: str, json: str) -> DataFrame:
     Paths are like ``a.b[0].c``, that of the whole is empty; values are texts, of objects and arrays in JSON.  What isn't JSON, and
     null, gives no row; keys may be null or repeated.
     """
-    spark = df.sparkSession
-    spark.conf.set("spark.sql.cteRecursionRowLimit", "-1")  # the rows of a walk grow with the table
-    found = spark.sql(
-        f"""with recursive walk(k, path, depth, v) as (
-              select k, '', 0, try_parse_json(j) from {{texts}} where try_parse_json(j) is not null
-              union all
-              select w.k, case when e.key is null then w.path || '[' || e.pos || ']' when w.path = '' then e.key else w.path || '.' || e.key end, w.depth + 1, e.value
-              from walk w, lateral variant_explode(w.v) e where if(w.depth < {DEPTH}, true, raise_error('nested deeper than {DEPTH}')))
-            select k, path, depth, schema_of_variant(v) as kind, cast(v as string) as value from walk""",
-        texts=df.select(F.col(key).alias("k"), F.col(json).cast("string").alias("j")),
-    )
+    whole = F.struct(F.lit("").alias("path"), F.lit(0).alias("depth"), F.try_parse_json(F.col(json).cast("string")).alias("v"))
+    found, w = df.select(F.col(key).alias("k"), whole.alias("w")), F.col("w")
+    for depth in range(0, DEPTH, STEP):
+        at = F.when(w["depth"] == depth, _opened(w, STEP)).otherwise(F.array(w))
+        found = found.select("k", F.explode(at if depth else F.when(w["v"].isNotNull(), at)).alias("w"))  # a filter would parse the texts once more
+    deeper = F.when(w["depth"] >= DEPTH, F.size(_held(w)) > 0).otherwise(False)
+    found = found.where(F.when(deeper, F.raise_error(F.lit(f"nested deeper than {DEPTH}")).cast("boolean")).otherwise(True))
+    found = found.select("k", "w.path", "w.depth", F.schema_of_variant("w.v").alias("kind"), F.col("w.v").cast("string").alias("value"))
     kind = F.when(F.col("kind").startswith("OBJECT"), "object").when(F.col("kind").startswith("ARRAY"), "array").when(F.col("kind") == "STRING", "string").when(F.col("kind") == "BOOLEAN", "boolean").when(F.col("kind") == "VOID", "null").otherwise("number")
     return found.select(F.col("k").alias(key), "path", "depth", kind.alias("kind"), F.when(F.col("kind") != "VOID", F.col("value")).alias("value"))
 

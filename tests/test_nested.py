@@ -39,6 +39,29 @@ def test_values(spark):
         nested.values(spark.createDataFrame([(1, "[" * 95 + "]" * 95)], "k long, j string"), "k", "j").count()
 
 
+def test_a_walk_stays_in_the_tasks_that_have_the_texts(spark):
+    texts = spark.createDataFrame([(i, "[" * (i % 3) + '{"a":[' + "1," * i + '2]}' + "]" * (i % 3)) for i in range(40)], "k long, j string").repartition(13)
+    found = nested.values(texts, "k", "j")
+    assert found.rdd.getNumPartitions() == 13  # the levels met in as many tasks as the first one's shuffle had
+    assert "Union" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert found.count() == sum(i % 3 + 2 + i + 1 for i in range(40))
+
+
+@pytest.mark.parametrize("levels", [8, 9, 10, 11, 19, 20, 21, 89])
+def test_values_where_steps_of_a_walk_meet(spark, levels):
+    inner = '{"b":[null,"s"],"c":{"d":{},"e":[[1.5]]}}' if levels < 80 else '["s"]'
+    text = "[" * levels + f"{inner},{inner}" + "]" * levels
+    found = rows(nested.values(spark.createDataFrame([(1, text), (1, text)], "k long, j string"), "k", "j"))
+    want = [(1, p, d, v) for p, d, v in parts(json.loads(text))]
+    assert [(k, p, d, v if kind == "string" else json.loads(v or "null")) for k, p, d, kind, v in found] == sorted(want + want, key=str)
+
+
+def parts(value, path="", depth=0):
+    yield path, depth, value
+    for k, v in value.items() if isinstance(value, dict) else enumerate(value) if isinstance(value, list) else ():
+        yield from parts(v, f"{path}[{k}]" if isinstance(value, list) else f"{path}.{k}" if path else k, depth + 1)
+
+
 def test_expressions(spark):
     calls = [(1, '{"expression_a":"x+1","other":"y","unit_definitions":{"formula":"z"}}'), (2, '{"a":["p","q"],"subject":"math"}'), (3, '{"subject":"math"}')]
     leaves = nested.string_leaves(spark.createDataFrame(calls, "k long, j string"), "k", "j")
