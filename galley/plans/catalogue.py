@@ -165,9 +165,13 @@ def line_islands(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _reports(spark: SparkSession, d: str) -> DataFrame:
-    """(doc_id, text, body, report): every third line has a marker, some changed, some void, some without a reason."""
+    """(doc_id, text, body, report): every third line has a marker, some changed, some void, some without a reason.
+
+    A null text counts as empty, so that every document has a report.
+    """
     n, w = F.col("line_no"), F.col("w")
-    lines = spread(_lines(spark, d), "doc_id").withColumn("w", F.regexp_extract("line", r"^([^ 【】|\\$]+)", 1)).withColumn("marked", (n % 3 == 1) & (w != ""))
+    docs = _t(spark, d, "documents").withColumn("text", F.coalesce("text", F.lit("")))
+    lines = spread(segment.to_lines(docs.select("doc_id", "text"), "doc_id", "text"), "doc_id").withColumn("w", F.regexp_extract("line", r"^([^ 【】|\\$]+)", 1)).withColumn("marked", (n % 3 == 1) & (w != ""))
     orig = F.when(n % 4 == 0, F.concat(w, F.lit("q"))).otherwise(w)
     new = F.when(n % 7 == 0, orig).otherwise(F.concat(w, F.lit("x")))
     body = F.when(F.col("marked"), F.concat(F.lit("【"), n.cast("string"), F.lit("|"), orig, F.lit("|"), new, F.lit("】"), F.substr("line", F.length(w) + 1))).otherwise(F.col("line"))
@@ -175,7 +179,7 @@ def _reports(spark: SparkSession, d: str) -> DataFrame:
     piece = F.array_sort(F.collect_list(F.struct("line_no", body.alias("b"), why.alias("r"))))
     made = lines.groupBy("doc_id").agg(piece.alias("p")).select("doc_id", F.array_join(F.transform("p", lambda x: x["b"]), "\n\n").alias("body"), F.array_join(F.array_compact(F.transform("p", lambda x: x["r"])), "\n").alias("why"))
     full = made.withColumn("report", F.concat(F.lit(f"总结：{reports.SEVERITIES[1]}\n\n{reports.MARKED}\n\n"), "body", F.lit(f"\n\n{reports.REASONS}\n\n"), "why", F.lit("\n")))
-    return full.join(_t(spark, d, "documents").select("doc_id", "source", F.replace("text", F.lit("\n"), F.lit("\n\n")).alias("text")), "doc_id")
+    return full.join(docs.select("doc_id", "source", F.replace("text", F.lit("\n"), F.lit("\n\n")).alias("text")), "doc_id")
 
 
 _SQL_MARKED = f"select doc_id, line_no, line, w, case when line_no % 4 = 0 then w || 'q' else w end as orig, case when line_no % 7 = 0 then case when line_no % 4 = 0 then w || 'q' else w end else w || 'x' end as new from ({_SQL_WORDS}) where line_no % 3 = 1"

@@ -28,3 +28,8 @@ def agree(spark, odd, name):
 @pytest.mark.parametrize("name", ["command_unit_read", "unit_pages"])
 def test_pages_of_odd_texts(spark, odd, name):
     agree(spark, odd, name)
+
+
+@pytest.mark.parametrize("name", ["verify_reports", "integrity_aligned", "parsed_reports", "word_delivery", "marker_audit", "report_issues", "reasons_vs_markers"])
+def test_reports_of_odd_texts(spark, odd, name):
+    agree(spark, odd, name)
