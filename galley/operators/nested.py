@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import text as X
 from ..staging import staged
 
 # Parameters that say whose a call is or what its words mean, and words in the names of those that hold an expression.
@@ -82,6 +83,24 @@ def expressions(leaves: DataFrame, key: str) -> DataFrame:
     return may.withColumn("__named", named).withColumn("__any", F.bool_or("__named").over(Window.partitionBy(key))).where("__named or not __any").drop("__named", "__any")
 
 
+def _shared(a: Column, b: Column) -> Column:
+    """How many characters two texts begin with alike: by halves, each stretch compared once."""
+    n = F.least(F.length(a), F.length(b))
+    longer = lambda p, k: F.when((p + k <= n) & (F.substr(a, p + 1, k) == F.substr(b, p + 1, k)), p + k).otherwise(p)
+    return F.aggregate(F.array(*[F.lit(1 << k) for k in range(29, -1, -1)]), F.lit(0), longer)
+
+
+def edits(a: Column, b: Column) -> Column:
+    """Edits between two texts, ``EDITS + 1`` if there are more.
+
+    What both begin and end with takes none, so only what is between is compared edit by edit: the cost is that of the difference, not of the texts.
+    """
+    pair = lambda x, y: F.struct(x.alias("a"), y.alias("b"))
+    rest = lambda t: X.let(_shared(t["a"], t["b"]), lambda p: pair(F.reverse(F.substr(t["a"], p + 1)), F.reverse(F.substr(t["b"], p + 1))))
+    n = X.let(pair(a, b), lambda t: X.let(rest(t), lambda u: X.let(rest(u), lambda v: F.levenshtein(v["a"], v["b"], EDITS))))
+    return X.let(n, lambda n: F.when(n < 0, EDITS + 1).otherwise(n))
+
+
 def calculation_errors(evidence: DataFrame, calls: DataFrame, key: str) -> DataFrame:
     """(key, item, call_id, error, nearest) of calculations in evidence that their recorded call doesn't bear out.
 
@@ -93,8 +112,8 @@ def calculation_errors(evidence: DataFrame, calls: DataFrame, key: str) -> DataF
     bound = ("task_id", "unit_id", "run_id", "source_sha256")
     there = calls.select("call_id", *[F.col(c).alias(f"c_{c}") for c in bound], "success", F.col("result").alias("c_result"), F.lit(True).alias("there"))
     leaves = staged(string_leaves(calls.join(evidence.select("call_id").distinct(), "call_id", "left_semi"), "call_id", "params"), "leaves")  # one walk for all that follows
-    said = leaves.select("call_id", F.col("value").alias("expression")).distinct().withColumn("said", F.lit(True))
-    met = evidence.join(there, "call_id", "left").join(said, ["call_id", "expression"], "left")
+    said = leaves.select("call_id", F.sha2("value", 256).alias("__digest")).distinct().withColumn("said", F.lit(True))  # whole texts don't travel to be compared
+    met = evidence.withColumn("__digest", F.sha2("expression", 256)).join(there, "call_id", "left").join(said, ["call_id", "__digest"], "left")
     same = lambda c: F.col(c).eqNullSafe(F.col(f"c_{c}"))
     error = (
         F.when(F.col("there").isNull(), "call-missing").when(~(same("task_id") & same("unit_id")), "other-unit").when(~same("run_id"), "other-run").when(~same("source_sha256"), "other-source")
@@ -102,6 +121,5 @@ def calculation_errors(evidence: DataFrame, calls: DataFrame, key: str) -> DataF
     )
     wrong = met.withColumn("error", error).where("error is not null").select(key, "item", "call_id", "expression", "error")
     near = wrong.where("error = 'expression'").join(expressions(leaves, "call_id"), "call_id")
-    apart = F.expr(f"transform(array(levenshtein(expression, value, {EDITS})), n -> if(n < 0, {EDITS + 1}, n))[0]")  # worked out once
-    closest = near.groupBy(key, "item").agg(F.min_by(F.concat("path", F.lit("="), "value"), F.struct(apart, "path")).alias("nearest"))
+    closest = near.groupBy(key, "item").agg(F.min_by(F.concat("path", F.lit("="), "value"), F.struct(edits(F.col("expression"), F.col("value")).alias("apart"), "path")).alias("nearest"))
     return wrong.drop("expression").join(closest, [key, "item"], "left").select(key, "item", "call_id", "error", "nearest")

@@ -74,3 +74,14 @@ def test_parameters_of_calls_are_walked_once(spark):
     found = nested.calculation_errors(said, calls, "key")
     assert "UnionLoop" not in found._jdf.queryExecution().optimizedPlan().toString()  # the walk was repeated for each use of its leaves
     assert [tuple(r) for r in found.collect()] == [("k", 1, "c1", "expression", "expression=x+1")]
+
+
+def test_edits_cost_what_differs_and_not_the_texts(spark):
+    long = "ab 中😀" * 60_000
+    pairs = [("kitten", "sitting", 3), ("aaa", "aaaa", 1), ("aba", "aa", 1), ("", "", 0), ("", "x" * 201, 201), ("x" * 200, "", 200), ("é中😀", "é文😀", 1), ("a", None, None), (long, long + "!", 1), (long + "a" + long, long + "bc" + long, 2)]
+    found = spark.createDataFrame([(i, a, b) for i, (a, b, _) in enumerate(pairs)], "k int, a string, b string").select("k", nested.edits(F.col("a"), F.col("b")).alias("n"))  # quadratic in the texts before
+    assert {r.k: r.n for r in found.collect()} == {i: n for i, (_, _, n) in enumerate(pairs)}
+    calls = spark.createDataFrame([("c1", "t", "u", "r", "s", True, json.dumps({"expression": long}), "2")], "call_id string, task_id string, unit_id string, run_id string, source_sha256 string, success boolean, params string, result string")
+    said = spark.createDataFrame([("k", i, "c1", e, "2", "t", "u", "r", "s") for i, e in enumerate([long, long + "!", None])], "key string, item int, call_id string, expression string, result string, task_id string, unit_id string, run_id string, source_sha256 string")
+    errors = {r.item: (r.error, r.nearest) for r in nested.calculation_errors(said, calls, "key").collect()}
+    assert errors == {1: ("expression", f"expression={long}"), 2: ("expression", f"expression={long}")}
